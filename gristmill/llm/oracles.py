@@ -45,7 +45,25 @@ copies AS (SELECT *, passes + CASE WHEN up <= target - passes * source_size THEN
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM copies
 """
 
+OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id,
+                  coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (SELECT item, size, array_to_string(ws[i + 1:i + size], ' ') AS k FROM (
+         SELECT item, ws, least(10, len(ws)) AS size, unnest(range(len(ws) - least(10, len(ws)) + 1)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT rn, size, i, array_to_string(ws[i + 1:i + size], ' ') AS k FROM (
+         SELECT rn, ws, size, unnest(range(len(ws) - size + 1)) AS i FROM d, sizes WHERE len(ws) >= size)),
+hit AS (SELECT DISTINCT rn, dw.size, i, item FROM dw JOIN bw ON dw.size = bw.size AND dw.k = bw.k),
+words AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(i, i + size)) AS p FROM hit) GROUP BY rn),
+items AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rn, item FROM hit) GROUP BY rn)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.rn = words.rn LEFT JOIN items ON d.rn = items.rn
+"""
+
 SQL = {
     "op2_host_quality_rules": OP2,
     "op3_hash_threshold_mix": OP3,
+    "op5_benchmark_decontamination": OP5,
 }
