@@ -1,0 +1,38 @@
+"""Connected components of an edge table by large-star and small-star passes. Nothing but two sums a pass reaches the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gristmill.llm.common import stored
+
+
+def _passed(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star pass over rows (u, v) with u > v.
+
+    Large: each node's larger neighbours are tied to its smallest. Small: each node's smaller neighbours and itself are tied to the smallest.
+    Minima are pre-aggregated in the map tasks; the joins back have one row for each node on one side, so a hot node splits.
+    """
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = large.where("u <> v").distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u")
+    small = small.select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """node, component (the smallest node reachable) for every node of edges (u, v); null or equal ends are left out."""
+    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+    state = None
+    for _ in range(most):
+        was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == was or not state[0]:
+            break
+        now = stored(_passed(now), "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {most} passes")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

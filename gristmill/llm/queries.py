@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import decontaminate, mixing, quality_rules
+from gristmill.llm import decontaminate, mixing, near_duplicates, quality_rules
 from gristmill.llm.common import documents
 from gristmill.llm.oracles import SQL
 
@@ -23,11 +23,16 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.scored(documents(spark, sf_dir), size=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_host_quality_rules": op2_host_quality_rules,
         "op3_hash_threshold_mix": op3_hash_threshold_mix,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_minhash_near_duplicates": op6_minhash_near_duplicates,
     }
 
 
