@@ -10,7 +10,7 @@
 Two texts at similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^32, all but 5e-8; higher similarities miss less.
 
 Defined cases: a null, empty or wordless text has an empty set and links with nothing; a text with fewer words than a shingle is one shingle;
-rows that repeat a doc_id stand for one document; ties go to the smaller id; an empty table gives an empty result.
+rows that repeat a doc_id stand for one document; a row without one is compared with nothing and stays; ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ def linked(docs: DataFrame, size: int, percent: int = PERCENT, most: int = 12) -
     """doc_id, n_shingles, class (smallest id with the same set; null for an empty set) and component (smallest id that links reach) of every document."""
     sets = described(docs, size)
     # a class by its print; equal sets have equal bands
-    classes = sets.where("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = sets.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
     members = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
@@ -184,7 +184,8 @@ def linked(docs: DataFrame, size: int, percent: int = PERCENT, most: int = 12) -
         groups = stored(components(found), "groups")
     else:
         raise RuntimeError("buckets of unlike members are left; raise `most`")
-    named = sets.select("doc_id", "n_shingles", "print").join(classes.select("print", F.col("id").alias("class")), "print", "left")
+    named = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
+    named = named.join(classes.select("print", F.col("id").alias("class")), "print", "left")
     named = named.join(groups, named["class"] == groups["node"], "left")
     return named.select("doc_id", "n_shingles", "class", F.coalesce("component", "class", "doc_id").alias("component"))
 
@@ -192,10 +193,15 @@ def linked(docs: DataFrame, size: int, percent: int = PERCENT, most: int = 12) -
 def scored(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, and class_id."""
     found = linked(docs, size)
-    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), F.coalesce("class", "doc_id").alias("class_id"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"), F.coalesce("class", "doc_id").alias("class_id"))
 
 
 def representatives(docs: DataFrame, size: int) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns; of rows that repeat an id one stays."""
-    kept = linked(docs, size).where("doc_id = component").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs without those whose id is not the smallest of their component, with all their columns; of rows that repeat an id one stays."""
+    found = stored(linked(docs, size).select("doc_id", "component"), "components")
+    out = docs.join(found.where("doc_id <> component").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    one = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return one.unionByName(out.where("doc_id IS NULL"))

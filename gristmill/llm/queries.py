@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import decontaminate, mixing, near_duplicates, quality_rules
+from gristmill.llm import decontaminate, mixing, near_duplicates, quality_rules, suffix_dedup, suffix_trees
 from gristmill.llm.common import documents
 from gristmill.llm.oracles import SQL
 
@@ -27,12 +27,22 @@ def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.scored(documents(spark, sf_dir), size=4)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.scored(documents(spark, sf_dir))
+
+
+def op9_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.scored(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_host_quality_rules": op2_host_quality_rules,
         "op3_hash_threshold_mix": op3_hash_threshold_mix,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_minhash_near_duplicates": op6_minhash_near_duplicates,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op9_suffix_tree_dedup": op9_suffix_tree_dedup,
     }
 
 

@@ -185,17 +185,18 @@ def later_runs(x: np.ndarray, lo: np.ndarray, n: np.ndarray, o: np.ndarray, step
     return digit, run, at[first], size, far[first]
 
 
-def rows_of(digit, run, doc, lo, n, o, last: bool) -> dict[str, np.ndarray]:
-    """Rows to send, after a chunk's own repeats are found: columns of ROW."""
+def rows_of(digit, run, doc, lo, n, o, most: int | None, **more: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows to send, after a chunk's own repeats are found: columns of ROW, and more. Digits with over `most` runs get a mark."""
     order = np.lexsort((lo, doc, run, digit))
     digit, run, doc, lo, n, o = (c[order] for c in (digit, run, doc, lo, n, o))
+    more = {c: v[order] for c, v in more.items()}
     new = np.concatenate(([True], digit[1:] != digit[:-1])) if len(digit) else np.zeros(0, bool)
     unlike = new.copy()
     unlike[1:] |= run[1:] != run[:-1]
     kind = np.where(unlike, RUN, REPEATED)
     group = np.cumsum(new) - 1
-    if not last:
-        many = np.bincount(group, weights=unlike, minlength=1)[group] > MANY if len(group) else new
+    if most:
+        many = np.bincount(group, weights=unlike, minlength=1)[group] > most if len(group) else new
         kind = np.where(many & unlike, SHARED, kind)
         marks = np.flatnonzero(many & new)
     else:
@@ -205,7 +206,7 @@ def rows_of(digit, run, doc, lo, n, o, last: bool) -> dict[str, np.ndarray]:
     same = ~unlike & (doc == doc[first]) & (lo == lo[first])
     keep = np.concatenate((np.flatnonzero(~same), marks))
     kind = np.concatenate((kind[~same], np.full(len(marks), MARK)))
-    out = {"digit": digit, "run": run, "doc": doc, "lo": lo, "n": n, "o": o}
+    out = {"digit": digit, "run": run, "doc": doc, "lo": lo, "n": n, "o": o} | more
     out = {c: v[keep] for c, v in out.items()}
     known = kind >= SHARED
     out["digit"] = np.where(known, mixed(out["doc"].astype(np.uint64)), out["digit"])
@@ -229,7 +230,7 @@ def _first(spec: Windows):
                 digit, run, lo, n, o = runs
                 at = np.searchsorted(starts, lo, "right") - 1
                 docs = np.array([r["doc_id"] for r in rows], np.int64)[at]
-                yield from batch_of(rows_of(digit, run, docs, lo - starts[at], n, o, False))
+                yield from batch_of(rows_of(digit, run, docs, lo - starts[at], n, o, MANY))
 
     return first
 
@@ -266,16 +267,15 @@ def _later(spec: Windows, step: int):
                 digit, run, lo, n, o = later_runs(x, lo, n, o, step, spec, powers)
                 at = np.searchsorted(starts, lo, "right") - 1
                 docs = np.array([r["doc_id"] for r in rows], np.int64)[at]
-                yield from batch_of(rows_of(digit, run, docs, lo - starts[at], n, o, step == 1))
+                yield from batch_of(rows_of(digit, run, docs, lo - starts[at], n, o, MANY if step > 1 else None))
 
     return later
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("doc", "lo", "n", "o")) -> Iterator[pa.RecordBatch]:
     """Rows sorted by digit, kind, run, document and place: later rows of a run are repeated; the first rows of runs that share a digit are in question."""
     held: dict | None = None  # first row of a digit, while no other run of the digit has come
     digit = run = doc = lo = None
-    names = ("doc", "lo", "n", "o")
     for batch in batches:
         cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         known = cols["kind"] >= SHARED
@@ -320,6 +320,14 @@ def compared(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_compared, FOUND)
 
 
+def shared_digits(docs: DataFrame, spec: Windows) -> DataFrame:
+    """FOUND and the digit, after the first pass alone."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(_first(spec), ROW).repartition(n, "digit").sortWithinPartitions("digit", "kind", "run", "doc", "lo")
+    return dealt.mapInArrow(lambda batches: _compared(batches, ("doc", "lo", "n", "o", "digit")), "doc long, lo long, n int, o int, digit long, repeated boolean")
+
+
 def by_document(found: DataFrame) -> DataFrame:
     return found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("lo", "n", "o", "repeated")).alias("found"))
 
