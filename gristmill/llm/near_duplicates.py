@@ -26,44 +26,26 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import stored, travels
 from gristmill.llm.components import components
+from gristmill.llm.kernels import LOWER, Words, mixed
 
 travels(__name__)
 
 BINS, ROWS = 128, 4
 #: Percent of the union that the intersection must reach.
 PERCENT = 80
-#: Words whose hashes a task remembers.
-REMEMBERED = 500_000
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
-LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spread 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * MIX[2]
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingled(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
+def shingled(text: bytes, size: int, hashes: Words) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text."""
     words = text.translate(LOWER).split()
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    ids = hashes.of(words)
     n = min(size, len(ids))
     if not n:
         return ids
     out = np.full(len(ids) - n + 1, n, np.uint64)
     for j in range(n):
-        out = out * MIX[0] + ids[j : len(ids) - n + 1 + j]
+        out = out * FACTOR + ids[j : len(ids) - n + 1 + j]
     return np.unique(mixed(out))
 
 
@@ -90,13 +72,13 @@ def bands(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     parts = values.reshape(-1, rows)
     out = np.arange(len(parts), dtype=np.uint64)
     for j in range(rows):
-        out = mixed(out * MIX[0] + parts[:, j])
+        out = mixed(out * FACTOR + parts[:, j])
     return out
 
 
 def _described(size: int):
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns, hashes = orders(), WordHashes()
+        turns, hashes = orders(), Words()
         for batch in batches:
             counts, prints, keys = [], [], []
             for text in batch.column("text").cast(pa.large_binary()).to_pylist():

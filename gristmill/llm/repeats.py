@@ -21,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import travels
+from gristmill.llm.kernels import Words, mixed
 
 travels(__name__)
 
@@ -51,20 +51,6 @@ class Windows:
     steps: tuple[int, ...]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 class Tokens:
     """Texts as 64-bit tokens."""
 
@@ -75,8 +61,7 @@ class Tokens:
 
     def of(self, text: bytes) -> np.ndarray:
         if self.words:
-            parts = text.split()
-            return np.fromiter(map(self.known.__getitem__, parts), np.uint64, len(parts))
+            return self.known.of(text.split())
         return self.table[np.frombuffer(text, np.uint8)]
 
 

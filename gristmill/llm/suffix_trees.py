@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import stored, travels
+from gristmill.llm.kernels import mixed
 from gristmill.llm.repeats import (
     BASE,
     BASE2,
@@ -38,7 +39,6 @@ from gristmill.llm.repeats import (
     chunks,
     covered,
     later_runs,
-    mixed,
     rows_of,
     runs_merged,
     shared_digits,
