@@ -4,10 +4,12 @@
 2. One hash pass fills 128 bins. An empty bin borrows from the first filled bin of its own fixed order of bins, the same in all texts.
 3. Four bins make a band. In a bucket (band and its bins) each class is tied to the smallest id: as many edges as members.
 4. Edges are confirmed on the full sets of shingles, then joined to components.
-5. Stars alone can miss a link between two members of which one is unlike the centre. Buckets that still hold several components get more
-   centres, eight times as many each round, until each pair of members has been compared or shares a component. Rounds emit no pairs within a component.
+5. Stars alone can miss a link between two members of which one is unlike the centre. Where a bucket still holds several components, the members
+   outside the centre's component are held, in blocks, against all members of the bucket by signatures of 512 bins of eight bits. A pair is emitted only
+   from its first common bucket, only across components, and only if its signatures agree nearly as much as linked texts' do; then it is confirmed like an edge.
 
-Two texts at similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^32, all but 5e-8; higher similarities miss less.
+Two texts at similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^32, all but 5e-8; higher similarities miss less. Signatures of linked
+texts fall below AGREE by five standard errors or more.
 
 Defined cases: a null, empty or wordless text has an empty set and links with nothing; a text with fewer words than a shingle is one shingle;
 rows that repeat a doc_id stand for one document; a row without one is compared with nothing and stays; ties go to the smaller id; an empty table gives an empty result.
@@ -33,6 +35,8 @@ travels(__name__)
 BINS, ROWS = 128, 4
 #: Percent of the union that the intersection must reach.
 PERCENT = 80
+#: Bins of the finer signatures, the share that must agree, and the members of a block.
+FINE, AGREE, BLOCK = 512, 0.69, 128
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,7 +132,57 @@ def links(pairs: DataFrame, texts: DataFrame, size: int, percent: int = PERCENT)
     return both.mapInArrow(_confirmed(size, percent), "u long, v long")
 
 
-def linked(docs: DataFrame, size: int, percent: int = PERCENT, most: int = 12) -> DataFrame:
+def _signed(size: int):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns, fine, hashes = orders(), orders(FINE), Words()
+        for batch in batches:
+            sets = [shingled(text or b"", size, hashes) for text in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            keys = [bands(signature(x, turns)).tobytes() for x in sets]
+            # a second hash, so that what put two texts in one bucket does not count again
+            signs = [(signature(np.sort(mixed(x * FACTOR)), fine) & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["id", "bands", "sign"])
+
+    return signed
+
+
+def _agreeing(percent: int):
+    def unpacked(members: list[dict]) -> tuple[np.ndarray, ...]:
+        flat = [np.array([m[c] for m in members], np.int64) for c in ("id", "n_shingles", "component")]
+        keys = np.frombuffer(b"".join(m["bands"] for m in members), np.int64).reshape(len(members), -1)
+        return *flat, keys, np.frombuffer(b"".join(m["sign"] for m in members), np.uint8).reshape(len(members), -1)
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, asked, members in zip(batch.column("bucket").to_pylist(), batch.column("asked"), batch.column("members"), strict=True):
+                ids, sizes, groups, keys, signs = unpacked(members.as_py())
+                found = [], []
+                for x, n, group, key, sign in zip(*unpacked(asked.as_py()), strict=True):
+                    at = np.flatnonzero((groups != group) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                    at = at[(signs[at] == sign).mean(axis=1) >= AGREE]
+                    common = keys[at] == key
+                    at = at[key[common.argmax(axis=1)] == bucket] if len(at) else at
+                    found[0].append(np.maximum(ids[at], x))
+                    found[1].append(np.minimum(ids[at], x))
+                if found[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], ["u", "v"])
+
+    return agreeing
+
+
+def further(crowded: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of members of different components in one bucket of three or more that may be linked."""
+    named = crowded.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min_by("component", "id").alias("of_centre"))
+    named = stored(named.join(several.where("a <> b").select("bucket", "of_centre"), "bucket"), "several")
+    signs = texts.join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_signed(size), "id long, bands binary, sign binary")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))
+    rows = named.join(stored(signs, "signs"), "id").select("bucket", block.alias("block"), (F.col("component") != F.col("of_centre")).alias("other"), F.struct("id", "n_shingles", "component", "bands", "sign").alias("m"))
+    asked = rows.where("other").groupBy("bucket", "block").agg(F.collect_list("m").alias("asked")).select("bucket", "asked")
+    members = rows.groupBy("bucket", "block").agg(F.collect_list("m").alias("members")).select("bucket", "members")
+    return asked.join(members, "bucket").mapInArrow(_agreeing(percent), "u long, v long").distinct()
+
+
+def linked(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class (smallest id with the same set; null for an empty set) and component (smallest id that links reach) of every document."""
     sets = described(docs, size)
     # a class by its print; equal sets have equal bands
@@ -140,32 +194,16 @@ def linked(docs: DataFrame, size: int, percent: int = PERCENT, most: int = 12) -
     near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")  # else the union is too large
     stars = members.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v"), F.col("n_shingles").alias("a_n")).distinct()
     stars = stars.join(classes.select(F.col("id").alias("v"), F.col("n_shingles").alias("b_n")), "v").where(near)
-    compared = stored(stars.select("u", "v"), "stars")
+    stars = stored(stars.select("u", "v"), "stars")
     crowded = members.where("n > 2").select("bucket", "id", "n_shingles", "n")
-    involved = reduce(DataFrame.union, [compared.select("u"), compared.select("v"), crowded.select("id")]).toDF("doc_id").distinct()
+    involved = reduce(DataFrame.union, [stars.select("u"), stars.select("v"), crowded.select("id")]).toDF("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = stored(texts, "texts")
-    found = stored(links(compared, texts, size, percent), "links")
+    found = stored(links(stars, texts, size, percent), "links")
     groups = stored(components(found), "groups")
-    centres = 1
-    for _ in range(most):
-        named = crowded.where(F.col("n") > centres).join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-        named = stored(named.join(several, "bucket"), "several")
-        if named.isEmpty():
-            break
-        centres *= 8
-        # about `centres` of a bucket's members by a hash of their id, and all of them once n is no larger
-        heads = named.where(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / centres)) == 0)
-        heads = heads.select("bucket", F.col("id").alias("v"), F.col("n_shingles").alias("b_n"), F.col("component").alias("c"))
-        pairs = named.select("bucket", F.col("id").alias("u"), F.col("n_shingles").alias("a_n"), "component").join(heads, "bucket").where("component <> c").where(near)
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = stored(pairs.join(compared, ["u", "v"], "left_anti"), "pairs")
-        found = stored(found.unionByName(links(pairs, texts, size, percent)), "links")
-        compared = compared.unionByName(pairs)
-        groups = stored(components(found), "groups")
-    else:
-        raise RuntimeError("buckets of unlike members are left; raise `most`")
+    more = stored(further(crowded, groups, texts, size, percent).join(stars, ["u", "v"], "left_anti"), "pairs")
+    more = stored(links(more, texts, size, percent), "links")
+    groups = stored(components(found.unionByName(more)), "groups")
     named = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
     named = named.join(classes.select("print", F.col("id").alias("class")), "print", "left")
     named = named.join(groups, named["class"] == groups["node"], "left")
