@@ -37,10 +37,23 @@ BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 BASE2, INVERSE2 = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 #: What a row is: a mark, a run to compare, a run known to share its digit, windows known to be repeated.
 MARK, RUN, SHARED, REPEATED = 0, 1, 2, 3
-ROW = "digit long, kind int, run long, doc long, lo long, n int, o int"
+ROW = "digit long, run long, doc long, at long"
+#: The run of a mark, which puts it before all others of its digit.
+BEFORE = np.iinfo(np.int64).min
 FOUND = "doc long, lo long, n int, o int, repeated boolean"
 
 
+def packed(lo: np.ndarray, n: np.ndarray, o: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Place, number of windows (under 512), distance (under 512) and kind in one long that sorts by place. Of repeated windows `run` holds the number."""
+    return lo.astype(np.int64) << 21 | np.where(kind == REPEATED, 0, n).astype(np.int64) << 12 | o.astype(np.int64) << 3 | kind.astype(np.int64)
+
+
+def unpacked(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    at = cols["at"]
+    kind = at & 7
+    return cols | {"kind": kind, "lo": at >> 21, "n": np.where(kind == REPEATED, cols["run"], at >> 12 & 511), "o": at >> 3 & 511}
+
+
 @dataclass(frozen=True)
 class Windows:
     """T tokens in a window, k in a gram; words or bytes; how many neighbouring windows make a run in each later pass, 1 in the last."""
@@ -193,18 +206,23 @@ def rows_of(digit, run, doc, lo, n, o, most: int | None, **more: np.ndarray) ->
     kind = np.concatenate((kind[~same], np.full(len(marks), MARK)))
     out = {"digit": digit, "run": run, "doc": doc, "lo": lo, "n": n, "o": o} | more
     out = {c: v[keep] for c, v in out.items()}
-    known = kind >= SHARED
-    out["digit"] = np.where(known, mixed(out["doc"].astype(np.uint64)), out["digit"])
-    return out | {"kind": kind}
+    out["digit"] = np.where(kind >= SHARED, mixed(out["doc"].astype(np.uint64)), out["digit"])
+    out["run"] = np.where(kind == MARK, BEFORE, np.where(kind == REPEATED, out["n"], out["run"].view(np.int64)))
+    # rows of a document side by side compress better
+    order = np.lexsort((out["lo"], out["doc"]))
+    return {c: v[order] for c, v in (out | {"kind": kind}).items()}
 
 
-def batch_of(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    names = ("digit", "kind", "run", "doc", "lo", "n", "o")
-    size = len(rows["doc"])
-    for i in range(0, size, 50_000):
-        cut = {c: rows[c][i : i + 50_000] for c in names}
-        arrays = [pa.array(cut[c].view(np.int64)) if c in ("digit", "run") else pa.array(cut[c].astype(np.int32 if c in ("kind", "n", "o") else np.int64)) for c in names]
-        yield pa.RecordBatch.from_arrays(arrays, names)
+def batch_of(rows: dict[str, np.ndarray], **more: list) -> Iterator[pa.RecordBatch]:
+    columns = [rows["digit"].view(np.int64), rows["run"].view(np.int64), rows["doc"].astype(np.int64), packed(rows["lo"], rows["n"], rows["o"], rows["kind"])]
+    for i in range(0, len(columns[0]), 20_000):
+        arrays = [pa.array(c[i : i + 20_000]) for c in columns] + [pa.array(c[i : i + 20_000], pa.binary()) for c in more.values()]
+        yield pa.RecordBatch.from_arrays(arrays, ["digit", "run", "doc", "at", *more])
+
+
+def already(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows that pass on what is known to be repeated."""
+    return {"digit": mixed(doc.astype(np.uint64)), "run": n.astype(np.int64), "doc": doc, "lo": lo, "n": n, "o": np.zeros(len(doc), int), "kind": np.full(len(doc), REPEATED)}
 
 
 def _first(spec: Windows):
@@ -245,8 +263,7 @@ def _later(spec: Windows, step: int):
                     asked.append((np.full(len(lo), i), lo + starts[i], n, o))
             if known:
                 doc, lo, n = map(np.concatenate, zip(*known, strict=True))
-                zero = np.zeros(len(doc), np.uint64)
-                yield from batch_of({"digit": mixed(doc.astype(np.uint64)), "run": zero, "doc": doc, "lo": lo, "n": n, "o": np.zeros(len(doc), int), "kind": np.full(len(doc), REPEATED)})
+                yield from batch_of(already(doc, lo, n))
             if asked:
                 row, lo, n, o = map(np.concatenate, zip(*asked, strict=True))
                 digit, run, lo, n, o = later_runs(x, lo, n, o, step, spec, powers)
@@ -258,11 +275,11 @@ def _later(spec: Windows, step: int):
 
 
 def _compared(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("doc", "lo", "n", "o")) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by digit, kind, run, document and place: later rows of a run are repeated; the first rows of runs that share a digit are in question."""
+    """Rows sorted by digit, run, document and place: later rows of a run are repeated; the first rows of runs that share a digit are in question."""
     held: dict | None = None  # first row of a digit, while no other run of the digit has come
     digit = run = doc = lo = None
     for batch in batches:
-        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        cols = unpacked({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
         known = cols["kind"] >= SHARED
         out = [{c: cols[c][known] for c in names} | {"repeated": cols["kind"][known] == REPEATED}]
         cols = {c: v[~known] for c, v in cols.items()}
@@ -301,15 +318,15 @@ def _compared(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("doc"
 def compared(rows: DataFrame) -> DataFrame:
     """FOUND of ROW: dealt out by digit and sorted, then read through once in each partition."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "digit").sortWithinPartitions("digit", "kind", "run", "doc", "lo")
+    dealt = rows.repartition(n, "digit").sortWithinPartitions("digit", "run", "doc", "at")
     return dealt.mapInArrow(_compared, FOUND)
 
 
 def shared_digits(docs: DataFrame, spec: Windows) -> DataFrame:
     """FOUND and the digit, after the first pass alone."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    texts = numbered(docs.select("doc_id", "text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.mapInArrow(_first(spec), ROW).repartition(n, "digit").sortWithinPartitions("digit", "kind", "run", "doc", "lo")
+    dealt = texts.mapInArrow(_first(spec), ROW).repartition(n, "digit").sortWithinPartitions("digit", "run", "doc", "at")
     return dealt.mapInArrow(lambda batches: _compared(batches, ("doc", "lo", "n", "o", "digit")), "doc long, lo long, n int, o int, digit long, repeated boolean")
 
 
@@ -317,12 +334,17 @@ def by_document(found: DataFrame) -> DataFrame:
     return found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("lo", "n", "o", "repeated")).alias("found"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The one form in which all joins of a plan read the texts, so that they share one exchange."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in docs.columns if c != "doc_id"]).where("doc_id IS NOT NULL")
+
+
 def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
     """doc_id and found: the runs of windows (lo, n; each repeats one that starts earlier) of every document that has any.
 
     Earlier: in a document with a smaller id, or before in the same. Rows that repeat a doc_id count as one document; rows without one take no part.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    texts = numbered(docs.select("doc_id", "text"))
     found = compared(texts.mapInArrow(_first(spec), ROW))
     for step in spec.steps:
         rows = texts.join(by_document(found).hint("shuffle_hash"), "doc_id").mapInArrow(_later(spec, step), ROW)
@@ -330,9 +352,11 @@ def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
     return by_document(found.where("repeated"))
 
 
-def with_repeats(docs: DataFrame, spec: Windows, make: Callable, schema: str) -> DataFrame:
-    """make(texts, found, other columns) over docs joined with their repeats, in Arrow batches."""
-    return docs.join(repeated(docs, spec).hint("shuffle_hash"), "doc_id", "left").mapInArrow(make, schema)
+def with_repeats(docs: DataFrame, found: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """make(batches) over docs joined with what repeats in them; rows without doc_id come with nothing."""
+    joined = numbered(docs).join(found.hint("shuffle_hash"), "doc_id", "left")
+    alone = docs.where("doc_id IS NULL").withColumn("found", F.lit(None).cast(joined.schema["found"].dataType)).select(*joined.columns)
+    return joined.unionByName(alone).mapInArrow(make, schema)
 
 
 def covered(found: list[dict] | None, size: int, threshold: int) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import travels
-from gristmill.llm.repeats import Windows, covered, with_repeats
+from gristmill.llm.repeats import Windows, covered, repeated, with_repeats
 
 travels(__name__)
 
@@ -40,7 +40,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_repeats(docs, BYTES, _scored, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_repeats(docs, repeated(docs, BYTES), _scored, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(gone: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -70,5 +70,6 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs without repeated bytes; characters are cut whole, and a document that loses all its words goes. n_chars follows the text where there is such a column."""
-    found = with_repeats(docs, BYTES, _cleaned, docs.schema)
+    order = ["doc_id", *[c for c in docs.columns if c != "doc_id"]]
+    found = with_repeats(docs, repeated(docs, BYTES), _cleaned, docs.select(*order).schema).select(*docs.columns)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found

@@ -35,13 +35,18 @@ from gristmill.llm.repeats import (
     Prefixes,
     Tokens,
     Windows,
+    already,
+    batch_of,
     by_document,
     chunks,
     covered,
     later_runs,
+    numbered,
     rows_of,
     runs_merged,
     shared_digits,
+    unpacked,
+    with_repeats,
 )
 
 travels(__name__)
@@ -55,16 +60,6 @@ WIDE, MIDDLE, SINGLE = 13, 4, 1
 WINDOW = 4
 
 
-def sent(columns: dict[str, np.ndarray], tokens: list[bytes | None]) -> Iterator[pa.RecordBatch]:
-    names = ("digit", "kind", "run", "doc", "lo", "n", "o")
-    for i in range(0, len(tokens), 20_000):
-        arrays = []
-        for c in names:
-            part = columns[c][i : i + 20_000]
-            arrays.append(pa.array(part.view(np.int64)) if c in ("digit", "run") else pa.array(part.astype(np.int32 if c in ("kind", "n", "o") else np.int64)))
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(tokens[i : i + 20_000], pa.binary())], [*names, "tokens"])
-
-
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ROW and tokens: for each run still in question, under the prefix length (step) it was given."""
     spec, t = WORDS, WORDS.threshold
@@ -76,9 +71,7 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, n, o, step = (np.array([f[c] for f in r["found"]]) for c in ("lo", "n", "o", "step"))
             if (known := step == 0).any():
                 at, size = runs_merged(lo[known], n[known])
-                zero = np.zeros(len(at), np.uint64)
-                doc = np.full(len(at), r["doc_id"])
-                yield from sent({"digit": mixed(doc.astype(np.uint64)), "kind": np.full(len(at), REPEATED), "run": zero, "doc": doc, "lo": at, "n": size, "o": zero}, [None] * len(at))
+                yield from batch_of(already(np.full(len(at), r["doc_id"]), at, size), tokens=[None] * len(at))
             if not known.all():
                 asked.append((lo[~known] + starts[i], n[~known], o[~known], step[~known]))
         if not asked:
@@ -97,7 +90,7 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = rows_of(digit, run, ids[row], at - starts[row], many, far, None, at=at)
             if size == SINGLE:
                 out["kind"] = np.where(out["kind"] == RUN, WINDOW, out["kind"])
-            yield from sent(out, [x[a : a + m - 1 + t].tobytes() if k == RUN else None for a, m, k in zip(out["at"].tolist(), out["n"].tolist(), out["kind"].tolist(), strict=True)])
+            yield from batch_of(out, tokens=[x[a : a + m - 1 + t].tobytes() if k == RUN else None for a, m, k in zip(out["at"].tolist(), out["n"].tolist(), out["kind"].tolist(), strict=True)])
 
 
 def ranked(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -136,7 +129,7 @@ def repeats_of(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, tokens: list[byte
 
 
 def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by digit, kind, run, document and place: doc, lo, n of the repeated windows."""
+    """Rows sorted by digit, run, document and place: doc, lo, n of the repeated windows."""
     names = ("digit", "doc", "lo", "n")
 
     def made(doc, lo, n) -> Iterator[pa.RecordBatch]:
@@ -152,7 +145,7 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens: list[bytes] = []
     window = doc = lo = None
     for batch in batches:
-        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "tokens"}
+        cols = unpacked({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "tokens"})
         kind = cols["kind"]
         known = (kind == REPEATED) | (kind == SHARED)
         yield from made(cols["doc"][known], cols["lo"][known], cols["n"][known])
@@ -180,7 +173,7 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id and found: the runs of windows (lo, n; each repeats one that starts earlier) of every document that has any."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    texts = numbered(docs.select("doc_id", "text"))
     runs = stored(shared_digits(texts, WORDS), "runs")
     crowded = runs.where("NOT repeated").groupBy("digit").agg(F.count("*").alias("c")).where(F.col("c") > GROUP)
     step = F.when(F.col("repeated"), 0).when(F.col("c").isNull(), WIDE).when(F.col("c") <= 16 * GROUP, MIDDLE).otherwise(SINGLE)
@@ -188,7 +181,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     runs = runs.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("run").alias("found"))
     rows = texts.join(runs.hint("shuffle_hash"), "doc_id").mapInArrow(_dealt, f"{ROW}, tokens binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "digit").sortWithinPartitions("digit", "kind", "run", "doc", "lo")
+    dealt = rows.repartition(n, "digit").sortWithinPartitions("digit", "run", "doc", "at")
     found = dealt.mapInArrow(_grown, "doc long, lo long, n int")
     return by_document(found.select("*", F.lit(0).alias("o"), F.lit(True).alias("repeated")))
 
@@ -208,4 +201,4 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.join(repeated(docs).hint("shuffle_hash"), "doc_id", "left").mapInArrow(_scored, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_repeats(docs, repeated(docs), _scored, "doc_id long, n_words long, n_removed long, kept_sha256 string")
