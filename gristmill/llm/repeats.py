@@ -336,7 +336,9 @@ def by_document(found: DataFrame) -> DataFrame:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """The one form in which all joins of a plan read the texts, so that they share one exchange."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in docs.columns if c != "doc_id"]).where("doc_id IS NOT NULL")
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select("doc_id", *[c for c in docs.columns if c != "doc_id"]).where("doc_id IS NOT NULL")
 
 
 def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
@@ -355,7 +357,7 @@ def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
 def with_repeats(docs: DataFrame, found: DataFrame, make: Callable, schema: str) -> DataFrame:
     """make(batches) over docs joined with what repeats in them; rows without doc_id come with nothing."""
     joined = numbered(docs).join(found.hint("shuffle_hash"), "doc_id", "left")
-    alone = docs.where("doc_id IS NULL").withColumn("found", F.lit(None).cast(joined.schema["found"].dataType)).select(*joined.columns)
+    alone = docs.where("doc_id IS NULL").withColumn("doc_id", F.lit(None).cast("long")).withColumn("found", F.lit(None).cast(joined.schema["found"].dataType)).select(*joined.columns)
     return joined.unionByName(alone).mapInArrow(make, schema)
 
 

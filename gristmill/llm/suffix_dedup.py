@@ -39,7 +39,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     return with_repeats(docs, repeated(docs, BYTES), _scored, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
