@@ -104,6 +104,6 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with all their columns, and mix_copies: how often each is taken."""
     sized = stored(docs.select("source", word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place")), "sizes")
-    found = thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))).select(F.col("source").alias("_s"), F.col("passes").alias("_p"), F.col("threshold").alias("_t"))
-    copies = F.col("_p") + (place(F.col("doc_id")) < F.col("_t")).cast("long")
-    return docs.join(found, docs["source"].eqNullSafe(found["_s"])).withColumn("mix_copies", copies).where("mix_copies > 0").select(*docs.columns, "mix_copies")
+    found = thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))).select(F.col("source").alias("__s"), F.col("passes").alias("__p"), F.col("threshold").alias("__t"))
+    copies = F.col("__p") + (place(F.col("doc_id")) < F.col("__t")).cast("long")
+    return docs.join(found, docs["source"].eqNullSafe(found["__s"])).withColumn("mix_copies", copies).where("mix_copies > 0").select(*docs.columns, "mix_copies")

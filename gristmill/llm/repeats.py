@@ -40,6 +40,8 @@ MARK, RUN, SHARED, REPEATED = 0, 1, 2, 3
 ROW = "digit long, run long, doc long, at long"
 #: The run of a mark, which puts it before all others of its digit.
 BEFORE = np.iinfo(np.int64).min
+#: Column in which texts carry what repeats in them.
+FOUND_COLUMN = "__found"
 FOUND = "doc long, lo long, n int, o int, repeated boolean"
 
 
@@ -356,8 +358,8 @@ def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
 
 def with_repeats(docs: DataFrame, found: DataFrame, make: Callable, schema: str) -> DataFrame:
     """make(batches) over docs joined with what repeats in them; rows without doc_id come with nothing."""
-    joined = numbered(docs).join(found.hint("shuffle_hash"), "doc_id", "left")
-    alone = docs.where("doc_id IS NULL").withColumn("doc_id", F.lit(None).cast("long")).withColumn("found", F.lit(None).cast(joined.schema["found"].dataType)).select(*joined.columns)
+    joined = numbered(docs).join(found.withColumnRenamed("found", FOUND_COLUMN).hint("shuffle_hash"), "doc_id", "left")
+    alone = docs.where("doc_id IS NULL").withColumn("doc_id", F.lit(None).cast("long")).withColumn(FOUND_COLUMN, F.lit(None).cast(joined.schema[FOUND_COLUMN].dataType)).select(*joined.columns)
     return joined.unionByName(alone).mapInArrow(make, schema)
 
 

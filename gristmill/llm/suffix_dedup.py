@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import travels
-from gristmill.llm.repeats import Windows, covered, repeated, with_repeats
+from gristmill.llm.repeats import FOUND_COLUMN, Windows, covered, repeated, with_repeats
 
 travels(__name__)
 
@@ -27,7 +27,7 @@ BYTES = Windows(threshold=100, gram=36, words=False, steps=(8, 1))
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [[], [], [], []]
-        for text, found in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("found").to_pylist(), strict=True):
+        for text, found in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column(FOUND_COLUMN).to_pylist(), strict=True):
             text = text or b""
             gone = covered(found, len(text), BYTES.threshold)
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if found else text
@@ -54,7 +54,7 @@ def whole_characters(gone: np.ndarray, text: np.ndarray) -> np.ndarray:
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, keep = [], []
-        for text, found in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("found").to_pylist(), strict=True):
+        for text, found in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column(FOUND_COLUMN).to_pylist(), strict=True):
             if found and text:
                 data = np.frombuffer(text, np.uint8)
                 text = data[~whole_characters(covered(found, len(text), BYTES.threshold), data)].tobytes()
@@ -62,7 +62,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 keep.append(True)
             texts.append(text)
-        batch = batch.drop_columns(["found"])
+        batch = batch.drop_columns([FOUND_COLUMN])
         at = batch.schema.get_field_index("text")
         kind = batch.schema.field(at).type
         yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(kind)).filter(pa.array(keep, pa.bool_()))

@@ -25,6 +25,7 @@ from gristmill.llm.kernels import mixed
 from gristmill.llm.repeats import (
     BASE,
     BASE2,
+    FOUND_COLUMN,
     INVERSE,
     INVERSE2,
     REPEATED,
@@ -189,7 +190,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [[], [], []]
-        for text, found in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("found").to_pylist(), strict=True):
+        for text, found in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column(FOUND_COLUMN).to_pylist(), strict=True):
             words = (text or b"").split()
             gone = covered(found, len(words), WORDS.threshold)
             kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if found else words
