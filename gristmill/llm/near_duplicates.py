@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import stored, travels
+from gristmill.llm.common import Scratch, stored, travels
 from gristmill.llm.components import components
 from gristmill.llm.kernels import LOWER, Words, mixed
 
@@ -100,7 +100,7 @@ def _described(size: int):
 def described(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, print (128 bits that tell sets apart, null for none), bands (their keys) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(docs.mapInArrow(_described(size), "doc_id long, n_shingles long, print binary, bands array<long>"), "described")
+    return docs.mapInArrow(_described(size), "doc_id long, n_shingles long, print binary, bands array<long>")
 
 
 def word_sets(text: bytes, size: int) -> set:
@@ -169,14 +169,14 @@ def _agreeing(percent: int):
     return agreeing
 
 
-def further(crowded: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def further(crowded: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) of members of different components in one bucket of three or more that may be linked."""
     named = crowded.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min_by("component", "id").alias("of_centre"))
-    named = stored(named.join(several.where("a <> b").select("bucket", "of_centre"), "bucket"), "several")
+    named = scratch.stored(named.join(several.where("a <> b").select("bucket", "of_centre"), "bucket"), "several")
     signs = texts.join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_signed(size), "id long, bands binary, sign binary")
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))
-    rows = named.join(stored(signs, "signs"), "id").select("bucket", block.alias("block"), (F.col("component") != F.col("of_centre")).alias("other"), F.struct("id", "n_shingles", "component", "bands", "sign").alias("m"))
+    rows = named.join(scratch.stored(signs, "signs"), "id").select("bucket", block.alias("block"), (F.col("component") != F.col("of_centre")).alias("other"), F.struct("id", "n_shingles", "component", "bands", "sign").alias("m"))
     asked = rows.where("other").groupBy("bucket", "block").agg(F.collect_list("m").alias("asked")).select("bucket", "asked")
     members = rows.groupBy("bucket", "block").agg(F.collect_list("m").alias("members")).select("bucket", "members")
     return asked.join(members, "bucket").mapInArrow(_agreeing(percent), "u long, v long").distinct()
@@ -184,30 +184,31 @@ def further(crowded: DataFrame, groups: DataFrame, texts: DataFrame, size: int,
 
 def linked(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class (smallest id with the same set; null for an empty set) and component (smallest id that links reach) of every document."""
-    sets = described(docs, size)
-    # a class by its print; equal sets have equal bands
-    classes = sets.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
-    members = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = stored(members.join(shared, "bucket").select("bucket", "id", "n_shingles", "centre", "n"), "buckets")
-    near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")  # else the union is too large
-    stars = members.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v"), F.col("n_shingles").alias("a_n")).distinct()
-    stars = stars.join(classes.select(F.col("id").alias("v"), F.col("n_shingles").alias("b_n")), "v").where(near)
-    stars = stored(stars.select("u", "v"), "stars")
-    crowded = members.where("n > 2").select("bucket", "id", "n_shingles", "n")
-    involved = reduce(DataFrame.union, [stars.select("u"), stars.select("v"), crowded.select("id")]).toDF("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = stored(texts, "texts")
-    found = stored(links(stars, texts, size, percent), "links")
-    groups = stored(components(found), "groups")
-    more = stored(further(crowded, groups, texts, size, percent).join(stars, ["u", "v"], "left_anti"), "pairs")
-    more = stored(links(more, texts, size, percent), "links")
-    groups = stored(components(found.unionByName(more)), "groups")
-    named = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
-    named = named.join(classes.select("print", F.col("id").alias("class")), "print", "left")
-    named = named.join(groups, named["class"] == groups["node"], "left")
-    return named.select("doc_id", "n_shingles", "class", F.coalesce("component", "class", "doc_id").alias("component"))
+    with Scratch(docs.sparkSession) as scratch:
+        sets = scratch.stored(described(docs, size), "described")
+        # a class by its print; equal sets have equal bands
+        classes = sets.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        classes = scratch.stored(classes, "classes")
+        members = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
+        shared = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
+        members = scratch.stored(members.join(shared, "bucket").select("bucket", "id", "n_shingles", "centre", "n"), "buckets")
+        near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")  # else the union is too large
+        stars = members.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v"), F.col("n_shingles").alias("a_n")).distinct()
+        stars = stars.join(classes.select(F.col("id").alias("v"), F.col("n_shingles").alias("b_n")), "v").where(near)
+        stars = scratch.stored(stars.select("u", "v"), "stars")
+        crowded = members.where("n > 2").select("bucket", "id", "n_shingles", "n")
+        involved = reduce(DataFrame.union, [stars.select("u"), stars.select("v"), crowded.select("id")]).toDF("doc_id").distinct()
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        texts = scratch.stored(texts, "texts")
+        found = scratch.stored(links(stars, texts, size, percent), "links")
+        groups = scratch.stored(components(found), "groups")
+        more = scratch.stored(further(crowded, groups, texts, size, percent, scratch).join(stars, ["u", "v"], "left_anti"), "pairs")
+        more = scratch.stored(links(more, texts, size, percent), "links")
+        groups = scratch.stored(components(found.unionByName(more)), "groups")
+        named = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
+        named = named.join(classes.select("print", F.col("id").alias("class")), "print", "left")
+        named = named.join(groups, named["class"] == groups["node"], "left")
+        return stored(named.select("doc_id", "n_shingles", "class", F.coalesce("component", "class", "doc_id").alias("component")), "components")
 
 
 def scored(docs: DataFrame, size: int) -> DataFrame:
@@ -219,7 +220,7 @@ def scored(docs: DataFrame, size: int) -> DataFrame:
 
 def representatives(docs: DataFrame, size: int) -> DataFrame:
     """docs without those whose id is not the smallest of their component, with all their columns; of rows that repeat an id one stays."""
-    found = stored(linked(docs, size).select("doc_id", "component"), "components")
+    found = linked(docs, size)
     out = docs.join(found.where("doc_id <> component").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return out

@@ -126,7 +126,7 @@ def chunks(batches: Iterator[pa.RecordBatch], spec: Windows, tokens: Tokens) ->
     rows, parts, size = [], [], 0
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary())
-        others = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "text"}
+        others = {c: batch.column(n).to_pylist() for c, n in (("doc_id", "doc_id"), ("found", FOUND_COLUMN)) if n in batch.schema.names}
         for i, text in enumerate(texts):
             part = tokens.of(text.as_py() or b"")
             if size and size + len(part) > CHUNK:
@@ -348,10 +348,11 @@ def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
 
     Earlier: in a document with a smaller id, or before in the same. Rows that repeat a doc_id count as one document; rows without one take no part.
     """
-    texts = numbered(docs.select("doc_id", "text"))
-    found = compared(texts.mapInArrow(_first(spec), ROW))
+    texts = numbered(docs)
+    found = compared(texts.select("doc_id", "text").mapInArrow(_first(spec), ROW))
     for step in spec.steps:
-        rows = texts.join(by_document(found).hint("shuffle_hash"), "doc_id").mapInArrow(_later(spec, step), ROW)
+        # with all columns, like the join that ends a plan, so that both read one exchange
+        rows = texts.join(by_document(found).withColumnRenamed("found", FOUND_COLUMN).hint("shuffle_hash"), "doc_id").mapInArrow(_later(spec, step), ROW)
         found = compared(rows)
     return by_document(found.where("repeated"))
 

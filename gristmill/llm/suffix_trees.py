@@ -180,7 +180,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     step = F.when(F.col("repeated"), 0).when(F.col("c").isNull(), WIDE).when(F.col("c") <= 16 * GROUP, MIDDLE).otherwise(SINGLE)
     runs = runs.join(crowded, "digit", "left").select("doc", F.struct("lo", "n", "o", step.alias("step")).alias("run"))
     runs = runs.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("run").alias("found"))
-    rows = texts.join(runs.hint("shuffle_hash"), "doc_id").mapInArrow(_dealt, f"{ROW}, tokens binary")
+    rows = texts.join(runs.withColumnRenamed("found", FOUND_COLUMN).hint("shuffle_hash"), "doc_id").mapInArrow(_dealt, f"{ROW}, tokens binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "digit").sortWithinPartitions("digit", "run", "doc", "at")
     found = dealt.mapInArrow(_grown, "doc long, lo long, n int")
