@@ -6,17 +6,26 @@ import os
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; set here only where a session has none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = f"file:///tmp/checkpoints/{os.getpid()}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df under spark.checkpoint.dir (set only where a session has none) and read it back."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file:///tmp/checkpoints/{os.getpid()}"
-        df.sparkSession.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    """Write df in the shared folder and read it back."""
+    path = f"{folder(df.sparkSession)}/{name}-{unique()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -207,7 +207,10 @@ def fn_iso_ts(v: View) -> DataFrame:
     return v("articles").select("id", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("iso"))
 
 
-@query("fn_effective_length", ["raw_articles"], "SELECT doc_id, CAST(floor(len(regexp_extract_all(title, '[A-Za-z0-9]')) + 2.5 * len(regexp_extract_all(title, '[぀-ヿ㐀-䶿一-鿿豈-﫿]'))) AS INT) AS chars FROM raw_articles")
+_WIDE = f"len(regexp_extract_all(title, '{text.WIDE}'))"
+
+
+@query("fn_effective_length", ["raw_articles"], f"SELECT doc_id, CAST(floor(length(title) - {_WIDE} + 2.5 * {_WIDE}) AS INT) AS chars FROM raw_articles")
 def fn_effective_length(v: View) -> DataFrame:
     return v("raw_articles").select("doc_id", text.effective_length(F.col("title")).alias("chars"))
 

@@ -1,0 +1,87 @@
+"""Bodies of web pages: a tree walk inside tasks gives blocks of text, everything after that is columns."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gristmill.functions.quality import is_noise, quality
+
+# Tags whose text is never body, and tags that start a block.
+SKIPPED = frozenset("script style noscript template svg nav footer header aside form button iframe".split())
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td div section article main figure br".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+CHROME = frozenset("ad ads advert banner breadcrumb cookie menu nav navbar newsletter promo related share sidebar social subscribe".split())
+MOST = 40_000
+
+
+class Blocks(HTMLParser):
+    """Blocks of a page with their marks: # for headings, - for list items, > for quotes."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, bool]] = []
+        self.blocks: list[str] = []
+        self.text: list[str] = []
+        self.mark = ""
+        self.title = ""
+
+    def skipping(self) -> bool:
+        return any(s for _, s in self.open)
+
+    def flush(self) -> None:
+        flat = " ".join("".join(self.text).split())
+        if flat:
+            self.blocks.append(f"{self.mark} {flat}" if self.mark else flat)
+        self.text, self.mark = [], ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in BLOCKS:
+            self.flush()
+            self.mark = "#" * int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else {"li": "-", "blockquote": ">"}.get(tag, "")
+        if tag not in VOID:
+            named = {w for k, v in attrs if k in ("class", "id", "role") for w in (v or "").lower().split()}
+            self.open.append((tag, tag in SKIPPED or bool(named & CHROME)))
+
+    def handle_endtag(self, tag):
+        if tag in BLOCKS:
+            self.flush()
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if self.open and self.open[-1][0] == "title" and not self.title:
+            self.title = " ".join(data.split())
+        elif not self.skipping():
+            self.text.append(data)
+
+
+def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for page, html in zip(batch.page_id, batch.html, strict=True):
+            walk, error = Blocks(), ""
+            try:
+                walk.feed(html or "")
+                walk.close()
+                walk.flush()
+            except (ValueError, AssertionError) as broken:
+                error = str(broken)
+            rows.append((page, walk.title, walk.blocks, error))
+        yield pd.DataFrame(rows, columns=["page_id", "title", "blocks", "error"])
+
+
+def bodies(pages: DataFrame) -> DataFrame:
+    """page_id, title, body, quality of every page: furniture, repeated blocks and the title's own heading are dropped. A page that cannot be read has an error."""
+    walked = pages.select("page_id", "html").mapInPandas(_walked, "page_id long, title string, blocks array<string>, error string")
+    keys = F.transform("blocks", lambda b: F.lower(F.regexp_replace(b, r"^[#>\- ]+", "")))
+    kept = F.filter("blocks", lambda b, i: ~is_noise(b) & ((F.length(b) < 30) | (F.array_position(F.col("keys"), F.element_at("keys", i + 1)) == i + 1)))
+    kept = F.when(F.get(kept, F.lit(0)).isNotNull() & (F.lower(F.regexp_replace(F.get(kept, F.lit(0)), "^#+ ", "")) == F.lower("title")), F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1)))).otherwise(kept)
+    body = F.substring(F.array_join(kept, "\n\n"), 1, MOST)
+    out = walked.withColumn("keys", keys).withColumn("body", body)
+    return out.select("page_id", "title", "body", quality(F.col("body"), F.lit("web")).alias("quality"), "error")
