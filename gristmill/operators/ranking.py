@@ -49,16 +49,17 @@ def media_decisions(items: DataFrame) -> DataFrame:
     # a row beyond its source's cap takes no place in the total; only as many as the total and one a source can matter, so the rest need no global order
     first = able.where(F.col("_in_source") <= MEDIA_EACH)
     best = first.orderBy(*order).limit(MEDIA_TOTAL).select("id", F.lit(True).alias("_best"))
-    out = items.join(able.select("id", "_in_source"), "id", "left").join(best, "id", "left")
+    able = able.join(best, "id", "left").withColumn("_kept", F.count("_best").over(Window.partitionBy("source")))
+    out = items.join(able.select("id", "_best", "_kept"), "id", "left")
     reason = (
         F.when(~media, F.lit(None))
         .when(F.col("importance_score").isNull(), "missing_importance")
         .when(F.col("importance_score") < MEDIA_FLOOR, "below_threshold")
-        .when(F.col("_in_source") > MEDIA_EACH, "per_source_cap")
-        .when(F.col("_best").isNull(), "total_cap")
-        .otherwise("kept")
+        .when(F.col("_best"), "kept")
+        .when(F.col("_kept") >= MEDIA_EACH, "per_source_cap")
+        .otherwise("total_cap")
     )
-    return out.withColumn("reason", reason).withColumn("kept", F.coalesce(F.col("reason") == "kept", F.lit(True))).drop("_in_source", "_best")
+    return out.withColumn("reason", reason).withColumn("kept", F.coalesce(F.col("reason") == "kept", F.lit(True))).drop("_best", "_kept")
 
 
 def domain_caps(candidates: DataFrame, each: int = 2, most: int = 24) -> DataFrame:

@@ -549,9 +549,9 @@ def agg_ranking_stats(v: View) -> DataFrame:
 
 
 _MEDIA = """SELECT a.*, CASE WHEN source_type <> 'media' THEN NULL WHEN importance_score IS NULL THEN 'missing_importance' WHEN importance_score < 60 THEN 'below_threshold'
- WHEN k > 2 THEN 'per_source_cap' WHEN g > 5 THEN 'total_cap' ELSE 'kept' END AS reason FROM articles AS a
- LEFT JOIN (SELECT id AS id1, k, CASE WHEN k <= 2 THEN row_number() OVER (PARTITION BY k <= 2 ORDER BY importance_score DESC, published_at DESC NULLS LAST, id) END AS g FROM
- (SELECT *, row_number() OVER (PARTITION BY source ORDER BY importance_score DESC, published_at DESC NULLS LAST, id) AS k FROM articles WHERE source_type = 'media' AND importance_score >= 60) AS m0) AS m ON a.id = m.id1"""
+ WHEN g <= 5 THEN 'kept' WHEN n_kept >= 2 THEN 'per_source_cap' ELSE 'total_cap' END AS reason FROM articles AS a
+ LEFT JOIN (SELECT *, count(*) FILTER (WHERE g <= 5) OVER (PARTITION BY src) AS n_kept FROM (SELECT id AS id1, source AS src, CASE WHEN k <= 2 THEN row_number() OVER (PARTITION BY k <= 2 ORDER BY importance_score DESC, published_at DESC NULLS LAST, id) END AS g FROM
+ (SELECT *, row_number() OVER (PARTITION BY source ORDER BY importance_score DESC, published_at DESC NULLS LAST, id) AS k FROM articles WHERE source_type = 'media' AND importance_score >= 60) AS m0) AS m1) AS m ON a.id = m.id1"""
 
 
 @query("rank_media_caps", ["articles"], f"SELECT id, reason, coalesce(reason = 'kept', true) AS kept FROM ({_MEDIA}) AS m")
