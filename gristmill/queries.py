@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill import views
 from gristmill.functions import rules, text, times, urls
 from gristmill.operators import dedup, ranking, tables
+from gristmill.plans.digest import digest, labelled
 
 View = Callable[[str], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,15 +300,6 @@ def _rules_sql(column: str, found, default: str) -> str:
 
 _LABEL = "lower(concat_ws(' ', nullif(title_cn, ''), nullif(title_original, ''), nullif(summary, ''), nullif(why_it_matters, ''), nullif(source, '')))"
 _LABELS = f"SELECT *, {_rules_sql('t', rules.TOPICS, 'other')} AS topic, {_rules_sql('t', rules.COMPANIES, '')} AS company FROM (SELECT *, {_LABEL} AS t FROM articles) AS l0"
-FIELDS = ("title_cn", "title_original", "summary", "why_it_matters", "source")
-
-
-def labelled(items: DataFrame) -> DataFrame:
-    """items with topic and company."""
-    fields = [F.col(c) for c in FIELDS]
-    return items.withColumn("topic", rules.topic(*fields)).withColumn("company", rules.company(*fields))
-
-
 @query("fn_topic", ["articles"], f"SELECT id, topic FROM ({_LABELS}) AS l")
 def fn_topic(v: View) -> DataFrame:
     return labelled(v("articles")).select("id", "topic")
@@ -747,13 +739,5 @@ def inc_late_rows(v: View) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One day's digest: window, one row a URL, labels, base score, the ten best with rank."""
-
-    def view(name: str) -> DataFrame:
-        return views.view(spark, sf_dir, name)
-
-    rows = dedup.by_url(view("articles").withColumn("title", F.col("title_original")), view("sources"))
-    rows = labelled(rows.where(times.in_window(F.col("published_at"), at("2024-01-01 00:00:00"), at("2024-01-02 00:00:00"))))
-    score = ranking.base_score(at("2024-01-01 00:00:00"), at("2024-01-02 00:00:00"), F.lit(1))
-    best = rows.withColumn("score", score).orderBy(F.desc("score"), F.desc_nulls_last("published_at"), "id").limit(10)
-    return best.select(F.row_number().over(Window.orderBy(F.desc("score"), F.desc_nulls_last("published_at"), "id")).alias("rank"), "id", "title_original", "topic", "company", "score")
+    """The digest of the archive's first day."""
+    return digest(views.view(spark, sf_dir, "articles"), views.view(spark, sf_dir, "sources"), at("2024-01-01 00:00:00"), at("2024-01-02 00:00:00"))
