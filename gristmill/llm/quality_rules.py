@@ -128,6 +128,10 @@ def scored(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
 
 def accepted(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass, with all their columns. Texts are read twice, once for the hosts and once to filter, and never stored."""
+    """The documents that pass, with all their columns. The texts that pass the base rules are written once; host verdicts then filter that table.
+
+    Without the table the filter would be pushed below the measures and work them out anew for each use.
+    """
     flagged = measured(docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"), F.col("text").alias("_text")), rules, "_text")
-    return judged(flagged.select("_row", "_source", "base_failed"), rules, "_source").where("kept").select("_row.*")
+    flagged = stored(flagged.select("_row", "_source", "base_failed").withColumn("_row", F.when(~F.col("base_failed"), F.col("_row"))), "rules")
+    return judged(flagged, rules, "_source").where("kept").select("_row.*")
