@@ -26,6 +26,11 @@ def postings(items: DataFrame) -> DataFrame:
     return items.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(_low(c)) for c in WEIGHTS])))).alias("gram"))
 
 
+def refreshed(index: DataFrame, changed: DataFrame) -> DataFrame:
+    """index with the rows of changed items replaced."""
+    return index.join(changed.select("id").distinct(), "id", "left_anti").select("gram", "id").unionByName(postings(changed).select("gram", "id"))
+
+
 def _terms(queries: DataFrame) -> DataFrame:
     """query_id, term (lower case) of queries (query_id, query)."""
     return queries.select("query_id", F.explode(query_tokens(F.lower("query"))).alias("term"))

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import quality, times, urls
-from gristmill.operators import dedup, ranking, tables
-from gristmill.queries import _LABELS, _OUTCOMES, View, at, event_view, labelled, outcomes, query, scored, source_of_domain
+from gristmill.operators import dedup, ranking, search, tables
+from gristmill.plans.digest import digest
+from gristmill.queries import FROM, TO, _LABELS, _OUTCOMES, View, at, event_view, labelled, outcomes, query, scored, source_of_domain
+from gristmill.sources import pages
+from gristmill.streaming import jobs
 
 # Sources and tables
 
@@ -330,3 +333,61 @@ def search_hits(v: View) -> DataFrame:
     first = v("links").groupBy(F.col("news_id").alias("id")).agg(F.min("digest_date").alias("first_digest_date"))
     rows = labelled(v("articles").where(F.contains(F.lower("title_original"), F.lit("gpt"))))
     return rows.join(first, "id", "left").select("id", "topic", "company", "first_digest_date")
+
+
+@query("sink_index_rebuild", ["articles"])
+def sink_index_rebuild(v: View) -> DataFrame:
+    return search.postings(labelled(v("articles"))).groupBy("id").agg(F.count("*").alias("grams"))
+
+
+@query("sink_index_refresh", ["articles"])
+def sink_index_refresh(v: View) -> DataFrame:
+    items = labelled(v("articles"))
+    changed = items.where("doc_id % 10 = 0").withColumn("title_original", F.lit("changed headline"))
+    return search.refreshed(tables.stored(search.postings(items), "index"), changed).groupBy("id").agg(F.count("*").alias("grams"))
+
+
+@query("join_search_articles", ["articles"], f"SELECT id, title_original FROM ({_LABELS}) AS l WHERE contains(lower(concat_ws(chr(10), title_cn, title_original, summary, why_it_matters, content_original, source, company, topic)), 'gpt')")
+def join_search_articles(v: View) -> DataFrame:
+    items = labelled(v("articles"))
+    wanted = items.sparkSession.createDataFrame([(1, "GPT")], "query_id long, query string")
+    return search.candidates(items, wanted).join(items, "id").select("id", "title_original")
+
+
+@query("join_repo_enrichment", ["repos", "repo_metadata"], "SELECT r.rank, r.repo, m.part IS NULL AS needs_work FROM repos AS r LEFT JOIN (SELECT DISTINCT part, sha256(concat(repo, chr(10), substring(description, 7))) AS key FROM repo_metadata) AS m ON sha256(concat(r.repo, chr(10), r.description)) = m.key AND r.rank = m.part")
+def join_repo_enrichment(v: View) -> DataFrame:
+    known = v("repo_metadata").select(F.col("part").alias("rank"), urls.hash_key(F.col("repo"), F.expr("substring(description, 7)")).alias("key"), F.lit(True).alias("has")).distinct()
+    rows = v("repos").withColumn("key", urls.hash_key(F.col("repo"), F.col("description"))).join(known, ["rank", "key"], "left")
+    return rows.select("rank", "repo", F.col("has").isNull().alias("needs_work"))
+
+
+@query("fn_match_event", ["articles"])
+def fn_match_event(v: View) -> DataFrame:
+    return dedup.match_events(event_view(v)).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("src_embedded_json", ["articles"], "SELECT doc_id AS page_id, id, title_original AS title FROM articles")
+def src_embedded_json(v: View) -> DataFrame:
+    """Pages that carry an article as JSON in a script, written from the articles and read again."""
+    row = F.to_json(F.array(F.struct("id", F.col("title_original").alias("title"), F.lit('a ] and " inside').alias("odd"))))
+    html = F.concat(F.lit("<html><body><script>window.items = "), row, F.lit("; done([])</script></body></html>"))
+    return pages.embedded_rows(v("articles").select(F.col("doc_id").alias("page_id"), html.alias("html")), "window.items", "id: string, title: string")
+
+
+@query("maint_backfill_body", ["articles", "pages"])
+def maint_backfill_body(v: View) -> DataFrame:
+    """Bodies for articles that lack one, from the page of the same number: filled, skipped (body unusable) or failed (no page)."""
+    missing = v("articles").where("coalesce(content_original, '') = ''").select("id", F.col("doc_id").alias("page_id"))
+    rows = missing.join(pages.bodies(v("pages")), "page_id", "left")
+    state = F.when(F.col("quality").isNull(), "failed").when(F.col("quality.verdict") == "good", "filled").otherwise("skipped")
+    return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("inc_refresh", ["articles", "sources"])
+def inc_refresh(v: View) -> DataFrame:
+    articles, sources = v("articles"), v("sources")
+    spark = articles.sparkSession
+    path = f"{tables.folder(spark)}/input-{tables.unique()}"
+    articles.write.parquet(path)
+    stream = spark.readStream.schema(articles.schema).parquet(path)
+    return jobs.refreshed(stream, tables.folder(spark), lambda archive: digest(archive, sources, at(FROM), at(TO)))

@@ -85,3 +85,40 @@ def bodies(pages: DataFrame) -> DataFrame:
     body = F.substring(F.array_join(kept, "\n\n"), 1, MOST)
     out = walked.withColumn("keys", keys).withColumn("body", body)
     return out.select("page_id", "title", "body", quality(F.col("body"), F.lit("web")).alias("quality"), "error")
+
+
+def _array_after(html: str, marker: str) -> str | None:
+    """The balanced [...] that follows a marker; brackets inside strings do not count. Escaped quotes of scripts in strings are undone first."""
+    at = html.find(marker)
+    if at < 0:
+        return None
+    text = html[at + len(marker) :]
+    start = text.find("[")
+    if start < 0:
+        return None
+    if text[start:].lstrip("[ {").startswith('\\"'):
+        text = text.replace('\\"', '"')
+    depth, quoted, skip = 0, False, False
+    for i, c in enumerate(text[start:], start):
+        if skip:
+            skip = False
+        elif quoted and c == "\\":
+            skip = True
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in "[]":
+            depth += 1 if c == "[" else -1
+            if not depth:
+                return text[start : i + 1]
+    return None
+
+
+def embedded_rows(pages: DataFrame, marker: str, schema: str) -> DataFrame:
+    """page_id and the rows of the JSON array that follows the marker in each page; pages without one give none."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"page_id": batch.page_id, "json": [_array_after(h or "", marker) for h in batch.html]})
+
+    arrays = pages.select("page_id", "html").mapInPandas(found, "page_id long, json string")
+    return arrays.select("page_id", F.explode(F.from_json("json", f"array<struct<{schema}>>")).alias("row")).select("page_id", "row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,3 +42,19 @@ def finished(stream: DataFrame, folder: str, keys: list[str] | None = None) -> D
         return rows.drop("_batch")
     values = [c for c in rows.columns if c not in (*keys, "_batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
+
+
+def refreshed(stream: DataFrame, folder: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Refresh a digest with each batch: late rows are archived too, the plan runs over the whole archive, and an empty result keeps the digest before."""
+    spark, path = stream.sparkSession, f"{folder}/refresh-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/archive/batch={number}")
+        made = plan(spark.read.parquet(f"{path}/archive").drop("batch"))
+        if not made.isEmpty():
+            made.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/digest/version={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    versions = spark.read.parquet(f"{path}/digest").drop("version")
+    last = versions.agg(F.max("_batch").alias("_batch"))
+    return versions.join(last, "_batch").drop("_batch")
