@@ -9,7 +9,8 @@ digit and travels as one row with a hash of the whole run. A run whose hash came
 but differ go to the next pass, cut into shorter runs at fixed distances from the k-gram; the last pass has single windows, with all T tokens as digit.
 
 Hot digits: each task first combines its own rows. Of equal runs it sends the first, and a digit with many runs in one task is known
-to be shared, so the task sends a mark in place of the runs. No digit has more than a few rows from each chunk of text.
+to be shared, so the task sends a mark in place of the runs. No digit has more than a few rows from each chunk of text. The runs go on
+under their document's number; `run`, which nobody reads of such a row, holds their true digit.
 
 Hashes are 64-bit and used in pairs (digit and run); in the last pass a digit of 64 bits is joined with one of another base.
 """
@@ -208,8 +209,9 @@ def rows_of(digit, run, doc, lo, n, o, most: int | None, **more: np.ndarray) ->
     kind = np.concatenate((kind[~same], np.full(len(marks), MARK)))
     out = {"digit": digit, "run": run, "doc": doc, "lo": lo, "n": n, "o": o} | more
     out = {c: v[keep] for c, v in out.items()}
+    true = out["digit"]
     out["digit"] = np.where(kind >= SHARED, mixed(out["doc"].astype(np.uint64)), out["digit"])
-    out["run"] = np.where(kind == MARK, BEFORE, np.where(kind == REPEATED, out["n"], out["run"].view(np.int64)))
+    out["run"] = np.where(kind == MARK, BEFORE, np.where(kind == REPEATED, out["n"], np.where(kind == SHARED, true.view(np.int64), out["run"].view(np.int64))))
     # rows of a document side by side compress better
     order = np.lexsort((out["lo"], out["doc"]))
     return {c: v[order] for c, v in (out | {"kind": kind}).items()}
@@ -283,7 +285,8 @@ def _compared(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("doc"
     for batch in batches:
         cols = unpacked({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
         known = cols["kind"] >= SHARED
-        out = [{c: cols[c][known] for c in names} | {"repeated": cols["kind"][known] == REPEATED}]
+        true = cols | {"digit": np.where(cols["kind"] == SHARED, cols["run"], cols["digit"])}
+        out = [{c: true[c][known] for c in names} | {"repeated": cols["kind"][known] == REPEATED}]
         cols = {c: v[~known] for c, v in cols.items()}
         if size := len(cols["digit"]):
             d, r = cols["digit"], cols["run"]
@@ -325,7 +328,7 @@ def compared(rows: DataFrame) -> DataFrame:
 
 
 def shared_digits(docs: DataFrame, spec: Windows) -> DataFrame:
-    """FOUND and the digit, after the first pass alone."""
+    """FOUND and the digit (of a run in question its gram, whatever kind of row brought it), after the first pass alone."""
     texts = numbered(docs.select("doc_id", "text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.mapInArrow(_first(spec), ROW).repartition(n, "digit").sortWithinPartitions("digit", "run", "doc", "at")

@@ -255,6 +255,26 @@ def test_suffix_trees(docs, monkeypatch, group):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(x), len(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_hot_grams_have_one_prefix_length(spark, monkeypatch):
+    from gristmill.llm import repeats
+
+    gram = words("hot gram", 8)
+    # few chunks mark the gram as shared, most send its runs: before, their counts were apart
+    texts = [f"{words(i, 14, 3000)} {gram} {words(100 + i % 5, 14, 3000)} {words(200 + i, 9, 3000)}" for i in range(40)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    hot = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(repeats, "MANY", 1)
+    monkeypatch.setattr(repeats, "CHUNK", 150)
+    expected = {i: len(gone) for i, (_, gone) in removed(rows, 20, parts).items()}
+    for group in (1, 4, 12, 30):
+        monkeypatch.setattr(suffix_trees, "GROUP", group)
+        assert {r.doc_id: r.n_removed for r in suffix_trees.scored(hot).collect()} == expected
+    # of a run in question the digit is its gram, never its document's number
+    found = repeats.shared_digits(hot, suffix_trees.WORDS).where("NOT repeated").collect()
+    kinds = repeats.mixed(repeats.np.arange(len(rows), dtype=repeats.np.uint64)).view(repeats.np.int64).tolist()
+    assert found and not {r.digit for r in found} & set(kinds)
+
+
 def test_language_models(docs, spark):
     spec = lm_scoring.LanguageModel(words=50, pairs_bits=20)
     good = spark.createDataFrame([(i,) for i in range(0, 20)], "doc_id long")
