@@ -5,7 +5,8 @@ plus a remainder; the remainder is every document whose hash lies below a thresh
 sum words by source and hash digit, keep the digits that fit whole, and look again at the one boundary digit only. Nothing is sorted.
 
 DataFrame functions only. Defined cases: a null text has no words; a null source is a source, last in order; repeated rows share a hash
-and so are taken or left together; a source without words has target 0; an empty table gives an empty result.
+and so are taken or left together; a row without id has the hash of its text, so that such rows are spread over their source like any others (those
+of one text are taken or left together); a source without words has target 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 
 
-def place(key: Column) -> Column:
-    """48 bits of a hash of the id."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, DIGITS * BITS // 4), 16, 10).cast("long")
+def place(key: Column, text: Column) -> Column:
+    """48 bits of a hash of the id, or of the text where there is none."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), text, F.lit(""))), 1, DIGITS * BITS // 4), 16, 10).cast("long")
 
 
 def _numbered(sources: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """doc_id, size, source_size, target, taken of every document, and how many copies of it the mix takes."""
-    sized = stored(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), place(F.col(key)).alias("place")), "sizes")
+    sized = stored(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), place(F.col(key), F.col(text)).alias("place")), "sizes")
     found = thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))).withColumnRenamed("source", "_s")
     copies = F.col("passes") + (F.col("place") < F.col("threshold")).cast("long")
     return (
@@ -103,7 +104,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with all their columns, and mix_copies: how often each is taken."""
-    sized = stored(docs.select("source", word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place")), "sizes")
+    sized = stored(docs.select("source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text")).alias("place")), "sizes")
     found = thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))).select(F.col("source").alias("__s"), F.col("passes").alias("__p"), F.col("threshold").alias("__t"))
-    copies = F.col("__p") + (place(F.col("doc_id")) < F.col("__t")).cast("long")
+    copies = F.col("__p") + (place(F.col("doc_id"), F.col("text")) < F.col("__t")).cast("long")
     return docs.join(found, docs["source"].eqNullSafe(found["__s"])).withColumn("mix_copies", copies).where("mix_copies > 0").select(*docs.columns, "mix_copies")

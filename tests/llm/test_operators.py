@@ -116,6 +116,22 @@ def test_mixing(docs, spark):
     assert {r.doc_id: r.mix_copies for r in mixed.collect()} == {i: r.copies for i, r in got.items() if r.copies}
 
 
+def test_mixing_rows_without_id(spark):
+    # a third of each source has no id; the smaller is taken several times, the larger in part
+    rows = [(None if i % 3 == 0 else i, words(i, 30, 3000), "en", f"s{i % 10 > 0}", 0) for i in range(300)]
+    rows += [(None, None, "en", "s0", 0), (None, "", "en", None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(rows) and all(r.copies is not None and r.taken == r.size * r.copies for r in got)
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.target] += r.taken
+    assert all(goal - 30 <= n <= goal + 1e-6 for goal, n in taken.items())
+    documents = mixing.mixed_documents(docs).collect()
+    assert Counter((r.doc_id, r.mix_copies) for r in documents) == Counter((r.doc_id, r.copies) for r in got if r.copies)
+    assert {r.mix_copies for r in documents if r.doc_id is None} >= {1, 3}
+
+
 def plain_hits(text, items, n=10):
     def fold(t):
         return (t or "").encode().translate(decontaminate.FOLD).split()
