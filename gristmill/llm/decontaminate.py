@@ -3,7 +3,8 @@
 Words are runs of digits, a-z (A-Z lowered) and characters beyond ASCII. A window is ten consecutive words of an item; an item with fewer is one window.
 A text is mapped to the ids of the items' words (0: not among them), windows of ids are hashed and looked up, and a hash hit is confirmed on the ids.
 
-The set is built in blocks of items of bounded size, each block scanned over all documents; ordinary benchmarks are one block.
+The set is built in blocks of items of bounded size, each block scanned over all documents; ordinary benchmarks are one block. Blocks change no result:
+hits of all blocks are gathered before a document is judged or cut, and a cut text is scanned again for all blocks, until none has a hit.
 Defined cases: null or empty texts and items have no words and no hits; repeated rows are judged each by itself; ties, long texts and
 clashing names need nothing special, as rows are never compared with one another.
 """
@@ -85,26 +86,33 @@ class Windows:
         return len(words), hit, found
 
 
+def without(text: bytes, hit: np.ndarray) -> bytes:
+    """The text without the stretches from the first to the last byte of each run of hit words."""
+    spans = [m.span() for m in WORD_BYTES.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    at, kept = 0, []
+    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        kept.append(text[at : spans[first][0]])
+        at = spans[last - 1][1]
+    return b"".join([*kept, text[at:]])
+
+
 def without_hits(windows: Windows, text: bytes) -> bytes:
-    """The text without the stretches from the first to the last byte of each run of hit words, until no window occurs."""
+    """The text without the stretches of hit words, until no window occurs."""
     while True:
-        n, hit, _ = windows.hits(text)
+        _, hit, _ = windows.hits(text)
         if not hit.any():
             return text
-        spans = [m.span() for m in WORD_BYTES.finditer(text)]
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-        at, kept = 0, []
-        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            kept.append(text[at : spans[first][0]])
-            at = spans[last - 1][1]
-        text = b"".join([*kept, text[at:]])
+        text = without(text, hit)
+
 
+def block_count(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> int:
+    return int((benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars) + 1
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in blocks whose texts are about block_chars long, dealt by a hash of the id."""
+
+def blocks(benchmark: DataFrame, n: int) -> Iterator[list[tuple[str, str | None]]]:
+    """Items in n blocks, dealt by a hash of the id."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(total // block_chars) + 1
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
         yield [(r.item_id, r.text) for r in part.toLocalIterator()]
@@ -133,7 +141,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS)
     """doc_id, n_words, places (numbers of the hit words), items (ids as strings, sorted) of every document."""
     out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("CAST(array() AS ARRAY<INT>) AS places"), F.expr("CAST(array() AS ARRAY<STRING>) AS items"))
     schema = out.schema
-    for k, items in enumerate(blocks(benchmark, block_chars)):
+    for k, items in enumerate(blocks(benchmark, block_count(benchmark, block_chars))):
         out = stored(out, "scanned") if k else out
         out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(vars(Windows(items)))), schema)
     return out.drop("text")
@@ -169,11 +177,66 @@ def _cut(sent: Broadcast, most: float):
     return cut
 
 
+#: Columns in which the documents of a round carry how many words they have and which are hit.
+N_WORDS, PLACES = "__n_words", "__places"
+
+
+def _found(sent: Broadcast):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows.of(sent.value)
+        for batch in batches:
+            n_words, places = [], batch.column(PLACES).to_pylist()
+            for i, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
+                n, hit, _ = windows.hits(text or b"")
+                n_words.append(n)
+                if hit.any():
+                    places[i] = sorted({*places[i], *np.flatnonzero(hit).tolist()})
+            out = batch.set_column(batch.schema.get_field_index(N_WORDS), N_WORDS, pa.array(n_words, pa.int64()))
+            yield out.set_column(out.schema.get_field_index(PLACES), PLACES, pa.array(places, pa.list_(pa.int32())))
+
+    return found
+
+
+def _without_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+        for i, (n, places) in enumerate(zip(batch.column(N_WORDS).to_pylist(), batch.column(PLACES).to_pylist(), strict=True)):
+            hit = np.zeros(n, bool)
+            hit[places] = True
+            texts[i] = without(texts[i], hit)
+        at = batch.schema.get_field_index("text")
+        text = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type)
+        out = batch.set_column(at, batch.schema.field(at), text)
+        yield out.select([c for c in out.schema.names if c not in (N_WORDS, PLACES)])
+
+
+def _cleaned_by_rounds(docs: DataFrame, benchmark: DataFrame, most: float, n: int) -> DataFrame:
+    """The same with n blocks: a round scans all blocks, then cuts; the next has the documents that were cut. A cut text is shorter, so rounds end."""
+    schema, out = docs.schema, None
+    while True:
+        scanned = docs.withColumn(N_WORDS, F.lit(0).cast("long")).withColumn(PLACES, F.expr("CAST(array() AS ARRAY<INT>)"))
+        for items in blocks(benchmark, n):
+            scanned = stored(scanned.mapInArrow(_found(docs.sparkSession.sparkContext.broadcast(vars(Windows(items)))), scanned.schema), "scanned")
+        done = scanned.where(F.size(PLACES) == 0).drop(N_WORDS, PLACES)
+        hit = scanned.where(F.size(PLACES) > 0)
+        if out is None:
+            # the share is that of the uncut text
+            out, hit = done, hit.where(F.size(PLACES) <= most * F.col(N_WORDS))
+        else:
+            out = out.unionByName(done)
+        if hit.isEmpty():
+            return out
+        docs = stored(hit.mapInArrow(_without_found, schema), "cut")
+
+
 def cleaned(docs: DataFrame, benchmark: DataFrame, most: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without hit stretches; a document of which more than the share `most` is hit goes whole. n_chars follows the text where there is such a column."""
-    for k, items in enumerate(blocks(benchmark, block_chars)):
-        docs = stored(docs, "cut") if k else docs
+    n = block_count(benchmark, block_chars)
+    if n == 1:
+        (items,) = blocks(benchmark, n)
         docs = docs.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(vars(Windows(items))), most), docs.schema)
+    else:
+        docs = _cleaned_by_rounds(docs, benchmark, most, n)
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 

@@ -169,6 +169,24 @@ def test_decontamination(docs, spark, block):
             assert hit or rows[i].text == text
 
 
+def test_decontamination_is_the_same_in_blocks(spark):
+    one, two = words("one", 20, 10**6), words("two", 20, 10**6)
+    inner = words("inner", 12, 10**6).split()
+    texts = [
+        f"{one} {words(1, 10, 3000)} {two}",  # 40% and 40%: dropped whole
+        f"{words(2, 40, 3000)} {' '.join(inner[:6])} {one} {' '.join(inner[6:])} {words(3, 40, 3000)}",  # one cut joins another item's window
+        f"{words(2, 40, 3000)} {' '.join(inner[:6])} {two} {' '.join(inner[6:])} {words(3, 40, 3000)}",
+        words(4, 30, 3000),
+        None,
+    ]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+    for first in (0, 1):
+        benchmark = spark.createDataFrame([(first, one), (first + 10, two), (first + 20, " ".join(inner))], "item_id long, text string")
+        whole = {r.doc_id: r.text for r in decontaminate.cleaned(rows, benchmark).collect()}
+        assert set(whole) == {1, 2, 3, 4} and len(parts(whole[1])) == len(parts(whole[2])) == 80
+        assert {r.doc_id: r.text for r in decontaminate.cleaned(rows, benchmark, block_chars=100).collect()} == whole
+
+
 def test_decontamination_query_columns(docs, spark):
     r = decontaminate.scored(docs, spark.createDataFrame(BENCHMARK, "item_id long, text string")).where("doc_id = 3").first()
     assert r.contaminated and r.items_sha256 == hashlib.sha256(b"10").hexdigest()
