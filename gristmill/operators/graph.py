@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.operators.tables import stored
+from gristmill.operators.tables import Scratch, stored
 
 
 def _passed(edges: DataFrame) -> DataFrame:
@@ -26,13 +26,18 @@ def _passed(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (u, v); null or equal ends are left out."""
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+    with Scratch(edges.sparkSession) as scratch:
+        return stored(_components(edges, most, scratch), "components")
+
+
+def _components(edges: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    now = scratch.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     state = None
     for _ in range(most):
         was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == was or not state[0]:
             break
-        now = stored(_passed(now), "edges")
+        now = scratch.stored(_passed(now), "edges")
     else:
         raise RuntimeError(f"components did not settle in {most} passes")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from functools import reduce
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where a session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine that has none gets a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file:///tmp/checkpoints/{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -23,13 +26,33 @@ def unique() -> str:
     return uuid.uuid4().hex
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df in the shared folder and read it back."""
-    path = f"{folder(df.sparkSession)}/{name}-{unique()}"
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str = "table", within: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder (or in `within`) and read it back.
+
+    Cuts the lineage at a table that outlives any executor; every call takes a folder of its own, so a rerun never reads another's rows.
+    """
+    path = f"{within or folder(df.sparkSession)}/{name}-{unique()}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator needs only until its result is stored; they go when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{folder(spark)}/scratch-{unique()}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, self.path)
+
+    def __exit__(self, *failed) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str, keep_if_empty: tuple[str, ...] = (), body: str = "") -> DataFrame:
     """old with the rows of new put over it by key. The columns keep_if_empty are taken over only where the new body is not empty."""
     o, n = old.alias("o"), new.alias("n")
