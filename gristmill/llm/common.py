@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.operators.tables import Scratch, stored  # noqa: F401  the operators take them from here
+
 #: A word as the contracts define it: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -24,44 +24,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set to a local folder only where a session has none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file:///tmp/checkpoints/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back.
-
-    Cuts the lineage at a table that outlives any executor; every call takes a folder of its own, so a rerun never reads another's rows.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables that an operator needs only until its result is stored; they go when the block ends."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def __exit__(self, *failed) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def word_count(text: Column) -> Column:
     """Words of a whole text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

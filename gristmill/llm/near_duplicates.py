@@ -2,17 +2,18 @@
 
 1. Every whole text becomes the set of its word shingles. Texts with the same set are one class; its smallest id stands for it.
 2. One hash pass fills 128 bins. An empty bin borrows from the first filled bin of its own fixed order of bins, the same in all texts.
-3. Four bins make a band. In a bucket (band and its bins) each class is tied to the smallest id: as many edges as members.
+3. Four bins make a band. In a bucket (band and its bins) each class is tied to the smallest: as many edges as members.
 4. Edges are confirmed on the full sets of shingles, then joined to components.
 5. Stars alone can miss a link between two members of which one is unlike the centre. Where a bucket still holds several components, the members
-   outside the centre's component are held, in blocks, against all members of the bucket by signatures of 512 bins of eight bits. A pair is emitted only
-   from its first common bucket, only across components, and only if its signatures agree nearly as much as linked texts' do; then it is confirmed like an edge.
+   outside the largest are held against members of the others by their full sets, in blocks: first one block a bucket, then, with what that joined
+   contracted, all of them. A block of members held against another gives no more pairs than it has members, as pairs that others already join are
+   left out; so pairs grow with the members, not with their square. They are confirmed like the edges of stars.
 
-Two texts at similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^32, all but 5e-8; higher similarities miss less. Signatures of linked
-texts fall below AGREE by five standard errors or more.
+Two texts at similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^32, all but 5e-8; higher similarities miss less.
 
-Defined cases: a null, empty or wordless text has an empty set and links with nothing; a text with fewer words than a shingle is one shingle;
-rows that repeat a doc_id stand for one document; a row without one is compared with nothing and stays; ties go to the smaller id; an empty table gives an empty result.
+Defined cases: a null, empty or wordless text has an empty set and links with nothing; a text with fewer words than a shingle is one shingle. Rows that
+repeat a doc_id each have their own set and may be linked with different rows; equal rows are one class. A row without doc_id is compared with nothing and
+stays; ties go to the smaller id, then to the smaller hash of the text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,9 +36,13 @@ travels(__name__)
 BINS, ROWS = 128, 4
 #: Percent of the union that the intersection must reach.
 PERCENT = 80
-#: Bins of the finer signatures, the share that must agree, and the members of a block.
-FINE, AGREE, BLOCK = 512, 0.69, 128
+#: Shingles and members of a block.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 16, 256
+#: Distinct shingles that are compared at once.
+AT_ONCE = 1 << 14
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Column in which rows carry their id and the hash of their text.
+KEY = "__key"
 
 
 def shingled(text: bytes, size: int, hashes: Words) -> np.ndarray:
@@ -92,15 +97,19 @@ def _described(size: int):
                 keys.append(bands(signature(found, turns)).view(np.int64) if len(found) else np.zeros(0, np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), listed], ["doc_id", "n_shingles", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), listed], ["doc_id", "key", "n_shingles", "print", "bands"])
 
     return described
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash that tells rows of one id apart), text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+
+
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, print (128 bits that tell sets apart, null for none), bands (their keys) of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_described(size), "doc_id long, n_shingles long, print binary, bands array<long>")
+    """doc_id, key, n_shingles, print (128 bits that tell sets apart, null for none), bands (their keys) of every document."""
+    return keyed(docs).mapInArrow(_described(size), "doc_id long, key long, n_shingles long, print binary, bands array<long>")
 
 
 def word_sets(text: bytes, size: int) -> set:
@@ -128,87 +137,141 @@ def _confirmed(size: int, percent: int):
 
 def links(pairs: DataFrame, texts: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """Those of pairs (u, v) whose full shingle sets are similar enough. A centre that many pairs share is a hot key of a join with one row on its other side."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
     return both.mapInArrow(_confirmed(size, percent), "u long, v long")
 
 
-def _signed(size: int):
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns, fine, hashes = orders(), orders(FINE), Words()
+def _packed(size: int):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns, hashes = orders(), Words()
         for batch in batches:
             sets = [shingled(text or b"", size, hashes) for text in batch.column("text").cast(pa.large_binary()).to_pylist()]
             keys = [bands(signature(x, turns)).tobytes() for x in sets]
-            # a second hash, so that what put two texts in one bucket does not count again
-            signs = [(signature(np.sort(mixed(x * FACTOR)), fine) & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["id", "bands", "sign"])
-
-    return signed
-
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "bands", "shingles"])
+
+    return packed
+
+
+class Members:
+    """Some members of a bucket: ids, components, band keys, sizes and sets of shingles."""
+
+    def __init__(self, rows: list[dict]):
+        self.ids, self.components = (np.array([r[c] for r in rows], np.int64) for c in ("node", "component"))
+        self.bands = np.frombuffer(b"".join(r["bands"] for r in rows), np.int64).reshape(len(rows), -1)
+        self.sizes = np.array([len(r["shingles"]) // 8 for r in rows])
+        self.shingles = np.frombuffer(b"".join(r["shingles"] for r in rows), np.uint64)
+        self.owners = np.repeat(np.arange(len(rows)), self.sizes)
+
+    def common(self, other: Members) -> np.ndarray:
+        """How many shingles each of these shares with each of the others."""
+        values, places = np.unique(np.concatenate((self.shingles, other.shingles)), return_inverse=True)
+        own, others = places[: len(self.shingles)], places[len(self.shingles) :]
+        both = np.flatnonzero(np.isin(np.arange(len(values)), own) & np.isin(np.arange(len(values)), others))
+        out = np.zeros((len(self.ids), len(other.ids)), np.float32)
+        for i in range(0, len(both), AT_ONCE):
+            part, sides = both[i : i + AT_ONCE], []
+            for members, at in ((self, own), (other, others)):
+                here = np.searchsorted(part, at)
+                inside = (here < len(part)) & (part[np.minimum(here, len(part) - 1)] == at)
+                side = np.zeros((len(members.ids), len(part)), np.float32)
+                side[members.owners[inside], here[inside]] = 1
+                sides.append(side)
+            out += sides[0] @ sides[1].T
+        return out
 
-def _agreeing(percent: int):
-    def unpacked(members: list[dict]) -> tuple[np.ndarray, ...]:
-        flat = [np.array([m[c] for m in members], np.int64) for c in ("id", "n_shingles", "component")]
-        keys = np.frombuffer(b"".join(m["bands"] for m in members), np.int64).reshape(len(members), -1)
-        return *flat, keys, np.frombuffer(b"".join(m["sign"] for m in members), np.uint8).reshape(len(members), -1)
 
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spanning(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which of some edges join what those before have not joined."""
+    to: dict[int, int] = {}
+    out = []
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        for x in (a, b):
+            to.setdefault(x, x)
+        while to[a] != a:
+            to[a] = a = to[to[a]]
+        while to[b] != b:
+            to[b] = b = to[to[b]]
+        out.append(a != b)
+        to[a] = b
+    return np.array(out, bool)
+
+
+def _across(percent: int):
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, asked, members in zip(batch.column("bucket").to_pylist(), batch.column("asked"), batch.column("members"), strict=True):
-                ids, sizes, groups, keys, signs = unpacked(members.as_py())
-                found = [], []
-                for x, n, group, key, sign in zip(*unpacked(asked.as_py()), strict=True):
-                    at = np.flatnonzero((groups != group) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-                    at = at[(signs[at] == sign).mean(axis=1) >= AGREE]
-                    common = keys[at] == key
-                    at = at[key[common.argmax(axis=1)] == bucket] if len(at) else at
-                    found[0].append(np.maximum(ids[at], x))
-                    found[1].append(np.minimum(ids[at], x))
-                if found[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], ["u", "v"])
-
-    return agreeing
-
-
-def further(crowded: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (u, v) of members of different components in one bucket of three or more that may be linked."""
-    named = crowded.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min_by("component", "id").alias("of_centre"))
-    named = scratch.stored(named.join(several.where("a <> b").select("bucket", "of_centre"), "bucket"), "several")
-    signs = texts.join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_signed(size), "id long, bands binary, sign binary")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))
-    rows = named.join(scratch.stored(signs, "signs"), "id").select("bucket", block.alias("block"), (F.col("component") != F.col("of_centre")).alias("other"), F.struct("id", "n_shingles", "component", "bands", "sign").alias("m"))
+                a, b = Members(asked.as_py()), Members(members.as_py())
+                both = a.common(b)
+                linked = (100 * both >= percent * (a.sizes[:, None] + b.sizes[None, :] - both)) & (a.components[:, None] != b.components[None, :])
+                i, j = np.nonzero(linked)
+                if len(i):
+                    # a pair counts in the first bucket that it shares
+                    same = a.bands[i] == b.bands[j]
+                    first = a.bands[i, same.argmax(axis=1)] == bucket
+                    i, j = i[first], j[first]
+                    keep = spanning(a.components[i], b.components[j])
+                    u, v = a.ids[i[keep]], b.ids[j[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+    return across
+
+
+def across(crowded: DataFrame, groups: DataFrame, packed: DataFrame, percent: int, scratch: Scratch, one_block: bool) -> DataFrame:
+    """Pairs (u, v) of members of different components in one bucket of three or more whose sets are similar enough; of pairs that join the same components, some."""
+    named = crowded.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = named.groupBy("bucket", "component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    several = parts.groupBy("bucket").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES))
+    several = several.where("parts > 1").select("bucket", "main", blocks.alias("blocks"))
+    # where one block holds a bucket, the first round has seen all pairs
+    several = scratch.stored(several if one_block else several.where("blocks > 1"), "several")
+    rows = named.join(several, "bucket").join(packed, "node")
+    rows = rows.select("bucket", F.pmod(F.xxhash64("node"), "blocks").alias("block"), (F.col("component") != F.col("main")).alias("other"), F.struct("node", "component", "bands", "shingles").alias("m"))
+    rows = scratch.stored(rows, "rows")
     asked = rows.where("other").groupBy("bucket", "block").agg(F.collect_list("m").alias("asked")).select("bucket", "asked")
-    members = rows.groupBy("bucket", "block").agg(F.collect_list("m").alias("members")).select("bucket", "members")
-    return asked.join(members, "bucket").mapInArrow(_agreeing(percent), "u long, v long").distinct()
+    members = (rows.where("block = 0") if one_block else rows).groupBy("bucket", "block").agg(F.collect_list("m").alias("members")).select("bucket", "members")
+    return asked.join(members, "bucket").mapInArrow(_across(percent), "u long, v long").distinct()
 
 
 def linked(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class (smallest id with the same set; null for an empty set) and component (smallest id that links reach) of every document."""
+    """doc_id, key, n_shingles, class (smallest id with the same set; null for an empty set), component (smallest id that links reach) and first (whether the row's set stands for the component)."""
     with Scratch(docs.sparkSession) as scratch:
         sets = scratch.stored(described(docs, size), "described")
+        known = sets.where("print IS NOT NULL AND doc_id IS NOT NULL")
+        # ids that stand for several sets: their classes take numbers from a hash
+        unlike = known.groupBy("doc_id").agg(F.min(F.xxhash64("print")).alias("a"), F.max(F.xxhash64("print")).alias("b")).where("a <> b").select(F.col("doc_id").alias("id"), F.lit(True).alias("unlike"))
         # a class by its print; equal sets have equal bands
-        classes = sets.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-        classes = scratch.stored(classes, "classes")
-        members = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
-        shared = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-        members = scratch.stored(members.join(shared, "bucket").select("bucket", "id", "n_shingles", "centre", "n"), "buckets")
+        classes = known.groupBy("print").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        classes = classes.select("print", F.col("least.doc_id").alias("id"), F.col("least.key").alias("key"), "n_shingles", "bands").join(unlike, "id", "left")
+        classes = scratch.stored(classes.withColumn("node", F.when(F.col("unlike"), F.xxhash64("print")).otherwise(F.col("id"))).drop("unlike"), "classes")
+        members = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+        # stored, so that its size tells how to join it
+        shared = scratch.stored(members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "shared")
+        members = scratch.stored(members.join(shared, "bucket").select("bucket", "node", "n_shingles", "centre", "n"), "buckets")
         near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")  # else the union is too large
-        stars = members.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v"), F.col("n_shingles").alias("a_n")).distinct()
-        stars = stars.join(classes.select(F.col("id").alias("v"), F.col("n_shingles").alias("b_n")), "v").where(near)
+        stars = members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v"), F.col("n_shingles").alias("a_n")).distinct()
+        stars = stars.join(classes.select(F.col("node").alias("v"), F.col("n_shingles").alias("b_n")), "v").where(near)
         stars = scratch.stored(stars.select("u", "v"), "stars")
-        crowded = members.where("n > 2").select("bucket", "id", "n_shingles", "n")
-        involved = reduce(DataFrame.union, [stars.select("u"), stars.select("v"), crowded.select("id")]).toDF("doc_id").distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        texts = scratch.stored(texts, "texts")
+        crowded = members.where("n > 2").select("bucket", "node", "n_shingles")
+        involved = reduce(DataFrame.union, [stars.select("u"), stars.select("v"), crowded.select("node")]).toDF("node").distinct()
+        involved = classes.join(involved, "node").select("node", F.col("id").alias("doc_id"), "key")
+        texts = scratch.stored(keyed(docs).join(involved, ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"]), "texts")
         found = scratch.stored(links(stars, texts, size, percent), "links")
         groups = scratch.stored(components(found), "groups")
-        more = scratch.stored(further(crowded, groups, texts, size, percent, scratch).join(stars, ["u", "v"], "left_anti"), "pairs")
-        more = scratch.stored(links(more, texts, size, percent), "links")
-        groups = scratch.stored(components(found.unionByName(more)), "groups")
-        named = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
-        named = named.join(classes.select("print", F.col("id").alias("class")), "print", "left")
-        named = named.join(groups, named["class"] == groups["node"], "left")
-        return stored(named.select("doc_id", "n_shingles", "class", F.coalesce("component", "class", "doc_id").alias("component")), "components")
+        packed = texts.join(crowded.select("node").distinct(), "node", "left_semi").mapInArrow(_packed(size), "node long, bands binary, shingles binary")
+        packed = scratch.stored(packed, "packed")
+        for one_block in (True, False):
+            more = scratch.stored(across(crowded, groups, packed, percent, scratch, one_block), "pairs")
+            more = scratch.stored(links(more, texts, size, percent), "links")
+            if not more.isEmpty():
+                found = found.unionByName(more)
+                groups = scratch.stored(components(found), "groups")
+        named = classes.select("print", "node", F.col("id").alias("class")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # classes of an id that stands for several have other numbers than ids, so the smallest id is looked for
+        least = named.groupBy("component").agg(F.min(F.struct(F.col("class"), F.col("print"))).alias("least"))
+        named = named.join(least, "component").select("print", "class", F.col("least.class").alias("component"), (F.col("print") == F.col("least.print")).alias("first"))
+        out = sets.withColumn("print", F.when(F.col("doc_id").isNotNull(), F.col("print"))).join(named, "print", "left")
+        return stored(out.select("doc_id", "key", "n_shingles", "class", F.coalesce("component", "doc_id").alias("component"), F.coalesce("first", F.lit(True)).alias("first")), "components")
 
 
 def scored(docs: DataFrame, size: int) -> DataFrame:
@@ -219,10 +282,11 @@ def scored(docs: DataFrame, size: int) -> DataFrame:
 
 
 def representatives(docs: DataFrame, size: int) -> DataFrame:
-    """docs without those whose id is not the smallest of their component, with all their columns; of rows that repeat an id one stays."""
+    """docs without those that another stands for, with all their columns: of each component one text of the smallest id stays, of rows equal in id and text one."""
     found = linked(docs, size)
-    out = docs.join(found.where("doc_id <> component").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    one = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return one.unionByName(out.where("doc_id IS NULL"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
+    gone = found.where("doc_id <> component OR NOT first").select(F.struct("doc_id", "key").alias(KEY)).distinct()
+    out = docs.withColumn(KEY, key).join(gone, KEY, "left_anti")
+    if not found.where("doc_id IS NOT NULL").groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        out = out.where(F.col(KEY)["doc_id"].isNotNull()).dropDuplicates([KEY]).unionByName(out.where(F.col(KEY)["doc_id"].isNull()))
+    return out.select(*docs.columns)

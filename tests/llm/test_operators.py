@@ -238,6 +238,40 @@ def test_links_between_members_unlike_the_centre(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.scored(docs, 4).collect()} == components_of(rows, 4)
 
 
+def test_loose_groups_lose_no_link(spark):
+    """Groups of near copies around one text at about the threshold: every link that brute force finds is found, in either kind of round."""
+    rows = []
+    for group in range(3):
+        base = words(f"g{group}", 72, 9000).split()
+        for i in range(70):
+            r = random.Random(1000 * group + i)
+            w = list(base)
+            for k in r.sample(range(72), 1 + i % 3):
+                w[k] = f"y{group}_{i}_{k}"
+            rows.append((1000 - 3 * i - group, " ".join(w), "en", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    expected = components_of(rows, 4)
+    assert len({c for _, c in expected.values()}) > 20
+    for members in (near_duplicates.BLOCK_MEMBERS, 8):
+        near_duplicates.BLOCK_MEMBERS, usual = members, near_duplicates.BLOCK_MEMBERS
+        try:
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.scored(docs, 4).collect()} == expected
+        finally:
+            near_duplicates.BLOCK_MEMBERS = usual
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id each have their own text: unlike texts stay, equal rows are one, and links of either text count."""
+    a, b = words("ra", 60, 9000), words("rb", 60, 9000)
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 2), (5, b, "en", "s", 2), (7, a, "en", "s", 3), (8, b + " more", "en", "s", 4), (9, None, "en", "s", 5), (9, words("rc", 60, 9000), "en", "s", 6), (9, "", "en", "s", 7)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = near_duplicates.scored(docs, 4).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (8, 5), (9, 9)}
+    kept = near_duplicates.representatives(docs, 4)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "-", r.n_chars) for r in kept.collect()) == sorted([(5, a, 1), (5, b, 2), (9, "-", 5), (9, "-", 7), (9, rows[6][1], 6)])
+
+
 def test_rows_without_id(spark):
     text = words(1, 50)
     docs = spark.createDataFrame([(None, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1)], SCHEMA)
