@@ -1,9 +1,10 @@
 """Suffix-array dedup of bytes: a byte goes if a string of 100 bytes that covers it starts earlier as well.
 
-Suffixes are ordered through 100 bytes by most-significant-digit passes (see repeats); equal groups are the repeated windows.
+Suffixes are ordered through 100 bytes by most-significant-digit passes from the front, eight bytes a digit (see repeats); equal groups are the repeated windows.
 
-Defined cases: a null text is empty; texts shorter than the threshold lose nothing; overlaps count, also within a document; of equal texts
-the one with the smallest id stays; rows that repeat a doc_id count as one document and each get its result; a row without doc_id loses nothing.
+Defined cases: a null text is empty; texts shorter than the threshold lose nothing; overlaps count, also within a document; of equal texts the one with
+the smallest id stays. Rows equal in id and text count as one document and each get its result; rows with one id and unlike texts are documents of
+their own, in order of a hash of the text. A row without doc_id loses nothing. A text of any length is worked on in overlapping parts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import travels
-from gristmill.llm.repeats import FOUND_COLUMN, Windows, covered, repeated, with_repeats
+from gristmill.llm.repeats import FOUND_COLUMN, Windows, covered, repeated, with_own_ids, with_repeats
 
 travels(__name__)
 
-BYTES = Windows(threshold=100, gram=36, words=False, steps=(8, 1))
+BYTES = Windows(threshold=100, gram=36, words=False, middle=8)
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,8 +40,11 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    docs = docs.select("doc_id", "text")
-    return with_repeats(docs, repeated(docs, BYTES), _scored, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+    def work(docs: DataFrame) -> DataFrame:
+        return with_repeats(docs, repeated(docs, BYTES), _scored, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+    return with_own_ids(docs.select("doc_id", "text"), work)
 
 
 def whole_characters(gone: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -70,6 +74,10 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs without repeated bytes; characters are cut whole, and a document that loses all its words goes. n_chars follows the text where there is such a column."""
-    order = ["doc_id", *[c for c in docs.columns if c != "doc_id"]]
-    found = with_repeats(docs, repeated(docs, BYTES), _cleaned, docs.select(*order).schema).select(*docs.columns)
+
+    def work(docs: DataFrame) -> DataFrame:
+        order = ["doc_id", *[c for c in docs.columns if c != "doc_id"]]
+        return with_repeats(docs, repeated(docs, BYTES), _cleaned, docs.select(*order).schema).select(*docs.columns)
+
+    found = with_own_ids(docs, work)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found

@@ -1,13 +1,14 @@
 """Substring dedup of words with prefix-partitioned suffix trees: a word goes if a window of 20 words that covers it starts earlier as well.
 
-1. Suffixes that share no prefix with another are dropped by the first digit pass (see repeats): a digit is a gram of eight words.
-2. The suffixes that are left are dealt out by prefixes of variable length, as long as needed for a group to fit in memory: the gram alone,
-   17 words for a gram with many suffixes, all 20 words for one with very many.
-3. Each group's subtree is kept as ranks of its suffixes by 1, 2, 4, 8, 16 and 20 words; suffixes of one rank hang under one internal node of
-   depth 20 or more. All but the earliest leaf of such a node are repeats. A group with 20-word prefixes is a single node, read through once.
-
-Defined cases: a null text has no words; texts under 20 words lose nothing; overlaps count, also within a document; of equal texts the
-one with the smallest id stays; rows that repeat a doc_id count as one document and each get its result; a row without doc_id loses nothing.
+1. Suffixes that share no prefix with another are dropped by a first pass over prefixes of eight words (see repeats).
+2. The suffixes that are left are dealt out by prefixes of variable length, as long as needed for a group to fit in memory: the eight words alone, 17 words
+   for a prefix with many suffixes, all 20 words for one with very many.
+3. Each group's subtree is built from its suffixes in order and the words that neighbours share: internal nodes, with their depth and their first and
+   last leaf. All but the earliest leaf of a node of depth 20 or more are repeats. A group with 20-word prefixes is a single node, read through once.
+
+Defined cases: a null text has no words; texts under 20 words lose nothing; overlaps count, also within a document; of equal texts the one with the
+smallest id stays. Rows equal in id and text count as one document and each get its result; rows with one id and unlike texts are documents of their
+own, in order of a hash of the text. A row without doc_id loses nothing. A text of any length is worked on in overlapping parts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,173 +19,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from gristmill.llm.common import stored, travels
-from gristmill.llm.kernels import mixed
-from gristmill.llm.repeats import (
-    BASE,
-    BASE2,
-    FOUND_COLUMN,
-    INVERSE,
-    INVERSE2,
-    REPEATED,
-    ROW,
-    RUN,
-    SHARED,
-    Powers,
-    Prefixes,
-    Tokens,
-    Windows,
-    already,
-    batch_of,
-    by_document,
-    chunks,
-    covered,
-    later_runs,
-    numbered,
-    rows_of,
-    runs_merged,
-    shared_digits,
-    unpacked,
-    with_repeats,
-)
+
+from gristmill.llm.common import travels
+from gristmill.llm.repeats import FOUND_COLUMN, Windows, covered, repeated, with_own_ids, with_repeats
 
 travels(__name__)
 
-WORDS = Windows(threshold=20, gram=8, words=True, steps=(1,))
-#: Runs of suffixes in one group, at which prefixes grow.
-GROUP = 20_000
-#: Windows that share a prefix: any with the gram; with the gram and nine more words; alone.
-WIDE, MIDDLE, SINGLE = 13, 4, 1
-#: Kind of a row that is a single window, whose prefix is all of it.
-WINDOW = 4
-
-
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ROW and tokens: for each run still in question, under the prefix length (step) it was given."""
-    spec, t = WORDS, WORDS.threshold
-    tokens, powers = Tokens(True), (Powers(BASE, INVERSE), Powers(BASE2, INVERSE2))
-    for rows, x, starts in chunks(batches, spec, tokens):
-        ids = np.array([r["doc_id"] for r in rows], np.int64)
-        asked = []
-        for i, r in enumerate(rows):
-            lo, n, o, step = (np.array([f[c] for f in r["found"]]) for c in ("lo", "n", "o", "step"))
-            if (known := step == 0).any():
-                at, size = runs_merged(lo[known], n[known])
-                yield from batch_of(already(np.full(len(at), r["doc_id"]), at, size), tokens=[None] * len(at))
-            if not known.all():
-                asked.append((lo[~known] + starts[i], n[~known], o[~known], step[~known]))
-        if not asked:
-            continue
-        lo, n, o, step = map(np.concatenate, zip(*asked, strict=True))
-        for size in (WIDE, MIDDLE, SINGLE):
-            if not (own := step == size).any():
-                continue
-            if size == WIDE:
-                at, many, far = lo[own], n[own], o[own]
-                digit = Prefixes(x, powers[0]).of(at + far, at + far + spec.gram)
-                run = mixed(Prefixes(x, powers[1]).of(at, at + many - 1 + t) + (many + 256 * far).astype(np.uint64))
-            else:
-                digit, run, at, many, far = later_runs(x, lo[own], n[own], o[own], size, spec, powers)
-            row = np.searchsorted(starts, at, "right") - 1
-            out = rows_of(digit, run, ids[row], at - starts[row], many, far, None, at=at)
-            if size == SINGLE:
-                out["kind"] = np.where(out["kind"] == RUN, WINDOW, out["kind"])
-            yield from batch_of(out, tokens=[x[a : a + m - 1 + t].tobytes() if k == RUN else None for a, m, k in zip(out["at"].tolist(), out["n"].tolist(), out["kind"].tolist(), strict=True)])
-
-
-def ranked(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """For each place with depth tokens after it, the rank of its suffix among all by its first `depth` tokens."""
-
-    def pairs(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
-        n = min(len(a), len(b) - by)
-        return np.unique(a[:n].astype(np.int64) << 32 | b[by : by + n], return_inverse=True)[1]
-
-    powers = {1: np.unique(tokens, return_inverse=True)[1]}
-    while 2 * max(powers) <= depth:
-        size = max(powers)
-        powers[2 * size] = pairs(powers[size], powers[size], size)
-    size = max(powers)
-    rank = powers[size]
-    for more in sorted(powers, reverse=True)[1:]:
-        if size + more <= depth:
-            rank, size = pairs(rank, powers[more], size), size + more
-    return rank
-
-
-def repeats_of(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, tokens: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """doc and place of the suffixes of some runs that are no first leaf of their node."""
-    parts = [np.frombuffer(x, np.uint64) for x in tokens]
-    begins = np.cumsum([0] + [len(p) for p in parts[:-1]])
-    each = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-    rank = ranked(np.concatenate(parts), depth)[begins[each] + place]
-    doc, at = doc[each], lo[each] + place
-    order = np.lexsort((at, doc, rank))
-    rank, doc, at = rank[order], doc[order], at[order]
-    new = np.concatenate(([True], rank[1:] != rank[:-1]))
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    again = ~new & ~((doc == doc[first]) & (at == at[first]))
-    return doc[again], at[again]
-
-
-def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by digit, run, document and place: doc, lo, n of the repeated windows."""
-    names = ("digit", "doc", "lo", "n")
-
-    def made(doc, lo, n) -> Iterator[pa.RecordBatch]:
-        if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(lo.astype(np.int64)), pa.array(n.astype(np.int32))], ["doc", "lo", "n"])
-
-    def grown() -> Iterator[pa.RecordBatch]:
-        if tokens:
-            doc, lo = repeats_of(held["doc"], held["lo"], held["n"], tokens, WORDS.threshold)
-            yield from made(doc, lo, np.ones(len(doc), int))
-
-    held = {c: np.zeros(0, np.int64) for c in names}
-    tokens: list[bytes] = []
-    window = doc = lo = None
-    for batch in batches:
-        cols = unpacked({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "tokens"})
-        kind = cols["kind"]
-        known = (kind == REPEATED) | (kind == SHARED)
-        yield from made(cols["doc"][known], cols["lo"][known], cols["n"][known])
-        if (own := kind == WINDOW).any():
-            d, docs, los = cols["digit"][own], cols["doc"][own], cols["lo"][own]
-            new = np.concatenate(([d[0] != window], d[1:] != d[:-1]))
-            first = np.maximum.accumulate(np.where(new, np.arange(len(d)), -1))
-            first_doc = np.where(first < 0, doc if doc is not None else 0, docs[first])
-            first_lo = np.where(first < 0, lo if lo is not None else 0, los[first])
-            again = ~new & ~((docs == first_doc) & (los == first_lo))
-            yield from made(docs[again], los[again], np.ones(again.sum(), int))
-            window, doc, lo = d[-1], first_doc[-1], first_lo[-1]
-        if (own := kind == RUN).any():
-            held = {c: np.concatenate((held[c], cols[c][own])) for c in names}
-            tokens += batch.column("tokens").filter(pa.array(own)).to_pylist()
-            if len(tokens) >= GROUP and held["digit"][0] != held["digit"][-1]:
-                # whole groups only; the last may go on
-                cut = int(np.searchsorted(held["digit"], held["digit"][-1]))
-                rest, left = {c: v[cut:] for c, v in held.items()}, tokens[cut:]
-                held, tokens = {c: v[:cut] for c, v in held.items()}, tokens[:cut]
-                yield from grown()
-                held, tokens = rest, left
-    yield from grown()
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id and found: the runs of windows (lo, n; each repeats one that starts earlier) of every document that has any."""
-    texts = numbered(docs.select("doc_id", "text"))
-    runs = stored(shared_digits(texts, WORDS), "runs")
-    crowded = runs.where("NOT repeated").groupBy("digit").agg(F.count("*").alias("c")).where(F.col("c") > GROUP)
-    step = F.when(F.col("repeated"), 0).when(F.col("c").isNull(), WIDE).when(F.col("c") <= 16 * GROUP, MIDDLE).otherwise(SINGLE)
-    runs = runs.join(crowded, "digit", "left").select("doc", F.struct("lo", "n", "o", step.alias("step")).alias("run"))
-    runs = runs.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("run").alias("found"))
-    rows = texts.join(runs.withColumnRenamed("found", FOUND_COLUMN).hint("shuffle_hash"), "doc_id").mapInArrow(_dealt, f"{ROW}, tokens binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "digit").sortWithinPartitions("digit", "run", "doc", "at")
-    found = dealt.mapInArrow(_grown, "doc long, lo long, n int")
-    return by_document(found.select("*", F.lit(0).alias("o"), F.lit(True).alias("repeated")))
+WORDS = Windows(threshold=20, gram=8, words=True, middle=4)
+
+
+def internal_nodes(shared: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(depth, first leaf, last leaf) of the internal nodes of depth `least` or more of the tree of some suffixes in order, of which each shares so many words with the one before."""
+    nodes, open_nodes = [], []
+    for leaf, depth in enumerate([*shared.tolist(), 0]):
+        first = leaf - 1
+        while open_nodes and open_nodes[-1][0] > depth:
+            deep, first = open_nodes.pop()
+            nodes.append((deep, first, leaf - 1))
+        if depth >= least and (not open_nodes or open_nodes[-1][0] < depth):
+            open_nodes.append((depth, first))
+    return nodes
+
+
+def under_deep_nodes(shared: np.ndarray, depth: int) -> np.ndarray:
+    """A number for each leaf: that of the node of full depth it hangs under, or its own."""
+    group = np.arange(len(shared))
+    # a leaf that shares all words with neither neighbour hangs under no such node
+    near = np.flatnonzero((shared >= depth) | (np.append(shared[1:], 0) >= depth))
+    for _, first, last in internal_nodes(shared[near], depth):
+        group[near[first : last + 1]] = near[first]
+    return group
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,5 +65,8 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    docs = docs.select("doc_id", "text")
-    return with_repeats(docs, repeated(docs), _scored, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+    def work(docs: DataFrame) -> DataFrame:
+        return with_repeats(docs, repeated(docs, WORDS, under_deep_nodes), _scored, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+    return with_own_ids(docs.select("doc_id", "text"), work)

@@ -305,44 +305,86 @@ def test_suffix_dedup(docs, spark):
     assert cut.columns == docs.columns and all(r.text is None or r.n_chars == len(r.text) for r in cut.collect())
 
 
-def test_hot_digits_are_marked(docs, monkeypatch):
+@pytest.mark.parametrize("crowded", [1000, 2, 0])
+def test_suffix_trees(docs, monkeypatch, crowded):
     from gristmill.llm import repeats
 
-    usual = {r.doc_id: r for r in suffix_dedup.scored(docs).collect()}
-    monkeypatch.setattr(repeats, "MANY", 1)
-    monkeypatch.setattr(repeats, "CHUNK", 2000)
-    assert {r.doc_id: r for r in suffix_dedup.scored(docs).collect()} == usual
-
-
-@pytest.mark.parametrize("group", [20_000, 2, 0])
-def test_suffix_trees(docs, monkeypatch, group):
-    monkeypatch.setattr(suffix_trees, "GROUP", group)
+    monkeypatch.setattr(repeats, "CROWDED", crowded)
+    monkeypatch.setattr(repeats, "AT_ONCE", max(crowded, 1))
     got = {r.doc_id: r for r in suffix_trees.scored(docs).collect()}
     for i, (x, gone) in removed(corpus(), 20, parts).items():
         kept = b" ".join(b for k, b in enumerate(x) if k not in gone)
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(x), len(gone), hashlib.sha256(kept).hexdigest())
 
 
-def test_hot_grams_have_one_prefix_length(spark, monkeypatch):
+def test_crowded_and_hot_fronts_change_nothing(docs, monkeypatch):
+    from gristmill.llm import repeats
+
+    usual = {r.doc_id: r for r in suffix_dedup.scored(docs).collect()}
+    monkeypatch.setattr(repeats, "MANY", 1)
+    monkeypatch.setattr(repeats, "CHUNK", 2000)
+    for crowded in (1000, 2, 0):
+        monkeypatch.setattr(repeats, "CROWDED", crowded)
+        monkeypatch.setattr(repeats, "REMEMBERED", 20 * crowded)
+        assert {r.doc_id: r for r in suffix_dedup.scored(docs).collect()} == usual
+
+
+def test_order_of_suffixes():
+    """The order and the shared digits are those of sorting the suffixes as bytes; nodes are the stretches of leaves that share a depth."""
+    from gristmill.llm import repeats
+
+    r = random.Random(3)
+    text = bytes(r.choice(b"ab") for _ in range(400)) * 2
+    at = repeats.np.arange(len(text) - 99)
+    digit, digits = repeats.digits_of(repeats.np.frombuffer(text, repeats.np.uint8), at, suffix_dedup.BYTES)
+    order, shared = repeats.sorted_suffixes(digit, len(at), digits)
+    sorted_bytes = [text[i : i + 100] for i in order]
+    assert sorted_bytes == sorted(text[i : i + 100] for i in at)
+    for k in range(1, len(at)):
+        same = next((i for i in range(100) if sorted_bytes[k][i] != sorted_bytes[k - 1][i]), 104)
+        assert shared[k] == same // 8
+    shared = repeats.np.array([0, 3, 5, 5, 1, 4, 0, 2])
+    assert sorted(suffix_trees.internal_nodes(shared, 1)) == [(1, 0, 5), (2, 6, 7), (3, 0, 3), (4, 4, 5), (5, 1, 3)]
+    assert suffix_trees.under_deep_nodes(shared, 5).tolist() == [0, 1, 1, 1, 4, 5, 6, 7]
+
+
+def test_hot_fronts_have_one_length(spark, monkeypatch):
     from gristmill.llm import repeats
 
     gram = words("hot gram", 8)
-    # few chunks mark the gram as shared, most send its runs: before, their counts were apart
+    # few chunks mark the front as shared, most send its runs
     texts = [f"{words(i, 14, 3000)} {gram} {words(100 + i % 5, 14, 3000)} {words(200 + i, 9, 3000)}" for i in range(40)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     hot = spark.createDataFrame(rows, SCHEMA).repartition(3)
     monkeypatch.setattr(repeats, "MANY", 1)
     monkeypatch.setattr(repeats, "CHUNK", 150)
     expected = {i: len(gone) for i, (_, gone) in removed(rows, 20, parts).items()}
-    for group in (1, 4, 12, 30):
-        monkeypatch.setattr(suffix_trees, "GROUP", group)
+    for crowded in (1, 12, 30):
+        monkeypatch.setattr(repeats, "CROWDED", crowded)
         assert {r.doc_id: r.n_removed for r in suffix_trees.scored(hot).collect()} == expected
-    # of a run in question the digit is its gram, never its document's number
-    found = repeats.shared_digits(hot, suffix_trees.WORDS).where("NOT repeated").collect()
+    # of a run in question the digit is its front, never its document's number
+    found = repeats.shared_fronts(hot, suffix_trees.WORDS).where("NOT repeated").collect()
     kinds = repeats.mixed(repeats.np.arange(len(rows), dtype=repeats.np.uint64)).view(repeats.np.int64).tolist()
     assert found and not {r.digit for r in found} & set(kinds)
 
 
+def test_repeats_of_repeated_ids(spark):
+    """Rows with one id and unlike texts are documents of their own, in order of a hash of the text; equal rows each get the result of one."""
+    from pyspark.sql import functions as F
+
+    p = words("passage", 60, 5000)
+    rows = [(1, p), (2, words("x", 40, 3000) + " " + p), (2, "short text"), (2, "short text"), (None, p), (3, p + " " + words("y", 30, 3000)), (3, words("z", 30, 3000) + " " + p), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], hashes[r[1]]))
+    for scored, size, split in ((suffix_dedup.scored, 100, lambda t: (t or "").encode()), (suffix_trees.scored, 20, parts)):
+        plain = removed([(k, t) for k, (_, t) in enumerate(ordered)], size, split)
+        expected = Counter((i, len(plain[ordered.index((i, t))][1]) if i is not None else 0) for i, t in rows)
+        assert Counter((r.doc_id, r.n_removed) for r in scored(docs).collect()) == expected
+    cut = suffix_dedup.cleaned(docs)
+    assert cut.columns == docs.columns and cut.where("doc_id = 2").count() == 3
+
+
 def test_language_models(docs, spark):
     spec = lm_scoring.LanguageModel(words=50, pairs_bits=20)
     good = spark.createDataFrame([(i,) for i in range(0, 20)], "doc_id long")
