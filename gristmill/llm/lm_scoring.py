@@ -1,161 +1,176 @@
 """Cross-entropy difference: a target and a background n-gram model over one vocabulary, and their per-token losses on every document.
 
-The vocabulary is the most frequent words of the whole corpus; all others are one unknown word. Both models interpolate bigrams with
-unigrams, with the same smoothing: bigrams are counted in a hash table of fixed size, unigrams by word. The background is counted over all
-documents, the target over the documents labelled as good; neither is sampled. A document's score is its mean loss under the target less
-that under the background: the lower, the more it is like the target.
-
-What travels to every task is bounded by the two table sizes, whatever the corpus. Counts are summed in each task before they are shuffled.
-
-Defined cases: a document without words has no tokens and null losses; without labelled documents the target is uniform over the vocabulary;
-repeated rows are scored each by itself; words of one count are in the vocabulary together or not at all.
+A text is the sequence of its words (A-Z lower-cased) between a start and an end mark. The vocabulary is every word of the corpus, and the end mark.
+Both models are bigram models smoothed in the same way: P(w | v) = (c(v w) + strength * P(w)) / (c(v) + strength) and
+P(w) = (c(w) + smooth) / (N + smooth * V), so that after any v the probabilities of the vocabulary sum to one. The background is counted over all
+documents, the target over those named as good. A document is scored by what the others say: its own counts are taken out of both models, so a text
+that occurs twice has a lower background loss than one that occurs once. A document's score is its mean loss under the target less that under the
+background: the lower, the more it is like the target.
+
+Counts are exact and grow with the corpus, so no task holds them all. Documents are dealt into chunks; a chunk sends the distinct words and pairs that it
+holds, with how often, to parts of the space of hashes; a part adds up what all chunks send and answers each with the totals of what it asked; a chunk then
+scores its documents. A gram that is everywhere costs a row entry a chunk, not one an occurrence. Chunks and parts follow the size of the corpus.
+
+Words are compared by 64-bit hashes. Defined cases: a document without words has no tokens and null losses and is in neither model; without named
+documents the target is uniform; equal rows are scored each by itself and see one another; a row without doc_id is counted and scored, but is never good;
+rows that repeat a named id are all good; a text of any length is one document of its chunk; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import stored, travels
-from gristmill.llm.kernels import LOWER, mixed
+from gristmill.llm.common import travels
+from gristmill.llm.kernels import LOWER, Words, mixed
 
 travels(__name__)
 
-#: Distinct words that a task holds before it sends its counts on.
-HELD = 400_000
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+START, END = np.uint64(1), np.uint64(2)
+#: Characters of text in a chunk, until chunks and parts are so many that a chunk would ask a part for fewer grams than the second number.
+CHUNK_CHARS, LEAST_ASKED = 12_000_000, 16
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    words: int = 50_000
-    pairs_bits: int = 18
-    #: Weight of the bigram estimate.
-    bigram: float = 0.5
-    #: Added to each unigram count.
-    smooth: float = 1.0
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sent(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("text").cast(pa.large_binary()):
-            counts.update((text.as_py() or b"").translate(LOWER).split())
-            if len(counts) > HELD:
-                yield sent(counts)
-                counts = Counter()
-    if counts:
-        yield sent(counts)
-
-
-def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The most frequent words of all documents, at most `size`: all words with a count, or none. Two histograms find the least count."""
-    counts = docs.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "words").withColumn("level", F.floor(F.log2("n") * 8))
-
-    def first_over(rows: list, left: int) -> tuple[int | None, int]:
-        """The largest value whose rows no longer fit, and the room left above it; None if all fit."""
-        for value, n in sorted(rows, reverse=True):
-            if n > left:
-                return value, left
-            left -= n
-        return None, left
-
-    level, left = first_over(counts.groupBy("level").count().collect(), size)
-    found = counts
-    if level is not None:
-        over, _ = first_over(counts.where(F.col("level") == level).groupBy("n").count().collect(), left)
-        found = counts.where((F.col("level") > level) | ((F.col("level") == level) & (F.col("n") > over)))
-    return [bytes(r.word) for r in sorted(found.select("word", "n").collect(), key=lambda r: (-r.n, r.word))]
-
-
-def pair_buckets(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    x = mixed(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64))
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def ids_of(text: bytes | None, known: dict[bytes, int]) -> np.ndarray:
-    """Word numbers of a text; 0 stands for unknown words."""
-    words = (text or b"").translate(LOWER).split()
-    get = known.get
-    return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-
-
-def _tallied(sent: Broadcast, spec: LanguageModel):
-    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        size, pairs = len(known) + 1, 1 << spec.pairs_bits
-        # unigrams, then pairs; one row for the background and one for the target
-        counts = np.zeros((2, size + pairs), np.int64)
-        for batch in batches:
-            for text, good in zip(batch.column("text").cast(pa.large_binary()), batch.column("good").to_pylist(), strict=True):
-                ids = ids_of(text.as_py(), known)
-                if len(ids):
-                    at = np.concatenate((ids, size + pair_buckets(ids[:-1], ids[1:], spec.pairs_bits)))
-                    for row in range(1 + good):
-                        np.add.at(counts[row], at, 1)
-        some = np.flatnonzero(counts[0])
-        for i in range(0, len(some), 100_000):
-            part = some[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0][part]), pa.array(counts[1][part])], ["place", "background", "target"])
-
-    return tallied
-
-
-def models(docs: DataFrame, good: DataFrame, spec: LanguageModel) -> tuple[dict[bytes, int], np.ndarray]:
-    """Word numbers, and the two models' counts: unigrams by number, then pairs by bucket. good: doc_id of the target's documents."""
-    known = {w: i + 1 for i, w in enumerate(vocabulary(docs, spec.words))}
-    marked = docs.join(good.select("doc_id").distinct().withColumn("good", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
-    marked = marked.select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    rows = marked.mapInArrow(_tallied(docs.sparkSession.sparkContext.broadcast(known), spec), "place long, background long, target long")
-    table = rows.groupBy("place").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    counts = np.zeros((2, len(known) + 1 + (1 << spec.pairs_bits)), np.int64)
-    for row, name in enumerate(("background", "target")):
-        counts[row, table.column("place").to_numpy()] = table.column(name).to_numpy()
-    return known, counts
-
-
-def losses(ids: np.ndarray, buckets: np.ndarray, counts: np.ndarray, unigram: np.ndarray, spec: LanguageModel) -> np.ndarray:
-    """Loss of each token under one model, in nats; the first has no word before it and is taken by its unigram."""
-    before = counts[ids[:-1]]
-    # a bucket may hold other pairs too, so the estimate is held under 1
-    after = np.minimum(counts[buckets], before) / np.maximum(before, 1)
-    share = unigram[ids]
-    share[1:] = spec.bigram * after + (1 - spec.bigram) * share[1:]
-    return -np.log(share)
-
-
-def _scored(sent: Broadcast, spec: LanguageModel):
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = sent.value
-        size = len(known) + 1
-        unigram = (counts[:, :size] + spec.smooth) / (counts[:, :size].sum(axis=1, keepdims=True) + spec.smooth * size)
-        for batch in batches:
-            lengths, means = [], ([], [])
-            for text in batch.column("text").cast(pa.large_binary()):
-                ids = ids_of(text.as_py(), known)
-                lengths.append(len(ids))
-                buckets = size + pair_buckets(ids[:-1], ids[1:], spec.pairs_bits)
-                for row in (0, 1):
-                    means[row].append(float(losses(ids, buckets, counts[row], unigram[row], spec).mean()) if len(ids) else None)
-            columns = [pa.array(lengths, pa.int64()), pa.array(means[1], pa.float64()), pa.array(means[0], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss"])
+    #: How many occurrences of a word the unigram estimate counts for among those of its followers.
+    strength: float = 4.0
+    #: Added to each word's count.
+    smooth: float = 0.5
+
+
+def single(words: np.ndarray) -> np.ndarray:
+    """Keys of single words: even."""
+    return mixed(words * FACTOR) & ~np.uint64(1)
+
+
+def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys of pairs of words: odd."""
+    return mixed(mixed(first * FACTOR) + second) | np.uint64(1)
+
+
+class Chunk:
+    """The predictions of some texts: for each its text, the keys of the word, the word before and the pair; and the distinct grams with their counts."""
+
+    def __init__(self, texts: list[bytes | None], words: Words):
+        parts = [words.of((t or b"").translate(LOWER).split()) for t in texts]
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        some = self.lengths > 0
+        before = [x for p in parts if len(p) for x in ((START,), p)]
+        after = [x for p in parts if len(p) for x in (p, (END,))]
+        before, after = (np.concatenate([np.asarray(x, np.uint64) for x in xs]) if xs else np.zeros(0, np.uint64) for xs in (before, after))
+        self.text = np.repeat(np.flatnonzero(some), self.lengths[some] + 1)
+        n = len(after)
+        # the start mark is no prediction, but counts as what stands before
+        grams = np.concatenate((single(after), single(before), paired(before, after)))
+        self.keys, places = np.unique(grams, return_inverse=True)
+        self.word, self.before, self.pair = places[:n], places[n : 2 * n], places[2 * n :]
+
+    def counts(self, of: np.ndarray) -> np.ndarray:
+        """How often each gram occurs in the chosen predictions."""
+        starts = of & (self.keys[self.before] == single(np.array([START]))[0])
+        return sum(np.bincount(x, minlength=len(self.keys)) for x in (self.word[of], self.before[starts], self.pair[of]))
+
+    def own(self, of: np.ndarray) -> np.ndarray:
+        """How often the gram `of` each prediction occurs in its own text."""
+        _, places, counts = np.unique(self.text * np.int64(len(self.keys) + 1) + of, return_inverse=True, return_counts=True)
+        return counts[places]
+
+    def own_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of the word, the word before and the pair. What stands before is a word of the text too, or its start mark."""
+        return self.own(self.word), self.own(self.before), self.own(self.pair)
+
+
+def slices(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part of the space of keys begins and ends in sorted keys."""
+    bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
+
+
+def _split(table: pa.Table) -> tuple[list, list[bytes | None], np.ndarray]:
+    """Ids and texts of the documents of a chunk, and which are good: rows without a place are the named ids."""
+    named = {d for d, row in zip(table.column("doc_id").to_pylist(), table.column("row").to_pylist(), strict=True) if not row}
+    docs = table.filter(table.column("row"))
+    ids = docs.column("doc_id").to_pylist()
+    return ids, docs.column("text").cast(pa.large_binary()).to_pylist(), np.array([d in named for d in ids], bool)
+
+
+def _asked(parts: int):
+    def asked(key: tuple, table: pa.Table) -> pa.Table:
+        _, texts, good = _split(table)
+        chunk = Chunk(texts, Words())
+        background, target = chunk.counts(np.ones(len(chunk.text), bool)), chunk.counts(good[chunk.text])
+        at = slices(chunk.keys, parts)
+        columns = [[x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for x in (chunk.keys, background.astype(np.int32), target.astype(np.int32))]
+        numbers = [pa.array(range(parts), pa.int32()), pa.array([key[0].as_py()] * parts, pa.int64())]
+        return pa.Table.from_arrays([*numbers, *[pa.array(c, pa.binary()) for c in columns]], ["part", "chunk", "keys", "background", "target"])
+
+    return asked
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The totals of what each chunk asked, and the part's share of the figures of the whole corpus: words, and tokens of either model."""
+    columns = {c: table.column(c).to_pylist() for c in ("keys", "background", "target")}
+    keys, places = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in columns["keys"]]), return_inverse=True)
+    ends = np.cumsum([len(x) // 8 for x in columns["keys"]])
+    starts = single(np.array([START]))[0]
+    word = (keys & np.uint64(1) == 0) & (keys != starts)
+    answers, sums = [], []
+    for c in ("background", "target"):
+        sent = np.concatenate([np.frombuffer(x, np.int32) for x in columns[c]])
+        total = np.bincount(places, weights=sent, minlength=len(keys)).astype(np.int64)
+        sums.append(int(total[word].sum()))
+        answers.append([total[p].tobytes() for p in np.split(places, ends[:-1])])
+    n = table.num_rows
+    figures = [pa.array([x] * n, pa.int64()) for x in (int(word.sum()), *sums)]
+    return pa.Table.from_arrays([table.column("part"), table.column("chunk"), *[pa.array(a, pa.binary()) for a in answers], *figures], ["part", "chunk", "background", "target", "words", "n_background", "n_target"])
+
+
+def losses(counts: np.ndarray, out: np.ndarray, total: np.ndarray, words: int, chunk: Chunk, own: tuple, spec: LanguageModel) -> np.ndarray:
+    """Loss of each prediction, in nats. counts: of each gram; out: how often the text itself is in the model; total: tokens of the model without it."""
+    word, before, pair = (counts[x] - out * n for x, n in zip((chunk.word, chunk.before, chunk.pair), own, strict=True))
+    alone = (word + spec.smooth) / (total + spec.smooth * words)
+    return -np.log((pair + spec.strength * alone) / (before + spec.strength))
+
+
+def _scored(spec: LanguageModel):
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, texts, good = _split(left)
+        chunk = Chunk(texts, Words())
+        right = right.sort_by("part")
+        words = sum(right.column("words").to_pylist())
+        own, size = chunk.own_counts(), np.bincount(chunk.text, minlength=len(ids))
+        means = []
+        for name, of in (("target", good), ("background", np.ones(len(ids), bool))):
+            counts = np.frombuffer(b"".join(right.column(name).to_pylist()), np.int64)
+            total = sum(right.column(f"n_{name}").to_pylist()) - of * size
+            loss = losses(counts, of[chunk.text], total[chunk.text], words, chunk, own, spec)
+            means.append(np.bincount(chunk.text, weights=loss, minlength=len(ids)) / np.maximum(size, 1))
+        none = size == 0
+        columns = [pa.array(ids, pa.int64()), pa.array(chunk.lengths, pa.int64()), *[pa.array(m, mask=none) for m in means], pa.array(means[0] - means[1], mask=none)]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "loss_difference"])
 
     return scored
 
 
+def chunk_count(docs: DataFrame) -> int:
+    """Chunks, and as many parts: of CHUNK_CHARS each, but so few that a chunk asks each part for some grams."""
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return max(1, min(-(-chars // CHUNK_CHARS), int((chars / 6 / LEAST_ASKED) ** 0.5)))
+
+
 def scored(docs: DataFrame, good: DataFrame, spec: LanguageModel = LanguageModel()) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (nats a token), loss_difference of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = docs.sparkSession.sparkContext.broadcast(models(docs, good, spec))
-    out = docs.mapInArrow(_scored(sent, spec), "doc_id long, n_tokens long, target_loss double, background_loss double")
-    return out.withColumn("loss_difference", F.col("target_loss") - F.col("background_loss"))
+    """doc_id, n_tokens, target_loss, background_loss (nats a prediction: each word, and the end), loss_difference of every document. good: doc_id of the target's documents."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("row"))
+    named = good.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("row")).where("doc_id IS NOT NULL")
+    n = chunk_count(docs)
+    # by the id, so that named ids find their documents without a join of texts; rows without one by their text
+    rows = docs.unionByName(named).withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n)))
+    asked = rows.groupBy("chunk").applyInArrow(_asked(n), "part int, chunk long, keys binary, background binary, target binary")
+    answered = asked.groupBy("part").applyInArrow(_answered, "part int, chunk long, background binary, target binary, words long, n_background long, n_target long")
+    return rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_scored(spec), "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double")

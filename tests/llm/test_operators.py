@@ -385,41 +385,51 @@ def test_repeats_of_repeated_ids(spark):
     assert cut.columns == docs.columns and cut.where("doc_id = 2").count() == 3
 
 
-def test_language_models(docs, spark):
-    spec = lm_scoring.LanguageModel(words=50, pairs_bits=20)
-    good = spark.createDataFrame([(i,) for i in range(0, 20)], "doc_id long")
-    rows = [(i, [w.lower() for w in parts(t)]) for i, t, *_ in corpus()]
-    counts = Counter(w for _, t in rows for w in t)
-    least = min(n for n in counts.values() if sum(m >= n for m in counts.values()) <= 50)
-    known = [w for w in counts if counts[w] >= least]
-    rows = [(i, [w if w in known else b"?" for w in t]) for i, t in rows]
-
-    def model(texts):
-        one, two = Counter(), Counter()
-        for t in texts:
-            one.update(t)
-            two.update(zip(t, t[1:], strict=False))
-        total = sum(one.values()) + len(known) + 1
-
-        def loss(t):
-            out = []
-            for k, w in enumerate(t):
-                p = (one[w] + 1) / total
-                out.append(p if not k else 0.5 * two[t[k - 1], w] / max(one[t[k - 1]], 1) + 0.5 * p)
-            return -sum(map(math.log, out)) / len(out)
-
-        return loss
-
-    target, background = model(t for i, t in rows if i < 20), model(t for _, t in rows)
-    got = {r.doc_id: r for r in lm_scoring.scored(docs, good, spec).collect()}
-    for i, t in rows:
-        assert got[i].n_tokens == len(t)
-        if t:
-            assert got[i].target_loss == pytest.approx(target(t)) and got[i].background_loss == pytest.approx(background(t))
-            assert got[i].loss_difference == pytest.approx(target(t) - background(t))
-        else:
-            assert got[i].loss_difference is None
-    assert lm_scoring.scored(empty(spark), good, spec).count() == 0
+def bigram_model(texts, vocabulary, spec):
+    """P(w | v) from plain counts of texts (lists of words)."""
+    one, two = Counter(), Counter()
+    for t in texts:
+        one.update(["<", *t, ">"])
+        two.update(zip(["<", *t], [*t, ">"], strict=True))
+    total = sum(n for w, n in one.items() if w != "<")
+
+    def p(v, w):
+        alone = (one[w] + spec.smooth) / (total + spec.smooth * len(vocabulary))
+        return (two[v, w] + spec.strength * alone) / (one[v] + spec.strength)
+
+    return p
+
+
+@pytest.mark.parametrize("chars", [12_000_000, 700])
+def test_language_models(docs, spark, monkeypatch, chars):
+    """Against plain counts that leave each document out; after any word the probabilities of the vocabulary sum to one."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_CHARS", chars)
+    spec = lm_scoring.LanguageModel()
+    rows = [(i, [w.decode().lower() for w in parts(t)]) for i, t, *_ in corpus()] + [(3, ["again", "again"])]
+    more = docs.unionByName(spark.createDataFrame([(3, "Again again", "en", "s", 0)], SCHEMA))
+    good = spark.createDataFrame([(i,) for i in range(0, 20)] + [(None,), (5,), (777,)], "doc_id long")
+    vocabulary = {w for _, t in rows for w in t} | {">"}
+    got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.scored(more, good).collect()}
+    assert len(got) == len({(i, len(t)) for i, t in rows})
+    for k, (i, t) in enumerate(rows):
+        others = [(j, x) for m, (j, x) in enumerate(rows) if m != k and x]
+        r = got[i, len(t)]
+        if not t:
+            assert r.target_loss is r.background_loss is r.loss_difference is None
+            continue
+        if k % 7 and i not in (3, 31):
+            continue
+        for column, model in (("target_loss", [x for j, x in others if j < 20]), ("background_loss", [x for _, x in others])):
+            p = bigram_model(model, vocabulary, spec)
+            assert getattr(r, column) == pytest.approx(-sum(math.log(p(v, w)) for v, w in zip(["<", *t], [*t, ">"], strict=True)) / (len(t) + 1))
+            for v in (t[0], t[-1], "<", "nowhere"):
+                assert sum(p(v, w) for w in vocabulary) == pytest.approx(1)
+        assert r.loss_difference == pytest.approx(r.target_loss - r.background_loss)
+    # texts that occur again are less of a surprise to the rest
+    assert got[30, 120].background_loss < min(r.background_loss for (i, _), r in got.items() if i < 30)
+    assert lm_scoring.scored(empty(spark), good).count() == 0
+    uniform = lm_scoring.scored(docs, good.limit(0)).where("doc_id = 1").first()
+    assert uniform.target_loss == pytest.approx(math.log(len(vocabulary - {"again"})))
 
 
 def test_resampling(docs, spark):
