@@ -454,20 +454,62 @@ def test_resampling_prefers_text_like_the_target(spark):
 
 
 def test_licenses(spark):
-    rows = [
-        (1, "text\nLicensed under CC BY-NC 4.0.\nmore", "en", "s", 0),
-        (2, "Licensed under the Apache License, Version 2.0.", "en", "s", 0),
-        (3, "a\nThis work is licensed under the GNU General Public License, version 3.\nb\nReleased under the MIT License.", "en", "s", 0),
-        (4, "The copyright page was lost", "en", "s", 0),
-        (5, None, "en", "s", 0),
-        (6, "", "en", "s", 0),
-        (7, "Released under the MIT License.\nLicensed under CC BY 4.0.", "en", "s", 0),
+    from gristmill.llm.license_texts import TEXTS, templates
+
+    filler = words("license", 300, 3000)
+    mit = TEXTS["MIT"]
+    texts = [
+        ("text\nLicensed under CC BY-NC 4.0.\nmore", {(1, "CC-BY-NC-4.0")}),
+        ("Licensed under the Apache License, Version 2.0.", {(0, "Apache-2.0")}),
+        ("a\nThis work is licensed under the GNU General Public License, version 3.\nb\nReleased under the MIT License.", {(1, "GPL-3.0"), (3, "MIT")}),
+        ("Released under the MIT License.\nLicensed under CC BY 4.0.", {(0, "MIT"), (1, "CC-BY-4.0")}),
+        ("Released under the MIT License. Licensed under CC BY 4.0. All rights reserved.", {(0, "MIT"), (0, "CC-BY-4.0"), (0, "all-rights-reserved")}),
+        (f"{filler}\n\nCopyright (c) 2020 Someone\n{mit}\n{filler}", {(3, "MIT")}),
+        (mit.replace("free of charge", "without charge").replace("\n", "\r\n\r\n"), {(0, "MIT")}),
+        ("# SPDX-License-Identifier: Apache-2.0\ncode", {(0, "Apache-2.0")}),
+        (f"{TEXTS['BSD-3-Clause']}\n{TEXTS['ISC']}", {(0, "BSD-3-Clause"), (5, "ISC")}),
+        (TEXTS["BSD-2-Clause"].upper(), {(0, "BSD-2-Clause")}),
+        ("This work is licensed under the GNU General Public License, version 4.", set()),
+        ("The copyright page was lost; she had the right to be reserved, all of it", set()),
+        ("All rights reserved.\n" * 3, {(0, "all-rights-reserved"), (1, "all-rights-reserved"), (2, "all-rights-reserved")}),
+        (f"{filler} " * 50 + "\u0130 Licensed under CC BY-SA 4.0", {(0, "CC-BY-SA-4.0")}),
+        (None, set()),
+        ("", set()),
     ]
-    got = licenses.scanned(spark.createDataFrame(rows, SCHEMA)).collect()
-    confirmed = {(r.doc_id, r.line, r.license) for r in got if r.confirmed}
-    assert confirmed == {(1, 1, "CC-BY-NC-4.0"), (2, 0, "Apache-2.0"), (3, 1, "GPL-3.0"), (3, 3, "MIT"), (7, 0, "MIT")} or (7, 0, "CC-BY-4.0") in confirmed
-    assert {r.doc_id for r in got} == {1, 2, 3, 4, 7}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, (t, _) in enumerate(texts)] + [(0, texts[0][0], "en", "s", 0, "x"), (None, texts[1][0], "en", "s", 0, "x")], SCHEMA + ", license string")
+    got = licenses.scanned(docs).collect()
+    confirmed = Counter((r.doc_id, r.line, r.license) for r in got if r.confirmed)
+    expected = Counter((i, line, name) for i, (_, found) in enumerate(texts) for line, name in found) + Counter([(0, 1, "CC-BY-NC-4.0"), (None, 0, "Apache-2.0")])
+    assert confirmed == expected
+    near = next(r for r in got if r.doc_id == 10)
+    assert not near.confirmed and near.missing_words and near.license in ("GPL-2.0", "GPL-3.0")
+    assert next(r for r in got if r.doc_id == 6).extra_words == ["without"]
     assert licenses.scanned(empty(spark)).count() == 0
+    assert len({text for _, text in templates()}) == len(templates())
+
+
+def test_licenses_against_plain_search(spark):
+    """Every template, at random places among other words: what plain search finds as a run of words is what is confirmed, and nothing else is."""
+    from gristmill.llm.license_texts import templates
+
+    r = random.Random(8)
+    rows = []
+    for i in range(120):
+        pieces = [words(f"{i}-{k}", r.randrange(5, 60), 500) for k in range(3)]
+        for _ in range(r.randrange(3)):
+            text = r.choice(templates())[1]
+            pieces.insert(r.randrange(4), text if r.random() < 0.6 else text.upper().replace(" ", "\n"))
+        rows.append((i, "\n".join(pieces), "en", "s", 0))
+    got = defaultdict(set)
+    for x in licenses.scanned(spark.createDataFrame(rows, SCHEMA)).where("confirmed").collect():
+        got[x.doc_id].add(x.license)
+    known = [(name, licenses.words_of(text)) for name, text in templates()]
+    for i, text, *_ in rows:
+        w = licenses.words_of(text)
+        spans = [(p, p + len(t), name) for name, t in known for p in range(len(w) - len(t) + 1) if w[p : p + len(t)] == t]
+        # a notice inside a longer one is not told apart
+        outer = {name for a, b, name in spans if not any(c <= a and b <= d and d - c > b - a for c, d, _ in spans)}
+        assert got[i] == outer
 
 
 def test_url_filters(spark):
