@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 1. Candidate blocks: a template of n words is looked for in every window of somewhat over n words of every whole text. A window is a candidate if most of
-   its words are the template's, so that no list of cue words decides. Of overlapping windows the fullest counts; a block is what an alignment
+   its words are the template's and most of the template's words are in it, so that no list of cue words decides. Of overlapping windows the fullest counts; a block is what an alignment
    with the template covers.
 2. Each block is compressed plainly and with each template found there as a raw zstandard dictionary; templates are ranked by the bytes they save.
 3. In that order they are confirmed by the wording: words of the template that the block lacks and words of the block that the template lacks, from an
@@ -104,7 +104,8 @@ class Scanner:
             first, last, missing, extra = aligned(self.words[t], words[begin + best : min(begin + best + size, end)])
             # what stands before the fullest window may hold the template too
             yield from self.candidates(t, words, ids, begin + start, begin + best + first)
-            yield t, begin + best + first, begin + best + last, missing, extra
+            if len(self.words[t]) - len(missing) >= self.need[t]:
+                yield t, begin + best + first, begin + best + last, missing, extra
             # a block that is not exact may reach into one that begins soon after
             at = best + (max(1, len(self.words[t]) // 8) if missing or extra else last)
 
