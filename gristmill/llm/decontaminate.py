@@ -1,12 +1,15 @@
-"""Benchmark decontamination: a hash set of normalised test n-grams goes to every task, which scans whole texts and confirms each hit.
+"""Benchmark decontamination: a hash set of normalised test n-grams goes to every task, which scans whole texts and verifies each hit.
 
 Words are runs of digits, a-z (A-Z lowered) and characters beyond ASCII. A window is ten consecutive words of an item; an item with fewer is one window.
-A text is mapped to the ids of the items' words (0: not among them), windows of ids are hashed and looked up, and a hash hit is confirmed on the ids.
+What travels is two 64-bit hashes a window, with different bases: the first is looked up, the second verifies a hit. The few hits are then joined with the
+items' windows, which are hashed in tasks too and never come to the driver whole.
 
-The set is built in blocks of items of bounded size, each block scanned over all documents; ordinary benchmarks are one block. Blocks change no result:
-hits of all blocks are gathered before a document is judged or cut, and a cut text is scanned again for all blocks, until none has a hit.
-Defined cases: null or empty texts and items have no words and no hits; repeated rows are judged each by itself; ties, long texts and
-clashing names need nothing special, as rows are never compared with one another.
+The set is sent in blocks of a bounded number of windows; ordinary benchmarks are one. More blocks are more scans of the documents, and give only their
+hits; texts are not written for it. Blocks change no result: hits of all blocks are gathered before a document is judged or cut, and a cut text is scanned again
+for all blocks, until none has a hit.
+
+Defined cases: null or empty texts and items have no words and no hits; equal rows are each judged, as are rows that repeat an id or have none; rows are
+never compared with one another, so ties, clashing names and very long texts need nothing special; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,68 +26,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import stored, travels
+from gristmill.llm.kernels import Words, mixed
 
 travels(__name__)
 
 WINDOW = 10
-#: Characters of item text in one block, which bounds what is sent to every task.
-BLOCK_CHARS = 32_000_000
+#: Windows in one block of 16 bytes each, which bounds what is sent to every task.
+AT_ONCE = 4_000_000
 
 #: Lower-cases A-Z and turns every byte that is no word into a space; bytes over 0x7F belong to characters beyond ASCII.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def rolled(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each window of n ids."""
+def rolled(ids: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
+    """Hash of each window of n words."""
     size = len(ids) - n + 1
     out = np.zeros(max(size, 0), np.uint64)
     for j in range(n if size > 0 else 0):
-        out = out * FACTOR + ids[j : j + size].astype(np.uint64)
-    return out ^ (out >> np.uint64(31))
+        out = out * factor + ids[j : j + size]
+    return mixed(out)
 
 
 class Windows:
-    """The windows of some items: by their length, sorted hashes and the items of each window of word ids."""
-
-    def __init__(self, items: list[tuple[str, str | None]], n: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            words = (text or "").encode().translate(FOLD).split()
-            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int64, len(words))
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                self.items.setdefault(size, {}).setdefault(ids[i : i + size].tobytes(), set()).add(item)
-        self.hashes = {size: np.unique(np.concatenate([rolled(np.frombuffer(k, np.int64), size) for k in found])) for size, found in self.items.items()}
-
-    @classmethod
-    def of(cls, parts: dict) -> Windows:
-        """From the parts of another, which travel as plain tables."""
-        out = cls.__new__(cls)
-        out.__dict__.update(parts)
-        return out
-
-    def hits(self, text: bytes) -> tuple[int, np.ndarray, set[str]]:
-        """How many words a text has, which of them are hit, and the items whose windows occur."""
-        words = text.translate(FOLD).split()
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        hit, found = np.zeros(len(ids), bool), set()
-        gaps = np.concatenate(([0], np.cumsum(ids == 0)))
-        for size, known in self.hashes.items():
-            if len(ids) < size:
-                continue
-            starts = np.flatnonzero(gaps[size:] == gaps[:-size])
-            if not len(starts):
+    """Windows by their length: hashes, sorted, and for each the hash that verifies it. A table of flags by the first bits of the hash answers most look-ups."""
+
+    def __init__(self, size: np.ndarray, first: np.ndarray, second: np.ndarray):
+        self.words, self.known = Words(), {}
+        for n in np.unique(size).tolist():
+            own = size == n
+            order = np.lexsort((second[own], first[own]))
+            a, b = first[own][order], second[own][order]
+            bits = min(max(len(a).bit_length() + 4, 16), 26)
+            flags = np.zeros(1 << bits, bool)
+            flags[a >> np.uint64(64 - bits)] = True
+            self.known[n] = a, b, flags, np.uint64(64 - bits)
+
+    def found(self, text: bytes) -> tuple[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+        """How many words a text has; and for each length the places of its windows that are known, with both hashes."""
+        ids = self.words.of(text.translate(FOLD).split())
+        out = []
+        for n, (first, second, flags, shift) in self.known.items():
+            a = rolled(ids, n, FACTORS[0])
+            at = np.flatnonzero(flags[a >> shift])
+            if not len(at):
                 continue
-            starts = starts[np.isin(rolled(ids, size)[starts], known)]
-            for i in starts.tolist():
-                if items := self.items[size].get(ids[i : i + size].tobytes()):
-                    hit[i : i + size] = True
-                    found |= items
-        return len(words), hit, found
+            a = a[at]
+            b = rolled(ids, n, FACTORS[1])[at]
+            place, stop = np.searchsorted(first, a), np.searchsorted(first, a, "right")
+            # equal first hashes of unlike windows stand side by side
+            hit = np.zeros(len(at), bool)
+            while (left := place < stop).any():
+                hit[left] |= second[place[left]] == b[left]
+                place = place + left
+            if hit.any():
+                out.append((n, at[hit], a[hit], b[hit]))
+        return len(ids), out
+
+    def hits(self, text: bytes) -> tuple[int, np.ndarray]:
+        """How many words a text has, and which of them are hit."""
+        n, found = self.found(text)
+        edges = np.zeros(n + 1, np.int64)
+        for size, at, _, _ in found:
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + size, -1)
+        return n, np.cumsum(edges[:-1]) > 0
 
 
 def without(text: bytes, hit: np.ndarray) -> bytes:
@@ -100,51 +108,82 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
 def without_hits(windows: Windows, text: bytes) -> bytes:
     """The text without the stretches of hit words, until no window occurs."""
     while True:
-        _, hit, _ = windows.hits(text)
+        _, hit = windows.hits(text)
         if not hit.any():
             return text
         text = without(text, hit)
 
 
-def block_count(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> int:
-    return int((benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars) + 1
+def _hashed(n: int):
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            columns = [[], [], [], []]
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+                ids = words.of((text.as_py() or b"").translate(FOLD).split())
+                if size := min(n, len(ids)):
+                    hashes = [rolled(ids, size, f).view(np.int64) for f in FACTORS]
+                    for column, values in zip(columns, ([item] * len(hashes[0]), np.full(len(hashes[0]), size), *hashes), strict=True):
+                        column.append(pa.array(values))
+            if columns[0]:
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x.cast(k) for x in c]) for c, k in zip(columns, kinds, strict=True)], ["item", "size", "first", "second"])
+
+    return hashed
+
+
+def windows_of(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """item, size, first, second: both hashes of the windows of every item."""
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_hashed(n), "item string, size int, first long, second long")
+
+
+def blocks(windows: DataFrame, at_once: int) -> list[Broadcast]:
+    """The distinct windows in blocks of about `at_once`, dealt by their hash."""
+    distinct = windows.select("size", "first", "second").distinct()
+    n = -(-distinct.count() // at_once)
+    out = []
+    for k in range(n):
+        table = (distinct if n == 1 else distinct.where(F.pmod("first", F.lit(n)) == k)).toArrow()
+        columns = [table.column("size").to_numpy(), *(table.column(c).to_numpy().view(np.uint64) for c in ("first", "second"))]
+        out.append(windows.sparkSession.sparkContext.broadcast(columns))
+    return out
 
 
-def blocks(benchmark: DataFrame, n: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in n blocks, dealt by a hash of the id."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r.item_id, r.text) for r in part.toLocalIterator()]
+SCANNED = "doc_id long, key long, n_words long, hits array<struct<at: int, size: int, first: long, second: long>>"
 
 
-def _scan(sent: Broadcast):
+def _scan(sent: Broadcast | None):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows.of(sent.value)
+        windows = Windows(*(sent.value if sent else [np.zeros(0, np.uint64)] * 3))
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("first", pa.int64()), ("second", pa.int64())]))
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            n_words, places, items = [], batch.column("places").to_pylist(), batch.column("items").to_pylist()
-            for i, text in enumerate(texts):
-                n, hit, found = windows.hits(text or b"")
+            n_words, hits = [], []
+            for text in batch.column("text").cast(pa.large_binary()):
+                n, found = windows.found(text.as_py() or b"")
                 n_words.append(n)
-                if found:
-                    places[i] = sorted({*places[i], *np.flatnonzero(hit).tolist()})
-                    items[i] = sorted({*items[i], *found})
-            out = batch.set_column(batch.schema.get_field_index("n_words"), "n_words", pa.array(n_words, pa.int64()))
-            out = out.set_column(out.schema.get_field_index("places"), "places", pa.array(places, pa.list_(pa.int32())))
-            yield out.set_column(out.schema.get_field_index("items"), "items", pa.array(items, pa.list_(pa.string())))
+                hits.append([{"at": i, "size": size, "first": a, "second": b} for size, *x in found for i, a, b in zip(x[0].tolist(), *(h.view(np.int64).tolist() for h in x[1:]), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n_words, pa.int64()), pa.array(hits, kind)], ["doc_id", "key", "n_words", "hits"])
 
     return scan
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """doc_id, n_words, places (numbers of the hit words), items (ids as strings, sorted) of every document."""
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("CAST(array() AS ARRAY<INT>) AS places"), F.expr("CAST(array() AS ARRAY<STRING>) AS items"))
-    schema = out.schema
-    for k, items in enumerate(blocks(benchmark, block_count(benchmark, block_chars))):
-        out = stored(out, "scanned") if k else out
-        out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(vars(Windows(items)))), schema)
-    return out.drop("text")
+    windows = stored(windows_of(benchmark), "windows")
+    scans = [stored(_keyed(docs).mapInArrow(_scan(sent), SCANNED), "scanned") for sent in blocks(windows, at_once) or [None]]
+    # rows equal in id and text have equal hits
+    found = reduce(DataFrame.union, scans).select("doc_id", "key", F.explode("hits").alias("h")).select("doc_id", "key", "h.*").distinct()
+    items = windows.groupBy("size", "first", "second").agg(F.collect_set("item").alias("items"))
+    met = found.join(items, ["size", "first", "second"])
+    spans = F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))
+    met = met.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = scans[0].select("doc_id", "key", "n_words")
+    out = out.join(met, out["doc_id"].eqNullSafe(met["d"]) & (out["key"] == met["k"]), "left")
+    return out.select("doc_id", "n_words", F.coalesce("places", F.expr("CAST(array() AS ARRAY<INT>)")).alias("places"), F.coalesce("items", F.expr("CAST(array() AS ARRAY<STRING>)")).alias("items"))
 
 
 def scored(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -159,42 +198,29 @@ def scored(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _with_texts(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+    at = batch.schema.get_field_index("text")
+    return batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type))
+
+
 def _cut(sent: Broadcast, most: float):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows.of(sent.value)
+        windows = Windows(*sent.value)
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             keep = []
             for i, text in enumerate(texts):
-                n, hit, _ = windows.hits(text or b"")
-                keep.append(hit.sum() <= most * n)
+                n, hit = windows.hits(text or b"")
+                keep.append(bool(hit.sum() <= most * n))
                 if hit.any() and keep[-1]:
                     texts[i] = without_hits(windows, text)
-            text = pa.array(texts, pa.large_binary()).cast(pa.large_string())
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), text.cast(batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
+            yield _with_texts(batch, texts).filter(pa.array(keep, pa.bool_()))
 
     return cut
 
 
-#: Columns in which the documents of a round carry how many words they have and which are hit.
-N_WORDS, PLACES = "__n_words", "__places"
-
-
-def _found(sent: Broadcast):
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows.of(sent.value)
-        for batch in batches:
-            n_words, places = [], batch.column(PLACES).to_pylist()
-            for i, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-                n, hit, _ = windows.hits(text or b"")
-                n_words.append(n)
-                if hit.any():
-                    places[i] = sorted({*places[i], *np.flatnonzero(hit).tolist()})
-            out = batch.set_column(batch.schema.get_field_index(N_WORDS), N_WORDS, pa.array(n_words, pa.int64()))
-            yield out.set_column(out.schema.get_field_index(PLACES), PLACES, pa.array(places, pa.list_(pa.int32())))
-
-    return found
+#: Columns in which the documents of a round carry their key, how many words they have and which are hit.
+KEY, N_WORDS, PLACES = "__key", "__n_words", "__places"
 
 
 def _without_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,21 +230,22 @@ def _without_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             hit = np.zeros(n, bool)
             hit[places] = True
             texts[i] = without(texts[i], hit)
-        at = batch.schema.get_field_index("text")
-        text = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type)
-        out = batch.set_column(at, batch.schema.field(at), text)
-        yield out.select([c for c in out.schema.names if c not in (N_WORDS, PLACES)])
+        out = _with_texts(batch, texts)
+        yield out.select([c for c in out.schema.names if c not in (KEY, N_WORDS, PLACES)])
 
 
-def _cleaned_by_rounds(docs: DataFrame, benchmark: DataFrame, most: float, n: int) -> DataFrame:
-    """The same with n blocks: a round scans all blocks, then cuts; the next has the documents that were cut. A cut text is shorter, so rounds end."""
+def _cleaned_by_rounds(docs: DataFrame, sent: list[Broadcast], most: float) -> DataFrame:
+    """The same with several blocks: a round scans for all, then cuts; the next has the documents that were cut. A cut text is shorter, so rounds end."""
     schema, out = docs.schema, None
     while True:
-        scanned = docs.withColumn(N_WORDS, F.lit(0).cast("long")).withColumn(PLACES, F.expr("CAST(array() AS ARRAY<INT>)"))
-        for items in blocks(benchmark, n):
-            scanned = stored(scanned.mapInArrow(_found(docs.sparkSession.sparkContext.broadcast(vars(Windows(items)))), scanned.schema), "scanned")
-        done = scanned.where(F.size(PLACES) == 0).drop(N_WORDS, PLACES)
-        hit = scanned.where(F.size(PLACES) > 0)
+        scans = reduce(DataFrame.union, [_keyed(docs).mapInArrow(_scan(x), SCANNED).where(F.size("hits") > 0) for x in sent])
+        # by the hash of the text: equal texts have equal hits
+        spans = F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1)))
+        found = scans.groupBy(F.col("key").alias(KEY)).agg(F.max("n_words").alias(N_WORDS), F.array_distinct(F.flatten(F.collect_set(spans))).alias(PLACES))
+        found = stored(found, "hits")
+        keyed = docs.withColumn(KEY, F.xxhash64("text"))
+        done = keyed.join(found.select(KEY), KEY, "left_anti").select(*docs.columns)
+        hit = keyed.join(found, KEY)
         if out is None:
             # the share is that of the uncut text
             out, hit = done, hit.where(F.size(PLACES) <= most * F.col(N_WORDS))
@@ -226,17 +253,16 @@ def _cleaned_by_rounds(docs: DataFrame, benchmark: DataFrame, most: float, n: in
             out = out.unionByName(done)
         if hit.isEmpty():
             return out
-        docs = stored(hit.mapInArrow(_without_found, schema), "cut")
+        docs = stored(hit.select(*docs.columns, KEY, N_WORDS, PLACES).mapInArrow(_without_found, schema), "cut")
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, most: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, most: float = 0.5, at_once: int = AT_ONCE) -> DataFrame:
     """docs without hit stretches; a document of which more than the share `most` is hit goes whole. n_chars follows the text where there is such a column."""
-    n = block_count(benchmark, block_chars)
-    if n == 1:
-        (items,) = blocks(benchmark, n)
-        docs = docs.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(vars(Windows(items))), most), docs.schema)
-    else:
-        docs = _cleaned_by_rounds(docs, benchmark, most, n)
+    sent = blocks(stored(windows_of(benchmark), "windows"), at_once)
+    if len(sent) == 1:
+        docs = docs.mapInArrow(_cut(sent[0], most), docs.schema)
+    elif sent:
+        docs = _cleaned_by_rounds(docs, sent, most)
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 

@@ -151,14 +151,14 @@ def plain_hits(text, items, n=10):
 BENCHMARK = [(2, words("p", 60, 5000)[40:260]), (10, words(3, 40, 3000).upper()), (11, "one, TWO"), (12, None), (13, "!!"), (14, words("none", 30, 10**6))]
 
 
-@pytest.mark.parametrize("block", [32_000_000, 200])
+@pytest.mark.parametrize("block", [4_000_000, 30])
 def test_decontamination(docs, spark, block):
     benchmark = spark.createDataFrame(BENCHMARK, "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.hits(docs, benchmark, block).collect()}
     for i, text, *_ in corpus():
         n, hit, items = plain_hits(text, BENCHMARK)
         assert (got[i].n_words, len(got[i].places), got[i]["items"]) == (n, hit, items)
-    cut = decontaminate.cleaned(docs, benchmark, block_chars=block)
+    cut = decontaminate.cleaned(docs, benchmark, at_once=block)
     assert cut.columns == docs.columns
     rows = {r.doc_id: r for r in cut.collect()}
     for i, text, *_ in corpus():
@@ -184,7 +184,25 @@ def test_decontamination_is_the_same_in_blocks(spark):
         benchmark = spark.createDataFrame([(first, one), (first + 10, two), (first + 20, " ".join(inner))], "item_id long, text string")
         whole = {r.doc_id: r.text for r in decontaminate.cleaned(rows, benchmark).collect()}
         assert set(whole) == {1, 2, 3, 4} and len(parts(whole[1])) == len(parts(whole[2])) == 80
-        assert {r.doc_id: r.text for r in decontaminate.cleaned(rows, benchmark, block_chars=100).collect()} == whole
+        assert {r.doc_id: r.text for r in decontaminate.cleaned(rows, benchmark, at_once=5).collect()} == whole
+
+
+def test_decontamination_of_repeated_rows_and_equal_hashes(spark, monkeypatch):
+    text = words("p", 60, 5000)
+    rows = [(1, text, "en", "s", 0), (1, text, "en", "s", 0), (1, "other words", "en", "s", 0), (None, text, "en", "s", 0), (2, " ".join([text] * 3000), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    benchmark = spark.createDataFrame(BENCHMARK, "item_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit) for r in decontaminate.scored(docs, benchmark).collect())
+    assert got == Counter((i, *plain_hits(t, BENCHMARK)[:2]) for i, t, *_ in rows[:4]) + Counter([(2, 180_000, 3000 * plain_hits(text, BENCHMARK)[1])])
+    assert decontaminate.scored(empty(spark), benchmark).count() == 0 and decontaminate.cleaned(empty(spark), benchmark).count() == 0
+    # windows with one first hash are told apart by the second
+    np = decontaminate.np
+    ids = decontaminate.Words().of([b"a", b"b"])
+    first, second = (decontaminate.rolled(ids, 2, f) for f in decontaminate.FACTORS)
+    for others in ([7], [7, 9], []):
+        known = decontaminate.Windows(np.array([2] * (1 + len(others))), np.repeat(first, 1 + len(others)), np.array([*second.tolist(), *others], np.uint64))
+        assert known.hits(b"x A b a")[1].tolist() == [False, True, True, False]
+    assert not decontaminate.Windows(np.array([2]), first, second + np.uint64(1)).hits(b"a b")[1].any()
 
 
 def test_decontamination_query_columns(docs, spark):
