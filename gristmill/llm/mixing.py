@@ -6,7 +6,8 @@ sum words by source and hash digit, keep the digits that fit whole, and look aga
 
 DataFrame functions only. Defined cases: a null text has no words; a null source is a source, last in order; repeated rows share a hash
 and so are taken or left together; a row without id has the hash of its text, so that such rows are spread over their source like any others (those
-of one text are taken or left together); a source without words has target 0; an empty table gives an empty result.
+of one text are taken or left together); a source without words has target 0; an empty table gives an empty result. Texts of any length are only counted;
+other columns pass through, but a column mix_copies of the input gives way to the mix's own.
 """
 
 from __future__ import annotations
@@ -104,6 +105,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with all their columns, and mix_copies: how often each is taken."""
+    docs = docs.drop("mix_copies")
     sized = stored(docs.select("source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text")).alias("place")), "sizes")
     found = thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))).select(F.col("source").alias("__s"), F.col("passes").alias("__p"), F.col("threshold").alias("__t"))
     copies = F.col("__p") + (place(F.col("doc_id"), F.col("text")) < F.col("__t")).cast("long")

@@ -65,7 +65,7 @@ FROM d LEFT JOIN words ON d.rn = words.rn LEFT JOIN items ON d.rn = items.rn
 OP10 = r"""
 WITH cap AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * ((page_id * 37) % 527040) AS fetched_at,
     nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '')), '') AS host FROM pages),
-caps AS (SELECT DISTINCT * FROM cap),
+caps AS (SELECT row_number() OVER () AS rn, * FROM cap),
 hosts AS (SELECT host, CAST('0x' || md5(host)[1:8] AS BIGINT) AS h FROM (SELECT DISTINCT host FROM cap WHERE host IS NOT NULL)),
 pat AS (SELECT CASE h % 3 WHEN 0 THEN 'malware' WHEN 1 THEN 'adult' ELSE 'piracy' END AS lst,
                CASE WHEN h % 5 = 0 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS pattern, h,
@@ -75,12 +75,12 @@ ev AS (SELECT lst, pattern, true AS added, start AS moment FROM pat
        UNION ALL SELECT lst, pattern, true, start + INTERVAL 1 DAY * (h % 45 + 31) FROM pat WHERE h % 2 = 0),
 one AS (SELECT lst, pattern, moment, bool_and(added) AS added FROM ev GROUP BY lst, pattern, moment),
 iv AS (SELECT *, lead(moment) OVER (PARTITION BY lst, pattern ORDER BY moment) AS until FROM one),
-met AS (SELECT c.page_id, c.url, lst, pattern FROM caps c JOIN iv ON (host = pattern OR ends_with(host, '.' || pattern))
+met AS (SELECT rn, lst, pattern FROM caps c JOIN iv ON (host = pattern OR ends_with(host, '.' || pattern))
         AND added AND fetched_at >= moment AND (until IS NULL OR fetched_at < until)),
-agg AS (SELECT page_id, url, string_agg(DISTINCT lst, ',' ORDER BY lst) AS lists, count(DISTINCT lst) AS n_lists,
-               arg_min(pattern, (-length(pattern), pattern)) AS pattern FROM met GROUP BY page_id, url)
+agg AS (SELECT rn, string_agg(DISTINCT lst, ',' ORDER BY lst) AS lists, count(DISTINCT lst) AS n_lists,
+               arg_min(pattern, (-length(pattern), pattern)) AS pattern FROM met GROUP BY rn)
 SELECT c.page_id, fetched_at, host, coalesce(n_lists, 0) > 0 AS blocked, coalesce(lists, '') AS lists, pattern, CAST(coalesce(n_lists, 0) AS BIGINT) AS n_lists
-FROM caps c LEFT JOIN agg ON c.page_id = agg.page_id AND c.url IS NOT DISTINCT FROM agg.url
+FROM caps c LEFT JOIN agg ON c.rn = agg.rn
 """
 
 SQL = {

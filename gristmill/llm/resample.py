@@ -6,7 +6,8 @@ largest keys are a sample without replacement in proportion to the weights. Nois
 
 The k-th largest key is found by histograms of its digits, one pass a digit over a table of one narrow row per document; nothing is sorted.
 
-Defined cases: a document without words has log weight 0; a null id has noise of its own; ties in the key are broken by the hash of the id, and rows that
+Defined cases: a document without words has log weight 0, long texts have as many n-grams as they have; rows without an id share one noise value of
+their own and are never among the target's documents; other columns are not read; ties in the key are broken by the hash of the id, and rows that
 repeat an id stand or fall together, so the sample may hold a few rows more than k; without labels all weights are equal; empty tables give empty results.
 """
 

@@ -5,8 +5,9 @@ of entries at the same time a removal is the last. Intervals are cut at the turn
 month with a comparison inside: a pattern with a long history meets a capture in one month only, and a host with many captures is a key whose
 other side is small, which Spark splits.
 
-DataFrame functions only. Defined cases: a null URL or time matches nothing and stays; entries without pattern or time are left out; equal rows
-of captures give one row; an empty list blocks nothing; ties among patterns go to the longest, then the first by code point.
+DataFrame functions only. Captures that are equal in page, URL and time are evaluated once and joined back, so every capture keeps its row.
+Defined cases: a null URL or time matches nothing and stays; entries without list, pattern or time are left out, equal entries are one; an empty list blocks
+nothing, no captures give no rows; ties among patterns go to the longest, then the first by code point; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,18 +38,21 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluated(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, fetched_at, host, blocked, lists (comma-joined, in order), pattern (the longest that matched), n_lists of every capture."""
-    captures = captures.select("page_id", "url", "fetched_at").withColumn("host", host_of(F.col("url")))
+    captures = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched_at")
     horizon = captures.agg(F.max("fetched_at")).first()[0]
     valid = intervals(entries)
     end = F.coalesce(F.least("valid_to", F.lit(horizon)), F.lit(horizon))
     months = F.sequence(F.trunc("valid_from", "month"), F.trunc(F.greatest("valid_from", end), "month"), F.expr("INTERVAL 1 MONTH"))
     valid = valid.withColumn("month", F.explode(months))
-    asked = captures.withColumn("suffix", F.explode_outer(suffixes(F.col("host")))).withColumn("fetch_month", F.trunc("fetched_at", "month"))
+    # what is asked is a host at a time, whichever pages have it
+    asked = captures.where("host IS NOT NULL AND fetched_at IS NOT NULL").select("host", "fetched_at").distinct()
+    asked = asked.withColumn("suffix", F.explode(suffixes(F.col("host")))).withColumn("fetch_month", F.trunc("fetched_at", "month"))
     active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    met = asked.join(valid, (F.col("suffix") == F.col("pattern")) & (F.col("fetch_month") == F.col("month")) & active, "left")
-    best = F.min(F.when(F.col("pattern").isNotNull(), F.struct((-F.length("pattern")).alias("n"), "pattern")))
-    found = met.groupBy("page_id", "url", "fetched_at", "host").agg(F.collect_set("list").alias("lists"), best.alias("best"))
-    return found.select(
+    met = asked.join(valid, (F.col("suffix") == F.col("pattern")) & (F.col("fetch_month") == F.col("month")) & active)
+    best = F.min(F.struct((-F.length("pattern")).alias("n"), "pattern"))
+    found = met.groupBy("host", "fetched_at").agg(F.collect_set("list").alias("lists"), best.alias("best"))
+    out = captures.join(found, ["host", "fetched_at"], "left").withColumn("lists", F.coalesce("lists", F.expr("CAST(array() AS ARRAY<STRING>)")))
+    return out.select(
         "page_id",
         "fetched_at",
         "host",

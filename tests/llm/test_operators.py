@@ -132,6 +132,18 @@ def test_mixing_rows_without_id(spark):
     assert {r.mix_copies for r in documents if r.doc_id is None} >= {1, 3}
 
 
+def test_rules_and_mix_of_repeated_rows(spark):
+    """Equal rows each count and each get their row; a column named like the mix's own gives way to it."""
+    text, bad = words("rr", 40, 3000), "a b c"
+    rows = [(1, text, "en", "s", 0)] * 3 + [(1, bad, "en", "s", 0), (2, words("rs", 30, 3000), "en", "t", 0), (2, words("rs", 30, 3000), "en", "t", 0), (3, " ".join(["long"] * 1_000_000), "en", "t", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert Counter((r.doc_id, r.n_words, r.base_failed) for r in quality_rules.scored(docs).collect()) == Counter({(1, 40, False): 3, (1, 3, True): 1, (2, 30, False): 2, (3, 1_000_000, True): 1})
+    got = mixing.mixed(docs).collect()
+    assert Counter((r.doc_id, r.size, r.source_size) for r in got) == Counter({(1, 40, 123): 3, (1, 3, 123): 1, (2, 30, 1_000_060): 2, (3, 1_000_000, 1_000_060): 1})
+    mixed = mixing.mixed_documents(docs.withColumn("mix_copies", docs["n_chars"] + 77))
+    assert mixed.columns == [*docs.columns, "mix_copies"] and {r.mix_copies for r in mixed.collect()} <= {1, 2, 3}
+
+
 def plain_hits(text, items, n=10):
     def fold(t):
         return (t or "").encode().translate(decontaminate.FOLD).split()
@@ -546,6 +558,58 @@ def test_url_filters(spark):
         assert got[page].blocked == bool(active), (url, at)
 
 
+def test_url_filters_keep_rows(spark):
+    import datetime as dt
+
+    at = dt.datetime(2024, 3, 1)
+    schema = "page_id long, url string, fetched_at timestamp, lists string, pattern string, host string, month int"
+    rows = [(1, "http://x.org/a", at)] * 3 + [(1, "http://x.org/b", at), (1, None, at), (1, None, at), (None, "http://x.org/a", at), (2, "x" * 2_000_000, at), (3, "http://" + "a." * 30 + "x.org/" + "p" * 1_000_000, at)]
+    captures = spark.createDataFrame([(*r, "l", "p", "h", 1) for r in rows], schema)
+    entries = spark.createDataFrame([("a", "x.org", True, dt.datetime(2024, 1, 1))] * 2, "list string, pattern string, added boolean, at timestamp")
+    got = url_filters.evaluated(captures, entries)
+    assert Counter((r.page_id, r.blocked, r.lists, r.n_lists) for r in got.collect()) == Counter({(1, True, "a", 1): 4, (1, False, "", 0): 2, (None, True, "a", 1): 1, (2, False, "", 0): 1, (3, True, "a", 1): 1})
+    assert url_filters.evaluated(captures, entries.limit(0)).where("blocked").count() == 0 and url_filters.evaluated(captures, entries.limit(0)).count() == len(rows)
+    assert url_filters.evaluated(captures.limit(0), entries).count() == 0
+
+
+def plain_grams(text, buckets):
+    import xxhash
+
+    h = [xxhash.xxh3_64_intdigest(w.lower()) for w in parts(text)]
+    two = [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(h, h[1:], strict=False)]
+    return [x % buckets for x in h] + [(x ^ (x >> 29)) % buckets for x in two]
+
+
+def test_resampling_against_plain_counts(docs, spark):
+    """Ratios, weights, noise and the sample from plain counts; rows without id, repeated rows and clashing columns."""
+    import xxhash
+    from pyspark.sql import functions as F
+
+    spec = resample.Resampling(buckets=97, share=0.5, smooth=0.5, seed=3)
+    rows = [(i, t) for i, t, *_ in corpus()] + [(None, words("n1", 30, 3000)), (None, words("n2", 30, 3000)), (4, words(4, 44, 3000)), (4, "unlike")]
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("key", "good", "kept", "bucket")})
+    good = spark.createDataFrame([(i,) for i in range(0, 40, 3)] + [(4,), (None,)], "doc_id long")
+    named = {*range(0, 40, 3), 4}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(plain_grams(t, 97))
+        target.update(plain_grams(t, 97) if i in named else [])
+    totals = [sum(c.values()) + 0.5 * 97 for c in (raw, target)]
+    ratio = [math.log((target[b] + 0.5) / totals[1]) - math.log((raw[b] + 0.5) / totals[0]) for b in range(97)]
+    expected = []
+    for i, t in rows:
+        weight = sum(ratio[b] for b in plain_grams(t, 97))
+        even = ((xxhash.xxh3_64_intdigest(str(i), 3) >> 11) + 0.5) / 2**53
+        expected.append((i, weight, weight - math.log(-math.log(even))))
+    got = resample.resampled(more, good, spec).collect()
+    order = lambda x: (x[0] is None, x[0], x[1])
+    for r, (i, weight, key) in zip(sorted(((r.doc_id, r.log_weight, r.key) for r in got), key=order), sorted(expected, key=order), strict=True):
+        assert r[0] == i and r[1] == pytest.approx(weight) and r[2] == pytest.approx(key)
+    k = len(rows) // 2
+    least = sorted((key for *_, key in expected), reverse=True)[k - 1]
+    assert all(r.kept == (r.key >= least - 1e-9) for r in got)
+
+
 def test_clashing_columns(docs, spark):
     """Columns that carry the names of an operator's own survive, with their values."""
     from pyspark.sql import functions as F

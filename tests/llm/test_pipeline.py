@@ -87,3 +87,25 @@ def test_pipeline(spark, tmp_path):
 
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "MinHash near-dedup", "suffix-array dedup", "benchmark decontamination", "mixing sources to target weights"]
+
+
+def test_odd_tables(spark, tmp_path):
+    """No rows; rows without id, repeated ids with unlike texts, equal rows, nulls, a very long text and columns with the stages' own names."""
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(BENCHMARK, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    a, b, c = words("oa", 60, 9000), words("ob", 60, 9000), words("oc", 60, 9000)
+    odd = [(1, a, "en", "s", 0)] * 2 + [(1, b, "en", "s", 0), (None, c, "en", "s", 0), (None, c, "en", None, 0), (None, None, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]
+    odd += [(4, words("long", 200_000, 10**7), "en", "s", 0), (5, a + " and more", "en", "s", 0)]
+    names = ["found", "__found", "component", "key", "node", "bucket", "size", "place", "n_words", "hits", "kept", "digit", "good"]
+    docs = spark.createDataFrame(odd, schema).withColumns({x: F.concat_ws("-", F.lit(x), "doc_id") for x in names if x != "__found"})
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*docs.columns, "mix_copies"]
+    rows = got.collect()
+    # the only source with words takes all of its words once
+    assert Counter((r.doc_id, r.text) for r in rows if r.source == "s") <= Counter([(1, a), (1, b), (None, c), (4, odd[8][1])])
+    assert {r.doc_id for r in rows} >= {4} and all(r[x] == (f"{x}-{r.doc_id}" if r.doc_id is not None else x) for r in rows for x in names if x != "__found")
