@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 from gristmill.functions import text as T
 from gristmill.functions.urls import canonical_url
 from gristmill.operators.graph import components
+from gristmill.operators.tables import travels
+
+travels(__name__)
 
 HORIZON = 48 * 3_600_000_000
 
@@ -38,16 +43,23 @@ def by_url(articles: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one chain of equal titles, in scan order: a row joins the first cluster with a member within the horizon."""
-    clusters: list[tuple[str, list[int]]] = []
+    """Clusters of one chain of equal titles, in scan order: a row joins the first cluster with a member within the horizon.
+
+    Times of members are kept in order, with their clusters' numbers, so a row looks at those around it only.
+    """
+    times: list[int] = []
+    numbers: list[int] = []
+    firsts: list[str] = []
     names = []
     for row in rows.sort_values(["canonical_url", "url"]).itertuples():
-        name = next((n for n, times in clusters if any(abs(row.us - t) <= HORIZON for t in times)), None)
-        if name is None:
-            name = row.key
-            clusters.append((name, []))
-        next(times for n, times in clusters if n == name).append(row.us)
-        names.append((row.key, name))
+        around = slice(bisect_left(times, row.us - HORIZON), bisect_right(times, row.us + HORIZON))
+        number = min(numbers[around], default=len(firsts))
+        if number == len(firsts):
+            firsts.append(row.key)
+        at = bisect_right(times, row.us)
+        times.insert(at, row.us)
+        numbers.insert(at, number)
+        names.append((row.key, firsts[number]))
     return pd.DataFrame(names, columns=["key", "cluster"])
 
 
@@ -80,6 +92,21 @@ def title_winners(clustered: DataFrame) -> DataFrame:
     return first_by_key(clustered, ["cluster"], *winner_order())
 
 
+def title_links(articles: DataFrame) -> DataFrame:
+    """a, b: each row and the one before it in time with the same normalised title, where that is within 48 hours. Chains of links hold all pairs within the horizon.
+
+    Rows are put in order inside stretches of 48 hours; the first of a stretch meets the last of the one before by a join of one row a stretch.
+    """
+    rows = articles.where("published_at IS NOT NULL").select("doc_id", F.unix_micros("published_at").alias("us"), T.normal_title(F.col("title")).alias("k")).where("k <> ''")
+    rows = rows.withColumn("slot", F.floor(F.col("us") / HORIZON))
+    order = Window.partitionBy("k", "slot").orderBy("us", "doc_id")
+    inside = rows.select(F.lag("doc_id").over(order).alias("a"), F.col("doc_id").alias("b")).where("a IS NOT NULL")
+    ends = rows.groupBy("k", "slot").agg(F.min(F.struct("us", "doc_id")).alias("first"), F.max(F.struct("us", "doc_id")).alias("last"))
+    before = ends.select("k", (F.col("slot") + 1).alias("slot"), "last")
+    across = ends.select("k", "slot", "first").join(before, ["k", "slot"]).where(F.col("first.us") - F.col("last.us") <= HORIZON)
+    return inside.unionByName(across.select(F.col("last.doc_id").alias("a"), F.col("first.doc_id").alias("b")))
+
+
 def event_features(items: DataFrame) -> DataFrame:
     """What match_events compares: token sets, versions, figures, identifiers and stances of headline and body."""
     title = F.concat_ws(" ", F.coalesce("title_original", F.lit("")), F.coalesce("title_cn", F.lit("")))
@@ -159,6 +186,18 @@ def event_clusters(items: DataFrame, matches: DataFrame) -> DataFrame:
     return items.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
+def merge_evidence(matches: DataFrame, clusters: DataFrame, winners: DataFrame) -> DataFrame:
+    """id, winner, reason, score of each folded item: the match that admitted it (with the first member before it), else its match with the winner, else that it came through others."""
+    a, b = (clusters.select(F.col("id").alias(x), F.col("cluster").alias(f"c{x}")) for x in "ab")
+    inside = matches.join(a, "a").join(b, "b").where("ca = cb")
+    admitted = inside.groupBy(F.col("b").alias("id")).agg(F.min_by(F.struct("reason", "score"), "a").alias("admitted"))
+    folded = clusters.join(winners.select("cluster", F.col("id").alias("winner")), "cluster").where("id <> winner")
+    both = [inside.select(F.col(x).alias("id"), F.col(y).alias("winner"), F.struct("reason", "score").alias("direct")) for x, y in ("ab", "ba")]
+    out = folded.join(admitted, "id", "left").join(both[0].unionByName(both[1]), ["id", "winner"], "left")
+    why = F.coalesce("admitted", "direct", F.struct(F.lit("transitive_cluster").alias("reason"), F.lit(0.0).alias("score")))
+    return out.select("id", "winner", why.alias("why")).select("id", "winner", "why.reason", "why.score")
+
+
 def event_winners(items: DataFrame, clusters: DataFrame, sources: DataFrame) -> DataFrame:
     """The winner of each cluster and cluster_size: class, priority, importance, completeness, earliest, id."""
     rank = F.when(F.col("source_type") == "official", 0).when(F.col("source_type") == "research", 1).when(F.col("source_type") == "media", 2).otherwise(3)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MEDIA_FLOOR, MEDIA_TOTAL, MEDIA_EACH = 60, 5, 2
+PENALTY_MOST = 8.0
 
 
 def importance() -> Column:
@@ -70,26 +71,38 @@ def domain_caps(candidates: DataFrame, each: int = 2, most: int = 24) -> DataFra
     return rows.orderBy(*order).limit(most).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
+def selection_counts(candidates: DataFrame, each: int = 2, most: int = 24) -> DataFrame:
+    """selected, dropped_domain_cap, dropped_candidate_cap of candidates taken in the order of domain_caps: a domain's cap counts what was taken of it, not what it lost to the total."""
+    taken = domain_caps(candidates, each, most).groupBy("domain").agg(F.count("*").alias("taken"))
+    by_domain = candidates.groupBy("domain").agg(F.count("*").alias("n")).join(taken, "domain", "left")
+    n, got = F.col("n"), F.coalesce("taken", F.lit(0))
+    rest = n - got
+    return by_domain.agg(F.coalesce(F.sum(got), F.lit(0)).alias("selected"), F.coalesce(F.sum(F.when(got >= each, rest).otherwise(0)), F.lit(0)).alias("dropped_domain_cap"), F.coalesce(F.sum(F.when(got < each, rest).otherwise(0)), F.lit(0)).alias("dropped_candidate_cap"))
+
+
 def diverse(items: DataFrame) -> DataFrame:
     """digest_date, id, penalty, final_score, rank: each pick is the best after a penalty for companies, topics and sources picked before.
 
-    One task a digest; a pick looks at counts, not at the picks before.
+    One task a digest; a pick looks at counts, and only at items that a penalty can bring to the front.
     """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        left = {r.id: (r.base_score, r.us if r.us == r.us else float("-inf"), r.company, r.topic, r.source) for r in rows.itertuples()}
+        left = sorted(((r.base_score, r.us if r.us == r.us else float("-inf"), r.id, r.company, r.topic, r.source) for r in rows.itertuples()), key=lambda r: -r[0])
         seen: dict[tuple[str, str], int] = {}
         out = []
         while left:
             best = None
-            for item, (score, us, company, topic, source) in left.items():
+            for place, (score, us, item, company, topic, source) in enumerate(left):
+                if score < left[0][0] - PENALTY_MOST:
+                    # even without a penalty behind the first with all of one
+                    break
                 cost = 3.0 * (seen.get(("c", company), 0) if company else 0) + 2.0 * (seen.get(("t", topic), 0) if topic != "other" else 0) + (seen.get(("s", source), 0) if source else 0)
-                cost = min(cost, 8.0)
+                cost = min(cost, PENALTY_MOST)
                 key = (-(score - cost), -us, item)
                 if best is None or key < best[0]:
-                    best = key, item, cost
-            _, item, cost = best
-            score, _, company, topic, source = left.pop(item)
+                    best = key, place, cost
+            _, place, cost = best
+            score, _, item, company, topic, source = left.pop(place)
             for key in (("c", company), ("t", topic), ("s", source)):
                 seen[key] = seen.get(key, 0) + 1
             out.append((rows.digest_date.iloc[0], item, cost, score - cost, len(out) + 1))

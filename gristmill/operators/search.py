@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import query_tokens
+from gristmill.operators.tables import stored
 
 # Weight of each indexed column.
 WEIGHTS = {"title_cn": 10.0, "title_original": 10.0, "summary": 5.0, "why_it_matters": 2.0, "content_original": 1.0, "source": 3.0, "company": 4.0, "topic": 4.0}
@@ -36,45 +37,69 @@ def _terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(query_tokens(F.lower("query"))).alias("term"))
 
 
-def candidates(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id of the items that hold all trigrams of all terms of three letters or more; items are narrowed by shorter terms later."""
-    grams = _terms(queries).where(F.length("term") >= 3).select("query_id", F.explode(_grams(F.col("term"))).alias("gram")).distinct()
-    wanted = grams.groupBy("query_id").agg(F.count("*").alias("n"))
-    # the query table is small by contract; Spark broadcasts it only under the session's bound
-    met = postings(items).join(grams, "gram").groupBy("query_id", "id").agg(F.count("*").alias("m"))
-    return met.join(wanted, "query_id").where("m = n").select("query_id", "id")
+def held(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """term, id: which items hold each term of three letters or more in some column. Items are met by the trigrams of the batch's terms only, then read for the term.
+
+    The trigrams of a batch of queries, which is small by contract, are a literal that narrows an item's own before they are dealt out.
+    """
+    terms = _terms(queries).where(F.length("term") >= 3).select("term").distinct()
+    grams = terms.select("term", F.explode(_grams(F.col("term"))).alias("gram"))
+    asked = sorted(r.gram for r in grams.select("gram").distinct().collect())
+    need = grams.groupBy("term").agg(F.count("*").alias("n"))
+    own = F.array_distinct(F.flatten(F.array(*[_grams(_low(c)) for c in WEIGHTS])))
+    rows = items.select("id", F.explode(F.array_intersect(own, F.lit(asked) if asked else F.array().cast("array<string>"))).alias("gram"))
+    near = rows.join(grams, "gram").groupBy("term", "id").agg(F.count("*").alias("m")).join(need, "term").where("m = n").select("term", "id")
+    found = near.join(items, "id").where(" OR ".join(f"contains(lower(coalesce({c}, '')), term)" for c in WEIGHTS))
+    return found.select("term", "id")
+
+
+def matches(items: DataFrame, queries: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """query_id, id of the items that hold every term of a query with a term of three letters or more, shorter ones too, as substrings of some column. found: of held()."""
+    terms = _terms(queries).distinct()
+    long, short = terms.where(F.length("term") >= 3), terms.where(F.length("term") < 3)
+    need = long.groupBy("query_id").agg(F.count("*").alias("n"))
+    met = (held(items, queries) if found is None else found).join(long, "term").groupBy("query_id", "id").agg(F.count("*").alias("m")).join(need, "query_id").where("m = n").select("query_id", "id")
+    rest = met.join(short.groupBy("query_id").agg(F.collect_list("term").alias("short")), "query_id", "left").join(items.select("id", F.concat_ws("\n", *[_low(c) for c in WEIGHTS]).alias("_text")), "id")
+    return rest.where("short IS NULL OR forall(short, t -> contains(_text, t))").select("query_id", "id")
 
 
 def ranked(items: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
     """query_id, id, score, place: per query the best items by BM25, then newest. All terms must occur, as substrings of some column."""
     size = sum((F.greatest(F.length(_low(c)) - 2, F.lit(0)) for c in WEIGHTS), F.lit(0))
     n, mean = items.agg(F.count("*"), F.avg(size)).first()
-    terms = _terms(queries)
-    rows = candidates(items, queries).join(items, "id").join(terms, "query_id")
-    short = F.length("term") < 3
+    found = stored(held(items, queries), "held")
+    frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
+    terms = _terms(queries).distinct().where(F.length("term") >= 3)
+    rows = matches(items, queries, found).join(items, "id").join(terms, "query_id").join(frequencies, "term")
 
     def times(c: str) -> Column:
-        """Occurrences of the term, overlapping ones too."""
-        return F.regexp_count(_low(c), F.concat(F.lit(r"(?=\Q"), F.replace("term", F.lit(r"\E"), F.lit("")), F.lit(r"\E)")))
+        """Occurrences of the term, overlapping ones too: only a term that ends as it begins can overlap itself."""
+        text = _low(c)
+        plain = (F.length(text) - F.length(F.replace(text, F.col("term"), F.lit("")))) / F.length("term")
+        every = F.regexp_count(text, F.concat(F.lit(r"(?=\Q"), F.replace("term", F.lit(r"\E"), F.lit("")), F.lit(r"\E)")))
+        return F.when(overlaps, every).otherwise(plain)
 
+    overlaps = F.exists(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.col("term").substr(F.lit(1), i) == F.col("term").substr(F.length("term") - i + 1, i))
     tf = sum((w * times(c) for c, w in WEIGHTS.items()), F.lit(0.0))
-    rows = rows.select("query_id", "id", "term", "published_at", tf.alias("tf"), size.alias("size"), short.alias("short"))
-    holds = rows.groupBy("query_id", "id").agg(F.bool_and(F.col("tf") > 0).alias("all"))
-    # how many items hold a term: by its trigrams among all items, then exactly
-    scored = rows.where("NOT short").join(document_frequencies(items, terms.select("term").distinct()), "term")
+    scored = rows.select("query_id", "id", "published_at", "df", tf.alias("tf"), size.alias("size"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / (mean or 1.0)))
-    found = scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.max("published_at").alias("published_at")).join(holds.where("all"), ["query_id", "id"])
+    best = scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.max("published_at").alias("published_at"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("published_at"), "id")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "id", "score", "place")
-
-
-def document_frequencies(items: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: how many items hold the term in some column."""
-    one = terms.where(F.length("term") >= 3).withColumn("query_id", F.col("term")).withColumn("query", F.col("term"))
-    near = candidates(items, one.select("query_id", "query")).withColumnRenamed("query_id", "term")
-    holds = near.join(items, "id").where(" OR ".join(f"contains(lower(coalesce({c}, '')), term)" for c in WEIGHTS))
-    return holds.groupBy("term").agg(F.count_distinct("id").alias("df"))
+    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "id", "score", "place")
+
+
+def by_words(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id of the items that hold all terms of queries with an ASCII term: ASCII terms as a word of some column, others as a substring of one of the items that the words leave."""
+    terms = _terms(queries).distinct().withColumn("word", F.col("term").rlike("^[\\x00-\\x7F]+$"))
+    words = terms.where("word")
+    text = F.concat_ws("\n", *[_low(c) for c in WEIGHTS])
+    held = items.select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+    need = words.groupBy("query_id").agg(F.count("*").alias("n"))
+    met = held.join(words, "term").groupBy("query_id", "id").agg(F.count("*").alias("m")).join(need, "query_id").where("m = n").select("query_id", "id")
+    others = terms.where("NOT word").groupBy("query_id").agg(F.collect_list("term").alias("others"))
+    left = met.join(others, "query_id", "left").join(items.select("id", text.alias("_text")), "id")
+    return left.where("others IS NULL OR forall(others, t -> contains(_text, t))").select("query_id", "id")
 
 
 def short_terms(items: DataFrame, words: list[str]) -> DataFrame:

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import uuid
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import short_error
+
+
+def travels(module: str) -> None:
+    """Functions of this module go to tasks by value, so executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
 
 def folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine that has none gets a local one."""
@@ -89,6 +98,30 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def run_started(runs: DataFrame) -> DataFrame:
+    """Log rows of runs (run_id, started_at) that begin."""
+    return runs.select("run_id", F.lit(0).alias("step"), "started_at", F.lit("running").alias("status"), *[F.lit(None).cast(k).alias(c) for c, k in (("fetched", "bigint"), ("valid", "bigint"), ("error", "string"))])
+
+
+def run_ended(runs: DataFrame) -> DataFrame:
+    """Log rows of runs (run_id, started_at, success, fetched, valid, error) that end."""
+    status = F.when(F.col("success"), "success").otherwise("failed")
+    return runs.select("run_id", F.lit(1).alias("step"), "started_at", status.alias("status"), F.col("fetched").cast("bigint").alias("fetched"), F.col("valid").cast("bigint").alias("valid"), short_error(F.col("error")).alias("error"))
+
+
+def latest_runs(log: DataFrame) -> DataFrame:
+    """The latest row of each run."""
+    columns = [c for c in log.columns if c not in ("run_id", "step")]
+    return log.groupBy("run_id").agg(F.max_by(F.struct(*columns), "step").alias("row")).select("run_id", "row.*")
+
+
+def enrichment_stats(rows: DataFrame) -> DataFrame:
+    """One row of counts of rows of hit, answered, valid and tokens: candidates, cache_hits, success, fallback, failed, tokens."""
+    hit, good = F.col("hit"), F.col("answered") & F.col("valid")
+    spent = F.sum(F.when(~hit & F.col("answered"), F.col("tokens")).otherwise(0))
+    return rows.agg(F.count("*").alias("candidates"), F.count_if(hit).alias("cache_hits"), F.count_if(~hit & good).alias("success"), F.count_if(~hit & ~good).alias("fallback"), F.count_if(~hit & ~F.col("answered")).alias("failed"), spent.cast("bigint").alias("tokens"))
+
+
 def report(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows of each table."""
     return reduce(DataFrame.union, [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, t in sorted(tables.items())])

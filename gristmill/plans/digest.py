@@ -25,3 +25,28 @@ def digest(articles: DataFrame, sources: DataFrame, start: Column, end: Column,
     best = labelled(kept).withColumn("score", ranking.base_score(start, end, F.lit(1))).orderBy(*order).limit(most)
     # as few rows as the limit, so numbering them in one task is bounded
     return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "id", "title_original", "topic", "company", "score")
+
+
+def digest_windows(links: DataFrame, articles: DataFrame) -> DataFrame:
+    """digest_date, window_start, window_end of each stored digest: a window starts where the one before ends, else a day before its own end. One row a day."""
+    ends = links.join(articles.select(F.col("id").alias("news_id"), "published_at"), "news_id").groupBy("digest_date").agg(F.max("published_at").alias("window_end"))
+    before = F.lag("window_end").over(Window.orderBy("digest_date"))
+    return ends.select("digest_date", F.coalesce(before, F.col("window_end") - F.expr("INTERVAL 24 HOURS")).alias("window_start"), "window_end")
+
+
+def rebuilt(items: DataFrame, windows: DataFrame, most: int) -> DataFrame:
+    """digest_date, news_id, position of the digests of some windows, ranked anew from the archive (labelled), each row's recency in its own window.
+
+    Windows are cut by days, so that an article meets those of its day by an equality.
+    """
+    days = windows.withColumn("day", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))))
+    rows = items.withColumn("day", F.to_date("published_at")).join(days, "day").where(times.in_window(F.col("published_at"), F.col("window_start"), F.col("window_end")))
+    scored = rows.withColumn("base_score", F.round(ranking.base_score(F.col("window_start"), F.col("window_end"), F.lit(1)), 4))
+    return ranking.diverse_top(scored, most).select("digest_date", F.col("id").alias("news_id"), (F.col("rank") - 1).alias("position"))
+
+
+def rebuild_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """change (added, removed), digest_date, news_id: what storing new (of the dates that both have) would change in old. Store with tables.replaced."""
+    keys = ["digest_date", "news_id"]
+    added = new.join(old, keys, "left_anti").select(F.lit("added").alias("change"), *keys)
+    return added.unionByName(old.join(new, keys, "left_anti").select(F.lit("removed").alias("change"), *keys))

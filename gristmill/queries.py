@@ -11,6 +11,7 @@ from gristmill import views
 from gristmill.functions import rules, text, times, urls
 from gristmill.operators import dedup, ranking, tables
 from gristmill.plans.digest import digest, labelled
+from gristmill.sources import listings
 
 View = Callable[[str], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,9 +82,9 @@ def flt_domain_block(v: View) -> DataFrame:
     return v("hits").where(~F.arrays_overlap(urls.suffixes(F.col("domain")), blocked)).select("event_id", "domain")
 
 
-def _re2(terms: str, after: str) -> str:
+def _re2(terms: tuple[str, ...], after: str) -> str:
     """The same test for an engine without look-around."""
-    words = [w.replace(".", "\\.") for w in rules.words_of(terms)]
+    words = [w.replace(".", "\\.") for w in terms]
     return f"(^|[^a-z0-9])({'|'.join(words)})($|{after})".replace("'", "''")
 
 
@@ -144,10 +145,23 @@ def src_missing_body(v: View) -> DataFrame:
     return rows.select("id", "published_at").orderBy("published_at", "id")
 
 
-@query("src_json_listing", ["events"], "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, json_extract(props, '$.results') IS NULL AS no_list FROM events")
+@query("src_json_listing", ["hits"], "SELECT day, query, n % 7 <> 3 AS found, CASE n % 7 WHEN 3 THEN '' WHEN 1 THEN 'data.items' WHEN 2 THEN 'documents' ELSE 'results' END AS list_key, CASE WHEN n % 7 = 3 THEN 0 ELSE CAST(skipped AS INT) END AS skipped_no_url, CASE WHEN n % 7 = 3 THEN 0 ELSE CAST(rows - skipped AS INT) END AS hits, CASE WHEN n % 7 = 3 THEN 0 ELSE CAST(chars AS BIGINT) END AS title_chars FROM (SELECT day, query, min(event_id) AS n, count(*) AS rows, count(*) FILTER (WHERE event_id % 10 = 0) AS skipped, coalesce(sum(length(title)) FILTER (WHERE event_id % 10 <> 0), 0) AS chars FROM hits GROUP BY day, query) AS a")
 def src_json_listing(v: View) -> DataFrame:
-    doc = F.try_parse_json("props")
-    return v("events").select("event_id", F.try_variant_get(doc, "$.k", "string").alias("k"), F.try_variant_get(doc, "$.results", "variant").isNull().alias("no_list"))
+    """Answers written as JSON from the hits of a day and query, with the names that several providers use, some without a list; and read again."""
+    n, url = F.col("event_id"), F.when(F.col("event_id") % 10 != 0, F.col("url"))
+    row = F.struct("title", F.when(n % 2 == 0, url).alias("url"), F.when(n % 2 == 1, url).alias("link"), F.col("published_at").cast("string").alias("publishedDate"), F.col("provider_score").alias("score"))
+    answers = v("hits").groupBy("day", "query").agg(F.min("event_id").alias("n"), F.collect_list(row).alias("rows"))
+    kind = F.col("n") % 7
+    none = F.lit(None).cast(answers.schema["rows"].dataType)
+    answer = F.struct(
+        F.when(kind.isin(1, 2, 3), none).otherwise(F.col("rows")).alias("results"),
+        F.struct(F.when(kind == 1, F.col("rows")).alias("items")).alias("data"),
+        F.when(kind == 2, F.col("rows")).alias("documents"),
+        F.when(kind == 3, F.col("rows")).alias("entries"),
+    )
+    read = listings.results(answers.select("day", "query", F.to_json(answer).alias("json")))
+    chars = F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, h: s + F.length(h["title"]))
+    return read.select("day", "query", "found", "list_key", "skipped_no_url", F.size("hits").alias("hits"), chars.alias("title_chars"))
 
 
 _CANON = r"""regexp_replace(CASE WHEN doc_id % 5 = 1 THEN concat('https://', source_id, '.example.com/a/', doc_id % 700, '?b=2') ELSE concat('https://', source_id, '.example.com/a/', doc_id % 700) END, '/$', '')"""
@@ -290,9 +304,8 @@ def proj_repo(v: View) -> DataFrame:
 def _rules_sql(column: str, found, default: str) -> str:
     cases = []
     for name, terms in found:
-        words = rules.words_of(terms)
-        latin = [w.replace(".", "\\.") for w in words if all(ord(c) <= 0x2E00 for c in w)]
-        cjk = [w for w in words if any(ord(c) > 0x2E00 for c in w)]
+        latin = [w.replace(".", "\\.") for w in terms if all(ord(c) <= 0x2E00 for c in w)]
+        cjk = [w for w in terms if any(ord(c) > 0x2E00 for c in w)]
         pattern = "|".join([f"(^|[^a-z0-9])({'|'.join(latin)})($|[^a-z0-9])"] * bool(latin) + cjk)
         cases.append(f"WHEN regexp_matches({column}, '{pattern}') THEN '{name}'")
     return f"CASE {' '.join(cases)} ELSE '{default}' END"
@@ -316,23 +329,32 @@ def fn_label(v: View) -> DataFrame:
 
 
 _LATIN = r"[a-z0-9][a-z0-9._\-]*"
-_TOKENS = f"list_distinct(list_filter(list_transform(regexp_extract_all(lower(title_original), '{_LATIN}'), lambda x: regexp_replace(x, '^[._\\-]+|[._\\-]+$', '', 'g')), lambda x: regexp_matches(x, '^[0-9]+$') OR (length(x) >= 2 AND NOT list_contains([{', '.join(repr(w) for w in text.STOP_WORDS)}], x))))"
 
 
-@query("fn_tokens", ["articles"], f"SELECT id, CAST(len({_TOKENS}) AS INT) AS n_tokens, array_to_string(list_sort({_TOKENS}), ' ') AS tokens FROM articles WHERE doc_id % 11 <> 4")
+def _tokens_sql(column: str) -> str:
+    """Tokens of a column: words, and pairs of CJK characters."""
+    words = f"list_filter(list_transform(regexp_extract_all(lower({column}), '{_LATIN}'), lambda x: regexp_replace(x, '^[._\\-]+|[._\\-]+$', '', 'g')), lambda x: regexp_matches(x, '^[0-9]+$') OR (length(x) >= 2 AND NOT list_contains([{', '.join(repr(w) for w in text.STOP_WORDS)}], x)))"
+    pairs = f"flatten(list_transform(regexp_extract_all({column}, '{text.CJK}'), lambda run: CASE WHEN length(run) = 1 THEN [run] ELSE list_transform(range(1, length(run)), lambda i: substring(run, CAST(i AS INT), 2)) END))"
+    return f"list_distinct(list_concat({words}, {pairs}))"
+
+
+_TOKENS = _tokens_sql("title_original")
+
+
+@query("fn_tokens", ["articles"], f"SELECT id, CAST(len({_TOKENS}) AS INT) AS n_tokens, array_to_string(list_sort({_TOKENS}), ' ') AS tokens FROM articles")
 def fn_tokens(v: View) -> DataFrame:
     found = text.tokens(F.col("title_original"))
-    return v("articles").where("doc_id % 11 <> 4").select("id", F.size(found).alias("n_tokens"), F.array_join(F.array_sort(found), " ").alias("tokens"))
+    return v("articles").select("id", F.size(found).alias("n_tokens"), F.array_join(F.array_sort(found), " ").alias("tokens"))
 
 
-@query("fn_version_tokens", ["articles"], f"SELECT id, array_to_string(list_sort(list_filter({_TOKENS}, lambda x: regexp_matches(x, '[0-9]'))), ' ') AS versions FROM articles WHERE doc_id % 11 <> 4")
+@query("fn_version_tokens", ["articles"], f"SELECT id, array_to_string(list_sort(list_filter({_TOKENS}, lambda x: regexp_matches(x, '[0-9]'))), ' ') AS versions FROM articles")
 def fn_version_tokens(v: View) -> DataFrame:
-    return v("articles").where("doc_id % 11 <> 4").select("id", F.array_join(F.array_sort(text.versions(text.tokens(F.col("title_original")))), " ").alias("versions"))
+    return v("articles").select("id", F.array_join(F.array_sort(text.versions(text.tokens(F.col("title_original")))), " ").alias("versions"))
 
 
-@query("fn_figures", ["articles"], f"SELECT id, array_to_string(list_sort(list_filter({_TOKENS}, lambda x: regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '^(19|20)[0-9][0-9]$'))), ' ') AS figures FROM articles WHERE doc_id % 11 <> 4")
+@query("fn_figures", ["articles"], f"SELECT id, array_to_string(list_sort(list_filter({_TOKENS}, lambda x: regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '^(19|20)[0-9][0-9]$'))), ' ') AS figures FROM articles")
 def fn_figures(v: View) -> DataFrame:
-    return v("articles").where("doc_id % 11 <> 4").select("id", F.array_join(F.array_sort(text.figures(text.tokens(F.col("title_original")))), " ").alias("figures"))
+    return v("articles").select("id", F.array_join(F.array_sort(text.figures(text.tokens(F.col("title_original")))), " ").alias("figures"))
 
 
 @query("fn_distinctive_terms", ["articles"], r"SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(title_original), '[a-z]+[a-z0-9]*[.\-]?[0-9][a-z0-9._\-]*'))), ' ') AS terms FROM articles")
@@ -392,13 +414,9 @@ def join_repo_metadata(v: View) -> DataFrame:
     return v("repos").join(m, "rank", "left").select("rank", "repo", F.col("has").isNull().alias("strict"))
 
 
-@query("join_title_48h", ["raw_articles"], f"SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, published_at AS p, {_NORMAL} AS k FROM raw_articles) AS a JOIN (SELECT doc_id, published_at AS p, {_NORMAL} AS k FROM raw_articles) AS b ON a.k = b.k AND a.k <> '' AND a.doc_id < b.doc_id AND b.p - a.p <= INTERVAL 48 HOUR AND a.p - b.p <= INTERVAL 48 HOUR WHERE a.doc_id = (SELECT max(c.doc_id) FROM raw_articles AS c WHERE regexp_replace(c.title, ' ', '', 'g') = regexp_replace((SELECT title FROM raw_articles AS d WHERE d.doc_id = b.doc_id), ' ', '', 'g') AND c.doc_id < b.doc_id AND c.published_at IS NOT NULL)")
+@query("join_title_48h", ["raw_articles"], f"SELECT a, b FROM (SELECT doc_id AS b, p, lag(doc_id) OVER w AS a, lag(p) OVER w AS before FROM (SELECT doc_id, published_at AS p, {_NORMAL} AS k FROM raw_articles WHERE published_at IS NOT NULL) AS x WHERE k <> '' WINDOW w AS (PARTITION BY k ORDER BY p, doc_id)) AS y WHERE p - before <= INTERVAL 48 HOUR")
 def join_title_48h(v: View) -> DataFrame:
-    rows = v("raw_articles").where("published_at IS NOT NULL").withColumn("k", text.normal_title(F.col("title"))).where("k <> ''")
-    order = Window.partitionBy("k").orderBy("doc_id")
-    rows = rows.withColumn("a", F.lag("doc_id").over(order)).withColumn("p", F.lag("published_at").over(order))
-    near = F.abs(F.unix_micros("published_at") - F.unix_micros("p")) <= dedup.HORIZON
-    return rows.where(near).select("a", F.col("doc_id").alias("b"))
+    return dedup.title_links(v("raw_articles"))
 
 
 @query("join_enrichment", ["articles"], "SELECT id, coalesce(e.title_cn, a.title_original) AS title, e.id2 IS NULL AS needs_work FROM articles AS a LEFT JOIN (SELECT id AS id2, title_cn, sha256(concat(url, chr(10), title_original)) AS key FROM articles WHERE title_cn <> '') AS e ON sha256(concat(a.url, chr(10), a.title_original)) = e.key")
@@ -437,11 +455,6 @@ def event_view(v: View) -> DataFrame:
     return rows.unionByName(more)
 
 
-@query("join_event_pairs", ["articles"])
-def join_event_pairs(v: View) -> DataFrame:
-    return dedup.match_events(event_view(v))
-
-
 @query("dedup_event", ["articles"])
 def dedup_event(v: View) -> DataFrame:
     items = event_view(v)
@@ -463,16 +476,44 @@ def agg_rrf(v: View) -> DataFrame:
     return ranking.reciprocal_ranks(v("hits")).select("url", "domain", "rrf_score", "n_queries")
 
 
-@query("agg_discovery_funnel", ["hits"], "SELECT CASE WHEN domain = 's7.example.com' THEN 'social' WHEN published_at IS NULL THEN 'missing_time' WHEN published_at > TIMESTAMP '2024-01-15' OR TIMESTAMP '2024-01-15' - published_at >= INTERVAL 24 HOUR THEN 'outside_24h' ELSE 'inside' END AS gate, count(*) AS n FROM hits GROUP BY 1")
-def agg_discovery_funnel(v: View) -> DataFrame:
-    inside = times.within_hours(F.col("published_at"), at("2024-01-15 00:00:00"), 24, closed=False)
-    gate = F.when(F.col("domain") == "s7.example.com", "social").when(F.col("published_at").isNull(), "missing_time").when(~inside, "outside_24h").otherwise("inside")
-    return v("hits").groupBy(gate.alias("gate")).agg(F.count("*").alias("n"))
+_FOUND_AT = "2024-01-15 00:00:00"
+_HIT_TOPICAL = _IS_TOPICAL.replace("doc_id, source_id, t, ", "*, ").replace("doc_id, source_id, ", "*, ").replace("FROM raw_articles", "FROM hits")
+_GATES = f"""SELECT *, CASE WHEN domain = 's7.example.com' THEN 'social' WHEN published_at IS NULL THEN 'missing_time' WHEN published_at > TIMESTAMP '{_FOUND_AT}' OR TIMESTAMP '{_FOUND_AT}' - published_at >= INTERVAL 24 HOUR THEN 'outside_24h' WHEN NOT topical THEN 'not_ai' ELSE 'kept' END AS gate FROM ({_HIT_TOPICAL}) AS t0"""
+_FUNNEL = f"""WITH g AS ({_GATES}),
+r AS (SELECT url, min(domain) AS domain, max(published_at) AS published_at, sum(1.0 / (60 + rank)) AS s, count(*) AS n FROM (SELECT url, query, min(domain) AS domain, min(rank) AS rank, max(published_at) AS published_at FROM g WHERE gate = 'kept' GROUP BY url, query) AS b GROUP BY url),
+c AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY s DESC, coalesce(epoch_us(published_at), 0) DESC, url) AS k FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY s DESC, coalesce(epoch_us(published_at), 0) DESC, url) AS position FROM c WHERE k <= 2),
+d AS (SELECT domain, count(*) AS n, (SELECT count(*) FROM p WHERE p.domain = r.domain AND position <= 24) AS taken FROM r GROUP BY domain)
+SELECT (SELECT count(*) FROM g) AS raw, (SELECT count(*) FROM g WHERE gate = 'social') AS social, (SELECT count(*) FROM g WHERE gate = 'missing_time') AS missing_time, (SELECT count(*) FROM g WHERE gate = 'outside_24h') AS outside_24h,
+  (SELECT count(*) FROM g WHERE gate IN ('not_ai', 'kept')) AS inside_24h, (SELECT count(*) FROM g WHERE gate = 'not_ai') AS not_ai, (SELECT count(*) FROM r) AS unique_urls, (SELECT count(*) FROM r WHERE n > 1) AS several_queries,
+  (SELECT CAST(coalesce(sum(taken), 0) AS BIGINT) FROM d) AS selected, (SELECT CAST(coalesce(sum(n - taken) FILTER (WHERE taken >= 2), 0) AS BIGINT) FROM d) AS dropped_domain_cap, (SELECT CAST(coalesce(sum(n - taken) FILTER (WHERE taken < 2), 0) AS BIGINT) FROM d) AS dropped_candidate_cap"""
 
 
-@query("agg_search_summary", ["hits"], "SELECT count(*) AS raw, count(DISTINCT url) AS uniq, count(*) - count(DISTINCT url) AS duplicates, count(DISTINCT domain) AS domains, count(*) FILTER (WHERE published_at IS NULL) AS unknown_time FROM hits")
-def agg_search_summary(v: View) -> DataFrame:
-    return v("hits").agg(F.count("*").alias("raw"), F.count_distinct("url").alias("uniq"), (F.count("*") - F.count_distinct("url")).alias("duplicates"), F.count_distinct("domain").alias("domains"), F.count_if(F.col("published_at").isNull()).alias("unknown_time"))
+@query("agg_discovery_funnel", ["hits"], _FUNNEL)
+def agg_discovery_funnel(v: View) -> DataFrame:
+    """Hits by the first gate that stops them, then what merging by URL and the caps leave."""
+    inside = times.within_hours(F.col("published_at"), at(_FOUND_AT), 24, closed=False)
+    gate = F.when(F.col("domain") == "s7.example.com", "social").when(F.col("published_at").isNull(), "missing_time").when(~inside, "outside_24h").when(~rules.topical(F.col("title"), F.col("summary")), "not_ai").otherwise("kept")
+    hits = v("hits").withColumn("gate", gate)
+    gates = hits.agg(
+        F.count("*").alias("raw"),
+        *[F.count_if(F.col("gate") == g).alias(g) for g in ("social", "missing_time", "outside_24h")],
+        F.count_if(F.col("gate").isin("not_ai", "kept")).alias("inside_24h"),
+        F.count_if(F.col("gate") == "not_ai").alias("not_ai"),
+    )
+    merged = ranking.reciprocal_ranks(hits.where("gate = 'kept'"))
+    urls_found = merged.agg(F.count("*").alias("unique_urls"), F.count_if(F.col("n_queries") > 1).alias("several_queries"))
+    # three tables of one row
+    return gates.join(urls_found).join(ranking.selection_counts(merged))
+
+
+_SUMMARY = f"""WITH t AS ({_HIT_TOPICAL}), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY query, day, rank) AS k FROM t) AS x WHERE k = 1)
+SELECT (SELECT count(*) FROM t) AS raw, (SELECT count(*) FROM t) - count(*) AS duplicates, count(*) AS uniq, count(DISTINCT coalesce(nullif(domain, ''), '(no host)')) AS domains, count(*) FILTER (WHERE s.domain2 IS NOT NULL) AS known, count(*) FILTER (WHERE s.domain2 IS NULL) AS discovered,
+  count(published_at) AS published, count(*) FILTER (WHERE published_at <= TIMESTAMP '{_FOUND_AT}' AND TIMESTAMP '{_FOUND_AT}' - published_at <= INTERVAL 24 HOUR) AS inside_24h,
+  count(*) FILTER (WHERE published_at > TIMESTAMP '{_FOUND_AT}' OR TIMESTAMP '{_FOUND_AT}' - published_at > INTERVAL 24 HOUR) AS outside_24h, count(*) FILTER (WHERE published_at IS NULL) AS unknown_time, count(*) FILTER (WHERE NOT topical) AS irrelevant,
+  count(*) FILTER (WHERE user_id % 60 < 10) AS portal, count(*) FILTER (WHERE user_id % 60 BETWEEN 10 AND 24) AS research, count(*) FILTER (WHERE user_id % 60 BETWEEN 25 AND 39) AS media, count(*) FILTER (WHERE user_id % 60 >= 40) AS unknown_quality,
+  count(*) FILTER (WHERE domain IN ('s1.example.com', 's2.example.com')) AS second_hand, count(*) FILTER (WHERE user_id % 2 = 0) AS tagged, count(DISTINCT concat('v', user_id % 5)) AS genres
+FROM u LEFT JOIN (SELECT concat('s', n, '.example.com') AS domain2 FROM sources) AS s ON u.domain = s.domain2"""
 
 
 @query("agg_domain_histogram", ["hits"], "SELECT coalesce(nullif(domain, ''), '(no host)') AS domain, count(*) AS n FROM hits GROUP BY 1 ORDER BY n DESC, 1")
@@ -512,9 +553,11 @@ def agg_org_sources(v: View) -> DataFrame:
     return v("sources").groupBy("organization").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"), F.count("*").alias("n"))
 
 
-@query("agg_digest_summaries", ["articles", "links"], "SELECT digest_date, count(*) AS news_count, least(count(*), 10) AS top_count FROM links GROUP BY digest_date ORDER BY digest_date DESC")
+@query("agg_digest_summaries", ["links", "project_links"], "SELECT digest_date, news_count, coalesce(project_count, 0) AS project_count, least(news_count, 10) AS top_count FROM (SELECT digest_date, count(*) AS news_count FROM links GROUP BY digest_date) AS n LEFT JOIN (SELECT digest_date AS d, count(*) AS project_count FROM project_links GROUP BY digest_date) AS p ON n.digest_date = p.d ORDER BY digest_date DESC")
 def agg_digest_summaries(v: View) -> DataFrame:
-    return v("links").groupBy("digest_date").agg(F.count("*").alias("news_count"), F.least(F.count("*"), F.lit(10)).alias("top_count")).orderBy(F.desc("digest_date"))
+    news = v("links").groupBy("digest_date").agg(F.count("*").alias("news_count"))
+    rows = news.join(v("project_links").groupBy("digest_date").agg(F.count("*").alias("p")), "digest_date", "left")
+    return rows.select("digest_date", "news_count", F.coalesce("p", F.lit(0)).alias("project_count"), F.least("news_count", F.lit(10)).alias("top_count")).orderBy(F.desc("digest_date"))
 
 
 @query("agg_store_stats", ["articles", "links", "repos"], "SELECT (SELECT count(DISTINCT digest_date) FROM links) AS digests, (SELECT count(*) FROM articles) AS articles, (SELECT count(*) FROM repos) AS projects")
@@ -556,12 +599,6 @@ def agg_media_stats(v: View) -> DataFrame:
     return ranking.media_decisions(v("articles")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("agg_extraction_stats", ["articles"], "SELECT count(*) FILTER (WHERE content_extraction_method = 'web') AS web, count(*) FILTER (WHERE content_extraction_method = 'rss_full') AS rss_full, count(*) FILTER (WHERE content_extraction_method = 'rss_summary') AS fallback, count(*) FILTER (WHERE content_extraction_method = '') AS failed FROM articles")
-def agg_extraction_stats(v: View) -> DataFrame:
-    how = F.col("content_extraction_method")
-    return v("articles").agg(*[F.count_if(how == m).alias(n) for n, m in (("web", "web"), ("rss_full", "rss_full"), ("fallback", "rss_summary"), ("failed", ""))])
-
-
 @query("agg_type_counts", ["articles"], "SELECT t.source_type, count(a.id) AS n FROM (VALUES ('official'), ('research'), ('media'), ('community')) AS t(source_type) LEFT JOIN articles AS a ON a.source_type = t.source_type GROUP BY t.source_type")
 def agg_type_counts(v: View) -> DataFrame:
     rows = v("articles")

@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import quality, times, urls
-from gristmill.operators import dedup, ranking, search, tables
-from gristmill.plans.digest import digest
-from gristmill.queries import FROM, TO, _LABELS, _OUTCOMES, View, at, event_view, labelled, outcomes, query, scored, source_of_domain
-from gristmill.sources import pages
+from gristmill.functions import quality, rules, text, times, urls
+from gristmill.operators import bodies, dedup, ranking, search, tables
+from gristmill.plans.digest import digest, digest_windows, rebuild_changes, rebuilt
+from gristmill.queries import _FOUND_AT, _LABELS, _OUTCOMES, _SUMMARY, FROM, TO, View, _tokens_sql, at, event_view, labelled, outcomes, query, source_of_domain
+from gristmill.sources import listings, pages
 from gristmill.streaming import jobs
 
+# Pairs that tell one event, by comparing all within 48 hours
+
+
+def _any(column: str, words: tuple[str, ...]) -> str:
+    return f"list_has_any({column}, [{', '.join(repr(w) for w in words)}])"
+
+
+_OPPOSED = " OR ".join(f"({_any('a.bo', x)} AND {_any('b.bo', y)}) OR ({_any('a.bo', y)} AND {_any('b.bo', x)})" for x, y in text.OPPOSITES)
+_DICE = "CASE WHEN len(a.{0}) = 0 OR len(b.{0}) = 0 THEN 0.0 ELSE 2.0 * CAST(len(list_intersect(a.{0}, b.{0})) AS DOUBLE) / (len(a.{0}) + len(b.{0})) END"
+MATCHES = rf"""WITH items AS (SELECT id, title_original, title_cn, summary, published_at FROM articles UNION ALL SELECT concat('b', id), title_original, title_cn, summary, published_at + INTERVAL 5 HOUR FROM articles WHERE doc_id % 4 = 0),
+texts AS (SELECT id, epoch_us(published_at) AS us, concat(coalesce(title_original, ''), ' ', coalesce(title_cn, '')) AS ttl, concat(coalesce(summary, ''), ' ') AS bod FROM items WHERE published_at IS NOT NULL),
+sets AS (SELECT *, {_tokens_sql('ttl')} AS tt, {_tokens_sql('bod')} AS bt, trim(bod) = '' AS bare, list_distinct(regexp_extract_all(lower(ttl), '[a-z]+[a-z0-9]*[.\-]?[0-9][a-z0-9._\-]*')) AS terms FROM texts),
+boths AS (SELECT *, list_distinct(list_concat(tt, bt)) AS bo FROM sets),
+f AS (SELECT *, list_filter(bo, lambda x: regexp_matches(x, '[0-9]')) AS ve, list_filter(bo, lambda x: regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '^(19|20)[0-9][0-9]$') AND regexp_matches(x, '[a-z]')) AS fi FROM boths),
+p AS (SELECT a.id AS a, b.id AS b, CAST(abs(a.us - b.us) AS DOUBLE) / 3600000000 AS hours_apart, {_DICE.format('tt')} AS title_similarity, {_DICE.format('bt')} AS body, a.bare OR b.bare AS bare, list_has_any(a.terms, b.terms) AS shared, list_has_any(a.fi, b.fi) AS figure
+  FROM f AS a JOIN f AS b ON a.id < b.id AND abs(a.us - b.us) <= 172800000000 WHERE (len(a.ve) = 0 OR len(b.ve) = 0 OR list_has_any(a.ve, b.ve)) AND NOT ({_OPPOSED})),
+r AS (SELECT *, CASE WHEN bare THEN CASE WHEN title_similarity >= 0.9 AND shared THEN 'title_similarity' END WHEN body < 0.62 THEN CASE WHEN body >= 0.45 AND title_similarity >= 0.7 AND figure THEN 'same_headline_and_figure' END
+  WHEN title_similarity >= CASE WHEN shared THEN 0.3 ELSE 0.45 END THEN CASE WHEN shared THEN 'shared_term_text_similarity' ELSE 'text_similarity' END END AS reason FROM p)
+SELECT a, b, reason, CASE WHEN bare THEN title_similarity ELSE (title_similarity + body) / 2 END AS score, title_similarity, hours_apart FROM r WHERE reason IS NOT NULL"""
+
 # Sources and tables
 
 
@@ -40,13 +61,13 @@ def sink_upsert_projects(v: View) -> DataFrame:
     return tables.upserted(old, old.where("rank % 4 = 0").withColumn("stars", F.col("stars") + 1000), "rank")
 
 
-@query("sink_run_log", ["run_log"], "SELECT run_id, CASE WHEN success THEN 'success' WHEN run_id % 2 = 0 THEN 'failed' ELSE 'running' END AS status FROM run_log")
+@query("sink_run_log", ["run_log"], r"SELECT run_id, CASE WHEN success THEN 'success' WHEN run_id % 2 = 0 THEN 'failed' ELSE 'running' END AS status, CASE WHEN success OR run_id % 2 = 0 THEN fetched END AS fetched, CASE WHEN success OR run_id % 2 = 0 THEN valid END AS valid, CASE WHEN run_id % 2 = 0 THEN nullif(substring(trim(regexp_replace(error, '\s+', ' ', 'g')), 1, 300), '') END AS error FROM run_log")
 def sink_run_log(v: View) -> DataFrame:
-    """An append-only log: a row at the start of a run, another at its end; the latest counts."""
-    runs = v("run_log")
-    started = runs.select("run_id", F.lit(0).alias("step"), F.lit("running").alias("status"))
-    ended = runs.where("success OR run_id % 2 = 0").select("run_id", F.lit(1).alias("step"), F.when(F.col("success"), "success").otherwise("failed").alias("status"))
-    return started.unionByName(ended).groupBy("run_id").agg(F.max_by("status", "step").alias("status"))
+    """An append-only log: a row at the start of a run, another with counts and a short error at its end; the latest counts."""
+    runs = v("run_log").withColumn("success", F.coalesce("success", F.lit(False)))
+    ended = runs.where("success OR run_id % 2 = 0")
+    log = tables.run_started(runs.select("run_id", "started_at")).unionByName(tables.run_ended(ended.select("run_id", "started_at", "success", "fetched", "valid", "error")))
+    return tables.latest_runs(log).select("run_id", "status", "fetched", "valid", "error")
 
 
 @query("sink_add_columns", ["repos", "repo_metadata"], "SELECT repo, stars, NULL AS forks FROM repos UNION ALL SELECT repo, NULL, forks FROM repo_metadata")
@@ -54,9 +75,10 @@ def sink_add_columns(v: View) -> DataFrame:
     return v("repos").select("repo", "stars").unionByName(v("repo_metadata").select("repo", "forks"), allowMissingColumns=True)
 
 
-@query("join_digest_projects", ["repos", "repo_metadata"], "SELECT r.repo, r.rank, m.license FROM repos AS r JOIN repo_metadata AS m ON r.rank = m.part WHERE r.rank <= 500")
+@query("join_digest_projects", ["project_links", "repo_metadata"], "SELECT l.digest_date, r.repo, r.rank, coalesce(m.license, '') AS license FROM project_links AS l JOIN repos AS r ON l.rank = r.rank LEFT JOIN repo_metadata AS m ON r.rank = m.part")
 def join_digest_projects(v: View) -> DataFrame:
-    return v("repos").where("rank <= 500").join(v("repo_metadata").select(F.col("part").alias("rank"), "license"), "rank").select("repo", "rank", "license")
+    rows = v("project_links").join(v("repos").select("rank", "repo"), "rank").join(v("repo_metadata").select(F.col("part").alias("rank"), "license"), "rank", "left")
+    return rows.select("digest_date", "repo", "rank", F.coalesce("license", F.lit("")).alias("license"))
 
 
 @query("join_body_cache", ["articles"], "SELECT a.id, b.url IS NOT NULL AS cached FROM articles AS a LEFT JOIN (SELECT DISTINCT url FROM articles WHERE content_extraction_method = 'web' AND content_original <> '') AS b ON a.url = b.url")
@@ -75,11 +97,11 @@ def join_favorites(v: View) -> DataFrame:
     return news.unionByName(projects).select("item_type", "item_id", "title")
 
 
-@query("join_existing_news", ["articles", "links"], "SELECT news_id, row_number() OVER (ORDER BY part, position, news_id) - 1 AS position FROM (SELECT news_id, min(part) AS part, min_by(position, part) AS position FROM (SELECT news_id, 0 AS part, position FROM links WHERE digest_date = '2024-01-03' UNION ALL SELECT id, 1, doc_id FROM articles WHERE doc_id BETWEEN 200 AND 300) AS u GROUP BY news_id) AS w")
+@query("join_existing_news", ["articles", "links"], "SELECT news_id, row_number() OVER (ORDER BY part, position, news_id) - 1 AS position FROM (SELECT news_id, min(part) AS part, min_by(position, part) AS position FROM (SELECT news_id, 0 AS part, position FROM links WHERE digest_date = '2024-01-03' UNION ALL SELECT id, 1, doc_id FROM articles WHERE published_at > TIMESTAMP '2024-01-03' AND published_at <= TIMESTAMP '2024-01-04') AS u GROUP BY news_id) AS w")
 def join_existing_news(v: View) -> DataFrame:
-    """The links of a date first, then new rows, each id once: one day's links, so one task numbers them."""
+    """The links of a date first, then the rows of its window, each id once: one day's rows, so one task numbers them."""
     old = v("links").where("digest_date = '2024-01-03'").select("news_id", F.lit(0).alias("part"), F.col("position").cast("long").alias("position"))
-    new = v("articles").where("doc_id BETWEEN 200 AND 300").select(F.col("id").alias("news_id"), F.lit(1).alias("part"), F.col("doc_id").alias("position"))
+    new = v("articles").where(times.in_window(F.col("published_at"), at("2024-01-03 00:00:00"), at("2024-01-04 00:00:00"))).select(F.col("id").alias("news_id"), F.lit(1).alias("part"), F.col("doc_id").alias("position"))
     rows = dedup.first_by_key(old.unionByName(new), ["news_id"], F.col("part"), F.col("position"))
     return rows.select("news_id", (F.row_number().over(Window.orderBy("part", "position", "news_id")) - 1).alias("position"))
 
@@ -100,13 +122,9 @@ def dedup_event_sizes(v: View) -> DataFrame:
 
 @query("dedup_event_reason", ["articles", "sources"])
 def dedup_event_reason(v: View) -> DataFrame:
-    """Why each folded item is where it is: its best match in the cluster, else that it came through others."""
+    """Why each folded item is where it is."""
     items, matches, clusters = _clustered(v)
-    winners = dedup.event_winners(items, clusters, v("sources")).select("cluster", F.col("id").alias("winner"))
-    folded = clusters.join(winners, "cluster").where("id <> winner")
-    both = matches.select(F.col("a").alias("id"), F.col("b").alias("winner"), "reason", "score").unionByName(matches.select(F.col("b").alias("id"), F.col("a").alias("winner"), "reason", "score"))
-    out = folded.join(both, ["id", "winner"], "left")
-    return out.select("id", "winner", F.coalesce("reason", F.lit("transitive_cluster")).alias("reason"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return dedup.merge_evidence(matches, clusters, dedup.event_winners(items, clusters, v("sources")))
 
 
 @query("dedup_keep_order", ["articles", "sources"])
@@ -166,10 +184,11 @@ def agg_source_class_map(v: View) -> DataFrame:
     return hits.join(known, "domain", "left").groupBy("domain", F.col("source_id").isNotNull().alias("known")).agg(F.count("*").alias("n"))
 
 
-@query("agg_enrichment_stats", ["articles"], "SELECT count(*) AS candidates, count(*) FILTER (WHERE title_cn <> '') AS cache_hits, count(*) FILTER (WHERE title_cn = '' AND why_it_matters <> '') AS success, count(*) FILTER (WHERE title_cn = '' AND why_it_matters = '') AS fallback FROM articles")
+@query("agg_enrichment_stats", ["articles"], "SELECT count(*) AS candidates, count(*) FILTER (WHERE hit) AS cache_hits, count(*) FILTER (WHERE NOT hit AND answered AND valid) AS success, count(*) FILTER (WHERE NOT hit AND NOT (answered AND valid)) AS fallback, count(*) FILTER (WHERE NOT hit AND NOT answered) AS failed, CAST(sum(CASE WHEN NOT hit AND answered THEN 50 + doc_id % 700 ELSE 0 END) AS BIGINT) AS tokens FROM (SELECT doc_id, title_cn <> '' AS hit, doc_id % 8 <> 6 AS answered, why_it_matters <> '' AS valid FROM articles) AS x")
 def agg_enrichment_stats(v: View) -> DataFrame:
-    hit, done = F.col("title_cn") != "", F.col("why_it_matters") != ""
-    return v("articles").agg(F.count("*").alias("candidates"), F.count_if(hit).alias("cache_hits"), F.count_if(~hit & done).alias("success"), F.count_if(~hit & ~done).alias("fallback"))
+    """Rows from the cache, answered as asked, or left as they were; of these some had no answer at all. Tokens are those of answers."""
+    rows = v("articles").select((F.col("title_cn") != "").alias("hit"), (F.col("doc_id") % 8 != 6).alias("answered"), (F.col("why_it_matters") != "").alias("valid"), (50 + F.col("doc_id") % 700).alias("tokens"))
+    return tables.enrichment_stats(rows)
 
 
 _IN = "published_at > TIMESTAMP '{FROM}' AND published_at <= TIMESTAMP '{TO}'"
@@ -296,19 +315,61 @@ def proj_candidate(v: View) -> DataFrame:
 # Bodies and windows
 
 
-@query("body_select", ["articles"], "SELECT id, CASE WHEN content_original <> '' THEN 'cache' WHEN length(summary) >= 60 THEN 'feed' WHEN summary <> '' THEN 'summary' ELSE 'none' END AS picked FROM articles")
+def _given(v: View) -> DataFrame:
+    """Articles with what a batch has for each: some cached bodies, feed bodies, pages of several lengths, kinds and verdicts, and failed requests."""
+    n, text = F.col("doc_id"), F.coalesce("content_original", F.lit(""))
+    cached = F.when((n % 13 == 0) & (text != ""), F.struct(text.alias("text"), F.lit("web").alias("method"), F.lit("good").alias("quality")))
+    page = F.when(n % 19 != 0, F.when(n % 3 == 0, F.substring(text, 1, 150)).otherwise(text))
+    return v("articles").select(
+        "id",
+        cached.alias("cached"),
+        F.when(n % 2 == 0, F.substring(text, 1, 900)).otherwise("").alias("feed"),
+        F.when(n % 6 == 0, "fallback").otherwise("good").alias("feed_verdict"),
+        page.alias("page"),
+        F.when(n % 9 == 0, "application/pdf").otherwise("text/html").alias("page_type"),
+        F.when(n % 4 == 1, "low").otherwise("good").alias("page_verdict"),
+        F.when(n % 4 == 1, "noisy").otherwise("").alias("page_reason"),
+        F.when(n % 17 == 0, "HTTP 403").alias("page_error"),
+        "summary",
+    )
+
+
+_SELECTED = """SELECT id, CASE WHEN hit THEN length(body) WHEN use_feed THEN length(feed) WHEN error IS NULL THEN length(page) ELSE greatest(length(feed), length(summary)) END AS chars,
+  CASE WHEN hit THEN 'web' WHEN use_feed THEN 'rss_full' WHEN error IS NULL THEN 'web' WHEN feed <> '' OR summary <> '' THEN 'rss_summary' ELSE 'none' END AS method,
+  CASE WHEN hit OR use_feed THEN NULL WHEN error IS NULL THEN NULL ELSE error END AS error, hit AS from_cache
+FROM (SELECT *, doc_id % 13 = 0 AND body <> '' AS hit, length(feed) >= 600 AND doc_id % 6 <> 0 AS use_feed,
+  CASE WHEN doc_id % 17 = 0 THEN 'HTTP 403' WHEN doc_id % 9 = 0 THEN 'not HTML (application/pdf)' WHEN trim(page) = '' THEN 'empty body' WHEN length(page) < 200 THEN concat('page too short (', length(page), ' chars)') WHEN doc_id % 4 = 1 THEN 'low quality page (noisy)' END AS error
+  FROM (SELECT id, doc_id, coalesce(content_original, '') AS body, coalesce(summary, '') AS summary, CASE WHEN doc_id % 2 = 0 THEN substring(coalesce(content_original, ''), 1, 900) ELSE '' END AS feed,
+    CASE WHEN doc_id % 19 = 0 THEN '' WHEN doc_id % 3 = 0 THEN substring(coalesce(content_original, ''), 1, 150) ELSE coalesce(content_original, '') END AS page FROM articles) AS s0) AS s1"""
+
+
+def _bodies(v: View) -> DataFrame:
+    columns = ("cached", "feed", "feed_verdict", "page", "page_type", "page_verdict", "page_reason", "page_error", "summary")
+    return _given(v).select("id", bodies.selected(*[F.col(c) for c in columns]).alias("b")).select("id", "b.*")
+
+
+@query("body_select", ["articles"], _SELECTED)
 def body_select(v: View) -> DataFrame:
-    """The first that serves: a stored body, the feed's, its summary."""
-    picked = F.when(F.col("content_original") != "", "cache").when(F.length("summary") >= 60, "feed").when(F.col("summary") != "", "summary").otherwise("none")
-    return v("articles").select("id", picked.alias("picked"))
+    return _bodies(v).select("id", F.length("text").alias("chars"), "method", "error", "from_cache")
+
+
+@query("agg_extraction_stats", ["articles"], f"SELECT count(*) AS candidates, count(*) FILTER (WHERE method = 'rss_full') AS rss_full, count(*) FILTER (WHERE method = 'web') AS web, count(*) FILTER (WHERE method NOT IN ('rss_full', 'web')) AS fallback, count(error) AS failed, count(*) FILTER (WHERE starts_with(error, 'low quality page')) AS rejected_low_quality, count(*) FILTER (WHERE from_cache) AS cache_hits FROM ({_SELECTED}) AS b")
+def agg_extraction_stats(v: View) -> DataFrame:
+    return bodies.stats(_bodies(v))
+
+
+@query("body_batch", ["raw_articles", "pages"])
+def body_batch(v: View) -> DataFrame:
+    """Every article with the page of its number, where there is one: feed bodies and pages are cleaned and judged, and the best is taken."""
+    rows = v("raw_articles").select(F.concat(F.lit("a"), "doc_id").alias("id"), F.concat(F.lit("u"), "doc_id").alias("url"), "summary", F.when(F.col("doc_id") % 3 == 0, F.col("feed_body")).otherwise("").alias("feed_body"), "doc_id")
+    fetched = v("pages").select(F.concat(F.lit("u"), "page_id").alias("url"), "html", F.when(F.col("page_id") % 9 == 0, "application/pdf").otherwise("text/html").alias("content_type"), F.when(F.col("page_id") % 17 == 0, "HTTP 403").alias("error"))
+    cache = rows.where("doc_id % 13 = 0").select("url", F.lit("kept before").alias("text"), F.lit("web").alias("method"), F.lit("good").alias("quality"))
+    return pages.extracted(rows, fetched, cache).select("id", F.length("text").alias("chars"), "method", "quality", "error", "from_cache")
 
 
 @query("inc_resolve_window", ["articles", "links"], "SELECT digest_date, coalesce(lag(e) OVER (ORDER BY digest_date), e - INTERVAL 24 HOUR) AS window_start, e AS window_end FROM (SELECT digest_date, max(published_at) AS e FROM links AS l JOIN articles AS a ON l.news_id = a.id GROUP BY digest_date) AS d")
 def inc_resolve_window(v: View) -> DataFrame:
-    """A window starts where the one before ends, else a day before its own end. One row a day."""
-    ends = v("links").join(v("articles").select(F.col("id").alias("news_id"), "published_at"), "news_id").groupBy("digest_date").agg(F.max("published_at").alias("window_end"))
-    before = F.lag("window_end").over(Window.orderBy("digest_date"))
-    return ends.select("digest_date", F.coalesce(before, F.col("window_end") - F.expr("INTERVAL 24 HOURS")).alias("window_start"), "window_end")
+    return digest_windows(v("links"), v("articles"))
 
 
 @query("inc_historical_window", ["articles"], "SELECT DISTINCT CAST(d AS VARCHAR) AS digest_date, CAST(d AS TIMESTAMP) - INTERVAL 24 HOUR AS window_start, CAST(d AS TIMESTAMP) AS window_end FROM (SELECT CAST(published_at + INTERVAL 8 HOUR AS DATE) AS d FROM articles WHERE published_at IS NOT NULL) AS x")
@@ -321,11 +382,9 @@ def inc_historical_window(v: View) -> DataFrame:
 
 @query("maint_rebuild_digest", ["articles", "links"])
 def maint_rebuild_digest(v: View) -> DataFrame:
-    """Dry run: each date's links derived anew from the archive, against those stored."""
-    new = ranking.diverse_top(scored(v), 10).select("digest_date", F.col("id").alias("news_id"))
-    old = v("links").where("position < 10").select("digest_date", "news_id")
-    added = new.join(old, ["digest_date", "news_id"], "left_anti").withColumn("change", F.lit("added"))
-    return added.unionByName(old.join(new, ["digest_date", "news_id"], "left_anti").withColumn("change", F.lit("removed")))
+    """Dry run: each date's links derived anew from the archive in the window of that date, against those stored."""
+    articles, links = v("articles"), v("links")
+    return rebuild_changes(links.where("position < 10"), rebuilt(labelled(articles), digest_windows(links, articles), 10))
 
 
 @query("search_hits", ["articles", "links"], f"SELECT l.id, topic, company, f.digest_date AS first_digest_date FROM ({_LABELS}) AS l LEFT JOIN (SELECT news_id, min(digest_date) AS digest_date FROM links GROUP BY news_id) AS f ON l.id = f.news_id WHERE contains(lower(title_original), 'gpt')")
@@ -335,23 +394,11 @@ def search_hits(v: View) -> DataFrame:
     return rows.join(first, "id", "left").select("id", "topic", "company", "first_digest_date")
 
 
-@query("sink_index_rebuild", ["articles"])
-def sink_index_rebuild(v: View) -> DataFrame:
-    return search.postings(labelled(v("articles"))).groupBy("id").agg(F.count("*").alias("grams"))
-
-
-@query("sink_index_refresh", ["articles"])
-def sink_index_refresh(v: View) -> DataFrame:
-    items = labelled(v("articles"))
-    changed = items.where("doc_id % 10 = 0").withColumn("title_original", F.lit("changed headline"))
-    return search.refreshed(tables.stored(search.postings(items), "index"), changed).groupBy("id").agg(F.count("*").alias("grams"))
-
-
 @query("join_search_articles", ["articles"], f"SELECT id, title_original FROM ({_LABELS}) AS l WHERE contains(lower(concat_ws(chr(10), title_cn, title_original, summary, why_it_matters, content_original, source, company, topic)), 'gpt')")
 def join_search_articles(v: View) -> DataFrame:
     items = labelled(v("articles"))
     wanted = items.sparkSession.createDataFrame([(1, "GPT")], "query_id long, query string")
-    return search.candidates(items, wanted).join(items, "id").select("id", "title_original")
+    return search.matches(items, wanted).join(items, "id").select("id", "title_original")
 
 
 @query("join_repo_enrichment", ["repos", "repo_metadata"], "SELECT r.rank, r.repo, m.part IS NULL AS needs_work FROM repos AS r LEFT JOIN (SELECT DISTINCT part, sha256(concat(repo, chr(10), substring(description, 7))) AS key FROM repo_metadata) AS m ON sha256(concat(r.repo, chr(10), r.description)) = m.key AND r.rank = m.part")
@@ -361,9 +408,79 @@ def join_repo_enrichment(v: View) -> DataFrame:
     return rows.select("rank", "repo", F.col("has").isNull().alias("needs_work"))
 
 
-@query("fn_match_event", ["articles"])
+@query("fn_match_event", ["articles"], f"SELECT a, b, reason, score, title_similarity FROM ({MATCHES}) AS m")
 def fn_match_event(v: View) -> DataFrame:
-    return dedup.match_events(event_view(v)).groupBy("reason").agg(F.count("*").alias("n"))
+    return dedup.match_events(event_view(v)).select("a", "b", "reason", "score", "title_similarity")
+
+
+@query("join_event_pairs", ["articles"], MATCHES)
+def join_event_pairs(v: View) -> DataFrame:
+    return dedup.match_events(event_view(v))
+
+
+@query("set_union_coverage", ["run_log", "sources"], f"SELECT organization, channel, o.status, s.name, valid, '' AS note FROM ({_OUTCOMES}) AS o JOIN sources AS s ON o.source_id = s.source_id UNION ALL SELECT 'org1', 'video', 'UNSUPPORTED', NULL, NULL, 'no stable public source' UNION ALL SELECT 'org9', 'video', 'UNSUPPORTED', NULL, NULL, 'no stable public source' ORDER BY 1, CASE status WHEN 'OK' THEN 0 WHEN 'EMPTY' THEN 1 WHEN 'FAIL' THEN 2 ELSE 3 END, 2")
+def set_union_coverage(v: View) -> DataFrame:
+    """Outcomes by organization and channel, with the channels that have no source."""
+    rows = outcomes(v("run_log")).join(v("sources"), "source_id").select("organization", "channel", "status", "name", "valid", F.lit("").alias("note"))
+    unsupported = rows.sparkSession.createDataFrame([("org1", "video"), ("org9", "video")], "organization string, channel string")
+    more = unsupported.select("organization", "channel", F.lit("UNSUPPORTED").alias("status"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("valid"), F.lit("no stable public source").alias("note"))
+    place = F.when(F.col("status") == "OK", 0).when(F.col("status") == "EMPTY", 1).when(F.col("status") == "FAIL", 2).otherwise(3)
+    return rows.unionByName(more).orderBy("organization", place, "channel")
+
+
+@query("agg_search_summary", ["hits", "sources"], _SUMMARY)
+def agg_search_summary(v: View) -> DataFrame:
+    """What a round of searches found: a URL counts once, with its first hit."""
+    hits = v("hits")
+    first = dedup.first_by_key(hits, ["url"], F.col("query"), F.col("day"), F.col("rank"))
+    domains = first.select("domain").distinct()
+    known = source_of_domain(domains, v("sources").withColumn("domain", F.concat(F.lit("s"), F.col("n"), F.lit(".example.com"))))
+    watched = F.array(F.lit("s1.example.com"), F.lit("s2.example.com"))
+    rows = first.join(known, "domain", "left").join(source_quality(domains), "domain").withColumn("seen", F.col("source_id").isNotNull())
+    when, now, n = F.col("published_at"), at(_FOUND_AT), F.count("*")
+    inside = times.within_hours(when, now, 24)
+    one = rows.agg(
+        n.alias("uniq"),
+        F.count_distinct(F.coalesce(F.nullif("domain", F.lit("")), F.lit("(no host)"))).alias("domains"),
+        F.count_if("seen").alias("known"),
+        F.count_if(~F.col("seen")).alias("discovered"),
+        F.count(when).alias("published"),
+        F.count_if(inside).alias("inside_24h"),
+        F.count_if(when.isNotNull() & ~inside).alias("outside_24h"),
+        F.count_if(when.isNull()).alias("unknown_time"),
+        F.count_if(~rules.topical(F.col("title"), F.col("summary"))).alias("irrelevant"),
+        *[F.count_if(F.col("bucket") == b).alias(b if b != "unknown" else "unknown_quality") for b in ("portal", "research", "media", "unknown")],
+        F.count_if(F.arrays_overlap(urls.suffixes(F.col("domain")), watched)).alias("second_hand"),
+        F.count_if(F.col("user_id") % 2 == 0).alias("tagged"),
+        F.count_distinct(F.col("user_id") % 5).alias("genres"),
+    )
+    # two tables of one row
+    return hits.agg(n.alias("raw")).join(one).withColumn("duplicates", F.col("raw") - F.col("uniq"))
+
+
+_TITLE30 = "lower(trim(regexp_replace(coalesce(substring(text, 1, 30), ''), '\\s+', ' ', 'g')))"
+
+
+@query("fn_drop_leading_title", ["documents"], rf"""SELECT doc_id, CAST(len(blocks) - CASE WHEN wanted <> '' AND head <> '' AND (head = wanted OR (least(length(head), length(wanted)) >= 20 AND least(length(head), length(wanted)) >= 0.6 * greatest(length(head), length(wanted)) AND (starts_with(head, wanted) OR starts_with(wanted, head)))) THEN 1 ELSE 0 END AS INT) AS n_blocks
+FROM (SELECT doc_id, blocks, wanted, lower(trim(regexp_replace(blocks[1], '^[# ]+', ''))) AS head FROM (SELECT doc_id, string_split(text, chr(10)) AS blocks, {_TITLE30} AS wanted FROM documents) AS d0) AS d1""".replace("\\\\s", "\\s"))
+def fn_drop_leading_title(v: View) -> DataFrame:
+    """Lines as blocks; the first 30 characters as title."""
+    blocks = F.split("text", "\n")
+    return v("documents").select("doc_id", F.size(text.without_title(blocks, F.substring("text", 1, 30))).alias("n_blocks"))
+
+
+@query("src_link_cards", ["raw_articles"], r"SELECT doc_id // 50 AS page_id, concat('https://q.example.com/blog/', doc_id) AS url, trim(regexp_replace(replace(replace(title, '<', ''), '&', ''), '\s+', ' ', 'g'), ' ·|—–-') AS title, date_trunc('day', published_at) AS published_at FROM raw_articles WHERE published_at IS NOT NULL")
+def src_link_cards(v: View) -> DataFrame:
+    """Listing pages written from the articles, fifty cards a page, some with a cover link, a reading time or a tag link beside; and read again."""
+    n, day = F.col("doc_id"), F.coalesce(F.date_format("published_at", "MMM d, yyyy"), F.lit("soon"))
+    link = F.concat(F.lit('<a href="/blog/'), n, F.lit('">'))
+    title = F.replace(F.replace("title", F.lit("<"), F.lit("")), F.lit("&"), F.lit(""))
+    card = F.when(n % 2 == 0, F.concat(F.lit("<div>"), link, F.lit('<img alt="cover"></a>'), link, F.lit("<h3>"), title, F.lit('</h3></a><p class="meta date">'), day, F.lit(" · 5 min read</p></div>"))).otherwise(
+        F.concat(F.lit("<section>"), link, title, F.lit(" "), day, F.lit('</a><span><time>'), day, F.lit('</time></span><a href="/blog/tag/x">a much longer tag text than any title could ever be, to be sure that it is not taken for the headline of this card</a></section>'))
+    )
+    html = F.concat(F.lit("<html><body><main>"), F.array_join(F.collect_list(card), ""), F.lit("</main></body></html>"))
+    listing = v("raw_articles").groupBy(F.floor(n / 50).alias("page_id")).agg(html.alias("html"))
+    return listings.link_cards(listing, "/blog/", "https://q.example.com").select("page_id", "url", "title", "published_at")
 
 
 @query("src_embedded_json", ["articles"], "SELECT doc_id AS page_id, id, title_original AS title FROM articles")
@@ -390,4 +507,4 @@ def inc_refresh(v: View) -> DataFrame:
     path = f"{tables.folder(spark)}/input-{tables.unique()}"
     articles.write.parquet(path)
     stream = spark.readStream.schema(articles.schema).parquet(path)
-    return jobs.refreshed(stream, tables.folder(spark), lambda archive: digest(archive, sources, at(FROM), at(TO)))
+    return jobs.refreshed(stream, tables.folder(spark), lambda archive: digest(archive, sources, at(FROM), at(TO)), datetime.fromisoformat(FROM), datetime.fromisoformat(TO))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import quality, text
+from gristmill.functions.urls import canonical_url
+from gristmill.operators import dedup, search, tables
 from gristmill.operators import repos as repositories
-from gristmill.operators import search, tables
-from gristmill.queries import View, labelled, query
+from gristmill.queries import _CANON, _LABELS, View, _tokens_sql, labelled, query
 from gristmill.sources import feeds, pages
 from gristmill.streaming import jobs
 
@@ -16,20 +17,40 @@ _FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _BLOCKS = r"list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '')"
 
 
-@query("fn_quality", ["documents"])
+_NOISE = "|".join(quality.NOISE).replace("'", "''")
+_MARKS = "[|•·»«‣▸▶]"
+_ENDS = "[.!?。！？；;:…]"
+_QUALITY = rf"""SELECT doc_id, CASE WHEN reason IN ('empty', 'too_short') THEN 'fallback' WHEN reason = '' THEN 'good' ELSE 'low' END AS verdict, chars, n AS paragraphs, coalesce(noise / n, 0.0) AS noise, coalesce(repeated / n, 0.0) AS duplicate, coalesce(short / n, 0.0) AS short, reason
+FROM (SELECT *, CASE WHEN n = 0 OR chars = 0 THEN 'empty' WHEN floor(length(text) - wide + 2.5 * wide) < 400 THEN 'too_short' WHEN n = 1 AND (regexp_matches(flat, '{_MARKS}') OR NOT regexp_matches(substring(flat, 1, 200), '{_ENDS}')) THEN 'menu_like'
+    WHEN noise / n > 0.35 THEN 'noisy' WHEN repeated / n > 0.35 THEN 'repetitive' WHEN short / n > 0.6 THEN 'label_like' ELSE '' END AS reason
+  FROM (SELECT *, CAST(len(lows) AS INT) AS n, CAST(length(trim(text, ' ')) AS INT) AS chars, len(regexp_extract_all(text, '{text.WIDE}')) AS wide, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS flat, len(list_filter(blocks, lambda b: length(b) <= 45)) AS short, len(lows) - len(list_distinct(lows)) AS repeated,
+      len(list_filter(lows, lambda x: x <> '' AND length(x) <= 120 AND regexp_matches(trim(regexp_replace(x, '^[#\->* ]+', ''), ' '), '{_NOISE}'))) AS noise
+    FROM (SELECT *, list_transform(blocks, lambda b: lower(trim(regexp_replace(b, '\s+', ' ', 'g'), ' '))) AS lows
+      FROM (SELECT doc_id, coalesce(text, '') AS text, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS blocks FROM documents) AS q0) AS q1) AS q2) AS q3"""
+
+
+@query("fn_quality", ["documents"], _QUALITY)
 def fn_quality(v: View) -> DataFrame:
     return v("documents").select("doc_id", quality.quality(F.col("text"), F.lit("web")).alias("q")).select("doc_id", "q.*")
 
 
-@query("fn_noise_paragraph", ["documents"])
+@query("fn_noise_paragraph", ["documents"], rf"SELECT doc_id, CAST(i - 1 AS INT) AS line FROM (SELECT doc_id, i, lower(trim(regexp_replace(ls[i], '\s+', ' ', 'g'), ' ')) AS low FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) AS x) AS y) AS z WHERE low <> '' AND length(low) <= 120 AND regexp_matches(trim(regexp_replace(low, '^[#\->* ]+', ''), ' '), '{_NOISE}')")
 def fn_noise_paragraph(v: View) -> DataFrame:
     lines = v("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
     return lines.where(quality.is_noise(F.col("x"))).select("doc_id", "line")
 
 
-@query("fn_language", ["documents"], "SELECT doc_id, CASE WHEN trim(substring(text, 1, 4000)) = '' THEN '' WHEN regexp_matches(substring(text, 1, 4000), '[A-Za-z]') THEN 'en' ELSE 'und' END AS language FROM documents")
+#: Beginnings in other scripts, so that every language is met.
+_SCRIPTS = ("", "これはテストです ", "이것은 시험입니다 문장 ", "Это проверка текста ", "这是一个测试文本 ")
+_COUNTS = ", ".join(f"len(regexp_extract_all(head, '{p}')) AS {c}" for c, p in (("kana", "[぀-ヿ]"), ("hangul", "[가-힯]"), ("cyrillic", "[Ѐ-ӿ]"), ("cjk", "[㐀-䶿一-鿿豈-﫿]"), ("latin", "[A-Za-z]")))
+_STARTS = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SCRIPTS))
+
+
+@query("fn_language", ["documents"], f"SELECT doc_id, CASE WHEN trim(head, ' ') = '' THEN '' WHEN kana >= 5 THEN 'ja' WHEN hangul >= 5 AND hangul > latin THEN 'ko' WHEN cyrillic >= 5 AND cyrillic > latin THEN 'ru' WHEN cjk >= 5 AND cjk >= latin THEN 'zh' WHEN latin > 0 THEN 'en' ELSE 'und' END AS language FROM (SELECT doc_id, head, {_COUNTS} FROM (SELECT doc_id, substring(concat(CASE doc_id % 5 {_STARTS} END, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(text, '') END), 1, 4000) AS head FROM documents) AS x) AS y")
 def fn_language(v: View) -> DataFrame:
-    return v("documents").select("doc_id", quality.language(F.col("text")).alias("language"))
+    start = F.element_at(F.array(*[F.lit(x) for x in _SCRIPTS]), (F.col("doc_id") % 5 + 1).cast("int"))
+    rest = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.coalesce("text", F.lit("")))
+    return v("documents").select("doc_id", quality.language(F.concat(start, rest)).alias("language"))
 
 
 @query("fn_query_tokens", ["hits"], "SELECT event_id, CAST(least(len(list_distinct(list_filter(string_split(concat(query, ' ', domain, ' ', query), ' '), lambda x: x <> ''))), 8) AS INT) AS n FROM hits")
@@ -62,18 +83,29 @@ def _pairs(v: View) -> DataFrame:
     return rows.join(rows.select((F.col("doc_id") + 11).alias("doc_id"), F.col("title_original").alias("other")), "doc_id")
 
 
-@query("fn_dice", ["articles"])
+_TOKENED = f"SELECT id, doc_id, {_tokens_sql('title_original')} AS ta FROM articles"
+_OTHER = f"SELECT doc_id + 11 AS doc_id, {_tokens_sql('title_original')} AS tb, {_tokens_sql("concat(title_original, CASE WHEN doc_id % 2 = 1 THEN ' passes' ELSE ' fails' END)")} AS tc FROM articles"
+
+
+@query("fn_dice", ["articles"], f"SELECT id, CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0 ELSE 2.0 * CAST(len(list_intersect(ta, tb)) AS DOUBLE) / (len(ta) + len(tb)) END AS dice FROM ({_TOKENED}) AS a JOIN ({_OTHER}) AS b ON a.doc_id = b.doc_id")
 def fn_dice(v: View) -> DataFrame:
     return _pairs(v).select("id", text.dice(text.tokens(F.col("title_original")), text.tokens(F.col("other"))).alias("dice"))
 
 
-@query("fn_opposite_stance", ["articles"])
+def _side(column: str, words: tuple[str, ...]) -> str:
+    return f"list_has_any({column}, [{', '.join(repr(w) for w in words)}])"
+
+
+_OPPOSED = " OR ".join(f"({_side('ta', x)} AND {_side('tc', y)}) OR ({_side('ta', y)} AND {_side('tc', x)})" for x, y in text.OPPOSITES)
+
+
+@query("fn_opposite_stance", ["articles"], f"SELECT id, {_OPPOSED} AS opposed FROM ({_TOKENED}) AS a JOIN ({_OTHER}) AS b ON a.doc_id = b.doc_id")
 def fn_opposite_stance(v: View) -> DataFrame:
     rows = _pairs(v).withColumn("other", F.concat("other", F.when(F.col("doc_id") % 2 == 0, " passes").otherwise(" fails")))
     return rows.select("id", text.opposed(text.stances(text.tokens(F.col("title_original"))), text.stances(text.tokens(F.col("other")))).alias("opposed"))
 
 
-@query("fn_substantive", ["articles"])
+@query("fn_substantive", ["articles"], f"SELECT id, array_to_string(list_sort(list_filter({_tokens_sql('title_original')}, lambda x: regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '^(19|20)[0-9][0-9]$') AND regexp_matches(x, '[a-z]'))), ' ') AS figures FROM articles")
 def fn_substantive(v: View) -> DataFrame:
     return v("articles").select("id", F.array_join(F.array_sort(text.substantive(text.figures(text.tokens(F.col("title_original"))))), " ").alias("figures"))
 
@@ -101,12 +133,30 @@ def _judged(v: View) -> DataFrame:
     return repositories.judged(rows.select("rank", "repo", "name", "description", "more", topics.alias("topics"), F.col("has").isNull().alias("strict")))
 
 
-@query("flt_repo_relevance", ["repos", "repo_metadata"])
+def _found_sql(column: str, keywords: tuple[str, ...]) -> str:
+    low = f"regexp_replace(lower({column}), '[-_/]+', ' ', 'g')"
+    hits = [f"CASE WHEN contains({low}, '{k}') THEN '{k}' END" if " " in k else f"CASE WHEN regexp_matches({low}, '(^|[^a-z0-9]){k}s?($|[^a-z0-9])') THEN '{k}' END" for k in keywords]
+    return f"list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL)"
+
+
+_KINDS = (("core", repositories.CORE), ("tool", repositories.TOOLING), ("weak", repositories.WEAK))
+_REPO = f"""SELECT rank, repo, strict, score, CASE WHEN against AND NOT content_core THEN 'none' WHEN strict THEN CASE WHEN content_core AND score >= 3 THEN 'core' WHEN named THEN 'explicit-name' ELSE 'none' END
+  WHEN content_core THEN 'core' WHEN named THEN 'explicit-name' WHEN any_core AND score >= 6 THEN 'core' WHEN content_tool AND any_core THEN 'tooling' WHEN len(weak) >= 2 AND weak_fields >= 2 AND any_core THEN 'weak-keywords' ELSE 'none' END AS route
+FROM (SELECT *, CAST(CASE WHEN ts > 0 THEN 4 ELSE 0 END + CASE WHEN ds > 0 THEN 3 ELSE 0 END + CASE WHEN ns > 0 THEN 2 ELSE 0 END + least(2, greatest(ts - 1, 0) + greatest(ds - 1, 0) + greatest(ns - 1, 0)) + least(len(weak), 3) AS INT) AS score,
+    len(description_core) + len(name_core) > 0 AS content_core, len(description_tool) + len(name_tool) > 0 AS content_tool, len(description_core) + len(name_core) + len(topics_core) > 0 AS any_core, list_has_any(name_core, [{', '.join(repr(k) for k in repositories.EXPLICIT)}]) AS named
+  FROM (SELECT *, len(topics_core) + len(topics_tool) AS ts, len(description_core) + len(description_tool) AS ds, len(name_core) + len(name_tool) AS ns, list_distinct(list_concat(list_concat(topics_weak, description_weak), name_weak)) AS weak,
+      CAST(len(topics_weak) > 0 AS INT) + CAST(len(description_weak) > 0 AS INT) + CAST(len(name_weak) > 0 AS INT) AS weak_fields, len({_found_sql("concat_ws(' ', topics, description, name)", repositories.AGAINST)}) > 0 AS against
+    FROM (SELECT *, {', '.join(f"{_found_sql(f, words)} AS {f}_{k}" for f in ('topics', 'description', 'name') for k, words in _KINDS)}
+      FROM (SELECT r.rank, r.repo, m.part IS NULL AS strict, CASE WHEN m.part IS NOT NULL AND r.rank % 3 = 0 THEN 'llm agents' ELSE '' END AS topics, trim(concat_ws(' ', r.description, nullif(m.description, ''))) AS description, concat_ws(' ', r.repo, r.name) AS name
+        FROM repos AS r LEFT JOIN repo_metadata AS m ON r.rank = m.part) AS r0) AS r1) AS r2) AS r3"""
+
+
+@query("flt_repo_relevance", ["repos", "repo_metadata"], f"SELECT rank, repo, score, route, route <> 'none' AS accepted FROM ({_REPO}) AS x")
 def flt_repo_relevance(v: View) -> DataFrame:
     return _judged(v).select("rank", "repo", "score", "route", "accepted")
 
 
-@query("agg_repo_stats", ["repos", "repo_metadata"])
+@query("agg_repo_stats", ["repos", "repo_metadata"], f"SELECT count(*) AS parsed, count(*) FILTER (WHERE route <> 'none') AS accepted, count(*) FILTER (WHERE NOT strict) AS metadata_ok, least(count(*) FILTER (WHERE route <> 'none'), 10) AS selected FROM ({_REPO}) AS x")
 def agg_repo_stats(v: View) -> DataFrame:
     return _judged(v).agg(F.count("*").alias("parsed"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("strict")).alias("metadata_ok"), F.least(F.count_if("accepted"), F.lit(10)).alias("selected"))
 
@@ -118,21 +168,47 @@ def _queries(v: View) -> DataFrame:
     return common.select(F.xxhash64("query").alias("query_id"), "query")
 
 
-@query("search_index", ["articles"])
+_GRAMMED = f"SELECT id, unnest(list_distinct(flatten(list_transform([{', '.join(f'lower(coalesce({c}, {chr(39)*2}))' for c in search.WEIGHTS)}], lambda s: list_transform(range(1, greatest(length(s) - 1, 1)), lambda i: substring(s, CAST(i AS INT), 3)))))) AS gram FROM ({_LABELS}) AS l"
+
+
+@query("search_index", ["articles"], f"SELECT gram, count(*) AS n FROM ({_GRAMMED}) AS g GROUP BY gram")
 def search_index(v: View) -> DataFrame:
     return search.postings(labelled(v("articles"))).groupBy("gram").agg(F.count("*").alias("n"))
 
 
+@query("sink_index_rebuild", ["articles"], f"SELECT id, count(*) AS grams FROM ({_GRAMMED}) AS g GROUP BY id")
+def sink_index_rebuild(v: View) -> DataFrame:
+    return search.postings(labelled(v("articles"))).groupBy("id").agg(F.count("*").alias("grams"))
+
+
+@query("sink_index_refresh", ["articles"], f"SELECT id, count(*) AS grams FROM ({_GRAMMED.replace('lower(coalesce(title_original, ' + chr(39) * 2 + '))', 'CASE WHEN doc_id % 10 = 0 THEN ' + chr(39) + 'changed headline' + chr(39) + ' ELSE lower(coalesce(title_original, ' + chr(39) * 2 + ')) END')}) AS g GROUP BY id")
+def sink_index_refresh(v: View) -> DataFrame:
+    items = labelled(v("articles"))
+    changed = items.where("doc_id % 10 = 0").withColumn("title_original", F.lit("changed headline"))
+    return search.refreshed(tables.stored(search.postings(items), "index"), changed).groupBy("id").agg(F.count("*").alias("grams"))
+
+
 @query("search_bm25", ["articles"])
 def search_bm25(v: View) -> DataFrame:
     items = tables.stored(labelled(v("articles")), "items")
     return search.ranked(items, tables.stored(_queries(v), "queries"))
 
 
-@query("search_batch", ["articles"])
+_BATCH = r"SELECT query FROM (SELECT lower(array_to_string(string_split(regexp_replace(title_original, '[^A-Za-z0-9 \-]', '', 'g'), ' ')[1:2], ' ')) AS query FROM articles) AS w WHERE length(query) > 4 GROUP BY query HAVING count(*) >= 20"
+_WHOLE = " OR ".join(f"contains(lower(coalesce({c}, '')), term)" for c in search.WEIGHTS)
+
+
+@query("search_batch", ["articles"], f"SELECT query, count(*) AS hits FROM (SELECT query, id, count(DISTINCT term) AS n, any_value(k) AS k FROM (SELECT query, unnest(list_distinct(list_filter(string_split(query, ' '), lambda x: x <> ''))) AS term, len(list_distinct(list_filter(string_split(query, ' '), lambda x: x <> ''))) AS k FROM ({_BATCH}) AS q) AS b JOIN ({_LABELS}) AS l2 ON {_WHOLE} GROUP BY query, id) AS z WHERE n = k GROUP BY query")
 def search_batch(v: View) -> DataFrame:
     items, queries = tables.stored(labelled(v("articles")), "items"), tables.stored(_queries(v), "queries")
-    return search.candidates(items, queries).groupBy("query_id").agg(F.count("*").alias("hits")).join(queries, "query_id").select("query", "hits")
+    return search.matches(items, queries).groupBy("query_id").agg(F.count("*").alias("hits")).join(queries, "query_id").select("query", "hits")
+
+
+@query("search_unicode", ["articles"], f"SELECT query, count(*) AS hits FROM (SELECT 1 AS k, 'GPT' AS query UNION ALL SELECT 2, 'weights Qwen' UNION ALL SELECT 3, 'chip 标题' UNION ALL SELECT 4, 'AI study') AS q JOIN (SELECT id, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') AS ws, lower(x) AS x FROM (SELECT id, concat_ws(chr(10), {', '.join(f"coalesce({c}, '')" for c in search.WEIGHTS)}) AS x FROM ({_LABELS}) AS l1) AS l2) AS l3 ON CASE k WHEN 1 THEN list_contains(ws, 'gpt') WHEN 2 THEN list_contains(ws, 'weights') AND list_contains(ws, 'qwen') WHEN 3 THEN list_contains(ws, 'chip') AND contains(x, '标题') ELSE list_contains(ws, 'ai') AND list_contains(ws, 'study') END GROUP BY query")
+def search_unicode(v: View) -> DataFrame:
+    items = labelled(v("articles"))
+    queries = items.sparkSession.createDataFrame([(1, "GPT"), (2, "weights Qwen"), (3, "chip 标题"), (4, "AI study")], "query_id long, query string")
+    return search.by_words(items, queries).groupBy("query_id").agg(F.count("*").alias("hits")).join(queries, "query_id").select("query", "hits")
 
 
 @query("search_short_terms", ["articles"], "SELECT id, contains(lower(title_cn), 'ai') OR contains(lower(title_original), 'ai') AS title_hit FROM articles WHERE contains(lower(coalesce(title_cn, '')), 'ai') OR contains(lower(title_original), 'ai') OR contains(lower(summary), 'ai') OR contains(lower(why_it_matters), 'ai') OR contains(lower(coalesce(content_original, '')), 'ai') OR contains(lower(source), 'ai')")
@@ -150,24 +226,36 @@ def body_clean_html(v: View) -> DataFrame:
     return pages.bodies(v("pages")).select("page_id", "title", "body", "quality.verdict", "quality.reason", "error")
 
 
-@query("src_feed_xml", ["raw_articles"], "SELECT source_id, count(*) AS items, count(*) FILTER (WHERE title <> '' AND published_at IS NOT NULL) AS valid, CAST(sum(length(url)) AS BIGINT) AS url_chars FROM raw_articles GROUP BY source_id")
+@query("src_feed_xml", ["raw_articles"], "SELECT source_id, count(*) AS items, count(*) FILTER (WHERE title <> '' AND published_at IS NOT NULL AND link IS NOT NULL) AS valid, CAST(sum(length(link)) AS BIGINT) AS url_chars, CAST(sum(length(trim(regexp_replace(CASE WHEN length(coalesce(feed_body, '')) >= length(coalesce(summary, '')) THEN coalesce(feed_body, '') ELSE summary END, '[\\s]+', '', 'g')))) AS BIGINT) AS body_chars, false AS failed FROM (SELECT *, CASE doc_id // 200 % 3 WHEN 2 THEN concat('https://base.example.com/r/', doc_id) WHEN 1 THEN CASE WHEN starts_with(url, 'http') THEN url ELSE 'https://base.example.com/x' END ELSE CASE WHEN starts_with(url, 'http') THEN url END END AS link FROM raw_articles) AS a GROUP BY source_id UNION ALL SELECT 'broken', 0, 0, NULL, NULL, true")
 def src_feed_xml(v: View) -> DataFrame:
-    """Feeds written as XML from the articles, two hundred items a feed, and read again."""
+    """Feeds written as XML from the articles, two hundred items a feed: RSS, Atom, and RSS with links relative to the site; and read again with a broken one."""
 
-    def tag(name: str, value: Column) -> Column:
+    def tag(name: str, value: Column, attributes: str = "") -> Column:
         safe = F.replace(F.replace(F.coalesce(value, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-        return F.concat(F.lit(f"<{name}>"), safe, F.lit(f"</{name}>"))
-
-    item = F.concat(F.lit("<item>"), tag("title", F.col("title")), tag("link", F.col("url")), tag("description", F.col("summary")), tag("pubDate", F.date_format("published_at", "d MMM yyyy HH:mm:ss Z")), F.lit("</item>"))
-    xml = F.concat(F.lit("<channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel>"))
-    written = v("raw_articles").groupBy("source_id", F.floor(F.col("doc_id") / 200).alias("part")).agg(xml.alias("xml"))
-    read = feeds.feed_items(written)
-    return read.groupBy("source_id").agg(F.count("*").alias("items"), F.count_if("valid").alias("valid"), F.sum(F.length("url")).alias("url_chars"))
+        return F.concat(F.lit(f"<{name}{attributes}>"), safe, F.lit(f"</{name}>"))
+
+    n, kind, moment = F.col("doc_id"), F.floor(F.col("doc_id") / 200) % 3, F.col("published_at")
+    link = F.when(kind == 2, F.concat(F.lit("/r/"), n)).otherwise(F.col("url"))
+    item = F.concat(F.lit("<item>"), tag("title", F.col("title")), tag("link", link), tag("description", F.col("summary")), tag("content:encoded", F.col("feed_body")), tag("pubDate", F.date_format(moment, "d MMM yyyy HH:mm:ss Z")), F.lit("</item>"))
+    href = F.concat(F.lit('<link rel="self" href="/x"/><link href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"/>'))
+    entry = F.concat(F.lit("<entry>"), tag("title", F.col("title"), ' type="html"'), href, tag("id", F.concat(F.lit("urn:"), n)), tag("summary", F.col("summary")), tag("content", F.col("feed_body"), ' type="html"'), tag("updated", F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("</entry>"))
+    rows = v("raw_articles").select("source_id", F.floor(n / 200).alias("part"), F.when(kind == 1, entry).otherwise(item).alias("item"), (kind == 1).alias("atom"))
+    body = F.array_join(F.collect_list("item"), "")
+    xml = F.when(F.first("atom"), F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), body, F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel>"), body, F.lit("</channel></rss>")))
+    written = rows.groupBy("source_id", "part").agg(xml.alias("xml")).select("source_id", "xml", F.lit("https://base.example.com/feed").alias("base_url"))
+    broken = written.sparkSession.createDataFrame([("broken", "<rss><channel><item>", None)], "source_id string, xml string, base_url string")
+    read = feeds.parsed(written.unionByName(broken))
+    items = feeds.feed_items(written).groupBy("source_id").agg(F.count("*").alias("items"), F.count_if("valid").alias("valid"), F.sum(F.length("url")).alias("url_chars"), F.sum(F.length(F.regexp_replace("body", r"\s+", ""))).alias("body_chars"))
+    failed = read.groupBy("source_id").agg(F.bool_or("failed").alias("failed"))
+    return failed.join(items, "source_id", "left").select("source_id", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("valid", F.lit(0)).alias("valid"), "url_chars", "body_chars", "failed")
 
 
 def _stream(v: View, name: str) -> DataFrame:
-    """A view as a stream: written once, then read file by file."""
-    table = v(name)
+    return _streamed(v(name))
+
+
+def _streamed(table: DataFrame) -> DataFrame:
+    """A table as a stream: written once, then read file by file."""
     spark = table.sparkSession
     path = f"{tables.folder(spark)}/input-{tables.unique()}"
     table.write.parquet(path)
@@ -180,10 +268,20 @@ def stream_url_dedup(v: View) -> DataFrame:
     return jobs.finished(jobs.first_urls(stream).select("url"), tables.folder(stream.sparkSession))
 
 
-@query("stream_title_state", ["raw_articles"])
+_TITLE_KEY = r"""trim(regexp_replace(regexp_replace(lower(trim(title)), '[.,;:!?"''`()\[\]{}]+', ' ', 'g'), '\s+', ' ', 'g'))"""
+_SESSIONS = f"""SELECT title_key, arg_min(url, (source_type <> 'official', priority, published_at, canonical_url, url)) AS url, arg_min(published_at, (source_type <> 'official', priority, published_at, canonical_url, url)) AS published_at, count(*) AS rows
+FROM (SELECT *, sum(CASE WHEN published_at - before <= INTERVAL 48 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY title_key ORDER BY published_at, doc_id) AS session FROM (SELECT *, lag(published_at) OVER (PARTITION BY title_key ORDER BY published_at, doc_id) AS before
+  FROM (SELECT r.doc_id, {_TITLE_KEY} AS title_key, r.source_type, coalesce(s.priority, 1000) AS priority, published_at, {_CANON} AS canonical_url, url FROM raw_articles AS r LEFT JOIN (SELECT source_id AS sid, priority FROM sources) AS s ON r.source_id = s.sid WHERE published_at IS NOT NULL) AS k0 WHERE title_key <> '') AS k1) AS k2 GROUP BY title_key, session"""
+
+
+@query("stream_title_state", ["raw_articles", "sources"], _SESSIONS)
 def stream_title_state(v: View) -> DataFrame:
-    stream = _stream(v, "raw_articles").where("published_at IS NOT NULL").select("title", "published_at")
-    return jobs.finished(jobs.first_titles(stream).select("title_key"), tables.folder(stream.sparkSession))
+    """The articles as a stream, with a last row far ahead that lets all titles be told."""
+    rows = dedup.with_priority(v("raw_articles").where("published_at IS NOT NULL"), v("sources")).withColumn("canonical_url", canonical_url(F.col("url")))
+    rows = rows.select("title", "source_type", "priority", "published_at", "canonical_url", "url")
+    last = rows.agg(F.lit("the end").alias("title"), F.lit("media").alias("source_type"), F.lit(0).alias("priority"), (F.max("published_at") + F.expr("INTERVAL 30 DAYS")).alias("published_at"), F.lit("").alias("canonical_url"), F.lit("").alias("url"))
+    stream = _streamed(rows.unionByName(last))
+    return jobs.finished(jobs.best_titles(stream), tables.folder(stream.sparkSession)).where("title_key <> 'the end'")
 
 
 @query("stream_source_health", ["run_log"], "SELECT source_id, date_trunc('day', started_at) AS day, count(*) AS runs, count(*) FILTER (WHERE NOT success) AS failures FROM run_log GROUP BY ALL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,15 +11,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.quality import is_noise, quality
-
-# Tags whose text is never body, and tags that start a block.
-SKIPPED = frozenset("script style noscript template svg nav footer header aside form button iframe".split())
-BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td div section article main figure br".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CHROME = frozenset("ad ads advert banner breadcrumb cookie menu nav navbar newsletter promo related share sidebar social subscribe".split())
+from gristmill.functions.text import without_title
+from gristmill.operators import bodies as choice
+from gristmill.operators.tables import travels
+
+travels(__name__)
+
+# Tags whose text is never body, tags that start a block, and tags without an end.
+SKIPPED = frozenset((
+    "script", "style", "noscript", "template", "svg", "nav", "footer", "header", "aside", "form", "button", "iframe",
+))
+BLOCKS = frozenset((
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "div", "section", "article", "main", "figure", "br",
+))
+VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
+))
+# Words of class or id that mark page furniture, roles that do, and the roots, which never are.
+CHROME = (
+    "ad", "ads", "advert", "adsbygoogle", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "banner", "paywall", "newsletter",
+    "subscribe", "signup", "signin", "sign-in", "login", "log-in", "social", "share", "sharing", "related", "recommend", "recommended", "recommendation",
+    "relevant", "advertisement", "readmore", "readnext", "popular", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "masthead",
+    "header", "footer", "skip", "search", "modal", "popup", "overlay", "tooltip", "pagination", "pager", "tag", "tags", "byline", "author-card", "authorcard",
+    "author-bio", "comment", "comments", "comment-list", "disqus", "backtotop", "back-to-top", "copyright", "legal", "affiliate", "disclaimer",
+)
+ROLES = frozenset(("navigation", "banner", "contentinfo", "search", "menu", "menubar", "dialog"))
+ROOTS = frozenset(("html", "body", "main", "article"))
+#: A word counts between hyphens, underscores and the ends of all classes and the id together.
+CHROME_WORD = re.compile(rf"(?:^|[-_])(?:{'|'.join(CHROME)})(?:$|[-_])")
 MOST = 40_000
 
 
+def furniture(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Whether an element holds page furniture."""
+    if tag in ROOTS:
+        return False
+    named = " ".join(w for k in ("class", "id") for w in (attrs.get(k) or "").lower().split())
+    return tag in SKIPPED or (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true" or bool(CHROME_WORD.search(named))
+
+
 class Blocks(HTMLParser):
     """Blocks of a page with their marks: # for headings, - for list items, > for quotes."""
 
@@ -44,8 +75,7 @@ class Blocks(HTMLParser):
             self.flush()
             self.mark = "#" * int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else {"li": "-", "blockquote": ">"}.get(tag, "")
         if tag not in VOID:
-            named = {w for k, v in attrs if k in ("class", "id", "role") for w in (v or "").lower().split()}
-            self.open.append((tag, tag in SKIPPED or bool(named & CHROME)))
+            self.open.append((tag, furniture(tag, dict(attrs))))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
@@ -81,12 +111,27 @@ def bodies(pages: DataFrame) -> DataFrame:
     walked = pages.select("page_id", "html").mapInPandas(_walked, "page_id long, title string, blocks array<string>, error string")
     keys = F.transform("blocks", lambda b: F.lower(F.regexp_replace(b, r"^[#>\- ]+", "")))
     kept = F.filter("blocks", lambda b, i: ~is_noise(b) & ((F.length(b) < 30) | (F.array_position(F.col("keys"), F.element_at("keys", i + 1)) == i + 1)))
-    kept = F.when(F.get(kept, F.lit(0)).isNotNull() & (F.lower(F.regexp_replace(F.get(kept, F.lit(0)), "^#+ ", "")) == F.lower("title")), F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1)))).otherwise(kept)
-    body = F.substring(F.array_join(kept, "\n\n"), 1, MOST)
+    body = F.substring(F.array_join(without_title(kept, F.col("title")), "\n\n"), 1, MOST)
     out = walked.withColumn("keys", keys).withColumn("body", body)
     return out.select("page_id", "title", "body", quality(F.col("body"), F.lit("web")).alias("quality"), "error")
 
 
+def extracted(articles: DataFrame, fetched: DataFrame, cache: DataFrame) -> DataFrame:
+    """id, text, method, quality, error, from_cache of every article: a batch in which a row's failure is that row's error.
+
+    articles: id, url, summary, feed_body; fetched: url, html, content_type, error (of the request, or null); cache: url, text, method, quality.
+    """
+    numbered = articles.select("id", "url", "summary", "feed_body")
+    html = fetched.select("url", F.xxhash64("url").alias("page_id"), "html", "content_type", F.col("error").alias("request_error"))
+    pages = html.join(bodies(html), "page_id").select("url", F.col("body").alias("page"), "content_type", F.col("quality.verdict").alias("page_verdict"), F.col("quality.reason").alias("page_reason"), F.coalesce("request_error", F.nullif("error", F.lit(""))).alias("page_error"))
+    feeds = bodies(numbered.select(F.xxhash64("id").alias("page_id"), F.col("feed_body").alias("html"))).select(F.col("page_id").alias("feed_id"), F.col("body").alias("feed"), F.col("quality.verdict").alias("feed_verdict"))
+    known = cache.select("url", F.struct("text", "method", "quality").alias("cached"))
+    rows = numbered.withColumn("feed_id", F.xxhash64("id")).join(feeds, "feed_id").join(pages, "url", "left").join(known, "url", "left")
+    error = F.coalesce(F.col("page_error"), F.when(F.col("page").isNull(), "not fetched"))
+    body = choice.selected(F.col("cached"), F.col("feed"), F.col("feed_verdict"), F.col("page"), F.col("content_type"), F.col("page_verdict"), F.col("page_reason"), error, F.col("summary"))
+    return rows.select("id", body.alias("b")).select("id", "b.*")
+
+
 def _array_after(html: str, marker: str) -> str | None:
     """The balanced [...] that follows a marker; brackets inside strings do not count. Escaped quotes of scripts in strings are undone first."""
     at = html.find(marker)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,18 @@ def first_titles(stream: DataFrame, horizon: str = "48 hours") -> DataFrame:
     return keyed.withWatermark("published_at", horizon).dropDuplicatesWithinWatermark(["title_key"])
 
 
+def best_titles(stream: DataFrame, horizon: str = "48 hours", late: str = "0 seconds") -> DataFrame:
+    """The best row of each normalised title, by the order of dedup.winner_order, once no row has come for the horizon; and how many it stands for.
+
+    Rows of stream have title, source_type, priority, published_at, canonical_url and url. A title's rows are one session while each lies within the horizon of another.
+    """
+    keyed = stream.withColumn("title_key", normal_title(F.col("title"))).where("title_key <> '' AND published_at IS NOT NULL").withWatermark("published_at", late)
+    order = F.struct((F.col("source_type") != "official").alias("rank"), "priority", F.col("published_at").alias("at"), "canonical_url", "url")
+    # a session ends before its gap has passed; a row at the horizon still belongs
+    sessions = keyed.groupBy("title_key", F.session_window("published_at", f"{horizon} 1 microsecond").alias("session")).agg(F.min(order).alias("best"), F.count("*").alias("rows"))
+    return sessions.select("title_key", F.col("best.url").alias("url"), F.col("best.at").alias("published_at"), "rows")
+
+
 def source_health(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Runs and failures of each source and day."""
     days = stream.withWatermark("started_at", late).groupBy(F.window("started_at", "1 day").alias("w"), "source_id")
@@ -44,13 +57,14 @@ def finished(stream: DataFrame, folder: str, keys: list[str] | None = None) -> D
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
 
 
-def refreshed(stream: DataFrame, folder: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Refresh a digest with each batch: late rows are archived too, the plan runs over the whole archive, and an empty result keeps the digest before."""
+def refreshed(stream: DataFrame, folder: str, plan: Callable[[DataFrame], DataFrame], start: datetime, end: datetime) -> DataFrame:
+    """Refresh the digest of a window with each batch: late rows are archived too, by day; the plan reads the window's days only, and an empty result keeps the digest before."""
     spark, path = stream.sparkSession, f"{folder}/refresh-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/archive/batch={number}")
-        made = plan(spark.read.parquet(f"{path}/archive").drop("batch"))
+        batch.withColumn("_day", F.to_date("published_at")).write.partitionBy("_day").mode("overwrite").parquet(f"{path}/archive/batch={number}")
+        days = F.col("_day").between(F.lit(start.date()), F.lit(end.date()))
+        made = plan(spark.read.parquet(f"{path}/archive").where(days).select(*batch.columns))
         if not made.isEmpty():
             made.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/digest/version={number}")
 

@@ -40,6 +40,8 @@ SELECT date_format(published_at, '%Y-%m-%d') AS digest_date, id AS news_id,
 FROM articles WHERE published_at IS NOT NULL AND doc_id % 3 <> 2""",
     "hits": """
 SELECT event_type AS query, event_id, concat('https://s', user_id % 60, '.example.com/p/', user_id) AS url, concat('s', user_id % 60, '.example.com') AS domain,
+  CASE event_id % 5 WHEN 0 THEN 'OpenAI launches GPT-6' WHEN 1 THEN 'Weekly gardening notes' WHEN 2 THEN 'Agents and inference at scale' WHEN 3 THEN 'Cloud pricing drops' ELSE 'A robot and robotics review' END AS title,
+  CASE WHEN event_id % 7 = 0 THEN 'About machine learning' ELSE '' END AS summary,
   CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(ts AS TIMESTAMP) END AS published_at, value AS provider_score, user_id, CAST(ts AS DATE) AS day,
   row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS rank
 FROM events""",
@@ -53,12 +55,14 @@ SELECT p_partkey AS rank, concat('o', p_size, '/', replace(p_name, ' ', '-')) AS
   concat(CASE p_partkey % 8 WHEN 0 THEN 'LLM inference server' WHEN 1 THEN 'A CSS library' WHEN 2 THEN 'AI agent framework' WHEN 3 THEN 'Dotfiles' WHEN 4 THEN 'RAG toolkit'
     WHEN 5 THEN 'Machine learning models' WHEN 6 THEN 'Awesome list' ELSE 'Prompt tools' END, ' ', p_brand) AS description, p_size AS stars, concat(p_partkey * 7 % 3000, ' stars today') AS stars_text
 FROM part""",
+    "project_links": """
+SELECT concat('2024-01-', lpad(CAST(rank % 31 + 1 AS STRING), 2, '0')) AS digest_date, rank FROM repos WHERE rank % 3 <> 1""",
     "repo_metadata": """
 SELECT rank AS part, repo, concat('About ', description) AS description, CASE WHEN rank % 2 = 0 THEN 'MIT' ELSE '' END AS license, CAST(rank % 900 AS INT) AS forks
 FROM repos WHERE rank % 5 <> 0""",
 }
 #: Views that each view reads.
-NEEDS = {"articles": ["raw_articles"], "links": ["raw_articles", "articles"], "repo_metadata": ["repos"]}
+NEEDS = {"articles": ["raw_articles"], "links": ["raw_articles", "articles"], "repo_metadata": ["repos"], "project_links": ["repos"]}
 
 
 def needed(names: list[str]) -> list[str]:

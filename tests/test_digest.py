@@ -206,9 +206,9 @@ def test_search(spark):
 
 
 def test_pages(spark):
-    html = "<html><head><title>T one</title><script>x</script></head><body><nav>menu</nav><h1>T one</h1><p>First <b>bold</b> text</p><ul><li>item</li></ul><div class='ad big'>buy</div><blockquote>said</blockquote><footer>f</footer></body>"
+    html = "<html><head><title>T one</title><script>x</script></head><body><nav>menu</nav><h1>T one</h1><p>First <b>bold</b> text</p><ul><li>item</li></ul><div class='ad-slot big'>buy</div><div id='nav_main'>nav</div><div class='shadow header'>kept header</div><div role='dialog'>d</div><div aria-hidden='true'>h</div><blockquote>said</blockquote><footer>f</footer></body>"
     row = pages.bodies(spark.createDataFrame([(1, html), (2, None), (3, "<p>open <div>never")], "page_id long, html string")).orderBy("page_id").collect()
-    assert (row[0].title, row[0].body) == ("T one", "First bold text\n\n- item\n\n> said") and row[1].body == "" and "never" in row[2].body
+    assert (row[0].title, row[0].body) == ("T one", "First bold text\n\n- item\n\nkept header\n\n> said") and row[1].body == "" and "never" in row[2].body
 
 
 def test_feeds(spark):
