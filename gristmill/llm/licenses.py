@@ -69,7 +69,7 @@ class Scanner:
         self.member = np.zeros((len(self.words), len(self.ids) + 1), bool)
         for t, ws in enumerate(self.words):
             self.member[t, [self.ids[w] for w in ws]] = True
-        self.need = [max(1, -int(-scan.near * len(ws) // 1)) for ws in self.words]
+        self.need = np.array([max(1, -int(-scan.near * len(ws) // 1)) for ws in self.words])
         self.plain = zstandard.ZstdCompressor(level=scan.level, write_content_size=False)
         self.by_template = [
             zstandard.ZstdCompressor(level=scan.level, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
@@ -113,7 +113,9 @@ class Scanner:
         """line, block, license, saved, missing, extra, confirmed of each block of a text, in order."""
         words = words_of(text)
         ids = np.fromiter((self.ids.get(w, 0) for w in words), np.int64, len(words))
-        near = [x for t in range(len(self.words)) for x in self.candidates(t, words, ids, 0, len(words))] if np.count_nonzero(ids) else []
+        # templates of which enough words occur at all
+        enough = self.member @ np.bincount(ids, minlength=self.member.shape[1]) >= self.need
+        near = [x for t in np.flatnonzero(enough).tolist() for x in self.candidates(t, words, ids, 0, len(words))]
         if not near:
             return []
         low = text.lower()
