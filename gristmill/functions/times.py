@@ -42,6 +42,13 @@ def published(text: Column) -> Column:
     return F.coalesce(_first(bare, "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z"), F.expr("NULL"), F.try_to_timestamp(F.trim(text)))
 
 
+def iso_text(text: Column) -> Column:
+    """A time written with or without a zone (then UTC) as ISO in UTC; text that cannot be read stays as it is."""
+    moment = F.try_to_timestamp(F.trim(text))
+    fraction = F.when(F.unix_micros(moment) % 1_000_000 != 0, F.date_format(moment, ".SSSSSS")).otherwise("")
+    return F.when(moment.isNull(), text).otherwise(F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00")))
+
+
 def english_date(text: Column) -> Column:
     return _first(F.regexp_replace(F.trim(text), r"^([A-Za-z]{3})\.", "$1"), "MMM d, yyyy", "MMMM d, yyyy", "yyyy-MM-dd")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import text as T
 from gristmill.functions.urls import canonical_url
 from gristmill.operators.graph import components
-from gristmill.operators.tables import travels
+from gristmill.operators.tables import stored, travels
 
 travels(__name__)
 
@@ -145,7 +145,7 @@ def _candidates(features: DataFrame, column: str, least: float) -> DataFrame:
 
 def match_events(items: DataFrame) -> DataFrame:
     """a, b, reason, score, title_similarity, hours_apart of the pairs that tell one event, a < b. Gates in order: time, versions, stance, body, title."""
-    f = event_features(items)
+    f = stored(event_features(items), "features")
     full, bare = f.where("NOT bare"), f.select("id", "us", "title_tokens")
     pairs = _candidates(full, "body_tokens", 0.45).union(_candidates(bare, "title_tokens", 0.90)).distinct()
     a = f.select([F.col(c).alias("a" if c == "id" else f"a_{c}") for c in f.columns])

@@ -222,6 +222,14 @@ def fn_iso_ts(v: View) -> DataFrame:
     return v("articles").select("id", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("iso"))
 
 
+@query("fn_as_utc", ["articles"], "SELECT id, CASE WHEN doc_id % 5 = 4 THEN 'no time' ELSE concat(strftime(CASE WHEN doc_id % 5 = 1 THEN published_at - INTERVAL 8 HOUR ELSE published_at END, '%Y-%m-%dT%H:%M:%S'), CASE WHEN doc_id % 5 = 3 THEN '.250000' ELSE '' END, '+00:00') END AS iso FROM articles WHERE published_at IS NOT NULL")
+def fn_as_utc(v: View) -> DataFrame:
+    """Times written without a zone, with one, with a Z, with a fraction, and text that is none."""
+    n, day, clock = F.col("doc_id") % 5, F.date_format("published_at", "yyyy-MM-dd"), F.date_format("published_at", "HH:mm:ss")
+    written = F.when(n == 0, F.concat_ws(" ", day, clock)).when(n == 1, F.concat(day, F.lit("T"), clock, F.lit("+08:00"))).when(n == 2, F.concat(day, F.lit("T"), clock, F.lit("Z"))).when(n == 3, F.concat(day, F.lit(" "), clock, F.lit(".25"))).otherwise("no time")
+    return v("articles").where("published_at IS NOT NULL").select("id", times.iso_text(written).alias("iso"))
+
+
 _WIDE = f"len(regexp_extract_all(title, '{text.WIDE}'))"
 
 

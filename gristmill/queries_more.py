@@ -137,7 +137,10 @@ def dedup_keep_order(v: View) -> DataFrame:
 
 @query("agg_event_stats", ["articles"])
 def agg_event_stats(v: View) -> DataFrame:
-    return _clustered(v)[2].agg(F.count("*").alias("candidates"), F.count_distinct("cluster").alias("clusters"), (F.count("*") - F.count_distinct("cluster")).alias("merged"))
+    """Candidates, clusters, what they merge, clusters of several items, and the largest."""
+    sizes = _clustered(v)[2].groupBy("cluster").agg(F.count("*").alias("n"))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return sizes.agg(total.alias("candidates"), F.count("*").alias("clusters"), (total - F.count("*")).alias("merged"), F.count_if(F.col("n") > 1).alias("several"), F.max("n").alias("largest"))
 
 
 # Statistics
