@@ -446,7 +446,16 @@ def dedup_url(v: View) -> DataFrame:
     return dedup.by_url(v("raw_articles"), v("sources")).select("doc_id", "canonical_url")
 
 
-@query("dedup_title", ["raw_articles", "sources"])
+#: Rows of a title in scan order: each takes the number of the first cluster with a member within 48 hours, else its own.
+_TITLED = f"""WITH u AS (SELECT doc_id, canonical_url, url, source_type, priority, published_at, concat(canonical_url, chr(10), url) AS key, epoch_us(published_at) AS us, {_NORMAL} AS title_key FROM ({_BY_URL}) AS u0),
+g AS (SELECT title_key, list([{{{{'key': key, 'us': us, 'c': CAST(1 AS BIGINT)}}}}] ORDER BY canonical_url, url) AS rows FROM u WHERE title_key <> '' AND us IS NOT NULL GROUP BY title_key),
+r AS (SELECT list_reduce(rows, lambda acc, x: list_concat(acc, [{{{{'key': x[1].key, 'us': x[1].us, 'c': coalesce(list_min(list_transform(list_filter(acc, lambda p: abs(p.us - x[1].us) <= 172800000000), lambda p: p.c)), len(acc) + 1)}}}}])) AS rows FROM g),
+c AS (SELECT rows[i].key AS key, rows[rows[i].c].key AS cluster FROM (SELECT rows, unnest(range(1, len(rows) + 1)) AS i FROM r) AS r1),
+n AS (SELECT u.*, coalesce(c.cluster, u.key) AS cluster FROM u LEFT JOIN c ON u.key = c.key)
+SELECT doc_id, canonical_url, cluster FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY source_type <> 'official', priority, published_at NULLS LAST, canonical_url, url) AS k FROM n) AS w WHERE k = 1""".replace("{{", "{").replace("}}", "}")
+
+
+@query("dedup_title", ["raw_articles", "sources"], _TITLED)
 def dedup_title(v: View) -> DataFrame:
     return dedup.title_winners(dedup.by_title(dedup.by_url(v("raw_articles"), v("sources")))).select("doc_id", "canonical_url", "cluster")
 
@@ -463,19 +472,6 @@ def event_view(v: View) -> DataFrame:
     return rows.unionByName(more)
 
 
-@query("dedup_event", ["articles"])
-def dedup_event(v: View) -> DataFrame:
-    items = event_view(v)
-    return dedup.event_clusters(items, tables.stored(dedup.match_events(items), "matches"))
-
-
-@query("dedup_event_winner", ["articles", "sources"])
-def dedup_event_winner(v: View) -> DataFrame:
-    items = event_view(v)
-    clusters = dedup.event_clusters(items, tables.stored(dedup.match_events(items), "matches"))
-    return dedup.event_winners(items, clusters, v("sources")).select("cluster", "id", "cluster_size")
-
-
 # Aggregates
 
 

@@ -115,19 +115,47 @@ def _clustered(v: View) -> tuple[DataFrame, DataFrame, DataFrame]:
     return items, matches, tables.stored(dedup.event_clusters(items, matches), "clusters")
 
 
-@query("dedup_event_sizes", ["articles"])
+#: Items in order of their ids: each takes the number of the first cluster that holds one of its matches, else its own.
+_CLUSTERS = f"""all_items AS (SELECT id, doc_id, source_id, source, source_type, published_at, importance_score, summary FROM articles UNION ALL SELECT concat('b', id), doc_id, 'src3', 'Source 3', source_type, published_at + INTERVAL 5 HOUR, importance_score, summary FROM articles WHERE doc_id % 4 = 0),
+matches AS ({MATCHES}),
+nodes AS (SELECT id, list(e) FILTER (WHERE e IS NOT NULL) AS earlier FROM (SELECT b AS id, a AS e FROM matches UNION ALL SELECT a, NULL FROM matches) AS n0 GROUP BY id),
+steps AS (SELECT list([{{'id': id, 'earlier': coalesce(earlier, CAST([] AS VARCHAR[])), 'c': CAST(1 AS BIGINT)}}] ORDER BY id) AS rows FROM nodes),
+reduced AS (SELECT list_reduce(rows, lambda acc, x: list_concat(acc, [{{'id': x[1].id, 'earlier': x[1].earlier, 'c': coalesce(list_min(list_transform(list_filter(acc, lambda p: list_contains(x[1].earlier, p.id)), lambda p: p.c)), len(acc) + 1)}}])) AS rows FROM steps WHERE len(rows) > 0),
+named AS (SELECT rows[i].id AS id, rows[rows[i].c].id AS cluster FROM (SELECT rows, unnest(range(1, len(rows) + 1)) AS i FROM reduced) AS r1),
+clusters AS (SELECT t.id, coalesce(n.cluster, t.id) AS cluster FROM all_items AS t LEFT JOIN named AS n ON t.id = n.id),
+placed AS (SELECT t.*, c.cluster, count(*) OVER (PARTITION BY c.cluster) AS cluster_size, row_number() OVER (PARTITION BY c.cluster ORDER BY CASE source_type WHEN 'official' THEN 0 WHEN 'research' THEN 1 WHEN 'media' THEN 2 ELSE 3 END, coalesce(s.priority, 1000), coalesce(importance_score, -1) DESC, length(coalesce(summary, '')) DESC, published_at NULLS LAST, t.id) AS k
+  FROM all_items AS t JOIN clusters AS c ON t.id = c.id LEFT JOIN (SELECT name, priority FROM sources) AS s ON t.source = s.name),
+winners AS (SELECT * FROM placed WHERE k = 1)"""
+
+
+@query("dedup_event", ["articles", "sources"], f"WITH {_CLUSTERS} SELECT id, cluster FROM clusters")
+def dedup_event(v: View) -> DataFrame:
+    items = event_view(v)
+    return dedup.event_clusters(items, tables.stored(dedup.match_events(items), "matches"))
+
+
+@query("dedup_event_winner", ["articles", "sources"], f"WITH {_CLUSTERS} SELECT cluster, id, cluster_size FROM winners")
+def dedup_event_winner(v: View) -> DataFrame:
+    items, _, clusters = _clustered(v)
+    return dedup.event_winners(items, clusters, v("sources")).select("cluster", "id", "cluster_size")
+
+
+@query("dedup_event_sizes", ["articles", "sources"], f"WITH {_CLUSTERS} SELECT cluster, count(*) AS size FROM clusters GROUP BY cluster")
 def dedup_event_sizes(v: View) -> DataFrame:
     return _clustered(v)[2].groupBy("cluster").agg(F.count("*").alias("size"))
 
 
-@query("dedup_event_reason", ["articles", "sources"])
+@query("dedup_event_reason", ["articles", "sources"], f"""WITH {_CLUSTERS}, inside AS (SELECT m.a, m.b, m.reason, m.score FROM matches AS m JOIN clusters AS x ON m.a = x.id JOIN clusters AS y ON m.b = y.id AND x.cluster = y.cluster),
+admitted AS (SELECT b AS id, arg_min(reason, a) AS reason, arg_min(score, a) AS score FROM inside GROUP BY b)
+SELECT c.id, w.id AS winner, coalesce(m.reason, d.reason, 'transitive_cluster') AS reason, coalesce(m.score, d.score, 0.0) AS score FROM clusters AS c JOIN winners AS w ON c.cluster = w.cluster AND c.id <> w.id LEFT JOIN admitted AS m ON m.id = c.id
+LEFT JOIN inside AS d ON (d.a = c.id AND d.b = w.id) OR (d.b = c.id AND d.a = w.id)""")
 def dedup_event_reason(v: View) -> DataFrame:
     """Why each folded item is where it is."""
     items, matches, clusters = _clustered(v)
     return dedup.merge_evidence(matches, clusters, dedup.event_winners(items, clusters, v("sources")))
 
 
-@query("dedup_keep_order", ["articles", "sources"])
+@query("dedup_keep_order", ["articles", "sources"], f"WITH {_CLUSTERS} SELECT w.id, f.place FROM winners AS w JOIN (SELECT cluster, min(doc_id) AS place FROM placed GROUP BY cluster) AS f ON w.cluster = f.cluster ORDER BY place, w.id")
 def dedup_keep_order(v: View) -> DataFrame:
     """Winners at the place of their cluster's first member."""
     items, _, clusters = _clustered(v)
@@ -135,7 +163,7 @@ def dedup_keep_order(v: View) -> DataFrame:
     return dedup.event_winners(items, clusters, v("sources")).select("cluster", "id").join(place, "cluster").select("id", F.col("first.doc_id").alias("place")).orderBy("place", "id")
 
 
-@query("agg_event_stats", ["articles"])
+@query("agg_event_stats", ["articles", "sources"], f"WITH {_CLUSTERS}, sizes AS (SELECT count(*) AS n FROM clusters GROUP BY cluster) SELECT CAST(sum(n) AS BIGINT) AS candidates, count(*) AS clusters, CAST(sum(n) - count(*) AS BIGINT) AS merged, count(*) FILTER (WHERE n > 1) AS several, max(n) AS largest FROM sizes")
 def agg_event_stats(v: View) -> DataFrame:
     """Candidates, clusters, what they merge, clusters of several items, and the largest."""
     sizes = _clustered(v)[2].groupBy("cluster").agg(F.count("*").alias("n"))
