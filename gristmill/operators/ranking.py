@@ -42,6 +42,11 @@ def base_score(start: Column, end: Column, size: Column) -> Column:
     return 100 * (0.60 * importance() + 0.20 * source_class() + 0.08 * recency(start, end) + 0.05 * content() + 0.06 * cluster_bonus(size))
 
 
+def rounded(score: Column) -> Column:
+    """To four places; halves go up, also where they are short of one by the rounding of sums."""
+    return F.floor(score * 10_000 + 0.500001) / 10_000
+
+
 def media_decisions(items: DataFrame) -> DataFrame:
     """items with reason (null for classes that are exempt): floor, then two a source, then five in all; kept tells what stays."""
     media = F.col("source_type") == "media"

@@ -41,7 +41,7 @@ def rebuilt(items: DataFrame, windows: DataFrame, most: int) -> DataFrame:
     """
     days = windows.withColumn("day", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))))
     rows = items.withColumn("day", F.to_date("published_at")).join(days, "day").where(times.in_window(F.col("published_at"), F.col("window_start"), F.col("window_end")))
-    scored = rows.withColumn("base_score", F.round(ranking.base_score(F.col("window_start"), F.col("window_end"), F.lit(1)), 4))
+    scored = rows.withColumn("base_score", ranking.rounded(ranking.base_score(F.col("window_start"), F.col("window_end"), F.lit(1))))
     return ranking.diverse_top(scored, most).select("digest_date", F.col("id").alias("news_id"), (F.col("rank") - 1).alias("position"))
 
 

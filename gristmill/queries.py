@@ -647,15 +647,38 @@ def rank_base_score(v: View) -> DataFrame:
 
 def scored(v: View) -> DataFrame:
     rows = labelled(v("articles")).where("published_at IS NOT NULL").withColumn("digest_date", times.digest_date(F.col("published_at"), "UTC"))
-    return rows.withColumn("base_score", F.round(ranking.base_score(at(FROM), at(TO), F.lit(1)), 4))
+    return rows.withColumn("base_score", ranking.rounded(ranking.base_score(at(FROM), at(TO), F.lit(1))))
 
 
-@query("rank_diversity", ["articles"])
+def _diverse_sql(scored: str, most: str) -> str:
+    """digest_date, id, penalty, final_score, rank of the first picks (`most` of n) of each digest of some rows of digest_date, id, base_score, us, company, topic, source."""
+    row = "STRUCT(id VARCHAR, score DOUBLE, us DOUBLE, company VARCHAR, topic VARCHAR, source VARCHAR)"
+    pick = "STRUCT(id VARCHAR, cost DOUBLE, final DOUBLE, company VARCHAR, topic VARCHAR, source VARCHAR)"
+
+    def before(field: str, none: str) -> str:
+        return f"CASE WHEN p.{field} = '{none}' THEN 0 ELSE len(list_filter(acc.picks, lambda o: o.{field} = p.{field})) END"
+
+    cost = f"least(3.0 * {before('company', '')} + 2.0 * {before('topic', 'other')} + {before('source', '')}, 8.0)"
+    costed = f"list_transform(acc.lft, lambda p: {{'p': p, 'cost': CAST({cost} AS DOUBLE)}})"
+    best = f"list_min(list_transform({costed}, lambda c: {{'f': c.cost - c.p.score, 'u': -c.p.us, 'i': c.p.id, 'cost': c.cost, 'p': c.p}}))"
+    taken = "{'id': b.i, 'cost': b.cost, 'final': -b.f, 'company': b.p.company, 'topic': b.p.topic, 'source': b.p.source}"
+    step = f"lambda acc, x: list_transform([{best}], lambda b: {{'lft': list_filter(acc.lft, lambda p: p.id <> b.i), 'picks': list_append(acc.picks, {taken})}})[1]"
+    start = f"{{'lft': items, 'picks': CAST([] AS {pick}[])}}"
+    blank = f"{{'lft': CAST([] AS {row}[]), 'picks': CAST([] AS {pick}[])}}"
+    return f"""SELECT digest_date, picks[i].id AS id, picks[i].cost AS penalty, picks[i].final AS final_score, CAST(i AS INT) AS rank FROM (SELECT digest_date, picks, unnest(range(1, len(picks) + 1)) AS i
+FROM (SELECT digest_date, list_reduce(list_concat([{start}], list_transform(range({most}), lambda k: {blank})), {step}).picks AS picks
+  FROM (SELECT digest_date, count(*) AS n, list({{'id': id, 'score': base_score, 'us': us, 'company': company, 'topic': topic, 'source': source}}) AS items FROM ({scored}) AS d0 GROUP BY digest_date) AS d1) AS d2) AS d3"""
+
+
+_SCORED = f"SELECT strftime(published_at, '%Y-%m-%d') AS digest_date, id, floor({_BASE} * 10000 + 0.500001) / 10000 AS base_score, CAST(epoch_us(published_at) AS DOUBLE) AS us, company, topic, source FROM ({_LABELS}) AS l WHERE published_at IS NOT NULL"
+
+
+@query("rank_diversity", ["articles"], _diverse_sql(_SCORED, "n"))
 def rank_diversity(v: View) -> DataFrame:
     return ranking.diverse(scored(v))
 
 
-@query("rank_diversity_topn", ["articles"])
+@query("rank_diversity_topn", ["articles"], _diverse_sql(_SCORED, "least(n, 10)"))
 def rank_diversity_topn(v: View) -> DataFrame:
     return ranking.diverse_top(scored(v), 10)
 

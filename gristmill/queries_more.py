@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import quality, rules, text, times, urls
 from gristmill.operators import bodies, dedup, ranking, search, tables
 from gristmill.plans.digest import digest, digest_windows, rebuild_changes, rebuilt
-from gristmill.queries import _FOUND_AT, _LABELS, _OUTCOMES, _SUMMARY, FROM, TO, View, _tokens_sql, at, event_view, labelled, outcomes, query, source_of_domain
+from gristmill.queries import _CON, _FOUND_AT, _LABELS, _OUTCOMES, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, labelled, outcomes, query, source_of_domain
 from gristmill.sources import listings, pages
 from gristmill.streaming import jobs
 
@@ -398,7 +398,10 @@ def body_batch(v: View) -> DataFrame:
     return pages.extracted(rows, fetched, cache).select("id", F.length("text").alias("chars"), "method", "quality", "error", "from_cache")
 
 
-@query("inc_resolve_window", ["articles", "links"], "SELECT digest_date, coalesce(lag(e) OVER (ORDER BY digest_date), e - INTERVAL 24 HOUR) AS window_start, e AS window_end FROM (SELECT digest_date, max(published_at) AS e FROM links AS l JOIN articles AS a ON l.news_id = a.id GROUP BY digest_date) AS d")
+_WINDOWS = "SELECT digest_date, coalesce(lag(e) OVER (ORDER BY digest_date), e - INTERVAL 24 HOUR) AS window_start, e AS window_end FROM (SELECT digest_date, max(published_at) AS e FROM links AS l JOIN articles AS a ON l.news_id = a.id GROUP BY digest_date) AS d"
+
+
+@query("inc_resolve_window", ["articles", "links"], _WINDOWS)
 def inc_resolve_window(v: View) -> DataFrame:
     return digest_windows(v("links"), v("articles"))
 
@@ -411,7 +414,10 @@ def inc_historical_window(v: View) -> DataFrame:
     return days.select("digest_date", (end - F.expr("INTERVAL 24 HOURS")).alias("window_start"), end.alias("window_end"))
 
 
-@query("maint_rebuild_digest", ["articles", "links"])
+_IN_WINDOW = f"SELECT digest_date, id, floor({_SCORE.replace('{rec}', 'coalesce(greatest(0.0, least((epoch_us(published_at) - epoch_us(window_start)) / CAST(epoch_us(window_end) - epoch_us(window_start) AS DOUBLE), 1.0)), 0.0)').replace('{con}', _CON)} * 10000 + 0.500001) / 10000 AS base_score, CAST(epoch_us(published_at) AS DOUBLE) AS us, company, topic, source FROM ({_LABELS}) AS l JOIN ({_WINDOWS}) AS w ON published_at > window_start AND published_at <= window_end"
+
+
+@query("maint_rebuild_digest", ["articles", "links"], f"WITH new AS ({_diverse_sql(_IN_WINDOW, 'least(n, 10)')}), old AS (SELECT digest_date, news_id FROM links WHERE position < 10) SELECT 'added' AS change, digest_date, id AS news_id FROM new WHERE (digest_date, id) NOT IN (SELECT (digest_date, news_id) FROM old) UNION ALL SELECT 'removed', digest_date, news_id FROM old WHERE (digest_date, news_id) NOT IN (SELECT (digest_date, id) FROM new)")
 def maint_rebuild_digest(v: View) -> DataFrame:
     """Dry run: each date's links derived anew from the archive in the window of that date, against those stored."""
     articles, links = v("articles"), v("links")
