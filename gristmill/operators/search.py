@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.quality import bound
 from gristmill.functions.text import query_tokens
 from gristmill.operators.tables import stored
 
@@ -37,20 +38,27 @@ def _terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(query_tokens(F.lower("query"))).alias("term"))
 
 
-def held(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """term, id: which items hold each term of three letters or more in some column. Items are met by the trigrams of the batch's terms only, then read for the term.
+def _whole() -> Column:
+    """All indexed columns as one lower-case text; no term spans two, as terms hold no line end."""
+    return F.concat_ws("\n", *[_low(c) for c in WEIGHTS])
 
-    The trigrams of a batch of queries, which is small by contract, are a literal that narrows an item's own before they are dealt out.
+
+def held(items: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """term, id: which items hold each term of three letters or more in some column.
+
+    Without an index each item is read for the terms of the batch, which is small by contract. With one (of postings()) only items are read that have all trigrams of a term.
     """
     terms = _terms(queries).where(F.length("term") >= 3).select("term").distinct()
+    if index is None:
+        asked = sorted(r.term for r in terms.collect())
+        if not asked:
+            return terms.join(items.select("id").limit(0), how="inner")
+        found = bound(_whole(), lambda text: F.filter(F.lit(asked), lambda t: F.contains(text, t)))
+        return items.select("id", F.explode(found).alias("term")).select("term", "id")
     grams = terms.select("term", F.explode(_grams(F.col("term"))).alias("gram"))
-    asked = sorted(r.gram for r in grams.select("gram").distinct().collect())
     need = grams.groupBy("term").agg(F.count("*").alias("n"))
-    own = F.array_distinct(F.flatten(F.array(*[_grams(_low(c)) for c in WEIGHTS])))
-    rows = items.select("id", F.explode(F.array_intersect(own, F.lit(asked) if asked else F.array().cast("array<string>"))).alias("gram"))
-    near = rows.join(grams, "gram").groupBy("term", "id").agg(F.count("*").alias("m")).join(need, "term").where("m = n").select("term", "id")
-    found = near.join(items, "id").where(" OR ".join(f"contains(lower(coalesce({c}, '')), term)" for c in WEIGHTS))
-    return found.select("term", "id")
+    near = index.join(grams, "gram").groupBy("term", "id").agg(F.count("*").alias("m")).join(need, "term").where("m = n").select("term", "id")
+    return near.join(items, "id").where(F.contains(_whole(), F.col("term"))).select("term", "id")
 
 
 def matches(items: DataFrame, queries: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -59,15 +67,15 @@ def matches(items: DataFrame, queries: DataFrame, found: DataFrame | None = None
     long, short = terms.where(F.length("term") >= 3), terms.where(F.length("term") < 3)
     need = long.groupBy("query_id").agg(F.count("*").alias("n"))
     met = (held(items, queries) if found is None else found).join(long, "term").groupBy("query_id", "id").agg(F.count("*").alias("m")).join(need, "query_id").where("m = n").select("query_id", "id")
-    rest = met.join(short.groupBy("query_id").agg(F.collect_list("term").alias("short")), "query_id", "left").join(items.select("id", F.concat_ws("\n", *[_low(c) for c in WEIGHTS]).alias("_text")), "id")
+    rest = met.join(short.groupBy("query_id").agg(F.collect_list("term").alias("short")), "query_id", "left").join(items.select("id", _whole().alias("_text")), "id")
     return rest.where("short IS NULL OR forall(short, t -> contains(_text, t))").select("query_id", "id")
 
 
-def ranked(items: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
-    """query_id, id, score, place: per query the best items by BM25, then newest. All terms must occur, as substrings of some column."""
+def ranked(items: DataFrame, queries: DataFrame, most: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, place: per query the best items by BM25, then newest. All terms must occur, as substrings of some column. index: of postings()."""
     size = sum((F.greatest(F.length(_low(c)) - 2, F.lit(0)) for c in WEIGHTS), F.lit(0))
     n, mean = items.agg(F.count("*"), F.avg(size)).first()
-    found = stored(held(items, queries), "held")
+    found = stored(held(items, queries, index), "held")
     frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
     terms = _terms(queries).distinct().where(F.length("term") >= 3)
     rows = matches(items, queries, found).join(items, "id").join(terms, "query_id").join(frequencies, "term")
@@ -93,7 +101,7 @@ def by_words(items: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id of the items that hold all terms of queries with an ASCII term: ASCII terms as a word of some column, others as a substring of one of the items that the words leave."""
     terms = _terms(queries).distinct().withColumn("word", F.col("term").rlike("^[\\x00-\\x7F]+$"))
     words = terms.where("word")
-    text = F.concat_ws("\n", *[_low(c) for c in WEIGHTS])
+    text = _whole()
     held = items.select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
     need = words.groupBy("query_id").agg(F.count("*").alias("n"))
     met = held.join(words, "term").groupBy("query_id", "id").agg(F.count("*").alias("m")).join(need, "query_id").where("m = n").select("query_id", "id")
