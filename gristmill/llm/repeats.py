@@ -504,7 +504,8 @@ def repeated(docs: DataFrame, spec: Windows, grouped: Callable[[np.ndarray, int]
     """
     texts = numbered(docs)
     runs = stored(shared_fronts(texts, spec), "runs")
-    crowded = runs.where("NOT repeated").groupBy("digit").agg(F.count("*").alias("c")).where(F.col("c") > CROWDED)
+    # stored, so that its size tells how to join it: the runs of a hot front need not meet in one task
+    crowded = stored(runs.where("NOT repeated").groupBy("digit").agg(F.count("*").alias("c")).where(F.col("c") > CROWDED), "crowded")
     step = F.when(F.col("repeated"), 0).when(F.col("c").isNull(), spec.wide).when(F.col("c") <= LONGEST * CROWDED, spec.middle).otherwise(1)
     runs = runs.join(crowded, "digit", "left").select("doc", F.struct("lo", "n", "o", step.alias("step")).alias("run"))
     runs = runs.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("run").alias(FOUND_COLUMN))
