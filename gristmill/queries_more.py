@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import quality, rules, text, times, urls
 from gristmill.operators import bodies, dedup, ranking, search, tables
 from gristmill.plans.digest import digest, digest_windows, rebuild_changes, rebuilt
-from gristmill.queries import _CON, _FOUND_AT, _LABELS, _OUTCOMES, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, labelled, outcomes, query, source_of_domain
+from gristmill.queries import _BASE, _CANON, _CON, _FOUND_AT, _LABELS, _MEDIA, _OUTCOMES, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, labelled, outcomes, query, source_of_domain
 from gristmill.sources import listings, pages
 from gristmill.streaming import jobs
 
@@ -537,7 +537,16 @@ def maint_backfill_body(v: View) -> DataFrame:
     return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("inc_refresh", ["articles", "sources"])
+_REFRESHED = f"""WITH w AS (SELECT *, {_CANON} AS canonical_url FROM articles WHERE {_IN}),
+p AS (SELECT w.*, coalesce(s.priority, 1000) AS priority FROM w LEFT JOIN (SELECT source_id AS sid, priority FROM sources) AS s ON w.source_id = s.sid),
+u AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY source_type <> 'official', priority, published_at NULLS LAST, url) AS k FROM p) AS k1 WHERE k = 1),
+m AS ({_MEDIA.replace("FROM articles", "FROM u")}),
+l AS ({_LABELS.replace("FROM articles", "FROM (SELECT * FROM m WHERE coalesce(reason = 'kept', true)) AS kept")}),
+b AS (SELECT id, title_original, topic, company, {_BASE} AS score, published_at FROM l)
+SELECT row_number() OVER (ORDER BY score DESC, published_at DESC NULLS LAST, id) AS rank, id, title_original, topic, company, score FROM b ORDER BY rank LIMIT 10"""
+
+
+@query("inc_refresh", ["articles", "sources"], _REFRESHED)
 def inc_refresh(v: View) -> DataFrame:
     articles, sources = v("articles"), v("sources")
     spark = articles.sparkSession
