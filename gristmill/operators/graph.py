@@ -24,10 +24,10 @@ def _passed(edges: DataFrame) -> DataFrame:
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of edges (u, v); null or equal ends are left out."""
+def components(edges: DataFrame, most: int = 60, within: str | None = None) -> DataFrame:
+    """node, component (the smallest node reachable) for every node of edges (u, v); null or equal ends are left out. within: the folder of the result."""
     with Scratch(edges.sparkSession) as scratch:
-        return stored(_components(edges, most, scratch), "components")
+        return stored(_components(edges, most, scratch), "components", within)
 
 
 def _components(edges: DataFrame, most: int, scratch: Scratch) -> DataFrame:
