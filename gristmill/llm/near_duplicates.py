@@ -257,7 +257,7 @@ def linked(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
         involved = classes.join(involved, "node").select("node", F.col("id").alias("doc_id"), "key")
         texts = scratch.stored(keyed(docs).join(involved, ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"]), "texts")
         found = scratch.stored(links(stars, texts, size, percent), "links")
-        groups = scratch.stored(components(found), "groups")
+        groups = components(found, within=scratch.path)
         packed = texts.join(crowded.select("node").distinct(), "node", "left_semi").mapInArrow(_packed(size), "node long, bands binary, shingles binary")
         packed = scratch.stored(packed, "packed")
         for one_block in (True, False):
@@ -265,7 +265,7 @@ def linked(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
             more = scratch.stored(links(more, texts, size, percent), "links")
             if not more.isEmpty():
                 found = found.unionByName(more)
-                groups = scratch.stored(components(found), "groups")
+                groups = components(found, within=scratch.path)
         named = classes.select("print", "node", F.col("id").alias("class")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # classes of an id that stands for several have other numbers than ids, so the smallest id is looked for
         least = named.groupBy("component").agg(F.min(F.struct(F.col("class"), F.col("print"))).alias("least"))
