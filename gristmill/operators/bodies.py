@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Characters that a feed's body and a page's must have to be taken, and the words of the errors below.
 FEED_LEAST, PAGE_LEAST = 600, 200
 
 

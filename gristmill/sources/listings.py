@@ -79,11 +79,12 @@ def results(answers: DataFrame, json: str = "json") -> DataFrame:
     return out
 
 
-#: Ancestors of a date that may be its card.
+# How many ancestors of a date may be its card, the forms of dates and reading times on a card, its headline tags, and what surrounds a headline.
 LEVELS = 8
 DATE = re.compile(r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,2}, \d{4}|\b\d{4}-\d{2}-\d{2}\b", re.IGNORECASE)
 READING_TIME = re.compile(r"\s*\d+\s*(?:min|minute|minutes)\s+read\s*$", re.IGNORECASE)
 HEADLINES = ("h1", "h2", "h3", "h4", "p")
+AROUND = " ·|—-–\t"
 
 
 class Node:
@@ -131,7 +132,7 @@ def headline(value: str | None) -> str:
     text = " ".join((value or "").split())
     if found := DATE.search(text):
         text = text[: found.start()]
-    return READING_TIME.sub("", text).strip(" ·|—-–\t")
+    return READING_TIME.sub("", text).strip(AROUND)
 
 
 def _card(date: Node, prefix: str, index: tuple[str, ...]) -> tuple[str, str] | None:
