@@ -234,7 +234,7 @@ def across(crowded: DataFrame, groups: DataFrame, packed: DataFrame, percent: in
 
 
 def linked(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """doc_id, key, n_shingles, class (smallest id with the same set; null for an empty set), component (smallest id that links reach) and first (whether the row's set stands for the component)."""
+    """doc_id, key, n_shingles, class (smallest id with the same set; null for an empty set), component (smallest id that links reach) and first (whether the row's text stands for the component)."""
     with Scratch(docs.sparkSession) as scratch:
         sets = scratch.stored(described(docs, size), "described")
         known = sets.where("print IS NOT NULL AND doc_id IS NOT NULL")
@@ -266,12 +266,12 @@ def linked(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
             if not more.isEmpty():
                 found = found.unionByName(more)
                 groups = components(found, within=scratch.path)
-        named = classes.select("print", "node", F.col("id").alias("class")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = classes.select("print", "node", F.col("id").alias("class"), F.col("key").alias("class_key")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # classes of an id that stands for several have other numbers than ids, so the smallest id is looked for
         least = named.groupBy("component").agg(F.min(F.struct(F.col("class"), F.col("print"))).alias("least"))
-        named = named.join(least, "component").select("print", "class", F.col("least.class").alias("component"), (F.col("print") == F.col("least.print")).alias("first"))
+        named = named.join(least, "component").select("print", "class", "class_key", F.col("least.class").alias("component"), (F.col("print") == F.col("least.print")).alias("first"))
         out = sets.withColumn("print", F.when(F.col("doc_id").isNotNull(), F.col("print"))).join(named, "print", "left")
-        return stored(out.select("doc_id", "key", "n_shingles", "class", F.coalesce("component", "doc_id").alias("component"), F.coalesce("first", F.lit(True)).alias("first")), "components")
+        return stored(out.select("doc_id", "key", "n_shingles", "class", F.coalesce("component", "doc_id").alias("component"), F.coalesce(F.col("first") & (F.col("key") == F.col("class_key")), F.lit(True)).alias("first")), "components")
 
 
 def scored(docs: DataFrame, size: int) -> DataFrame:
