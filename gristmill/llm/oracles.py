@@ -83,9 +83,34 @@ SELECT c.page_id, fetched_at, host, coalesce(n_lists, 0) > 0 AS blocked, coalesc
 FROM caps c LEFT JOIN agg ON c.rn = agg.rn
 """
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (SELECT lang, w[i:i + k - 1] AS g FROM placed, range(1, 5) AS sizes(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+candidates AS (SELECT lang, g, f AS a FROM f WHERE len(g) >= 2 AND f >= 30),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1:]
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, g[i:i + k - 1] AS g, max(a) AS longer
+  FROM (SELECT lang, g, a, unnest(range(1, len(g) + 1)) AS i FROM candidates), range(2, 4) AS sizes(k)
+  WHERE i + k - 1 <= len(g) AND k < len(g) GROUP BY ALL
+), held AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE i.longer IS NULL OR 100 * i.longer::HUGEINT < 80 * b.a::HUGEINT),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, score FROM held)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 SQL = {
     "op2_host_quality_rules": OP2,
     "op3_hash_threshold_mix": OP3,
     "op5_benchmark_decontamination": OP5,
     "op10_temporal_url_filter": OP10,
+    "op11_phrase_collocations": OP11,
 }

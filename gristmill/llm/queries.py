@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import (
+    collocations,
     decontaminate,
     licenses,
     lm_scoring,
@@ -91,6 +92,10 @@ def op10_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.evaluated(captures(pages), list_entries(pages))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cross_entropy_difference": op1_cross_entropy_difference,
@@ -103,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_importance_resampling": op8_importance_resampling,
         "op9_suffix_tree_dedup": op9_suffix_tree_dedup,
         "op10_temporal_url_filter": op10_temporal_url_filter,
+        "op11_phrase_collocations": op11_phrase_collocations,
     }
 
 
