@@ -14,6 +14,7 @@ from gristmill.llm import (
     lm_scoring,
     mixing,
     near_duplicates,
+    packing,
     quality_rules,
     resample,
     suffix_dedup,
@@ -96,6 +97,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mined(documents(spark, sf_dir))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cross_entropy_difference": op1_cross_entropy_difference,
@@ -109,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_tree_dedup": op9_suffix_tree_dedup,
         "op10_temporal_url_filter": op10_temporal_url_filter,
         "op11_phrase_collocations": op11_phrase_collocations,
+        "op12_best_fit_packing": op12_best_fit_packing,
     }
 
 
