@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import (
+    alignment,
     collocations,
     decontaminate,
     licenses,
@@ -101,6 +102,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cross_entropy_difference": op1_cross_entropy_difference,
@@ -115,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_temporal_url_filter": op10_temporal_url_filter,
         "op11_phrase_collocations": op11_phrase_collocations,
         "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
     }
 
 
