@@ -270,19 +270,24 @@ def stream_url_dedup(v: View) -> DataFrame:
 
 
 _TITLE_KEY = r"""trim(regexp_replace(regexp_replace(lower(trim(title)), '[.,;:!?"''`()\[\]{}]+', ' ', 'g'), '\s+', ' ', 'g'))"""
-_SESSIONS = f"""SELECT title_key, arg_min(url, (source_type <> 'official', priority, published_at, canonical_url, url)) AS url, arg_min(published_at, (source_type <> 'official', priority, published_at, canonical_url, url)) AS published_at, count(*) AS rows
-FROM (SELECT *, sum(CASE WHEN published_at - before <= INTERVAL 48 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY title_key ORDER BY published_at, doc_id) AS session FROM (SELECT *, lag(published_at) OVER (PARTITION BY title_key ORDER BY published_at, doc_id) AS before
-  FROM (SELECT r.doc_id, {_TITLE_KEY} AS title_key, r.source_type, coalesce(s.priority, 1000) AS priority, published_at, {_CANON} AS canonical_url, url FROM raw_articles AS r LEFT JOIN (SELECT source_id AS sid, priority FROM sources) AS s ON r.source_id = s.sid WHERE published_at IS NOT NULL) AS k0 WHERE title_key <> '') AS k1) AS k2 GROUP BY title_key, session"""
+#: Rows of a title in scan order: each takes the place of the founder of the first cluster with a member within 48 hours, else its own.
+_CLUSTERED = f"""WITH u AS (SELECT r.doc_id, {_TITLE_KEY} AS title_key, r.source_type, coalesce(s.priority, 1000) AS priority, published_at, epoch_us(published_at) AS us, {_CANON} AS canonical_url, url
+  FROM raw_articles AS r LEFT JOIN (SELECT source_id AS sid, priority FROM sources) AS s ON r.source_id = s.sid WHERE published_at IS NOT NULL),
+g AS (SELECT title_key, list([{{{{'doc': doc_id, 'key': concat(canonical_url, chr(10), url), 'us': us, 'c': CAST(1 AS BIGINT)}}}}] ORDER BY canonical_url, url, us) AS rows FROM u WHERE title_key <> '' GROUP BY title_key),
+r AS (SELECT title_key, list_reduce(rows, lambda acc, x: list_concat(acc, [{{{{'doc': x[1].doc, 'key': x[1].key, 'us': x[1].us, 'c': coalesce(list_min(list_transform(list_filter(acc, lambda p: abs(p.us - x[1].us) <= 172800000000), lambda p: p.c)), len(acc) + 1)}}}}])) AS rows FROM g),
+c AS (SELECT title_key, rows[i].doc AS doc_id, rows[i].c AS c, rows[rows[i].c].key AS cluster FROM (SELECT title_key, rows, unnest(range(1, len(rows) + 1)) AS i FROM r) AS r1)
+SELECT c.title_key, c.cluster, arg_min(url, (source_type <> 'official', priority, published_at, canonical_url, url)) AS url, arg_min(published_at, (source_type <> 'official', priority, published_at, canonical_url, url)) AS published_at, count(*) AS rows
+FROM c JOIN u ON c.doc_id = u.doc_id GROUP BY c.title_key, c.c, c.cluster""".replace("{{", "{").replace("}}", "}")
 
 
-@query("stream_title_state", ["raw_articles", "sources"], _SESSIONS)
+@query("stream_title_state", ["raw_articles", "sources"], _CLUSTERED)
 def stream_title_state(v: View) -> DataFrame:
     """The articles as a stream, with a last row far ahead that lets all titles be told."""
     rows = dedup.with_priority(v("raw_articles").where("published_at IS NOT NULL"), v("sources")).withColumn("canonical_url", canonical_url(F.col("url")))
     rows = rows.select("title", "source_type", "priority", "published_at", "canonical_url", "url")
     last = rows.agg(F.lit("the end").alias("title"), F.lit("media").alias("source_type"), F.lit(0).alias("priority"), (F.max("published_at") + F.expr("INTERVAL 30 DAYS")).alias("published_at"), F.lit("").alias("canonical_url"), F.lit("").alias("url"))
     stream = _streamed(rows.unionByName(last))
-    return jobs.finished(jobs.best_titles(stream), tables.folder(stream.sparkSession)).where("title_key <> 'the end'")
+    return jobs.finished(jobs.title_clusters(stream), tables.folder(stream.sparkSession)).where("title_key <> 'the end'")
 
 
 @query("stream_source_health", ["run_log"], "SELECT source_id, date_trunc('day', started_at) AS day, count(*) AS runs, count(*) FILTER (WHERE NOT success) AS failures FROM run_log GROUP BY ALL")

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gristmill.functions.text import normal_title
+from gristmill.operators.dedup import HORIZON
+from gristmill.operators.tables import travels
+
+travels(__name__)
 
 
 def first_urls(stream: DataFrame, horizon: str = "48 hours") -> DataFrame:
@@ -23,16 +28,73 @@ def first_titles(stream: DataFrame, horizon: str = "48 hours") -> DataFrame:
     return keyed.withWatermark("published_at", horizon).dropDuplicatesWithinWatermark(["title_key"])
 
 
-def best_titles(stream: DataFrame, horizon: str = "48 hours", late: str = "0 seconds") -> DataFrame:
-    """The best row of each normalised title, by the order of dedup.winner_order, once no row has come for the horizon; and how many it stands for.
+#: Keyed state with timers needs a store that holds several kinds of state.
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class TitleClusters(StatefulProcessor):
+    """The open clusters of one title. A row joins the first that has a member within the horizon, else it begins one; clusters never merge.
+
+    A member came within the horizon of another, so a cluster covers all times from its first member's less the horizon to its last one's plus the horizon: two numbers tell it.
+    Founders lie further apart than the horizon, so a title has no more clusters open than the time that is still awaited has horizons.
+    """
 
-    Rows of stream have title, source_type, priority, published_at, canonical_url and url. A title's rows are one session while each lies within the horizon of another.
+    def __init__(self, horizon: int):
+        self.horizon = horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "number int", "first string, low long, high long, rows long, official int, priority int, at long, canonical_url string, url string")
+        self.begun = handle.getValueState("begun", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = {n[0]: list(c) for n, c in self.open.iterator()}
+        begun = (self.begun.get() or (0,))[0]
+        late = timerValues.getCurrentWatermarkInMs() * 1000
+        touched = set()
+        # the rows of a batch in the order in which the batch form reads them
+        for canonical, url, us, official, priority in sorted((r.canonical_url, r.url, r.us, r.official, r.priority) for r in rows if r.us >= late):
+            number = min((n for n, c in found.items() if c[1] - self.horizon <= us <= c[2] + self.horizon), default=None)
+            if number is None:
+                number, begun = begun, begun + 1
+                found[number] = [f"{canonical}\n{url}", us, us, 0, official, priority, us, canonical, url]
+            c = found[number]
+            c[1:4] = min(c[1], us), max(c[2], us), c[3] + 1
+            c[4:] = min(c[4:], [official, priority, us, canonical, url])
+            touched.add(number)
+        for number in touched:
+            self.open.updateValue((number,), tuple(found[number]))
+        self.begun.update((begun,))
+        self._wait(found)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Tells the clusters that no row can join any more."""
+        now, left = timerValues.getCurrentWatermarkInMs() * 1000, {}
+        for number, c in [(n[0], list(c)) for n, c in self.open.iterator()]:
+            if c[2] + self.horizon < now:
+                self.open.removeKey((number,))
+                yield Row(title_key=key[0], cluster=c[0], url=c[8], us=c[6], rows=c[3])
+            else:
+                left[number] = c
+        self._wait(left)
+
+    def _wait(self, found: dict[int, list]) -> None:
+        if found:
+            self.handle.registerTimer((min(c[2] for c in found.values()) + self.horizon) // 1000 + 1)
+
+
+def title_clusters(stream: DataFrame, late: str = "0 seconds", horizon: int = HORIZON) -> DataFrame:
+    """The clusters of dedup.by_title over a stream: title_key, cluster, url and published_at of the best row by dedup.winner_order, and rows, once no row can join.
+
+    Rows of stream have title, source_type, priority, published_at, canonical_url and url. They join in the order of their batches, and within one in that of the batch form; so a
+    stream that comes in that order, and by no more than `late` behind, has the clusters of the batch form. Rows further behind are dropped. Sets the session's state store to RocksDB.
     """
+    stream.sparkSession.conf.set(PROVIDER, ROCKS)
     keyed = stream.withColumn("title_key", normal_title(F.col("title"))).where("title_key <> '' AND published_at IS NOT NULL").withWatermark("published_at", late)
-    order = F.struct((F.col("source_type") != "official").alias("rank"), "priority", F.col("published_at").alias("at"), "canonical_url", "url")
-    # a session ends before its gap has passed; a row at the horizon still belongs
-    sessions = keyed.groupBy("title_key", F.session_window("published_at", f"{horizon} 1 microsecond").alias("session")).agg(F.min(order).alias("best"), F.count("*").alias("rows"))
-    return sessions.select("title_key", F.col("best.url").alias("url"), F.col("best.at").alias("published_at"), "rows")
+    rows = keyed.select("title_key", "canonical_url", "url", "published_at", F.unix_micros("published_at").alias("us"), (F.col("source_type") != "official").cast("int").alias("official"), F.col("priority").cast("int").alias("priority"))
+    told = rows.groupBy("title_key").transformWithState(TitleClusters(horizon), "title_key string, cluster string, url string, us long, rows long", "append", "eventTime")
+    return told.select("title_key", "cluster", "url", F.timestamp_micros("us").alias("published_at"), "rows")
 
 
 def source_health(stream: DataFrame, late: str = "1 day") -> DataFrame:
