@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions.urls import canonical_url
-from gristmill.operators.graph import components
+from gristmill.operators.graph import least_below
 from gristmill.operators.tables import stored, travels
 
 travels(__name__)
@@ -107,50 +108,58 @@ def title_links(articles: DataFrame) -> DataFrame:
     return inside.unionByName(across.select(F.col("last.doc_id").alias("a"), F.col("first.doc_id").alias("b")))
 
 
+@dataclass(frozen=True)
+class Events:
+    """Items as classes of equal features. members: id, us, class; features: one row for each class, with how many members it has; pairs: a, b, reason, score, title_similarity of
+    classes whose members match wherever they lie within the horizon, a <= b, the class with itself among them."""
+
+    members: DataFrame
+    features: DataFrame
+    pairs: DataFrame
+
+
 def event_features(items: DataFrame) -> DataFrame:
-    """What match_events compares: token sets, versions, figures, identifiers and stances of headline and body."""
+    """What decides whether two items match: token sets, versions, figures, identifiers and stances of headline and body; items that agree in all are of one class."""
     title = F.concat_ws(" ", F.coalesce("title_original", F.lit("")), F.coalesce("title_cn", F.lit("")))
     body = F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("why_it_matters", F.lit("")))
-    both = F.array_distinct(F.concat(T.tokens(title), T.tokens(body)))
-    return items.select(
-        "id",
-        F.unix_micros("published_at").alias("us"),
-        T.tokens(title).alias("title_tokens"),
-        T.tokens(body).alias("body_tokens"),
-        (F.trim(body) == "").alias("bare"),
-        T.versions(both).alias("versions"),
-        T.substantive(T.figures(both)).alias("figures"),
-        T.distinctive(title).alias("terms"),
-        T.stances(both).alias("stances"),
-    ).where("us IS NOT NULL")
-
-
-def _prefixes(features: DataFrame, column: str, least: float) -> DataFrame:
-    """id and token of each set's rarest tokens, enough that two sets with Dice of `least` or more share one."""
-    each = features.select("id", "us", F.size(column).alias("size"), F.explode(column).alias("token"))
-    common = each.groupBy("token").agg(F.count("*").alias("df"))
-    turn = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    keep = F.col("size") - F.ceil(least * F.col("size") / (2 - least)) + 1
-    return each.join(common, "token").withColumn("turn", turn).where(F.col("turn") <= keep).select("id", "us", "token")
+    both = F.array_distinct(F.concat(F.col("title_tokens"), F.col("body_tokens")))
+    sets = items.select("id", F.unix_micros("published_at").alias("us"), F.array_sort(T.tokens(title)).alias("title_tokens"), F.array_sort(T.tokens(body)).alias("body_tokens"), (F.trim(body) == "").alias("bare"), F.array_sort(T.distinctive(title)).alias("terms")).where("us IS NOT NULL")
+    more = {"versions": T.versions(both), "figures": T.substantive(T.figures(both)), "stances": T.stances(both), "class": F.sha2(F.to_json(F.struct("title_tokens", "body_tokens", "bare", "terms")), 256)}
+    return sets.withColumns(more)
 
 
-def _candidates(features: DataFrame, column: str, least: float) -> DataFrame:
-    """Pairs that share a rare token and lie in the same or neighbouring 48 hours."""
-    rows = _prefixes(features, column, least).withColumn("slot", F.floor(F.col("us") / HORIZON))
-    left = rows.select(F.col("id").alias("a"), "token", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("slot").alias("own"))
-    right = rows.select(F.col("id").alias("b"), "token", "slot", F.col("us").alias("b_us"))
-    pairs = left.join(right, ["token", "slot"]).where("a <> b")
+def _prefixes(features: DataFrame, spans: DataFrame, column: str, least: float) -> DataFrame:
+    """class, slot, token, size and turn: each set's rarest tokens, enough that two sets with Dice of `least` or more share one, in each stretch of time in which the class has members."""
+    each = features.select("class", F.size(column).alias("size"), F.explode(column).alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("df"))
+    turn = F.row_number().over(Window.partitionBy("class").orderBy("df", "token"))
+    keep = F.col("size") - F.ceil(least * F.col("size") / (2 - least)) + 1
+    return each.join(common, "token").withColumn("turn", turn).where(F.col("turn") <= keep).drop("df").join(spans, "class")
+
+
+def _candidates(features: DataFrame, spans: DataFrame, column: str, least: float) -> DataFrame:
+    """Pairs of classes with members in the same or neighbouring 48 hours that share a rare token; by its place in both orders and their lengths they may have Dice of `least`."""
+    rows = _prefixes(features, spans, column, least)
+    left = rows.select(F.col("class").alias("a"), "token", F.col("size").alias("a_size"), F.col("turn").alias("a_turn"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    right = rows.select(F.col("class").alias("b"), "token", F.col("size").alias("b_size"), F.col("turn").alias("b_turn"), "slot")
+    needed = F.ceil(F.lit(least) * (F.col("a_size") + F.col("b_size")) / 2)
+    # where the token is the first that both have, no more can follow it in both than follow it in either
+    possible = F.least(F.col("a_size") - F.col("a_turn"), F.col("b_size") - F.col("b_turn")) + 1
+    pairs = left.join(right, ["token", "slot"]).where("a <> b").where((possible >= needed) & (F.least("a_size", "b_size") >= needed))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def match_events(items: DataFrame) -> DataFrame:
-    """a, b, reason, score, title_similarity, hours_apart of the pairs that tell one event, a < b. Gates in order: time, versions, stance, body, title."""
+def event_classes(items: DataFrame) -> Events:
+    """Classes of the items, and which of them match. Gates in order: versions, stance, body, title. Pairs grow with the classes, not with their members."""
     f = stored(event_features(items), "features")
-    full, bare = f.where("NOT bare"), f.select("id", "us", "title_tokens")
-    pairs = _candidates(full, "body_tokens", 0.45).union(_candidates(bare, "title_tokens", 0.90)).distinct()
-    a = f.select([F.col(c).alias("a" if c == "id" else f"a_{c}") for c in f.columns])
-    b = f.select([F.col(c).alias("b" if c == "id" else f"b_{c}") for c in f.columns])
-    p = pairs.join(a, "a").join(b, "b").withColumn("hours_apart", F.abs(F.col("a_us") - F.col("b_us")) / 3_600_000_000).where("hours_apart <= 48")
+    members = f.select("id", "us", "class")
+    columns = [c for c in f.columns if c not in ("id", "us", "class")]
+    features = stored(f.groupBy("class").agg(F.count("*").alias("members"), *[F.first(c).alias(c) for c in columns]), "classes")
+    spans = members.select("class", F.floor(F.col("us") / HORIZON).alias("slot")).distinct()
+    own = features.where("members > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
+    pairs = _candidates(features.where("NOT bare"), spans, "body_tokens", 0.45).union(_candidates(features, spans, "title_tokens", 0.90)).distinct().union(own)
+    a, b = (features.select([F.col(c).alias(x if c == "class" else f"{x}_{c}") for c in features.columns]) for x in "ab")
+    p = pairs.join(a, "a").join(b, "b")
     p = p.where("size(a_versions) = 0 OR size(b_versions) = 0 OR arrays_overlap(a_versions, b_versions)").where(~T.opposed(F.col("a_stances"), F.col("b_stances")))
     p = p.withColumn("title_similarity", T.dice(F.col("a_title_tokens"), F.col("b_title_tokens"))).withColumn("body", T.dice(F.col("a_body_tokens"), F.col("b_body_tokens")))
     shared = F.arrays_overlap("a_terms", "b_terms")
@@ -160,30 +169,72 @@ def match_events(items: DataFrame) -> DataFrame:
         .when(F.col("title_similarity") >= F.when(shared, 0.30).otherwise(0.45), F.when(shared, "shared_term_text_similarity").otherwise("text_similarity"))
     )
     score = F.when(F.col("a_bare") | F.col("b_bare"), F.col("title_similarity")).otherwise((F.col("title_similarity") + F.col("body")) / 2)
-    return p.select("a", "b", reason.alias("reason"), score.alias("score"), "title_similarity", "hours_apart").where("reason IS NOT NULL")
-
-
-def _first_cluster(rows: pd.DataFrame) -> pd.DataFrame:
-    """Within one component: in id order, each item joins the first cluster that holds one of its matches; clusters never merge."""
-    matches: dict[str, set[str]] = {}
-    for a, b in zip(rows.a, rows.b, strict=True):
-        matches.setdefault(a, set()).add(b)
-        matches.setdefault(b, set()).add(a)
-    place: dict[str, int] = {}
-    names: list[str] = []
-    for item in sorted(matches):
-        at = min((place[m] for m in matches[item] if m in place), default=len(names))
-        if at == len(names):
-            names.append(item)
-        place[item] = at
-    return pd.DataFrame({"id": list(place), "cluster": [names[k] for k in place.values()]})
-
-
-def event_clusters(items: DataFrame, matches: DataFrame) -> DataFrame:
-    """id and cluster (its first member's id) of every item. Clusters are built inside connected components of the matches, each in one task."""
-    groups = components(matches.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = matches.join(groups.withColumnRenamed("node", "a"), "a").select("component", "a", "b").groupBy("component").applyInPandas(_first_cluster, "id string, cluster string")
-    return items.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    found = p.select("a", "b", reason.alias("reason"), score.alias("score"), "title_similarity").where("reason IS NOT NULL")
+    return Events(members, features, stored(found, "pairs"))
+
+
+def _met(events: Events, apart: Column) -> DataFrame:
+    """Members of matching classes within the horizon: x and y, not the same, with the pair's columns; apart: which stretches of time of x (slot) and y (other) are looked at."""
+    slot = F.floor(F.col("us") / HORIZON)
+    x = events.members.select(F.col("id").alias("x"), F.col("us").alias("x_us"), F.col("class").alias("a"), slot.alias("slot"))
+    y = events.members.select(F.col("id").alias("y"), F.col("us").alias("y_us"), F.col("class").alias("b"), slot.alias("other"))
+    near = x.join(events.pairs, "a").withColumn("other", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))).where(apart)
+    return near.join(y, ["b", "other"]).where(F.abs(F.col("x_us") - F.col("y_us")) <= HORIZON).where("x <> y AND (a <> b OR x < y)")
+
+
+def matches_of(events: Events) -> DataFrame:
+    """a, b, reason, score, title_similarity, hours_apart of every two items that tell one event, a < b."""
+    hours = F.abs(F.col("x_us") - F.col("y_us")) / 3_600_000_000
+    return _met(events, F.lit(True)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "reason", "score", "title_similarity", hours.alias("hours_apart"))
+
+
+def match_events(items: DataFrame) -> DataFrame:
+    """a, b, reason, score, title_similarity, hours_apart of every two items that tell one event, a < b. As many rows as there are such pairs; event_classes tells the same in fewer."""
+    return matches_of(event_classes(items))
+
+
+def previous(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """rows with before: the last value that is not null of the rows before in the order of a key. Ranges of the order are looked at by themselves, then their ends, so a hot key splits."""
+    parts = stored(rows.repartitionByRange(*keys, order).withColumn("part", F.spark_partition_id()), "ranges")
+    inside = F.last(value, True).over(Window.partitionBy("part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    ends = parts.groupBy("part", *keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("end"))
+    ended = F.last("end", True).over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range of the key
+    ends = ends.withColumn("ended", ended).drop("end")
+    return parts.withColumn("inside", inside).join(ends, ["part", *keys], "left").withColumn("before", F.coalesce("inside", "ended")).drop("part", "inside", "ended")
+
+
+def event_links(events: Events) -> DataFrame:
+    """u, v: matches (v < u) enough that whatever can be reached by going down over matches can be reached by going down over these.
+
+    Where a class matches itself, its members of one stretch of 48 hours all match: each is tied to the one before it. An item that matches such a class is tied to the class's
+    last item before it in the stretch, from which all before can be reached. Members in neighbouring stretches, and of classes that do not match themselves, are tied one by one.
+    """
+    slotted = events.members.withColumn("slot", F.floor(F.col("us") / HORIZON))
+    alike = events.pairs.where("a = b").select(F.col("a").alias("of"))
+    both = events.pairs.select("a", "b").union(events.pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    chained = both.join(alike.withColumnRenamed("of", "b"), "b", "left_semi")
+    asks = slotted.join(chained.withColumnRenamed("a", "class"), "class").select(F.col("b").alias("to"), F.when(F.col("class") != F.col("b"), F.col("class")).alias("of"), "slot", "id")
+    # one order for each two classes, in which the second's members are looked for
+    asked = asks.where("of IS NOT NULL").withColumn("member", F.lit(None).cast("string"))
+    held = slotted.join(chained.where("a <> b").withColumnRenamed("b", "class"), "class").select(F.col("class").alias("to"), F.col("a").alias("of"), "slot", "id", F.col("id").alias("member"))
+    own = slotted.join(alike.withColumnRenamed("of", "class"), "class").select(F.col("class").alias("to"), F.col("class").alias("of"), "slot", "id", F.col("id").alias("member"))
+    tied = previous(asked.unionByName(held).unionByName(own), ["to", "of", "slot"], "id", "member")
+    tied = tied.where("before IS NOT NULL AND (member IS NULL OR to = of)").select(F.col("id").alias("u"), F.col("before").alias("v"))
+    single = _met(events, F.col("slot") != F.col("other")).select("x", "y")
+    alone = events.pairs.join(alike.withColumnRenamed("of", "a"), "a", "left_anti").unionByName(events.pairs.join(alike.withColumnRenamed("of", "b"), "b", "left_anti")).distinct()
+    single = single.union(_met(Events(events.members, events.features, alone), F.col("slot") == F.col("other")).select("x", "y"))
+    return tied.union(single.select(F.greatest("x", "y"), F.least("x", "y"))).distinct()
+
+
+def event_clusters(items: DataFrame, links: DataFrame) -> DataFrame:
+    """id and cluster (its first member's id) of every item. links: u, v or matches a, b.
+
+    In id order, each item joins the first cluster that holds one of its matches before it; clusters never merge. That cluster's first member is the smallest item that can be reached by going down
+    over matches: it begins with an item that has none before it, and a step down never leads to a cluster begun before the first.
+    """
+    edges = links.select(F.col("b").alias("u"), F.col("a").alias("v")) if "a" in links.columns else links
+    below = least_below(edges)
+    return items.select("id").join(below.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("least", "id").alias("cluster"))
 
 
 def merge_evidence(matches: DataFrame, clusters: DataFrame, winners: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components of an edge table by large-star and small-star passes. Nothing but two sums a pass reaches the driver."""
+"""Connected components of an edge table by large-star and small-star passes, and least nodes below. Nothing but two sums a pass reaches the driver."""
 
 from __future__ import annotations
 
@@ -41,3 +41,24 @@ def _components(edges: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most} passes")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def least_below(edges: DataFrame, most: int = 200, within: str | None = None) -> DataFrame:
+    """node, least for every node of edges (u, v) with u > v: the smallest node that can be reached from it by going down.
+
+    A round gives each node the smallest that its lower neighbours know, and then what that one knows, so a chain is done in as many rounds as its length has binary digits.
+    Each join has one row for a node on one side, so a hot node splits.
+    """
+    with Scratch(edges.sparkSession) as scratch:
+        down = scratch.stored(edges.select("u", "v").where("u > v").distinct(), "down")
+        known = down.groupBy("u").agg(F.min("v").alias("least")).withColumnRenamed("u", "node")
+        known = scratch.stored(known.unionByName(down.select(F.col("v").alias("node")).distinct().join(known.select("node"), "node", "left_anti").withColumn("least", F.col("node"))), "known")
+        state = None
+        for _ in range(most):
+            was, state = state, known.agg(F.count("*"), F.sum(F.xxhash64("node", "least").cast("decimal(38,0)"))).first()
+            if state == was or not state[0]:
+                return stored(known, "least", within)
+            told = down.join(known.select(F.col("node").alias("v"), F.col("least").alias("x")), "v").groupBy(F.col("u").alias("node")).agg(F.min("x").alias("x"))
+            nearer = known.join(told, "node", "left").select("node", F.coalesce("x", "node").alias("x"))
+            known = scratch.stored(nearer.join(known.select(F.col("node").alias("x"), "least"), "x").select("node", "least"), "known")
+    raise RuntimeError(f"nodes did not settle in {most} rounds")

@@ -111,8 +111,8 @@ def join_existing_news(v: View) -> DataFrame:
 
 def _clustered(v: View) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = event_view(v)
-    matches = tables.stored(dedup.match_events(items), "matches")
-    return items, matches, tables.stored(dedup.event_clusters(items, matches), "clusters")
+    events = dedup.event_classes(items)
+    return items, dedup.matches_of(events), tables.stored(dedup.event_clusters(items, dedup.event_links(events)), "clusters")
 
 
 #: Items in order of their ids: each takes the number of the first cluster that holds one of its matches, else its own.
@@ -130,8 +130,7 @@ winners AS (SELECT * FROM placed WHERE k = 1)"""
 
 @query("dedup_event", ["articles", "sources"], f"WITH {_CLUSTERS} SELECT id, cluster FROM clusters")
 def dedup_event(v: View) -> DataFrame:
-    items = event_view(v)
-    return dedup.event_clusters(items, tables.stored(dedup.match_events(items), "matches"))
+    return _clustered(v)[2]
 
 
 @query("dedup_event_winner", ["articles", "sources"], f"WITH {_CLUSTERS} SELECT cluster, id, cluster_size FROM winners")
