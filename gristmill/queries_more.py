@@ -12,6 +12,7 @@ from gristmill.functions import quality, rules, text, times, urls
 from gristmill.operators import bodies, dedup, ranking, search, tables
 from gristmill.plans.digest import digest, digest_windows, rebuild_changes, rebuilt
 from gristmill.queries import _BASE, _CANON, _CON, _FOUND_AT, _LABELS, _MEDIA, _OUTCOMES, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, labelled, outcomes, query, source_of_domain
+from gristmill.queries_text import snippet_sql
 from gristmill.sources import listings, pages
 from gristmill.streaming import jobs
 
@@ -423,18 +424,22 @@ def maint_rebuild_digest(v: View) -> DataFrame:
     return rebuild_changes(links.where("position < 10"), rebuilt(labelled(articles), digest_windows(links, articles), 10))
 
 
-@query("search_hits", ["articles", "links"], f"SELECT l.id, topic, company, f.digest_date AS first_digest_date FROM ({_LABELS}) AS l LEFT JOIN (SELECT news_id, min(digest_date) AS digest_date FROM links GROUP BY news_id) AS f ON l.id = f.news_id WHERE contains(lower(title_original), 'gpt')")
+@query("search_hits", ["articles", "links"], f"SELECT l.id, topic, company, f.digest_date AS first_digest_date, {snippet_sql('gpt')} AS snippet, place, total FROM (SELECT *, row_number() OVER (ORDER BY published_at DESC NULLS LAST, id) AS place, count(*) OVER () AS total FROM (SELECT * FROM ({_LABELS}) AS l0 WHERE contains(lower(title_original), 'gpt')) AS l1) AS l LEFT JOIN (SELECT news_id, min(digest_date) AS digest_date FROM links GROUP BY news_id) AS f ON l.id = f.news_id WHERE place <= 50")
 def search_hits(v: View) -> DataFrame:
+    """The first page of the newest titles with a word, as many as a page holds at most, and how many there are."""
     first = v("links").groupBy(F.col("news_id").alias("id")).agg(F.min("digest_date").alias("first_digest_date"))
-    rows = labelled(v("articles").where(F.contains(F.lower("title_original"), F.lit("gpt"))))
-    return rows.join(first, "id", "left").select("id", "topic", "company", "first_digest_date")
+    found = tables.stored(v("articles").where(F.contains(F.lower("title_original"), F.lit("gpt"))), "found")
+    page = found.orderBy(F.desc_nulls_last("published_at"), "id").limit(search.page_size(80))
+    page = page.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("published_at"), "id"))).withColumn("total", found.agg(F.count("*")).scalar())
+    snippet = text.chosen_snippet([F.col("summary"), F.col("content_original"), F.col("title_original")], F.array(F.lit("gpt")))
+    return labelled(page).join(first, "id", "left").select("id", "topic", "company", "first_digest_date", snippet.alias("snippet"), "place", "total")
 
 
 @query("join_search_articles", ["articles"], f"SELECT id, title_original FROM ({_LABELS}) AS l WHERE contains(lower(concat_ws(chr(10), title_cn, title_original, summary, why_it_matters, content_original, source, company, topic)), 'gpt')")
 def join_search_articles(v: View) -> DataFrame:
     items = labelled(v("articles"))
     wanted = items.sparkSession.createDataFrame([(1, "GPT")], "query_id long, query string")
-    return search.matches(items, wanted).join(items, "id").select("id", "title_original")
+    return search.matches(wanted, search.held(items, wanted)).join(items, "id").select("id", "title_original")
 
 
 @query("join_repo_enrichment", ["repos", "repo_metadata"], "SELECT r.rank, r.repo, m.part IS NULL AS needs_work FROM repos AS r LEFT JOIN (SELECT DISTINCT part, sha256(concat(repo, chr(10), substring(description, 7))) AS key FROM repo_metadata) AS m ON sha256(concat(r.repo, chr(10), r.description)) = m.key AND r.rank = m.part")

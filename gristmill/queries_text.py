@@ -66,15 +66,19 @@ def fn_snippet(v: View) -> DataFrame:
     return v("articles").select("id", text.snippet(F.col("summary"), F.array(F.lit("on"))).alias("snippet"))
 
 
-@query("fn_choose_snippet", ["articles"], "SELECT id, CASE WHEN contains(lower(summary), 'plan') THEN 'summary' WHEN contains(lower(coalesce(content_original, '')), 'plan') THEN 'body' WHEN contains(lower(title_original), 'plan') THEN 'title' WHEN summary <> '' THEN 'summary' ELSE 'none' END AS field FROM articles")
+def snippet_sql(term: str) -> str:
+    """The snippet around a term of the first of summary, body and title that holds it, else of the first that is not empty."""
+    texts = ("summary", "content_original", "title_original")
+    held = " ".join(f"WHEN contains(lower(coalesce({c}, '')), '{term}') THEN {c}" for c in texts)
+    flat = _FLAT.format(f"CASE {held} ELSE coalesce({', '.join(f'nullif({c}, {chr(39) * 2})' for c in texts)}) END")
+    at, n = f"position('{term}' IN lower({flat}))", len(term)
+    return f"""CASE WHEN {at} = 0 THEN concat(substring({flat}, 1, 200), CASE WHEN length({flat}) > 200 THEN '…' ELSE '' END) ELSE concat(CASE WHEN {at} > 31 THEN '…' ELSE '' END,
+  trim(substring({flat}, greatest({at} - 30, 1), CAST(least({at} + {n} + 70, length({flat}) + 1) - greatest({at} - 30, 1) AS INT))), CASE WHEN {at} + {n} + 70 <= length({flat}) THEN '…' ELSE '' END) END"""
+
+
+@query("fn_choose_snippet", ["articles"], f"SELECT id, {snippet_sql('plan')} AS snippet FROM articles")
 def fn_choose_snippet(v: View) -> DataFrame:
-    fields = (("summary", "summary"), ("content_original", "body"), ("title_original", "title"))
-    out = F.when(F.lit(False), "")
-    for c, name in fields:
-        out = out.when(F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit("plan")), name)
-    for c, name in fields[:1]:
-        out = out.when(F.col(c) != "", name)
-    return v("articles").select("id", out.otherwise("none").alias("field"))
+    return v("articles").select("id", text.chosen_snippet([F.col("summary"), F.col("content_original"), F.col("title_original")], F.array(F.lit("plan"))).alias("snippet"))
 
 
 def _pairs(v: View) -> DataFrame:
@@ -188,10 +192,24 @@ def sink_index_refresh(v: View) -> DataFrame:
     return search.refreshed(tables.stored(search.postings(items), "index"), changed).groupBy("id").agg(F.count("*").alias("grams"))
 
 
-@query("search_bm25", ["articles"])
+#: Queries as users write them: several terms, case, a term of two letters, Chinese.
+ASKED = ((1, "GPT"), (2, "weights Qwen"), (3, "AI study"), (4, "robotics Review AI"), (5, "chip 标题"), (6, "cloud pricing plan"))
+_LOWERED = ", ".join(f"lower(coalesce({c}, '')) AS {c}" for c in search.WEIGHTS)
+_TF = " + ".join(f"{w} * (length({c}) - length(replace({c}, term, ''))) / length(term)" for c, w in search.WEIGHTS.items())
+_BM25 = f"""WITH l AS (SELECT id, published_at, {_LOWERED} FROM ({_LABELS}) AS l0), s AS (SELECT *, {' + '.join(f'greatest(length({c}) - 2, 0)' for c in search.WEIGHTS)} AS size FROM l),
+m AS (SELECT count(*) AS n, avg(size) AS mean FROM s), q AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{t}')" for k, words in ASKED for t in words.lower().split())}) AS t(query_id, term)),
+h AS (SELECT query_id, term, id, published_at, size, {_TF} AS tf FROM s JOIN q ON {' OR '.join(f'contains({c}, term)' for c in search.WEIGHTS)}),
+df AS (SELECT term, count(DISTINCT id) AS df FROM h WHERE length(term) >= 3 GROUP BY term),
+met AS (SELECT query_id, id FROM h JOIN (SELECT query_id, count(*) AS k FROM q GROUP BY query_id) AS w USING (query_id) GROUP BY query_id, id, k HAVING count(*) = k),
+scored AS (SELECT query_id, id, max(published_at) AS published_at, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * size / mean))) AS score FROM h JOIN met USING (query_id, id) JOIN df USING (term), m GROUP BY query_id, id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, published_at DESC NULLS LAST, id) AS place, count(*) OVER (PARTITION BY query_id) AS total FROM scored)
+SELECT query_id, id, round(score, 6) AS score, place, total FROM placed WHERE place <= 20"""
+
+
+@query("search_bm25", ["articles"], _BM25)
 def search_bm25(v: View) -> DataFrame:
     items = tables.stored(labelled(v("articles")), "items")
-    return search.ranked(items, tables.stored(_queries(v), "queries"))
+    return search.ranked(items, items.sparkSession.createDataFrame(list(ASKED), "query_id int, query string")).withColumn("score", F.round("score", 6))
 
 
 _BATCH = r"SELECT query FROM (SELECT lower(array_to_string(string_split(regexp_replace(title_original, '[^A-Za-z0-9 \-]', '', 'g'), ' ')[1:2], ' ')) AS query FROM articles) AS w WHERE length(query) > 4 GROUP BY query HAVING count(*) >= 20"
@@ -201,8 +219,8 @@ _WHOLE = " OR ".join(f"contains(lower(coalesce({c}, '')), term)" for c in search
 @query("search_batch", ["articles"], f"SELECT query, count(*) AS hits FROM (SELECT query, id, count(DISTINCT term) AS n, any_value(k) AS k FROM (SELECT query, unnest(list_distinct(list_filter(string_split(query, ' '), lambda x: x <> ''))) AS term, len(list_distinct(list_filter(string_split(query, ' '), lambda x: x <> ''))) AS k FROM ({_BATCH}) AS q) AS b JOIN ({_LABELS}) AS l2 ON {_WHOLE} GROUP BY query, id) AS z WHERE n = k GROUP BY query")
 def search_batch(v: View) -> DataFrame:
     items, queries = tables.stored(labelled(v("articles")), "items"), tables.stored(_queries(v), "queries")
-    found = search.held(items, queries, tables.stored(search.postings(items), "index"))
-    return search.matches(items, queries, found).groupBy("query_id").agg(F.count("*").alias("hits")).join(queries, "query_id").select("query", "hits")
+    found = search.held(items, queries, search.written(items, f"{tables.folder(items.sparkSession)}/index-{tables.unique()}"))
+    return search.matches(queries, found).groupBy("query_id").agg(F.count("*").alias("hits")).join(queries, "query_id").select("query", "hits")
 
 
 @query("search_unicode", ["articles"], f"SELECT query, count(*) AS hits FROM (SELECT 1 AS k, 'GPT' AS query UNION ALL SELECT 2, 'weights Qwen' UNION ALL SELECT 3, 'chip 标题' UNION ALL SELECT 4, 'AI study') AS q JOIN (SELECT id, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') AS ws, lower(x) AS x FROM (SELECT id, concat_ws(chr(10), {', '.join(f"coalesce({c}, '')" for c in search.WEIGHTS)}) AS x FROM ({_LABELS}) AS l1) AS l2) AS l3 ON CASE k WHEN 1 THEN list_contains(ws, 'gpt') WHEN 2 THEN list_contains(ws, 'weights') AND list_contains(ws, 'qwen') WHEN 3 THEN list_contains(ws, 'chip') AND contains(x, '标题') ELSE list_contains(ws, 'ai') AND list_contains(ws, 'study') END GROUP BY query")
