@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import stored, travels
+from gristmill.llm.common import apart, stored, travels
 from gristmill.llm.kernels import Words, mixed
 
 travels(__name__)
@@ -258,6 +258,10 @@ def _cleaned_by_rounds(docs: DataFrame, sent: list[Broadcast], most: float) -> D
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, most: float = 0.5, at_once: int = AT_ONCE) -> DataFrame:
     """docs without hit stretches; a document of which more than the share `most` is hit goes whole. n_chars follows the text where there is such a column."""
+    return apart(docs, lambda docs: _cleaned(docs, benchmark, most, at_once))
+
+
+def _cleaned(docs: DataFrame, benchmark: DataFrame, most: float, at_once: int) -> DataFrame:
     sent = blocks(stored(windows_of(benchmark), "windows"), at_once)
     if len(sent) == 1:
         docs = docs.mapInArrow(_cut(sent[0], most), docs.schema)

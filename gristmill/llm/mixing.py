@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import stored, word_count
+from gristmill.llm.common import apart, stored, word_count
 
 #: Digits of the hash: six of eight bits.
 DIGITS, BITS = 6, 8
@@ -104,8 +104,11 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with all their columns, and mix_copies: how often each is taken."""
-    docs = docs.drop("mix_copies")
+    """The documents that the mix takes, with all their columns, and mix_copies: how often each is taken. Of a source without words every document is taken once."""
+    return apart(docs.drop("mix_copies"), _mixed_documents)
+
+
+def _mixed_documents(docs: DataFrame) -> DataFrame:
     sized = stored(docs.select("source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text")).alias("place")), "sizes")
     found = thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))).select(F.col("source").alias("__s"), F.col("passes").alias("__p"), F.col("threshold").alias("__t"))
     copies = F.col("__p") + (place(F.col("doc_id"), F.col("text")) < F.col("__t")).cast("long")

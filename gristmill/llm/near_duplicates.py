@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Scratch, stored, travels
+from gristmill.llm.common import Scratch, apart, stored, travels
 from gristmill.llm.kernels import LOWER, Words, mixed
 from gristmill.operators.graph import components
 
@@ -283,6 +283,10 @@ def scored(docs: DataFrame, size: int) -> DataFrame:
 
 def representatives(docs: DataFrame, size: int) -> DataFrame:
     """docs without those that another stands for, with all their columns: of each component one text of the smallest id stays, of rows equal in id and text one."""
+    return apart(docs, lambda docs: _representatives(docs, size))
+
+
+def _representatives(docs: DataFrame, size: int) -> DataFrame:
     found = linked(docs, size)
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
     gone = found.where("doc_id <> component OR NOT first").select(F.struct("doc_id", "key").alias(KEY)).distinct()

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import WORD, stored
+from gristmill.llm.common import WORD, apart, stored
 
 #: Low bits of a packed window key that hold its place; longer texts take the struct sort.
 PLACE_BITS = 21
@@ -132,6 +132,10 @@ def accepted(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame
 
     Without the table the filter would be pushed below the measures and work them out anew for each use.
     """
+    return apart(docs, lambda docs: _accepted(docs, rules))
+
+
+def _accepted(docs: DataFrame, rules: QualityRules) -> DataFrame:
     flagged = measured(docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"), F.col("text").alias("_text")), rules, "_text")
     flagged = stored(flagged.select("_row", "_source", "base_failed").withColumn("_row", F.when(~F.col("base_failed"), F.col("_row"))), "rules")
     return judged(flagged, rules, "_source").where("kept").select("_row.*")

@@ -7,8 +7,8 @@ largest keys are a sample without replacement in proportion to the weights. Nois
 The k-th largest key is found by histograms of its digits, one pass a digit over a table of one narrow row per document; nothing is sorted.
 
 Defined cases: a document without words has log weight 0, long texts have as many n-grams as they have; rows without an id share one noise value of
-their own and are never among the target's documents; other columns are not read; ties in the key are broken by the hash of the id, and rows that
-repeat an id stand or fall together, so the sample may hold a few rows more than k; without labels all weights are equal; empty tables give empty results.
+their own and are never among the target's documents; other columns are not read; ties in the key are broken by the hash of the id, then
+by the number of the row, so the sample holds exactly k rows (rows that tie in both are equal in all that is returned); without labels all weights are equal; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def _counted(buckets: int):
 
 def ratios(docs: DataFrame, good: DataFrame, spec: Resampling) -> np.ndarray:
     """Log target share less log raw share of each bucket. good: doc_id of the target's documents."""
-    marked = docs.join(good.select("doc_id").distinct().withColumn("good", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
+    marked = docs.join(good.select("doc_id").distinct().withColumn("good", F.lit(True)), "doc_id", "left")
     rows = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_counted(spec.buckets), "bucket long, raw long, target long")
     table = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     shares = []
@@ -95,12 +95,13 @@ def _weighed(sent: Broadcast, spec: Resampling):
 
 
 def largest(keys: DataFrame, k: int, key: str = "key", id: str = "doc_id") -> DataFrame:
-    """keys with kept: whether a row's key is among the k largest. Five digits of the key, then four of the id's hash, each by one histogram of at most 4096 rows."""
+    """keys with kept, true of the k rows with the largest keys. Five digits of the key, four of the id's hash, then six of the row's number, each by one histogram of at most 4096 rows."""
     scaled = (F.col(key) * (1 << 20)).cast("decimal(38,0)") + (1 << 58)
     high = F.greatest(F.least(scaled, F.lit((1 << 59) - 1)), F.lit(0)).cast("long")
     low = F.shiftrightunsigned(F.xxhash64(F.col(id).cast("string")), 16)
     digits = [F.pmod(F.shiftright(F.col("_high"), 12 * i), F.lit(4096)) for i in reversed(range(5))] + [F.pmod(F.shiftright(F.col("_low"), 12 * i), F.lit(4096)) for i in reversed(range(4))]
-    table = stored(keys.withColumn("_high", high).withColumn("_low", low), "keys")
+    digits += [F.pmod(F.shiftright(F.col("_row"), 12 * i), F.lit(4096)) for i in reversed(range(6))]
+    table = stored(keys.withColumn("_high", high).withColumn("_low", low).withColumn("_row", F.monotonically_increasing_id()), "keys")
     above, inside, left = F.lit(False), F.lit(True), k
     for digit in digits:
         counts = sorted(table.where(inside).groupBy(digit.alias("d")).count().collect(), reverse=True)
@@ -114,7 +115,7 @@ def largest(keys: DataFrame, k: int, key: str = "key", id: str = "doc_id") -> Da
         if not rest or left <= 0:
             break
         inside = inside & (digit == max(rest))
-    return table.withColumn("kept", above).drop("_high", "_low")
+    return table.withColumn("kept", above).drop("_high", "_low", "_row")
 
 
 def resampled(docs: DataFrame, good: DataFrame, spec: Resampling = Resampling()) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import travels
+from gristmill.llm.common import apart, travels
 from gristmill.llm.repeats import FOUND_COLUMN, Windows, covered, repeated, with_own_ids, with_repeats
 
 travels(__name__)
@@ -79,5 +79,5 @@ def cleaned(docs: DataFrame) -> DataFrame:
         order = ["doc_id", *[c for c in docs.columns if c != "doc_id"]]
         return with_repeats(docs, repeated(docs, BYTES), _cleaned, docs.select(*order).schema).select(*docs.columns)
 
-    found = with_own_ids(docs, work)
+    found = apart(docs, lambda docs: with_own_ids(docs, work))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found

@@ -613,11 +613,32 @@ def test_resampling_against_plain_counts(docs, spark):
     assert all(r.kept == (r.key >= least - 1e-9) for r in got)
 
 
+def test_resampling_takes_tied_rows_in_part(spark):
+    """Equal rows, rows without id, and equal keys of unlike ids: the sample holds exactly its share."""
+    for rows in ([(1, "a b c")] * 100, [(None, "a b c")] * 100, [(i // 3, "same words here") for i in range(100)]):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = resample.resampled(frame, spark.createDataFrame([(1,)], "doc_id long"))
+        assert got.count() == 100 and got.where("kept").count() == 75
+
+
+def test_decontamination_in_blocks_with_clashing_columns(docs, spark):
+    from pyspark.sql import functions as F
+
+    items = spark.createDataFrame(BENCHMARK, "item_id long, text string")
+    names = ["__key", "__n_words", "__places", "key", "hits"]
+    more = docs.withColumns({c: F.concat_ws("-", F.lit(c), "doc_id") for c in names})
+    got = decontaminate.cleaned(more, items, at_once=2)
+    assert got.columns == more.columns
+    expected = {r.doc_id: r.text for r in decontaminate.cleaned(docs, items).collect()}
+    rows = got.collect()
+    assert {r.doc_id: r.text for r in rows} == expected and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in names)
+
+
 def test_clashing_columns(docs, spark):
     """Columns that carry the names of an operator's own survive, with their values."""
     from pyspark.sql import functions as F
 
-    names = ["found", "n_words", "size", "place", "source_size", "good", "passes", "threshold", "base_failed", "kept"]
+    names = ["found", "n_words", "size", "place", "source_size", "good", "passes", "threshold", "base_failed", "kept", "__found", "__id", "__key", "__s", "__p", "__t"]
     more = docs.where("doc_id IS NOT NULL").withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
     benchmark = spark.createDataFrame(BENCHMARK, "item_id long, text string")
     for out in (quality_rules.accepted(more), near_duplicates.representatives(more, 5), suffix_dedup.cleaned(more), decontaminate.cleaned(more, benchmark), mixing.mixed_documents(more)):

@@ -1,7 +1,9 @@
 """The pipeline against a plain version of its stages."""
 
+import hashlib
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 
@@ -61,6 +63,19 @@ def without_items(text):
     return text
 
 
+def plain_targets(sizes):
+    """Targets of the sources: by weight, at most three times a source's size, the excess shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        left, share = total - sum(3 * sizes[s] for s in full), sum(w for s, w in weight.items() if s not in full) or 1
+        over = {s for s in order if s not in full and weight[s] * left / share > 3 * sizes[s]}
+        if not over:
+            return {s: 3.0 * sizes[s] if s in full else weight[s] * left / share for s in order}
+        full |= over
+
+
 def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(BENCHMARK, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -75,7 +90,21 @@ def test_pipeline(spark, tmp_path):
         if hit <= 0.5 * n:
             clean.append((i, without_items(text), lang, source))
     expected = {r[0]: r for r in clean}
-    assert set(got) <= set(expected)
+    # the mix, by the operator's own places and thresholds over the rows that are left
+    sizes = defaultdict(int)
+    for r in clean:
+        sizes[r[3]] += len(parts(r[1]))
+    goals = plain_targets(sizes)
+    copies = {}
+    for source, size in sizes.items():
+        passes = int(goals[source] // size) if size else 0
+        left = goals[source] - passes * size
+        for r in sorted((r for r in clean if r[3] == source), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()[:12]):
+            left -= len(parts(r[1]))
+            copies[r[0]] = passes + (left >= 0)
+            if left < 0:
+                left = -math.inf
+    assert {i: r.mix_copies for i, r in got.items()} == {i: n for i, n in copies.items() if n}
     for i, r in got.items():
         assert (r.text, r.lang, r.source, r.n_chars) == (*expected[i][1:], len(expected[i][1])) and r.mix_copies >= 1
     # whole sources with room to spare are all taken; none exceeds three times its words
@@ -100,12 +129,13 @@ def test_odd_tables(spark, tmp_path):
     a, b, c = words("oa", 60, 9000), words("ob", 60, 9000), words("oc", 60, 9000)
     odd = [(1, a, "en", "s", 0)] * 2 + [(1, b, "en", "s", 0), (None, c, "en", "s", 0), (None, c, "en", None, 0), (None, None, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]
     odd += [(4, words("long", 200_000, 10**7), "en", "s", 0), (5, a + " and more", "en", "s", 0)]
-    names = ["found", "__found", "component", "key", "node", "bucket", "size", "place", "n_words", "hits", "kept", "digit", "good"]
-    docs = spark.createDataFrame(odd, schema).withColumns({x: F.concat_ws("-", F.lit(x), "doc_id") for x in names if x != "__found"})
+    names = ["found", "component", "key", "node", "bucket", "size", "place", "n_words", "hits", "kept", "digit", "good", "row", "other_column_0", "dotted.name"]
+    names += ["__found", "__id", "__hash", "__number", "__part", "__key", "__n_words", "__places", "__s", "__p", "__t", "_s", "_turn", "rules", "print", "first"]
+    docs = spark.createDataFrame(odd, schema).withColumns({x: F.concat_ws("-", F.lit(x), "doc_id") for x in names})
     docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == [*docs.columns, "mix_copies"]
     rows = got.collect()
     # the only source with words takes all of its words once
     assert Counter((r.doc_id, r.text) for r in rows if r.source == "s") <= Counter([(1, a), (1, b), (None, c), (4, odd[8][1])])
-    assert {r.doc_id for r in rows} >= {4} and all(r[x] == (f"{x}-{r.doc_id}" if r.doc_id is not None else x) for r in rows for x in names if x != "__found")
+    assert {r.doc_id for r in rows} >= {4} and all(r[x] == (f"{x}-{r.doc_id}" if r.doc_id is not None else x) for r in rows for x in names)
