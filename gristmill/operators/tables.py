@@ -63,13 +63,13 @@ class Scratch:
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, keep_if_empty: tuple[str, ...] = (), body: str = "") -> DataFrame:
-    """old with the rows of new put over it by key. The columns keep_if_empty are taken over only where the new body is not empty."""
-    o, n = old.alias("o"), new.alias("n")
-    is_new = F.col(f"n.{key}").isNotNull()
+    """old with the rows of new put over it by key. The columns keep_if_empty are taken over only where the new body is not empty. Rows without a key stay as they are, old and new ones."""
+    o, n = old.withColumn("_is_old", F.lit(True)).alias("o"), new.withColumn("_is_new", F.lit(True)).alias("n")
+    is_new = F.col("_is_new").isNotNull()
     has_body = F.coalesce(F.col(f"n.{body}") != "", F.lit(False)) if body else F.lit(True)
 
     def value(c: str) -> Column:
-        wins = is_new & (has_body | F.col(f"o.{key}").isNull()) if c in keep_if_empty else is_new
+        wins = is_new & (has_body | F.col("_is_old").isNull()) if c in keep_if_empty else is_new
         return F.when(wins, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
 
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *[value(c) for c in old.columns if c != key])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill import views
 from gristmill.functions import rules, text, times, urls
 from gristmill.operators import dedup, ranking, tables
+from gristmill.operators.ranges import RangeTable
 from gristmill.plans.digest import digest, labelled
 from gristmill.sources import listings
 
@@ -747,17 +748,22 @@ def set_digest_diff(v: View) -> DataFrame:
 # Table maintenance
 
 
+def ranged(rows: DataFrame, key: str) -> RangeTable:
+    """rows stored by ranges of a key."""
+    return RangeTable.created(rows, key, f"{tables.folder(rows.sparkSession)}/ranges-{tables.unique()}")
+
+
 @query("sink_upsert_articles", ["articles"], "SELECT a.id, CASE WHEN doc_id % 3 = 0 THEN concat('new ', title_original) ELSE title_original END AS title_original, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'fresh' ELSE content_original END AS content_original FROM articles AS a")
 def sink_upsert_articles(v: View) -> DataFrame:
     old = v("articles").select("id", "doc_id", "title_original", "content_original")
     new = old.where("doc_id % 3 = 0").select("id", F.concat(F.lit("new "), "title_original").alias("title_original"), F.when(F.col("doc_id") % 2 == 0, "fresh").otherwise("").alias("content_original"))
-    return tables.upserted(old.drop("doc_id"), new, "id", keep_if_empty=("content_original",), body="content_original")
+    return ranged(old.drop("doc_id"), "id").upserted(new, keep_if_empty=("content_original",), body="content_original").rows()
 
 
 @query("sink_set_body", ["articles"], "SELECT id, CASE WHEN doc_id % 10 = 0 THEN 'patched' ELSE content_original END AS content_original FROM articles")
 def sink_set_body(v: View) -> DataFrame:
     rows = v("articles")
-    return tables.patched(rows.select("id", "content_original"), rows.where("doc_id % 10 = 0").select("id", F.lit("patched").alias("content_original")), "id")
+    return ranged(rows.select("id", "content_original"), "id").patched(rows.where("doc_id % 10 = 0").select("id", F.lit("patched").alias("content_original"))).rows()
 
 
 @query("sink_insert_ignore", ["articles"], "SELECT id, doc_id % 2 <> 0 AS created FROM articles WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
@@ -775,7 +781,7 @@ def sink_delete(v: View) -> DataFrame:
 @query("sink_digest_replace", ["articles", "links"], "SELECT digest_date, news_id, position FROM links WHERE digest_date <> '2024-01-03' UNION ALL SELECT digest_date, news_id, position FROM links WHERE digest_date = '2024-01-03' AND position < 10")
 def sink_digest_replace(v: View) -> DataFrame:
     links = v("links")
-    return tables.replaced(links, links.where("digest_date = '2024-01-03' AND position < 10"), "digest_date")
+    return ranged(links, "digest_date").replaced(links.where("digest_date = '2024-01-03' AND position < 10")).rows()
 
 
 @query("maint_table_report", ["articles", "links", "repos", "run_log"], "SELECT 'articles' AS \"table\", (SELECT count(*) FROM articles) AS n UNION ALL SELECT 'links', (SELECT count(*) FROM links) UNION ALL SELECT 'repos', (SELECT count(*) FROM repos) UNION ALL SELECT 'run_log', (SELECT count(*) FROM run_log)")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import quality, rules, text, times, urls
 from gristmill.operators import bodies, dedup, ranking, search, tables
 from gristmill.plans.digest import digest, digest_windows, rebuild_changes, rebuilt
-from gristmill.queries import _BASE, _CANON, _CON, _FOUND_AT, _LABELS, _MEDIA, _OUTCOMES, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, labelled, outcomes, query, source_of_domain
+from gristmill.queries import _BASE, _CANON, _CON, _FOUND_AT, _LABELS, _MEDIA, _OUTCOMES, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, labelled, outcomes, query, ranged, source_of_domain
 from gristmill.queries_text import snippet_sql
 from gristmill.sources import listings, pages
 from gristmill.streaming import jobs
@@ -59,7 +59,7 @@ def src_epoch_json(v: View) -> DataFrame:
 @query("sink_upsert_projects", ["repos"], "SELECT rank, repo, CASE WHEN rank % 4 = 0 THEN stars + 1000 ELSE stars END AS stars FROM repos")
 def sink_upsert_projects(v: View) -> DataFrame:
     old = v("repos").select("rank", "repo", "stars")
-    return tables.upserted(old, old.where("rank % 4 = 0").withColumn("stars", F.col("stars") + 1000), "rank")
+    return ranged(old, "rank").upserted(old.where("rank % 4 = 0").withColumn("stars", F.col("stars") + 1000)).rows()
 
 
 @query("sink_run_log", ["run_log"], r"SELECT run_id, CASE WHEN success THEN 'success' WHEN run_id % 2 = 0 THEN 'failed' ELSE 'running' END AS status, CASE WHEN success OR run_id % 2 = 0 THEN fetched END AS fetched, CASE WHEN success OR run_id % 2 = 0 THEN valid END AS valid, CASE WHEN run_id % 2 = 0 THEN nullif(substring(trim(regexp_replace(error, '\s+', ' ', 'g')), 1, 300), '') END AS error FROM run_log")
