@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.operators.tables import deleted, patched, travels, unique, upserted
+from gristmill.operators.tables import deleted, numbers_in, patched, put_once, travels, unique, upserted
 
 travels(__name__)
 
@@ -62,9 +62,7 @@ class RangeTable:
     @classmethod
     def opened(cls, spark: SparkSession, path: str, version: int | None = None) -> RangeTable:
         """The latest version, or another that is still there."""
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-        names = [x.getPath().getName() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
-        last = max(int(x) for x in names if x.isdigit()) if version is None else version
+        last = numbers_in(spark, f"{path}/manifest")[-1] if version is None else version
         held = json.loads(spark.read.text(f"{path}/manifest/{last}", wholetext=True).first()[0])
         return cls(spark, path, held["key"], last, held["schema"], held["bounds"], held["files"], held["range_rows"])
 
@@ -132,13 +130,6 @@ class RangeTable:
         """The next version, told by a manifest that appears whole or not at all."""
         version = self.version + 1
         text = json.dumps({"key": self.key, "schema": self.schema, "range_rows": self.range_rows, "bounds": bounds, "files": files})
-        paths = self.spark._jvm.org.apache.hadoop.fs.Path
-        draft, final = paths(f"{self.path}/manifest/_draft-{unique()}"), paths(f"{self.path}/manifest/{version}")
-        fs = final.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        out = fs.create(draft, False)
-        out.writeBytes(text)
-        out.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            fs.delete(draft, False)
+        if not put_once(self.spark, f"{self.path}/manifest/{version}", text):
             raise Conflict(f"version {version} of {self.path} is another's")
         return RangeTable(self.spark, self.path, self.key, version, self.schema, bounds, files, self.range_rows)

@@ -35,6 +35,28 @@ def unique() -> str:
     return uuid.uuid4().hex
 
 
+def put_once(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file (ASCII) that appears whole or not at all; False if there is one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_draft-{unique()}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(draft, False)
+    out.writeBytes(text)
+    out.close()
+    if fs.exists(target) or not fs.rename(draft, target):
+        fs.delete(draft, False)
+        return False
+    return True
+
+
+def numbers_in(spark: SparkSession, path: str) -> list[int]:
+    """The files of a folder that have a number for a name, in order."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+    return sorted(int(x) for x in names if x.isdigit())
+
+
 def stored(df: DataFrame, name: str = "table", within: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder (or in `within`) and read it back.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import rules, times
 from gristmill.operators import dedup, ranking
+from gristmill.operators.tables import stored
 
 FIELDS = ("title_cn", "title_original", "summary", "why_it_matters", "source")
 
@@ -27,6 +28,24 @@ def digest(articles: DataFrame, sources: DataFrame, start: Column, end: Column,
     return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "id", "title_original", "topic", "company", "score")
 
 
+def merged(linked: DataFrame, batch: DataFrame, sources: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The rows that a digest of (start, end] links after a batch, with rank, score, cluster_size, topic and company.
+
+    The batch is folded by URL and title; with what is linked before, then, by event, so that a batch never brings back what another told. Media caps, labels and diverse ranks follow. Nothing is cut at the end.
+    """
+    columns = linked.columns
+    inside = batch.where(times.in_window(F.col("published_at"), start, end)).withColumn("title", F.col("title_original"))
+    fresh = dedup.title_winners(dedup.by_title(dedup.by_url(inside, sources))).select(*columns)
+    # what is linked comes first, so of one id the linked row stays
+    candidates = stored(linked.unionByName(fresh.join(linked.select("id"), "id", "left_anti").select(*columns)), "candidates")
+    clusters = dedup.event_clusters(candidates, dedup.event_links(dedup.event_classes(candidates)))
+    winners = stored(dedup.event_winners(candidates, clusters, sources).drop("priority", "cluster"), "winners")
+    kept = labelled(ranking.media_decisions(winners).where("kept").drop("kept", "reason"))
+    scored = kept.withColumn("base_score", ranking.rounded(ranking.base_score(start, end, F.col("cluster_size")))).withColumn("digest_date", F.date_format(end, "yyyy-MM-dd"))
+    ranks = ranking.diverse(scored).select("id", "rank", F.col("final_score").alias("score"))
+    return kept.join(ranks, "id")
+
+
 def digest_windows(links: DataFrame, articles: DataFrame) -> DataFrame:
     """digest_date, window_start, window_end of each stored digest: a window starts where the one before ends, else a day before its own end. One row a day."""
     ends = links.join(articles.select(F.col("id").alias("news_id"), "published_at"), "news_id").groupBy("digest_date").agg(F.max("published_at").alias("window_end"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import quality, rules, text, times, urls
 from gristmill.operators import bodies, dedup, ranking, search, tables
-from gristmill.plans.digest import digest, digest_windows, rebuild_changes, rebuilt
-from gristmill.queries import _BASE, _CANON, _CON, _FOUND_AT, _LABELS, _MEDIA, _OUTCOMES, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, labelled, outcomes, query, ranged, source_of_domain
+from gristmill.plans.digest import digest_windows, merged, rebuild_changes, rebuilt
+from gristmill.queries import _CANON, _CON, _FOUND_AT, _LABELS, _MEDIA, _NORMAL, _OUTCOMES, _REC, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, labelled, outcomes, query, ranged, source_of_domain
 from gristmill.queries_text import snippet_sql
 from gristmill.sources import listings, pages
 from gristmill.streaming import jobs
@@ -25,8 +24,10 @@ def _any(column: str, words: tuple[str, ...]) -> str:
 
 _OPPOSED = " OR ".join(f"({_any('a.bo', x)} AND {_any('b.bo', y)}) OR ({_any('a.bo', y)} AND {_any('b.bo', x)})" for x, y in text.OPPOSITES)
 _DICE = "CASE WHEN len(a.{0}) = 0 OR len(b.{0}) = 0 THEN 0.0 ELSE 2.0 * CAST(len(list_intersect(a.{0}, b.{0})) AS DOUBLE) / (len(a.{0}) + len(b.{0})) END"
-MATCHES = rf"""WITH items AS (SELECT id, title_original, title_cn, summary, published_at FROM articles UNION ALL SELECT concat('b', id), title_original, title_cn, summary, published_at + INTERVAL 5 HOUR FROM articles WHERE doc_id % 4 = 0),
-texts AS (SELECT id, epoch_us(published_at) AS us, concat(coalesce(title_original, ''), ' ', coalesce(title_cn, '')) AS ttl, concat(coalesce(summary, ''), ' ') AS bod FROM items WHERE published_at IS NOT NULL),
+def matches_sql(items: str) -> str:
+    """The pairs that tell one event, of a select of id, title_original, title_cn, summary, why_it_matters and published_at."""
+    return rf"""WITH items AS ({items}),
+texts AS (SELECT id, epoch_us(published_at) AS us, concat(coalesce(title_original, ''), ' ', coalesce(title_cn, '')) AS ttl, concat(coalesce(summary, ''), ' ', coalesce(why_it_matters, '')) AS bod FROM items WHERE published_at IS NOT NULL),
 sets AS (SELECT *, {_tokens_sql('ttl')} AS tt, {_tokens_sql('bod')} AS bt, trim(bod) = '' AS bare, list_distinct(regexp_extract_all(lower(ttl), '[a-z]+[a-z0-9]*[.\-]?[0-9][a-z0-9._\-]*')) AS terms FROM texts),
 boths AS (SELECT *, list_distinct(list_concat(tt, bt)) AS bo FROM sets),
 f AS (SELECT *, list_filter(bo, lambda x: regexp_matches(x, '[0-9]')) AS ve, list_filter(bo, lambda x: regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '^(19|20)[0-9][0-9]$') AND regexp_matches(x, '[a-z]')) AS fi FROM boths),
@@ -36,6 +37,9 @@ r AS (SELECT *, CASE WHEN bare THEN CASE WHEN title_similarity >= 0.9 AND shared
   WHEN title_similarity >= CASE WHEN shared THEN 0.3 ELSE 0.45 END THEN CASE WHEN shared THEN 'shared_term_text_similarity' ELSE 'text_similarity' END END AS reason FROM p)
 SELECT a, b, reason, CASE WHEN bare THEN title_similarity ELSE (title_similarity + body) / 2 END AS score, title_similarity, hours_apart FROM r WHERE reason IS NOT NULL"""
 
+
+MATCHES = matches_sql("SELECT id, title_original, title_cn, summary, '' AS why_it_matters, published_at FROM articles UNION ALL SELECT concat('b', id), title_original, title_cn, summary, '' AS why_it_matters, published_at + INTERVAL 5 HOUR FROM articles WHERE doc_id % 4 = 0")
+
 # Sources and tables
 
 
@@ -117,18 +121,22 @@ def _clustered(v: View) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 #: Items in order of their ids: each takes the number of the first cluster that holds one of its matches, else its own.
-_CLUSTERS = f"""all_items AS (SELECT id, doc_id, source_id, source, source_type, published_at, importance_score, summary FROM articles UNION ALL SELECT concat('b', id), doc_id, 'src3', 'Source 3', source_type, published_at + INTERVAL 5 HOUR, importance_score, summary FROM articles WHERE doc_id % 4 = 0),
-matches AS ({MATCHES}),
+def clusters_sql(items: str, matches: str) -> str:
+    return f"""all_items AS ({items}),
+matches AS ({matches}),
 nodes AS (SELECT id, list(e) FILTER (WHERE e IS NOT NULL) AS earlier FROM (SELECT b AS id, a AS e FROM matches UNION ALL SELECT a, NULL FROM matches) AS n0 GROUP BY id),
 steps AS (SELECT list([{{'id': id, 'earlier': coalesce(earlier, CAST([] AS VARCHAR[])), 'c': CAST(1 AS BIGINT)}}] ORDER BY id) AS rows FROM nodes),
 reduced AS (SELECT list_reduce(rows, lambda acc, x: list_concat(acc, [{{'id': x[1].id, 'earlier': x[1].earlier, 'c': coalesce(list_min(list_transform(list_filter(acc, lambda p: list_contains(x[1].earlier, p.id)), lambda p: p.c)), len(acc) + 1)}}])) AS rows FROM steps WHERE len(rows) > 0),
 named AS (SELECT rows[i].id AS id, rows[rows[i].c].id AS cluster FROM (SELECT rows, unnest(range(1, len(rows) + 1)) AS i FROM reduced) AS r1),
 clusters AS (SELECT t.id, coalesce(n.cluster, t.id) AS cluster FROM all_items AS t LEFT JOIN named AS n ON t.id = n.id),
-placed AS (SELECT t.*, c.cluster, count(*) OVER (PARTITION BY c.cluster) AS cluster_size, row_number() OVER (PARTITION BY c.cluster ORDER BY CASE source_type WHEN 'official' THEN 0 WHEN 'research' THEN 1 WHEN 'media' THEN 2 ELSE 3 END, coalesce(s.priority, 1000), coalesce(importance_score, -1) DESC, length(coalesce(summary, '')) DESC, published_at NULLS LAST, t.id) AS k
+placed AS (SELECT t.*, c.cluster, count(*) OVER (PARTITION BY c.cluster) AS cluster_size, row_number() OVER (PARTITION BY c.cluster ORDER BY CASE source_type WHEN 'official' THEN 0 WHEN 'research' THEN 1 WHEN 'media' THEN 2 ELSE 3 END, coalesce(s.priority, 1000), coalesce(importance_score, -1) DESC, length(coalesce(summary, '')) + length(coalesce(why_it_matters, '')) DESC, published_at NULLS LAST, t.id) AS k
   FROM all_items AS t JOIN clusters AS c ON t.id = c.id LEFT JOIN (SELECT name, priority FROM sources) AS s ON t.source = s.name),
 winners AS (SELECT * FROM placed WHERE k = 1)"""
 
 
+_CLUSTERS = clusters_sql("SELECT id, doc_id, source_id, source, source_type, published_at, importance_score, summary, '' AS why_it_matters FROM articles UNION ALL SELECT concat('b', id), doc_id, 'src3', 'Source 3', source_type, published_at + INTERVAL 5 HOUR, importance_score, summary, '' AS why_it_matters FROM articles WHERE doc_id % 4 = 0", MATCHES)
+
+
 @query("dedup_event", ["articles", "sources"], f"WITH {_CLUSTERS} SELECT id, cluster FROM clusters")
 def dedup_event(v: View) -> DataFrame:
     return _clustered(v)[2]
@@ -541,20 +549,31 @@ def maint_backfill_body(v: View) -> DataFrame:
     return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-_REFRESHED = f"""WITH w AS (SELECT *, {_CANON} AS canonical_url FROM articles WHERE {_IN}),
+_WON = """concat(canonical_url, chr(10), url) AS key, epoch_us(published_at) AS us, """ + _NORMAL.replace("trim(title)", "trim(title_original)")
+_BONUS = " + 0.06 * least(greatest(cluster_size - 1, 0) * 0.5, 2.0))"
+_LINKED = f"""SELECT '2024-01-06' AS digest_date, id, floor({_SCORE.replace('0.05 * {con})', '0.05 * {con}' + _BONUS).replace('{rec}', _REC).replace('{con}', _CON)} * 10000 + 0.500001) / 10000 AS base_score, CAST(epoch_us(published_at) AS DOUBLE) AS us, company, topic, source FROM l"""
+_REFRESHED = f"""WITH w AS (SELECT *, {_CANON} AS canonical_url FROM articles WHERE {_IN.format(FROM=FROM, TO=TO)}),
 p AS (SELECT w.*, coalesce(s.priority, 1000) AS priority FROM w LEFT JOIN (SELECT source_id AS sid, priority FROM sources) AS s ON w.source_id = s.sid),
-u AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY source_type <> 'official', priority, published_at NULLS LAST, url) AS k FROM p) AS k1 WHERE k = 1),
-m AS ({_MEDIA.replace("FROM articles", "FROM u")}),
+u AS (SELECT *, {_WON} AS title_key FROM (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY source_type <> 'official', priority, published_at NULLS LAST, url) AS k FROM p) AS k1 WHERE k = 1) AS k2),
+g AS (SELECT title_key, list({{'key': key, 'us': us, 'c': CAST(1 AS BIGINT)}} ORDER BY canonical_url, url) AS rows FROM u WHERE title_key <> '' AND us IS NOT NULL GROUP BY title_key),
+r AS (SELECT list_reduce(list_transform(rows, lambda y: [y]), lambda acc, x: list_concat(acc, [{{'key': x[1].key, 'us': x[1].us, 'c': coalesce(list_min(list_transform(list_filter(acc, lambda p: abs(p.us - x[1].us) <= 172800000000), lambda p: p.c)), len(acc) + 1)}}])) AS rows FROM g),
+c AS (SELECT rows[i].key AS key, rows[rows[i].c].key AS title_cluster FROM (SELECT rows, unnest(range(1, len(rows) + 1)) AS i FROM r) AS r1),
+t AS (SELECT * EXCLUDE (k, priority, key, us, title_key) FROM (SELECT u.*, row_number() OVER (PARTITION BY coalesce(c.title_cluster, u.key) ORDER BY source_type <> 'official', priority, published_at NULLS LAST, canonical_url, url) AS k FROM u LEFT JOIN c ON u.key = c.key) AS k3 WHERE k = 1),
+{clusters_sql('SELECT * FROM t', matches_sql('SELECT id, title_original, title_cn, summary, why_it_matters, published_at FROM t'))},
+v AS (SELECT * EXCLUDE (k) FROM winners),
+m AS ({_MEDIA.replace("FROM articles", "FROM v")}),
 l AS ({_LABELS.replace("FROM articles", "FROM (SELECT * FROM m WHERE coalesce(reason = 'kept', true)) AS kept")}),
-b AS (SELECT id, title_original, topic, company, {_BASE} AS score, published_at FROM l)
-SELECT row_number() OVER (ORDER BY score DESC, published_at DESC NULLS LAST, id) AS rank, id, title_original, topic, company, score FROM b ORDER BY rank LIMIT 10"""
+d AS ({_diverse_sql(_LINKED, "n")})
+SELECT d.rank, l.id, title_original, topic, company, round(d.final_score, 4) AS score, cluster_size FROM d JOIN l ON d.id = l.id"""
 
 
 @query("inc_refresh", ["articles", "sources"], _REFRESHED)
 def inc_refresh(v: View) -> DataFrame:
-    articles, sources = v("articles"), v("sources")
+    """The articles as a stream of batches into one digest's window: what it links in the end."""
+    articles, sources = v("articles"), tables.stored(v("sources"), "sources")
     spark = articles.sparkSession
-    path = f"{tables.folder(spark)}/input-{tables.unique()}"
-    articles.write.parquet(path)
-    stream = spark.readStream.schema(articles.schema).parquet(path)
-    return jobs.refreshed(stream, tables.folder(spark), lambda archive: digest(archive, sources, at(FROM), at(TO)), datetime.fromisoformat(FROM), datetime.fromisoformat(TO))
+    path = f"{tables.folder(spark)}/refresh-{tables.unique()}"
+    articles.write.parquet(f"{path}/input")
+    stream = spark.readStream.schema(articles.schema).parquet(f"{path}/input")
+    jobs.refreshed(stream, path, lambda linked, batch: merged(linked, batch, sources, at(FROM), at(TO)))
+    return jobs.linked(spark, path).select("rank", "id", "title_original", "topic", "company", F.round("score", 4).alias("score"), "cluster_size")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
-from datetime import datetime
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gristmill.functions.text import normal_title
 from gristmill.operators.dedup import HORIZON
-from gristmill.operators.tables import travels
+from gristmill.operators.tables import numbers_in, put_once, travels
 
 travels(__name__)
 
@@ -119,18 +119,43 @@ def finished(stream: DataFrame, folder: str, keys: list[str] | None = None) -> D
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
 
 
-def refreshed(stream: DataFrame, folder: str, plan: Callable[[DataFrame], DataFrame], start: datetime, end: datetime) -> DataFrame:
-    """Refresh the digest of a window with each batch: late rows are archived too, by day; the plan reads the window's days only, and an empty result keeps the digest before."""
-    spark, path = stream.sparkSession, f"{folder}/refresh-{uuid.uuid4().hex}"
+def refreshed(stream: DataFrame, path: str, plan: Callable[[DataFrame, DataFrame], DataFrame], projects: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Refresh a digest with each batch: all rows are archived by day, and plan(linked, batch) gives the rows to link anew from those linked before and the batch's.
+
+    projects(batch) gives the projects found with a batch. What a batch made is told by its commit, path/commits/<batch>: which batches' links and projects count from then on. A plan that
+    finds nothing keeps the links before, and a batch without projects the projects. A batch that is run again begins from the commit before its own, so it makes the same; what it had written without a
+    commit nobody reads. Read with linked() and linked_projects().
+    """
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
+        if number in numbers_in(spark, f"{path}/commits"):
+            return
+        before = committed(spark, path, number)
+        batch = batch.persist()
         batch.withColumn("_day", F.to_date("published_at")).write.partitionBy("_day").mode("overwrite").parquet(f"{path}/archive/batch={number}")
-        days = F.col("_day").between(F.lit(start.date()), F.lit(end.date()))
-        made = plan(spark.read.parquet(f"{path}/archive").where(days).select(*batch.columns))
-        if not made.isEmpty():
-            made.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/digest/version={number}")
+        now = dict(before)
+        old = spark.read.parquet(f"{path}/links/{before['links']}").select(*batch.columns) if before["links"] is not None else batch.limit(0)
+        made = {"links": plan(old, batch)} | ({"projects": projects(batch)} if projects else {})
+        for name, rows in made.items():
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/{number}")
+            if not spark.read.schema(rows.schema).parquet(f"{path}/{name}/{number}").isEmpty():
+                now[name] = number
+        batch.unpersist()
+        put_once(spark, f"{path}/commits/{number}", json.dumps(now))
 
     stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    versions = spark.read.parquet(f"{path}/digest").drop("version")
-    last = versions.agg(F.max("_batch").alias("_batch"))
-    return versions.join(last, "_batch").drop("_batch")
+
+
+def committed(spark: SparkSession, path: str, before: int | None = None) -> dict[str, int | None]:
+    """The batches whose links and projects count: after the last commit, or the last before a batch."""
+    numbers = [n for n in numbers_in(spark, f"{path}/commits") if before is None or n < before]
+    return json.loads(spark.read.text(f"{path}/commits/{numbers[-1]}", wholetext=True).first()[0]) if numbers else {"links": None, "projects": None}
+
+
+def linked(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/links/{committed(spark, path)['links']}")
+
+
+def linked_projects(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/projects/{committed(spark, path)['projects']}")
