@@ -178,11 +178,13 @@ class Tokens:
 
 def _same(units: pa.Array, ids: tuple[np.ndarray, np.ndarray], pieces: Pieces) -> np.ndarray:
     """Whether the pieces of each unit spell it, with a space in front."""
-    spelled = [pieces.spelled[i] for i in ids[0].tolist()]
-    texts = units.to_pylist()
-    if b"".join(spelled) == "".join(" " + t for t in texts).encode() and np.array_equal(np.diff(np.append(0, np.cumsum(pieces.sizes[ids[0]]))[ids[1]], prepend=0), [len(t.encode()) + 1 for t in texts]):
-        return np.ones(len(texts), bool)
-    return np.array([b"".join(spelled[x:y]) == b" " + t.encode() for t, x, y in zip(texts, [0, *ids[1][:-1].tolist()], ids[1].tolist(), strict=True)], bool)
+    sizes = pc.binary_length(units).to_numpy().astype(np.int64) + 1
+    spelled, ends = dealt(pieces.letters, pieces.ends, ids[0])
+    plain = np.frombuffer(b" " + " ".join(units.to_pylist()).encode(), np.uint8)
+    if np.array_equal(np.append(0, ends)[ids[1]], np.cumsum(sizes)) and np.array_equal(spelled, plain):
+        return np.ones(len(units), bool)
+    ends = np.append(0, np.append(0, ends)[ids[1]])
+    return np.array([spelled[x:y].tobytes() == b" " + t.encode() for t, x, y in zip(units.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)], bool)
 
 
 @dataclass
@@ -320,6 +322,16 @@ class Plan:
         return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
 
 
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and where each stood; of equal ones the first first. Key and place sort as one number where both fit."""
+    bits = max(1, len(keys).bit_length())
+    if not len(keys) or int(keys.max()).bit_length() + bits > 64:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = np.sort(keys << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+    return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 class Chunk:
     """The rows of a chunk: texts aligned here, and fragments of very long ones."""
 
@@ -336,12 +348,19 @@ class Chunk:
         self.long = [(i, _read(x).whole(tables)) for i, x in enumerate(table.select([c.split()[0] for c in FRAGMENT.split(", ") if c.split()[0] != "doc_id"]).to_pylist()) if x["valid"]]
         self.doc = np.concatenate((self.short[doc], *[np.full(len(x.pairs), i) for i, x in self.long]))
         self.times = np.concatenate((times, *[x.times for _, x in self.long]))
-        self.keys, self.at = np.unique(plan.keys(np.concatenate((pair, *[x.pairs for _, x in self.long]))), return_inverse=True)
+        keys = plan.keys(np.concatenate((pair, *[x.pairs for _, x in self.long])))
+        # equal keys stay in order of their documents, of which each so comes together
+        keys, order = in_order(keys)
+        self.first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        self.keys, self.at = keys[self.first], np.empty(len(keys), np.int64)
+        self.at[order] = np.cumsum(self.first) - 1
+        self.order = order
 
     def documents(self) -> np.ndarray:
         """In how many documents each of the keys is linked."""
-        held = np.unique(self.doc * np.int64(max(len(self.keys), 1)) + self.at)
-        return np.bincount(held % max(len(self.keys), 1), minlength=len(self.keys))
+        doc = self.doc[self.order]
+        new = self.first | np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+        return np.add.reduceat(new.astype(np.int64), np.flatnonzero(self.first)) if len(doc) else np.zeros(0, np.int64)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """For each row the sum of values, given for each of the keys, over its links."""
@@ -365,7 +384,7 @@ class Chunk:
         t = self.aligned.tokens
         text, ends = spelled(t.a, t.b, self.aligned.in_a, self.aligned.in_b, cells)
         ends = ends[self.aligned.to - 1]
-        for i, begin, end in zip(self.short.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        for i, begin, end in zip(self.short.tolist(), np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True):
             out[i] = hashlib.sha256(text[begin : end - 1]).hexdigest()
         for i, x in self.long:
             out[i] = hashlib.sha256(x.groups[:-1]).hexdigest()

@@ -111,11 +111,12 @@ class Pieces:
         self.size = self.coder.get_piece_size()
         self.spelled = [bytes([int(p[3:5], 16)]) if self.coder.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.coder.id_to_piece, range(self.size)))]
         self.sizes = np.array([len(x) for x in self.spelled], np.int64)
+        self.letters, self.ends = np.frombuffer(b"".join(self.spelled), np.uint8), np.cumsum(self.sizes)
 
     def spaced(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each unit, to which the coder adds a space in front, and where each unit's end."""
         found = self.coder.encode(units.to_pylist(), num_threads=1)
-        ends = np.cumsum([len(x) for x in found]) if found else np.zeros(0, np.int64)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         return np.fromiter(chain.from_iterable(found), np.int64, int(ends[-1]) if len(ends) else 0), ends
 
 
