@@ -35,6 +35,22 @@ def place(key: Column, bounds: list) -> Column:
     return F.pandas_udf(found, "int")(key)
 
 
+def in_windows(rows: DataFrame, windows: DataFrame, name: str, at: str = "published_at") -> DataFrame:
+    """rows with the name of the window (start, end] that holds their time, null in a gap.
+
+    windows: name, start, end; of any length, with or without gaps, none over another. Their ends, one a digest, are searched as a sorted array; no row meets more than one window.
+    """
+    bounds = windows.where("start < end").select(F.col(name).alias("name"), F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end")).orderBy("end").collect()
+    for before, after in zip(bounds, bounds[1:], strict=False):
+        if after.start < before.end:
+            raise ValueError(f"windows {before.name} and {after.name} overlap")
+    known = rows.sparkSession.createDataFrame([(i, b.name, b.start) for i, b in enumerate(bounds)], f"window_number int, window_name {windows.schema[name].dataType.simpleString()}, window_start long")
+    # the first window that ends no earlier
+    numbered = rows.withColumn("window_number", place(F.unix_micros(at) - 1, [b.end for b in bounds]))
+    inside = F.unix_micros(at) > F.col("window_start")
+    return numbered.join(known, "window_number", "left").withColumn(name, F.when(inside, F.col("window_name"))).drop("window_number", "window_name", "window_start")
+
+
 class Conflict(RuntimeError):
     """Another change was committed in between."""
 

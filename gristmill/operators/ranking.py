@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.tables import travels
+
+travels(__name__)
+
 MEDIA_FLOOR, MEDIA_TOTAL, MEDIA_EACH = 60, 5, 2
 PENALTY_MOST = 8.0
 
@@ -85,36 +94,110 @@ def selection_counts(candidates: DataFrame, each: int = 2, most: int = 24) -> Da
     return by_domain.agg(F.coalesce(F.sum(got), F.lit(0)).alias("selected"), F.coalesce(F.sum(F.when(got >= each, rest).otherwise(0)), F.lit(0)).alias("dropped_domain_cap"), F.coalesce(F.sum(F.when(got < each, rest).otherwise(0)), F.lit(0)).alias("dropped_candidate_cap"))
 
 
+class _Cells:
+    """Rows of a digest that wait for a pick, by company, topic and source. All rows of a cell have one penalty, so only its first can be the next pick."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.waiting: list[deque] = []
+        self.first = np.empty(0)
+        self.of = np.empty((3, 0), np.int64)  # each cell's company, topic and source
+        self.names: list[dict[str, int]] = [{}, {}, {}]
+        self.seen = [np.zeros(0), np.zeros(0), np.zeros(0)]
+
+    def put(self, row: tuple) -> bool:
+        """row: score, us, id, company, topic, source; in the order of scores. Tells whether it is the first of its cell."""
+        key = row[3:]
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.waiting)
+            self.waiting.append(deque())
+            places = []
+            for kind, name in enumerate(key):
+                places.append(self.names[kind].setdefault(name, len(self.names[kind])))
+                if places[-1] == len(self.seen[kind]):
+                    self.seen[kind] = np.append(self.seen[kind], 0.0)
+            self.of = np.append(self.of, np.array(places)[:, None], axis=1)
+            self.first = np.append(self.first, -np.inf)
+        first = not self.waiting[number]
+        if first:
+            self.first[number] = row[0]
+        self.waiting[number].append(row)
+        return first
+
+    def costs(self) -> np.ndarray:
+        cost = np.zeros(len(self.waiting))
+        for kind, (weight, free) in enumerate(((3.0, ""), (2.0, "other"), (1.0, ""))):
+            counts = self.seen[kind] * weight
+            if free in self.names[kind]:
+                counts[self.names[kind][free]] = 0.0
+            cost += counts[self.of[kind]]
+        return np.minimum(cost, PENALTY_MOST)
+
+    def best(self) -> tuple[float, int, float]:
+        """The best final score, its cell and penalty; of equal ones the newest, then the smallest id."""
+        if not self.waiting:
+            return -np.inf, -1, 0.0
+        cost = self.costs()
+        final = self.first - cost
+        most = final.max()
+        if most == -np.inf:
+            return most, -1, 0.0
+        number = min(np.flatnonzero(final == most).tolist(), key=lambda n: (-self.waiting[n][0][1], self.waiting[n][0][2]))
+        return most, number, cost[number]
+
+    def take(self, number: int) -> tuple:
+        row = self.waiting[number].popleft()
+        self.first[number] = self.waiting[number][0][0] if self.waiting[number] else -np.inf
+        for kind in range(3):
+            self.seen[kind][self.of[kind, number]] += 1
+        return row
+
+
+#: Picks that a task sends together.
+PICKS = 10_000
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["digest_date", "base_score", "us", "id", "company", "topic", "source"]
+    rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+    out = []
+
+    def sent() -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["digest_date", "id", "penalty", "final_score", "rank"])
+
+    for day, of_day in groupby(rows, key=lambda r: r[0]):
+        cells, rank = _Cells(), 0
+        ahead, changed = next(of_day, None), True
+        while True:
+            if changed:
+                most, number, cost = cells.best()
+            # a row that is not read yet has no more than its base score
+            if ahead is not None and ahead[1] >= most:
+                changed = cells.put((ahead[1], -np.inf if ahead[2] is None else ahead[2], ahead[3], ahead[4] or "", ahead[5] or "", ahead[6] or ""))
+                ahead = next(of_day, None)
+            elif number < 0:
+                break
+            else:
+                row = cells.take(number)
+                rank, changed = rank + 1, True
+                out.append((day, row[2], cost, most, rank))
+                if len(out) == PICKS:
+                    yield sent()
+                    out.clear()
+    if out:
+        yield sent()
+
+
 def diverse(items: DataFrame) -> DataFrame:
     """digest_date, id, penalty, final_score, rank: each pick is the best after a penalty for companies, topics and sources picked before.
 
-    One task a digest; a pick looks at counts, and only at items that a penalty can bring to the front.
+    A digest is read in the order of its base scores; a task holds the rows that a penalty may still bring to the front, and compares one row for each company, topic and source that has any.
     """
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(((r.base_score, r.us if r.us == r.us else float("-inf"), r.id, r.company, r.topic, r.source) for r in rows.itertuples()), key=lambda r: -r[0])
-        seen: dict[tuple[str, str], int] = {}
-        out = []
-        while left:
-            best = None
-            for place, (score, us, item, company, topic, source) in enumerate(left):
-                if score < left[0][0] - PENALTY_MOST:
-                    # even without a penalty behind the first with all of one
-                    break
-                cost = 3.0 * (seen.get(("c", company), 0) if company else 0) + 2.0 * (seen.get(("t", topic), 0) if topic != "other" else 0) + (seen.get(("s", source), 0) if source else 0)
-                cost = min(cost, PENALTY_MOST)
-                key = (-(score - cost), -us, item)
-                if best is None or key < best[0]:
-                    best = key, place, cost
-            _, place, cost = best
-            score, _, item, company, topic, source = left.pop(place)
-            for key in (("c", company), ("t", topic), ("s", source)):
-                seen[key] = seen.get(key, 0) + 1
-            out.append((rows.digest_date.iloc[0], item, cost, score - cost, len(out) + 1))
-        return pd.DataFrame(out, columns=["digest_date", "id", "penalty", "final_score", "rank"])
-
-    rows = items.select("digest_date", "id", "base_score", F.unix_micros("published_at").cast("double").alias("us"), "company", "topic", "source")
-    return rows.groupBy("digest_date").applyInPandas(pick, "digest_date string, id string, penalty double, final_score double, rank int")
+    rows = items.select("digest_date", "id", F.col("base_score").cast("double").alias("base_score"), F.unix_micros("published_at").cast("double").alias("us"), "company", "topic", "source")
+    ordered = rows.repartition("digest_date").sortWithinPartitions("digest_date", F.desc("base_score"), F.desc_nulls_last("us"), "id")
+    return ordered.mapInArrow(_picked, "digest_date string, id string, penalty double, final_score double, rank int")
 
 
 def diverse_top(items: DataFrame, n: int) -> DataFrame:

@@ -94,15 +94,17 @@ def held(items: DataFrame, queries: DataFrame, index: DataFrame | None = None) -
         return F.transform(inside, lambda t: F.struct(t["term"].alias("term"), sum((w * times(F.get(columns, F.lit(i)), t) for i, w in enumerate(weights)), F.lit(0.0)).alias("tf")))
 
     found = bound(F.array(*[_low(c) for c in WEIGHTS]), counted)
-    return rows.select("id", "published_at", _size().alias("size"), F.explode(found).alias("found")).select("found.term", "id", "found.tf", "size", "published_at")
+    at = F.col("published_at") if "published_at" in items.columns else F.lit(None).cast("timestamp").alias("published_at")
+    return rows.select("id", at, _size().alias("size"), F.explode(found).alias("found")).select("found.term", "id", "found.tf", "size", "published_at")
 
 
 def _size() -> Column:
     return sum((F.greatest(F.length(_low(c)) - 2, F.lit(0)) for c in WEIGHTS), F.lit(0))
 
 
-def matches(queries: DataFrame, found: DataFrame) -> DataFrame:
+def matches(items: DataFrame, queries: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """query_id, id of the items that hold every term of a query with a term of three letters or more. found: of held()."""
+    found = held(items, queries) if found is None else found
     terms = _terms(queries).distinct()
     need = terms.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.length("term")).alias("longest")).where("longest >= 3")
     return found.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("m")).join(need, "query_id").where("m = n").select("query_id", "id")
@@ -113,7 +115,7 @@ def ranked(items: DataFrame, queries: DataFrame, most: int = 20, index: DataFram
     n, mean = items.agg(F.count("*"), F.avg(_size())).first()
     found = stored(held(items, queries, index), "held")
     long = found.where(F.length("term") >= 3)
-    met = matches(queries, found)
+    met = matches(items, queries, found)
     rows = met.join(_terms(queries).distinct(), "query_id").join(long, ["term", "id"]).join(long.groupBy("term").agg(F.count("*").alias("df")), "term")
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / (mean or 1.0)))

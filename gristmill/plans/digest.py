@@ -53,15 +53,16 @@ def digest_windows(links: DataFrame, articles: DataFrame) -> DataFrame:
     return ends.select("digest_date", F.coalesce(before, F.col("window_end") - F.expr("INTERVAL 24 HOURS")).alias("window_start"), "window_end")
 
 
-def rebuilt(items: DataFrame, windows: DataFrame, most: int) -> DataFrame:
-    """digest_date, news_id, position of the digests of some windows, ranked anew from the archive (labelled), each row's recency in its own window.
+def rebuilt(items: DataFrame, windows: DataFrame, most: int | None = None) -> DataFrame:
+    """digest_date, news_id, position of the digests of some windows, ranked anew from the archive (labelled), each row's recency in its own window; all rows, or the first of each.
 
     Windows are cut by days, so that an article meets those of its day by an equality.
     """
     days = windows.withColumn("day", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))))
     rows = items.withColumn("day", F.to_date("published_at")).join(days, "day").where(times.in_window(F.col("published_at"), F.col("window_start"), F.col("window_end")))
     scored = rows.withColumn("base_score", ranking.rounded(ranking.base_score(F.col("window_start"), F.col("window_end"), F.lit(1))))
-    return ranking.diverse_top(scored, most).select("digest_date", F.col("id").alias("news_id"), (F.col("rank") - 1).alias("position"))
+    ranks = ranking.diverse(scored) if most is None else ranking.diverse_top(scored, most)
+    return ranks.select("digest_date", F.col("id").alias("news_id"), (F.col("rank") - 1).alias("position"))
 
 
 def rebuild_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from gristmill import views
 from gristmill.functions import rules, text, times, urls
-from gristmill.operators import dedup, ranking, tables
-from gristmill.operators.ranges import RangeTable
+from gristmill.operators import dedup, ranking, search, tables
+from gristmill.operators.ranges import RangeTable, in_windows
 from gristmill.plans.digest import digest, labelled
 from gristmill.sources import listings
 
@@ -428,12 +428,14 @@ def join_title_48h(v: View) -> DataFrame:
     return dedup.title_links(v("raw_articles"))
 
 
-@query("join_enrichment", ["articles"], "SELECT id, coalesce(e.title_cn, a.title_original) AS title, e.id2 IS NULL AS needs_work FROM articles AS a LEFT JOIN (SELECT id AS id2, title_cn, sha256(concat(url, chr(10), title_original)) AS key FROM articles WHERE title_cn <> '') AS e ON sha256(concat(a.url, chr(10), a.title_original)) = e.key")
+@query("join_enrichment", ["articles"], "SELECT id, coalesce(e.title_cn, nullif(a.title_cn, ''), a.title_original) AS title, e.key IS NULL AS needs_work FROM articles AS a LEFT JOIN (SELECT sha256(concat(url, chr(10), title_original)) AS key, min(title_cn) AS title_cn FROM articles WHERE title_cn <> '' AND doc_id % 7 <> 0 AND importance_score BETWEEN 0 AND 100 GROUP BY 1) AS e ON sha256(concat(a.url, chr(10), a.title_original)) = e.key")
 def join_enrichment(v: View) -> DataFrame:
+    """Titles from the cache, one row a key and only answers that are valid; else what the row has, else the original."""
     key = urls.hash_key(F.col("url"), F.col("title_original"))
-    known = v("articles").where("title_cn <> ''").select(key.alias("key"), F.col("title_cn").alias("t"))
+    cache = v("articles").where("doc_id % 7 <> 0").select(key.alias("key"), "title_cn", "importance_score")
+    known = cache.where("title_cn <> '' AND importance_score BETWEEN 0 AND 100").groupBy("key").agg(F.min("title_cn").alias("t"))
     rows = v("articles").withColumn("key", key).join(known, "key", "left")
-    return rows.select("id", F.coalesce("t", "title_original").alias("title"), F.col("t").isNull().alias("needs_work"))
+    return rows.select("id", F.coalesce("t", F.nullif("title_cn", F.lit("")), "title_original").alias("title"), F.col("t").isNull().alias("needs_work"))
 
 
 # Duplicates
@@ -616,10 +618,13 @@ def agg_latest(v: View) -> DataFrame:
     return v("links").agg(F.max("digest_date").alias("latest"), F.max(F.when(F.col("digest_date") < "2024-01-06", F.col("digest_date"))).alias("before"))
 
 
-@query("agg_days_without_success", ["run_log"], "SELECT d.day FROM (SELECT DISTINCT CAST(started_at AS DATE) AS day FROM run_log) AS d WHERE NOT EXISTS (SELECT 1 FROM run_log AS r WHERE CAST(r.started_at AS DATE) = d.day AND success AND source_id = 'src1')")
+@query("agg_days_without_success", ["run_log", "sources"], "SELECT source_id, day FROM (SELECT source_id FROM sources) AS s, (SELECT DISTINCT CAST(started_at AS DATE) AS day FROM run_log WHERE started_at >= TIMESTAMP '2024-01-02') AS d WHERE NOT EXISTS (SELECT 1 FROM run_log AS r WHERE CAST(r.started_at AS DATE) = d.day AND success AND r.source_id = s.source_id AND valid >= 4)")
 def agg_days_without_success(v: View) -> DataFrame:
-    rows = v("run_log").withColumn("day", F.to_date("started_at"))
-    return rows.select("day").distinct().join(rows.where("success AND source_id = 'src1'").select("day"), "day", "left_anti")
+    """Days since a cutoff on which any source ran, and the sources of which no run landed at least four rows then."""
+    rows = v("run_log").where(F.col("started_at") >= at("2024-01-02 00:00:00")).withColumn("day", F.to_date("started_at"))
+    # as many days as the log has, in one array
+    days = rows.agg(F.coalesce(F.collect_set("day"), F.array().cast("array<date>")).alias("days")).scalar()
+    return v("sources").select("source_id", F.explode(days).alias("day")).join(rows.where("success AND valid >= 4").select("source_id", "day").distinct(), ["source_id", "day"], "left_anti")
 
 
 # Ranks, orders, sets
@@ -726,9 +731,12 @@ def topk_repos(v: View) -> DataFrame:
     return v("repos").select("rank", "repo").orderBy("rank", "repo").limit(10)
 
 
-@query("page_limit_offset", ["articles"], "SELECT id, published_at FROM articles ORDER BY published_at DESC NULLS LAST, id LIMIT 50 OFFSET 40")
+@query("page_limit_offset", ["articles"], "SELECT id, published_at, 50 AS page_limit, total FROM (SELECT id, published_at, count(*) OVER () AS total FROM articles) AS x ORDER BY published_at DESC NULLS LAST, id LIMIT 50 OFFSET 40")
 def page_limit_offset(v: View) -> DataFrame:
-    return v("articles").select("id", "published_at").orderBy(F.desc_nulls_last("published_at"), "id").offset(40).limit(50)
+    """A page of the archive: more rows are asked for than a page may hold, so it holds as many as it may; and how many rows there are."""
+    rows, size = v("articles").select("id", "published_at"), search.page_size(500)
+    page = rows.orderBy(F.desc_nulls_last("published_at"), "id").offset(40).limit(size)
+    return page.withColumn("page_limit", F.lit(size)).withColumn("total", rows.agg(F.count("*")).scalar())
 
 
 @query("list_recent_runs", ["run_log"], "SELECT run_id, started_at FROM run_log ORDER BY started_at DESC, run_id DESC LIMIT 20")
@@ -797,10 +805,15 @@ def maint_fk_violations(v: View) -> DataFrame:
 # Windows of digests
 
 
-@query("inc_assign_window", ["articles"], "SELECT id, CAST(ceil((epoch_us(published_at) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0) AS BIGINT) AS digest_window FROM articles WHERE published_at IS NOT NULL")
+_UNLIKE = "SELECT strftime(published_at, '%Y-%m-%d') AS digest_date, max(published_at) AS e, min(published_at) + INTERVAL 90 MINUTE AS s FROM articles WHERE doc_id % 3 <> 1 AND published_at IS NOT NULL GROUP BY 1"
+
+
+@query("inc_assign_window", ["articles"], f"SELECT id, digest_date AS digest_window FROM articles AS a LEFT JOIN ({_UNLIKE}) AS w ON a.published_at > w.s AND a.published_at <= w.e WHERE published_at IS NOT NULL")
 def inc_assign_window(v: View) -> DataFrame:
-    past = F.unix_micros("published_at") - F.unix_micros(at("2024-01-01 00:00:00"))
-    return v("articles").where("published_at IS NOT NULL").select("id", F.ceil(past / 86_400_000_000).alias("digest_window"))
+    """Windows of unlike lengths with gaps between them: from an hour and a half past a day's first article to its last."""
+    rows = v("articles").where("published_at IS NOT NULL")
+    windows = rows.where("doc_id % 3 <> 1").groupBy(F.date_format("published_at", "yyyy-MM-dd").alias("digest_date")).agg((F.min("published_at") + F.expr("INTERVAL 90 MINUTES")).alias("start"), F.max("published_at").alias("end"))
+    return in_windows(rows.select("id", "published_at"), windows, "digest_date").select("id", F.col("digest_date").alias("digest_window"))
 
 
 @query("inc_late_rows", ["articles"], "SELECT id, published_at IS NOT NULL AND published_at > TIMESTAMP '{FROM}' AND published_at <= TIMESTAMP '{TO}' AS linked FROM articles")

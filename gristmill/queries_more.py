@@ -425,11 +425,11 @@ def inc_historical_window(v: View) -> DataFrame:
 _IN_WINDOW = f"SELECT digest_date, id, floor({_SCORE.replace('{rec}', 'coalesce(greatest(0.0, least((epoch_us(published_at) - epoch_us(window_start)) / CAST(epoch_us(window_end) - epoch_us(window_start) AS DOUBLE), 1.0)), 0.0)').replace('{con}', _CON)} * 10000 + 0.500001) / 10000 AS base_score, CAST(epoch_us(published_at) AS DOUBLE) AS us, company, topic, source FROM ({_LABELS}) AS l JOIN ({_WINDOWS}) AS w ON published_at > window_start AND published_at <= window_end"
 
 
-@query("maint_rebuild_digest", ["articles", "links"], f"WITH new AS ({_diverse_sql(_IN_WINDOW, 'least(n, 10)')}), old AS (SELECT digest_date, news_id FROM links WHERE position < 10) SELECT 'added' AS change, digest_date, id AS news_id FROM new WHERE (digest_date, id) NOT IN (SELECT (digest_date, news_id) FROM old) UNION ALL SELECT 'removed', digest_date, news_id FROM old WHERE (digest_date, news_id) NOT IN (SELECT (digest_date, id) FROM new)")
+@query("maint_rebuild_digest", ["articles", "links"], f"WITH new AS ({_diverse_sql(_IN_WINDOW, 'n')}) SELECT 'added' AS change, digest_date, id AS news_id FROM new WHERE (digest_date, id) NOT IN (SELECT (digest_date, news_id) FROM links) UNION ALL SELECT 'removed', digest_date, news_id FROM links WHERE (digest_date, news_id) NOT IN (SELECT (digest_date, id) FROM new)")
 def maint_rebuild_digest(v: View) -> DataFrame:
-    """Dry run: each date's links derived anew from the archive in the window of that date, against those stored."""
-    articles, links = v("articles"), v("links")
-    return rebuild_changes(links.where("position < 10"), rebuilt(labelled(articles), digest_windows(links, articles), 10))
+    """Dry run: all links of each date derived anew from the archive in the window of that date, against those stored."""
+    articles, links = v("articles"), tables.stored(v("links"), "links")
+    return rebuild_changes(links, tables.stored(rebuilt(labelled(articles), digest_windows(links, articles)), "rebuilt"))
 
 
 @query("search_hits", ["articles", "links"], f"SELECT l.id, topic, company, f.digest_date AS first_digest_date, {snippet_sql('gpt')} AS snippet, place, total FROM (SELECT *, row_number() OVER (ORDER BY published_at DESC NULLS LAST, id) AS place, count(*) OVER () AS total FROM (SELECT * FROM ({_LABELS}) AS l0 WHERE contains(lower(title_original), 'gpt')) AS l1) AS l LEFT JOIN (SELECT news_id, min(digest_date) AS digest_date FROM links GROUP BY news_id) AS f ON l.id = f.news_id WHERE place <= 50")
@@ -447,7 +447,7 @@ def search_hits(v: View) -> DataFrame:
 def join_search_articles(v: View) -> DataFrame:
     items = labelled(v("articles"))
     wanted = items.sparkSession.createDataFrame([(1, "GPT")], "query_id long, query string")
-    return search.matches(wanted, search.held(items, wanted)).join(items, "id").select("id", "title_original")
+    return search.matches(items, wanted).join(items, "id").select("id", "title_original")
 
 
 @query("join_repo_enrichment", ["repos", "repo_metadata"], "SELECT r.rank, r.repo, m.part IS NULL AS needs_work FROM repos AS r LEFT JOIN (SELECT DISTINCT part, sha256(concat(repo, chr(10), substring(description, 7))) AS key FROM repo_metadata) AS m ON sha256(concat(r.repo, chr(10), r.description)) = m.key AND r.rank = m.part")

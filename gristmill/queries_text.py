@@ -116,9 +116,10 @@ def fn_substantive(v: View) -> DataFrame:
 
 @query("fn_string_array", ["articles"], "SELECT id, array_to_string(list_filter([trim(title_cn), trim(why_it_matters)], lambda x: x <> ''), '|') AS points FROM articles")
 def fn_string_array(v: View) -> DataFrame:
-    stored = F.to_json(F.array("title_cn", "why_it_matters"))
-    points = F.filter(F.array_distinct(F.transform(F.coalesce(F.from_json(stored, "array<string>"), F.array().cast("array<string>")), lambda p: F.trim(p))), lambda p: p != "")
-    return v("articles").select("id", F.array_join(points, "|").alias("points"))
+    """Arrays as models answer, with numbers, nulls and objects among the strings; and an answer that is no array."""
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    stored = F.concat(F.lit("["), quoted("title_cn"), F.lit(", "), "doc_id", F.lit(', null, {"a": "b"}, true, '), quoted("why_it_matters"), F.lit("]"))
+    return v("articles").select("id", F.array_join(text.strings_of(stored), "|").alias("points"))
 
 
 @query("fn_json_enrichment", ["articles"], "SELECT id, title_original <> '' AND coalesce(importance_score, 0) + doc_id % 60 <= 100 AS valid FROM articles")
@@ -220,7 +221,7 @@ _WHOLE = " OR ".join(f"contains(lower(coalesce({c}, '')), term)" for c in search
 def search_batch(v: View) -> DataFrame:
     items, queries = tables.stored(labelled(v("articles")), "items"), tables.stored(_queries(v), "queries")
     found = search.held(items, queries, search.written(items, f"{tables.folder(items.sparkSession)}/index-{tables.unique()}"))
-    return search.matches(queries, found).groupBy("query_id").agg(F.count("*").alias("hits")).join(queries, "query_id").select("query", "hits")
+    return search.matches(items, queries, found).groupBy("query_id").agg(F.count("*").alias("hits")).join(queries, "query_id").select("query", "hits")
 
 
 @query("search_unicode", ["articles"], f"SELECT query, count(*) AS hits FROM (SELECT 1 AS k, 'GPT' AS query UNION ALL SELECT 2, 'weights Qwen' UNION ALL SELECT 3, 'chip 标题' UNION ALL SELECT 4, 'AI study') AS q JOIN (SELECT id, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') AS ws, lower(x) AS x FROM (SELECT id, concat_ws(chr(10), {', '.join(f"coalesce({c}, '')" for c in search.WEIGHTS)}) AS x FROM ({_LABELS}) AS l1) AS l2) AS l3 ON CASE k WHEN 1 THEN list_contains(ws, 'gpt') WHEN 2 THEN list_contains(ws, 'weights') AND list_contains(ws, 'qwen') WHEN 3 THEN list_contains(ws, 'chip') AND contains(x, '标题') ELSE list_contains(ws, 'ai') AND list_contains(ws, 'study') END GROUP BY query")

@@ -92,15 +92,20 @@ class Node:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.parts: list[Node | str] = []
 
+    def inside(self) -> Iterator[Node | str]:
+        """All that this holds, in the order of the page, however deep."""
+        waiting = list(reversed(self.parts))
+        while waiting:
+            part = waiting.pop()
+            yield part
+            if isinstance(part, Node):
+                waiting.extend(reversed(part.parts))
+
     def text(self) -> str:
-        return " ".join(" ".join(p if isinstance(p, str) else p.text() for p in self.parts).split())
+        return " ".join(" ".join(p for p in self.inside() if isinstance(p, str)).split())
 
     def all(self, *tags: str) -> Iterator[Node]:
-        for p in self.parts:
-            if isinstance(p, Node):
-                if p.tag in tags:
-                    yield p
-                yield from p.all(*tags)
+        return (p for p in self.inside() if isinstance(p, Node) and p.tag in tags)
 
 
 class Tree(HTMLParser):
@@ -152,27 +157,35 @@ def _card(date: Node, prefix: str, index: tuple[str, ...]) -> tuple[str, str] |
     return None
 
 
+def _cards(page: int, html: str, prefix: str, index: tuple[str, ...], date_class: str) -> list[tuple]:
+    """Rows of the dated cards of one page; one row that tells of it if it has no article link."""
+    tree, rows, seen = Tree(), [], set()
+    tree.feed(html)
+    tree.close()
+    if not any((a.attrs.get("href") or "").startswith(prefix) for a in tree.root.all("a")):
+        rows.append((page, None, None, None, None, False, None))
+    for place, date in enumerate(n for n in tree.root.all("p", "span", "time") if n.tag == "time" or date_class in (n.attrs.get("class") or "").split()):
+        found, card = DATE.search(date.text()), None
+        if found:
+            card = _card(date, prefix, index)
+        if card and card[0] not in seen:
+            seen.add(card[0])
+            rows.append((page, place, card[0], card[1], found[0], True, None))
+    return rows
+
+
 def link_cards(pages: DataFrame, prefix: str, base: str, index: tuple[str, ...] = ("/tag/", "/page/", "/category/"), date_class: str = "date") -> DataFrame:
-    """page_id, url, title, published_at and found (false on a page without any article link: its structure has changed) of the dated cards on listing pages; undated ones are skipped, a link counts once."""
+    """page_id, url, title, published_at, found (false on a page without any article link: its structure has changed) and error (of a page that cannot be read) of the dated cards on listing pages; undated ones are skipped, a link counts once."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for page, html in zip(batch.page_id, batch.html, strict=True):
-                tree = Tree()
-                tree.feed(html or "")
-                tree.close()
-                if not any((a.attrs.get("href") or "").startswith(prefix) for a in tree.root.all("a")):
-                    rows.append((page, None, None, None, None, False))
-                seen = set()
-                for place, date in enumerate(n for n in tree.root.all("p", "span", "time") if n.tag == "time" or date_class in (n.attrs.get("class") or "").split()):
-                    found, card = DATE.search(date.text()), None
-                    if found:
-                        card = _card(date, prefix, index)
-                    if card and card[0] not in seen:
-                        seen.add(card[0])
-                        rows.append((page, place, card[0], card[1], found[0], True))
-            yield pd.DataFrame(rows, columns=["page_id", "place", "href", "title", "written", "found"])
-
-    cards = pages.select("page_id", "html").mapInPandas(read, "page_id long, place double, href string, title string, written string, found boolean")
-    return cards.select("page_id", F.concat(F.lit(base), "href").alias("url"), "title", english_date(F.col("written")).alias("published_at"), "found").where("published_at IS NOT NULL OR NOT found")
+                try:
+                    rows += _cards(page, html or "", prefix, index, date_class)
+                except Exception as failed:  # one page never ends the job
+                    rows.append((page, None, None, None, None, False, f"{type(failed).__name__}: {failed}"[:200]))
+            yield pd.DataFrame(rows, columns=["page_id", "place", "href", "title", "written", "found", "error"])
+
+    cards = pages.select("page_id", "html").mapInPandas(read, "page_id long, place double, href string, title string, written string, found boolean, error string")
+    return cards.select("page_id", F.concat(F.lit(base), "href").alias("url"), "title", english_date(F.col("written")).alias("published_at"), "found", "error").where("published_at IS NOT NULL OR NOT found")

@@ -119,8 +119,11 @@ def bodies(pages: DataFrame) -> DataFrame:
 def extracted(articles: DataFrame, fetched: DataFrame, cache: DataFrame) -> DataFrame:
     """id, text, method, quality, error, from_cache of every article: a batch in which a row's failure is that row's error.
 
-    articles: id, url, summary, feed_body; fetched: url, html, content_type, error (of the request, or null); cache: url, text, method, quality.
+    articles: id, url, summary, feed_body; fetched: url, html, content_type, error (of the request, or null); cache: url, text, method, quality. Of pages fetched twice one without an error counts, of
+    cached ones the first by text; so each article has one row.
     """
+    fetched = fetched.groupBy("url").agg(F.min_by(F.struct("html", "content_type", "error"), F.struct(F.col("error").isNotNull(), "html", "content_type")).alias("x")).select("url", "x.*")
+    cache = cache.groupBy("url").agg(F.min(F.struct("text", "method", "quality")).alias("x")).select("url", "x.*")
     numbered = articles.select("id", "url", "summary", "feed_body")
     html = fetched.select("url", F.xxhash64("url").alias("page_id"), "html", "content_type", F.col("error").alias("request_error"))
     pages = html.join(bodies(html), "page_id").select("url", F.col("body").alias("page"), "content_type", F.col("quality.verdict").alias("page_verdict"), F.col("quality.reason").alias("page_reason"), F.coalesce("request_error", F.nullif("error", F.lit(""))).alias("page_error"))

@@ -156,6 +156,41 @@ def test_media_caps(spark, seed):
     assert all(got[k] == v for k, v in reasons.items())
 
 
+def plain_diverse(rows):
+    """Each pick looks at all rows that are left."""
+    left, seen, out = list(rows), {}, []
+    while left:
+        def key(r):
+            i, score, us, company, topic, source = r
+            cost = 3.0 * (seen.get(("c", company), 0) if company else 0) + 2.0 * (seen.get(("t", topic), 0) if topic != "other" else 0) + (seen.get(("s", source), 0) if source else 0)
+            return -(score - min(cost, 8.0)), -(us if us is not None else float("-inf")), i
+
+        best = min(left, key=key)
+        left.remove(best)
+        out.append((best[0], -key(best)[0]))
+        for k in zip("cts", best[3:], strict=True):
+            seen[k] = seen.get(k, 0) + 1
+    return out
+
+
+def test_diverse_against_a_plain_version(spark):
+    """Ties in score and time, rows without time, company or source, and the topic that costs nothing."""
+    r = random.Random(4)
+    rows = [(f"i{k:03}", r.choice([50.0, 51.0, 60.5, r.random() * 100]), r.choice([None, 5, r.randrange(100)]), r.choice(["", "A", "B", None]), r.choice(["other", "chips", "law"]), r.choice(["", "s1", "s2", "s3"])) for k in range(240)]
+    days = [("2026-01-01", *x) for x in rows[:200]] + [("2026-01-02", *x) for x in rows[200:]]
+    frame = spark.createDataFrame(days, "digest_date string, id string, base_score double, at int, company string, topic string, source string").withColumn("published_at", F.timestamp_micros("at"))
+    got = sorted(ranking.diverse(frame).collect(), key=lambda x: (x.digest_date, x["rank"]))
+    for day, part in (("2026-01-01", rows[:200]), ("2026-01-02", rows[200:])):
+        assert [(x.id, x.final_score) for x in got if x.digest_date == day] == plain_diverse(part)
+        assert [x["rank"] for x in got if x.digest_date == day] == list(range(1, len(part) + 1))
+
+
+def test_a_digest_of_many_rows(spark):
+    rows = spark.range(100_000).selectExpr("'d' AS digest_date", "string(id) AS id", "double(hash(id) % 1000) / 10 AS base_score", "timestamp_micros(id) AS published_at", "concat('c', id % 30) AS company", "concat('t', id % 9) AS topic", "concat('s', id % 20) AS source")
+    got = ranking.diverse(rows).agg(F.count_distinct("id").alias("n"), F.max("rank").alias("last")).first()
+    assert (got.n, got["last"]) == (100_000, 100_000)
+
+
 def test_diverse_order_and_its_top(spark):
     r = random.Random(3)
     rows = [(f"d{k % 2}", f"i{k:02}", r.random() * 30, T0 + dt.timedelta(hours=r.randrange(5)), r.choice(["", "X", "Y"]), r.choice(["other", "agent"]), r.choice("AB")) for k in range(60)]

@@ -66,3 +66,25 @@ def test_numbers_nulls_and_no_rows(spark, tmp_path):
     rows = spark.createDataFrame([(None,), (-1,), (0,), (5,), (9,), (10,)], "k long")
     assert [r.n for r in rows.select(ranges.place(F.col("k"), [0, 5, 10]).alias("n")).collect()] == [0, 0, 1, 2, 2, 3]
     assert tables.upserted(rows.withColumn("v", F.lit(1)), rows.limit(0).withColumn("v", F.lit(1)), "k").count() == 6
+
+
+def test_windows_of_unlike_lengths(spark):
+    from datetime import datetime, timedelta
+
+    t = datetime(2026, 1, 1)
+    hours = {"a": (0, 5), "b": (5, 6), "c": (10, 40)}
+    windows = spark.createDataFrame([(n, t + timedelta(hours=s), t + timedelta(hours=e)) for n, (s, e) in hours.items()], "name string, start timestamp, end timestamp")
+    rows = spark.createDataFrame([(h, t + timedelta(hours=h)) for h in (-1.0, 0.0, 0.5, 5.0, 5.5, 6.0, 7.0, 10.0, 10.1, 40.0, 41.0)] + [(None, None)], "h double, published_at timestamp")
+    got = {r.h: r["name"] for r in ranges.in_windows(rows, windows, "name").collect()}
+    assert got == {-1.0: None, 0.0: None, 0.5: "a", 5.0: "a", 5.5: "b", 6.0: "b", 7.0: None, 10.0: None, 10.1: "c", 40.0: "c", 41.0: None, None: None}
+    assert ranges.in_windows(rows, windows.limit(0), "name").where("name IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="overlap"):
+        ranges.in_windows(rows, windows.union(spark.createDataFrame([("d", t, t + timedelta(hours=1))], windows.schema)), "name")
+
+
+def test_strings_of_answers(spark):
+    from gristmill.functions.text import strings_of
+
+    answers = ['["a", " a ", 1, null, {"b": "c"}, "", "d", ["e"], true]', '"a"', "no json", None, "{}", "[]"]
+    got = spark.createDataFrame([(x,) for x in answers], "x string").select(strings_of(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == [["a", "d"], [], [], [], [], []]
