@@ -53,12 +53,28 @@ def english_date(text: Column) -> Column:
     return _first(F.regexp_replace(F.trim(text), r"^([A-Za-z]{3})\.", "$1"), "MMM d, yyyy", "MMMM d, yyyy", "yyyy-MM-dd")
 
 
-def page_time(text: Column) -> Column:
-    """Epoch seconds or milliseconds, a date alone, a Chinese date, or ISO: struct of the instant and whether it has a time of day."""
+#: Written forms beside ISO and Chinese ones.
+FORMS = ("yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy/M/d", "yyyyMMdd")
+CHINESE = r"^(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日(?:\s*(\d{1,2})\s*[:：]\s*(\d{2})(?:\s*[:：]\s*(\d{2}))?)?$"
+#: The last second of the year 9999.
+LAST_SECOND = 253_402_300_799
+
+
+def page_time(text: Column, zone: str = ZONE) -> Column:
+    """A time as pages write it: struct of the instant and whether it has a time of day; both unknown for what cannot be read, relative times among it.
+
+    Nine to fourteen digits are epoch seconds, or milliseconds from thirteen on. Dates, Chinese dates with or without a clock, ISO and slashed forms are read in the app's zone unless they name one.
+    """
     raw = F.trim(text)
-    epoch = F.when(raw.rlike("^[0-9]{13}$"), F.timestamp_millis(F.expr("0") + raw.try_cast("bigint"))).when(raw.rlike("^[0-9]{10}$"), F.timestamp_seconds(raw.try_cast("bigint")))
-    chinese = F.regexp_replace(raw, r"^([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日$", "$1-$2-$3")
-    day = F.try_to_timestamp(chinese, F.lit("yyyy-M-d"))
-    full = F.try_to_timestamp(F.when(raw.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:"), raw))
-    moment = F.coalesce(epoch, day, full)
-    return F.struct(moment.alias("at"), (moment.isNotNull() & day.isNull()).alias("has_time"))
+    seconds = F.when(F.length(raw) >= 13, raw.try_cast("decimal(20,3)") / 1000).otherwise(raw.try_cast("decimal(20,3)"))
+    epoch = F.when(raw.rlike(r"^\d{9,14}$") & (seconds <= LAST_SECOND), F.timestamp_micros((seconds * 1_000_000).cast("bigint")))
+    part = lambda i: F.regexp_extract(raw, CHINESE, i)
+    clock = F.concat_ws(":", *[F.when(part(i) != "", part(i)).otherwise("0") for i in (4, 5, 6)])
+    chinese = F.when(raw.rlike(CHINESE), F.try_to_timestamp(F.concat_ws(" ", F.concat_ws("-", part(1), part(2), part(3)), clock), F.lit("yyyy-M-d H:m:s")))
+    plain = F.regexp_replace(raw, "：", ":")
+    iso = F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"), F.try_to_timestamp(plain))
+    zoned = F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(F.regexp_replace(plain, r"([+-]\d{2})(\d{2})$", "$1:$2")))
+    local = F.coalesce(chinese, iso, *[F.try_to_timestamp(plain, F.lit(f)) for f in FORMS])
+    moment = F.coalesce(epoch, zoned, F.to_utc_timestamp(local, zone))
+    has_time = epoch.isNotNull() | F.when(chinese.isNotNull(), part(4) != "").otherwise(plain.rlike(r"\d{1,2}:\d{2}"))
+    return F.struct(moment.alias("at"), (moment.isNotNull() & has_time).alias("has_time"))

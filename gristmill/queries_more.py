@@ -336,10 +336,15 @@ def fn_english_date(v: View) -> DataFrame:
     return v("articles").select("id", times.english_date(written).alias("day"))
 
 
-@query("fn_parse_ts_multi", ["articles"], "SELECT id, CASE doc_id % 3 WHEN 2 THEN date_trunc('day', published_at) ELSE published_at END AS parsed, doc_id % 3 <> 2 AND published_at IS NOT NULL AS has_time FROM articles")
+@query("fn_parse_ts_multi", ["articles"], "SELECT id, CASE WHEN doc_id % 8 IN (2, 4) THEN date_trunc('day', published_at + INTERVAL 8 HOUR) - INTERVAL 8 HOUR WHEN doc_id % 8 < 8 THEN published_at END AS parsed, doc_id % 8 NOT IN (2, 4) AND published_at IS NOT NULL AS has_time FROM articles")
 def fn_parse_ts_multi(v: View) -> DataFrame:
-    moment, n = F.col("published_at"), F.col("doc_id") % 3
-    written = F.when(n == 0, F.unix_seconds(moment).cast("string")).when(n == 1, F.unix_millis(moment).cast("string")).otherwise(F.date_format(moment, "yyyy-MM-dd"))
+    """Times in all forms of pages: epochs and a named zone tell the instant, all others the clock of the app's zone, eight hours ahead."""
+    moment, n = F.col("published_at"), F.col("doc_id") % 8
+    local = F.from_utc_timestamp(moment, times.ZONE)
+    forms = ("yyyy-MM-dd", "yyyy年MM月dd日 HH:mm", "yyyy年M月d日", None, "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm")
+    written = F.when(n == 0, F.unix_seconds(moment).cast("string")).when(n == 1, F.unix_millis(moment).cast("string")).when(n == 5, F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    for k, form in enumerate(forms, 2):
+        written = written.when(n == k, F.date_format(local, form)) if form else written
     read = v("articles").select("id", times.page_time(written).alias("t"))
     return read.select("id", F.col("t.at").alias("parsed"), F.coalesce("t.has_time", F.lit(False)).alias("has_time"))
 
