@@ -40,6 +40,30 @@ ROOTS = frozenset(("html", "body", "main", "article"))
 #: A word counts between hyphens, underscores and the ends of all classes and the id together.
 CHROME_WORD = re.compile(rf"(?:^|[-_])(?:{'|'.join(CHROME)})(?:$|[-_])")
 MOST = 40_000
+# Elements that may hold the article, the more telling first, and for some sources the ones that are tried before.
+CONTENT = (
+    "[itemprop=articleBody]", ".blog-post-body", ".prose", "#main-content .prose", "article", "main", "[role=main]", ".post-content", ".entry-content",
+    ".article-content", ".article-body", ".post-body", ".markdown-body", ".article", ".post", "#content", ".content",
+)
+SOURCE_CONTENT = {
+    "cohere": (".blog-post-body", "article"), "cursor": (".prose--blog", ".prose", "article"), "anthropic": ("[class*=post]", "article", "main"),
+    "deepseek": ("article", "main"), "kimi": ("article", "main"),
+}
+#: One step of a selector: a tag, a class, an id, an attribute's value or a part of it.
+STEP = re.compile(r"\[(?P<attr>[\w-]+)(?P<part>\*?)=(?P<value>[^\]]+)\]|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|(?P<tag>[\w-]+)")
+
+
+def fits(step: str, tag: str, attrs: dict[str, str | None]) -> bool:
+    """Whether an element fits one step of a selector."""
+    s = STEP.fullmatch(step)
+    if s["tag"]:
+        return tag == s["tag"]
+    if s["cls"]:
+        return s["cls"] in (attrs.get("class") or "").split()
+    if s["id"]:
+        return attrs.get("id") == s["id"]
+    value = attrs.get(s["attr"]) or ""
+    return s["value"] in value if s["part"] else value == s["value"]
 
 
 def furniture(tag: str, attrs: dict[str, str | None]) -> bool:
@@ -51,11 +75,18 @@ def furniture(tag: str, attrs: dict[str, str | None]) -> bool:
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page with their marks: # for headings, - for list items, > for quotes."""
+    """Blocks of a page with their marks: # for headings, - for list items, > for quotes; and which of them stand in each element that may hold the article."""
 
-    def __init__(self):
+    def __init__(self, selectors: tuple[str, ...]):
         super().__init__(convert_charrefs=True)
+        self.selectors = [s.split() for s in selectors]
         self.open: list[tuple[str, bool]] = []
+        self.ancestors: list[tuple[str, dict]] = []
+        self.chars = 0
+        #: Of open elements: how many are open above, the selector's place, the first block, the characters before.
+        self.begun: list[tuple[int, int, int, int]] = []
+        #: Of ended ones: the selector's place, the characters inside, the first block and the one behind the last.
+        self.found: list[tuple[int, int, int, int]] = []
         self.blocks: list[str] = []
         self.text: list[str] = []
         self.mark = ""
@@ -75,7 +106,25 @@ class Blocks(HTMLParser):
             self.flush()
             self.mark = "#" * int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else {"li": "-", "blockquote": ">"}.get(tag, "")
         if tag not in VOID:
-            self.open.append((tag, furniture(tag, dict(attrs))))
+            attrs = dict(attrs)
+            self.open.append((tag, furniture(tag, attrs)))
+            self.ancestors.append((tag, attrs))
+            places = [k for k, steps in enumerate(self.selectors) if self.selected(steps)] if not self.skipping() else []
+            if places:
+                mark = self.mark
+                self.flush()
+                self.mark = mark
+                self.begun += [(len(self.open), k, len(self.blocks), self.chars) for k in places]
+
+    def selected(self, steps: list[str]) -> bool:
+        """Whether the element just opened fits the last step, and those above it the others in turn."""
+        if not fits(steps[-1], *self.ancestors[-1]):
+            return False
+        left = steps[:-1]
+        for above in reversed(self.ancestors[:-1]):
+            if left and fits(left[-1], *above):
+                left = left[:-1]
+        return not left
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
@@ -83,37 +132,63 @@ class Blocks(HTMLParser):
         if any(t == tag for t, _ in self.open):
             while self.open.pop()[0] != tag:
                 pass
+            self.ended()
+
+    def ended(self) -> None:
+        """Takes note of the elements that are no longer open."""
+        del self.ancestors[len(self.open) :]
+        if self.begun and self.begun[-1][0] > len(self.open):
+            self.flush()
+        while self.begun and self.begun[-1][0] > len(self.open):
+            _, place, first, before = self.begun.pop()
+            self.found.append((place, self.chars - before, first, len(self.blocks)))
+
+    def article(self, n_source: int) -> list[str]:
+        """The blocks of the element that most likely holds the article. The first `n_source` selectors are the source's: the first that fits anything decides; else the largest of all, of equal ones
+        the more telling; else the whole page."""
+        own = [f for f in self.found if f[0] < n_source]
+        some = [f for f in own if f[0] == min(own)[0]] if own else [f for f in self.found if f[0] >= n_source]
+        if not some:
+            return self.blocks
+        _, _, first, last = max(some, key=lambda f: (f[1], -f[0], -f[2]))
+        return self.blocks[first:last]
 
     def handle_data(self, data):
         if self.open and self.open[-1][0] == "title" and not self.title:
             self.title = " ".join(data.split())
         elif not self.skipping():
             self.text.append(data)
+            self.chars += len(data.strip()) + 1 if data.strip() else 0
 
 
 def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for page, html in zip(batch.page_id, batch.html, strict=True):
-            walk, error = Blocks(), ""
+        for page, html, source in zip(batch.page_id, batch.html, batch.source_id, strict=True):
+            own = SOURCE_CONTENT.get(source, ())
+            walk, error = Blocks(own + CONTENT), ""
             try:
                 walk.feed(html or "")
                 walk.close()
                 walk.flush()
+                walk.open.clear()
+                walk.ended()
             except (ValueError, AssertionError) as broken:
                 error = str(broken)
-            rows.append((page, walk.title, walk.blocks, error))
+            rows.append((page, walk.title, walk.article(len(own)), error))
         yield pd.DataFrame(rows, columns=["page_id", "title", "blocks", "error"])
 
 
 def bodies(pages: DataFrame) -> DataFrame:
-    """page_id, title, body, quality of every page: furniture, repeated blocks and the title's own heading are dropped. A page that cannot be read has an error."""
-    walked = pages.select("page_id", "html").mapInPandas(_walked, "page_id long, title string, blocks array<string>, error string")
+    """page_id, title, body, raw, quality of every page (page_id, html, and source_id where it is known): the element that holds the article is chosen; of its text, raw, furniture, repeated blocks and the title's
+    own heading are dropped. Both are cut at 40 000 characters. A page that cannot be read has an error."""
+    pages = pages.select("page_id", "html", F.col("source_id") if "source_id" in pages.columns else F.lit("").alias("source_id"))
+    walked = pages.mapInPandas(_walked, "page_id long, title string, blocks array<string>, error string")
     keys = F.transform("blocks", lambda b: F.lower(F.regexp_replace(b, r"^[#>\- ]+", "")))
     kept = F.filter("blocks", lambda b, i: ~is_noise(b) & ((F.length(b) < 30) | (F.array_position(F.col("keys"), F.element_at("keys", i + 1)) == i + 1)))
     body = F.substring(F.array_join(without_title(kept, F.col("title")), "\n\n"), 1, MOST)
     out = walked.withColumn("keys", keys).withColumn("body", body)
-    return out.select("page_id", "title", "body", quality(F.col("body"), F.lit("web")).alias("quality"), "error")
+    return out.select("page_id", "title", "body", F.substring(F.array_join("blocks", "\n\n"), 1, MOST).alias("raw"), quality(F.col("body"), F.lit("web")).alias("quality"), "error")
 
 
 def extracted(articles: DataFrame, fetched: DataFrame, cache: DataFrame) -> DataFrame:
