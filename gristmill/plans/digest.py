@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,22 +31,41 @@ def digest(articles: DataFrame, sources: DataFrame, start: Column, end: Column,
     return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "id", "title_original", "topic", "company", "score")
 
 
-def merged(linked: DataFrame, batch: DataFrame, sources: DataFrame, start: Column, end: Column) -> DataFrame:
-    """The rows that a digest of (start, end] links after a batch, with rank, score, cluster_size, topic and company.
+@dataclass(frozen=True)
+class Refresh:
+    """The steps of a refresh: rows of the batch inside the window, one a URL, one a title; with what is linked before, one an event; what media caps leave; and what is linked, with rank."""
 
-    The batch is folded by URL and title; with what is linked before, then, by event, so that a batch never brings back what another told. Media caps, labels and diverse ranks follow. Nothing is cut at the end.
-    """
+    in_window: DataFrame
+    distinct_urls: DataFrame
+    distinct_titles: DataFrame
+    distinct_events: DataFrame
+    selected: DataFrame
+    linked: DataFrame
+
+    def funnel(self) -> DataFrame:
+        """stage, n: rows after each step."""
+        return reduce(DataFrame.union, [getattr(self, f.name).agg(F.count("*").alias("n")).select(F.lit(f.name).alias("stage"), "n") for f in fields(self)])
+
+
+def steps(linked: DataFrame, batch: DataFrame, sources: DataFrame, start: Column, end: Column) -> Refresh:
+    """The batch is folded by URL and title; with what is linked before, then, by event, so that a batch never brings back what another told. Media caps, labels and diverse ranks follow. Nothing is cut at the end."""
     columns = linked.columns
     inside = batch.where(times.in_window(F.col("published_at"), start, end)).withColumn("title", F.col("title_original"))
-    fresh = dedup.title_winners(dedup.by_title(dedup.by_url(inside, sources))).select(*columns)
+    by_url = dedup.by_url(inside, sources)
+    titles = stored(dedup.title_winners(dedup.by_title(by_url)).select(*columns), "titles")
     # what is linked comes first, so of one id the linked row stays
-    candidates = stored(linked.unionByName(fresh.join(linked.select("id"), "id", "left_anti").select(*columns)), "candidates")
+    candidates = stored(linked.unionByName(titles.join(linked.select("id"), "id", "left_anti").select(*columns)), "candidates")
     clusters = dedup.event_clusters(candidates, dedup.event_links(dedup.event_classes(candidates)))
     winners = stored(dedup.event_winners(candidates, clusters, sources).drop("priority", "cluster"), "winners")
     kept = labelled(ranking.media_decisions(winners).where("kept").drop("kept", "reason"))
     scored = kept.withColumn("base_score", ranking.rounded(ranking.base_score(start, end, F.col("cluster_size")))).withColumn("digest_date", F.date_format(end, "yyyy-MM-dd"))
     ranks = ranking.diverse(scored).select("id", "rank", F.col("final_score").alias("score"))
-    return kept.join(ranks, "id")
+    return Refresh(inside, by_url, titles, winners, kept, kept.join(ranks, "id"))
+
+
+def merged(linked: DataFrame, batch: DataFrame, sources: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The rows that a digest of (start, end] links after a batch, with rank, score, cluster_size, topic and company."""
+    return steps(linked, batch, sources, start, end).linked
 
 
 def digest_windows(links: DataFrame, articles: DataFrame) -> DataFrame:

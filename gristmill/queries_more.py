@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import quality, rules, text, times, urls
 from gristmill.operators import bodies, dedup, ranking, search, tables
-from gristmill.plans.digest import digest_windows, merged, rebuild_changes, rebuilt
+from gristmill.plans.digest import digest_windows, merged, rebuild_changes, rebuilt, steps
 from gristmill.queries import _CANON, _CON, _FOUND_AT, _LABELS, _MEDIA, _NORMAL, _OUTCOMES, _REC, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, labelled, outcomes, query, ranged, source_of_domain
 from gristmill.queries_text import snippet_sql
 from gristmill.sources import listings, pages
@@ -233,15 +233,6 @@ def agg_enrichment_stats(v: View) -> DataFrame:
 _IN = "published_at > TIMESTAMP '{FROM}' AND published_at <= TIMESTAMP '{TO}'"
 
 
-@query("agg_funnel", ["articles", "links"], f"SELECT 'fetched' AS stage, count(*) AS n FROM articles UNION ALL SELECT 'in_window', count(*) FROM articles WHERE {_IN} UNION ALL SELECT 'distinct_urls', count(DISTINCT url) FROM articles WHERE {_IN} UNION ALL SELECT 'linked', count(*) FROM links AS l JOIN articles AS a ON l.news_id = a.id WHERE {_IN}")
-def agg_funnel(v: View) -> DataFrame:
-    rows = v("articles")
-    inside = rows.where(times.in_window(F.col("published_at"), at("2024-01-04 00:00:00"), at("2024-01-06 00:00:00")))
-    linked = inside.join(v("links").select(F.col("news_id").alias("id")), "id")
-    stages = {"fetched": rows, "in_window": inside, "distinct_urls": inside.select("url").distinct(), "linked": linked}
-    return reduce(DataFrame.union, [d.agg(F.count("*").alias("n")).select(F.lit(s).alias("stage"), "n") for s, d in stages.items()])
-
-
 @query("agg_run_status", ["run_log"], "SELECT source_id, CASE WHEN sum(valid) FILTER (WHERE success) > 0 THEN 'success' WHEN count(*) FILTER (WHERE success) > 0 THEN 'failed: empty' ELSE 'failed: no digest' END AS status FROM run_log GROUP BY source_id")
 def agg_run_status(v: View) -> DataFrame:
     rows = v("run_log").groupBy("source_id").agg(F.sum(F.when(F.col("success"), F.col("valid"))).alias("landed"), F.count_if("success").alias("ok"))
@@ -557,7 +548,7 @@ def maint_backfill_body(v: View) -> DataFrame:
 _WON = """concat(canonical_url, chr(10), url) AS key, epoch_us(published_at) AS us, """ + _NORMAL.replace("trim(title)", "trim(title_original)")
 _BONUS = " + 0.06 * least(greatest(cluster_size - 1, 0) * 0.5, 2.0))"
 _LINKED = f"""SELECT '2024-01-06' AS digest_date, id, floor({_SCORE.replace('0.05 * {con})', '0.05 * {con}' + _BONUS).replace('{rec}', _REC).replace('{con}', _CON)} * 10000 + 0.500001) / 10000 AS base_score, CAST(epoch_us(published_at) AS DOUBLE) AS us, company, topic, source FROM l"""
-_REFRESHED = f"""WITH w AS (SELECT *, {_CANON} AS canonical_url FROM articles WHERE {_IN.format(FROM=FROM, TO=TO)}),
+_STEPS = f"""WITH w AS (SELECT *, {_CANON} AS canonical_url FROM articles WHERE {_IN.format(FROM=FROM, TO=TO)}),
 p AS (SELECT w.*, coalesce(s.priority, 1000) AS priority FROM w LEFT JOIN (SELECT source_id AS sid, priority FROM sources) AS s ON w.source_id = s.sid),
 u AS (SELECT *, {_WON} AS title_key FROM (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY source_type <> 'official', priority, published_at NULLS LAST, url) AS k FROM p) AS k1 WHERE k = 1) AS k2),
 g AS (SELECT title_key, list({{'key': key, 'us': us, 'c': CAST(1 AS BIGINT)}} ORDER BY canonical_url, url) AS rows FROM u WHERE title_key <> '' AND us IS NOT NULL GROUP BY title_key),
@@ -569,7 +560,8 @@ v AS (SELECT * EXCLUDE (k) FROM winners),
 m AS ({_MEDIA.replace("FROM articles", "FROM v")}),
 l AS ({_LABELS.replace("FROM articles", "FROM (SELECT * FROM m WHERE coalesce(reason = 'kept', true)) AS kept")}),
 d AS ({_diverse_sql(_LINKED, "n")})
-SELECT d.rank, l.id, title_original, topic, company, round(d.final_score, 4) AS score, cluster_size FROM d JOIN l ON d.id = l.id"""
+"""
+_REFRESHED = f"""{_STEPS}SELECT d.rank, l.id, title_original, topic, company, round(d.final_score, 4) AS score, cluster_size FROM d JOIN l ON d.id = l.id"""
 
 
 @query("inc_refresh", ["articles", "sources"], _REFRESHED)
@@ -582,3 +574,13 @@ def inc_refresh(v: View) -> DataFrame:
     stream = spark.readStream.schema(articles.schema).parquet(f"{path}/input")
     jobs.refreshed(stream, path, lambda linked, batch: merged(linked, batch, sources, at(FROM), at(TO)))
     return jobs.linked(spark, path).select("rank", "id", "title_original", "topic", "company", F.round("score", 4).alias("score"), "cluster_size")
+
+
+@query("agg_funnel", ["articles", "sources"], f"""{_STEPS}
+SELECT 'fetched' AS stage, count(*) AS n FROM articles UNION ALL SELECT 'in_window', count(*) FROM w UNION ALL SELECT 'distinct_urls', count(*) FROM u UNION ALL SELECT 'distinct_titles', count(*) FROM t
+UNION ALL SELECT 'distinct_events', count(*) FROM v UNION ALL SELECT 'selected', count(*) FROM l UNION ALL SELECT 'linked', count(*) FROM d""")
+def agg_funnel(v: View) -> DataFrame:
+    """Rows after each step of a refresh."""
+    articles = v("articles")
+    found = steps(articles.limit(0), articles, tables.stored(v("sources"), "sources"), at(FROM), at(TO)).funnel()
+    return articles.agg(F.count("*").alias("n")).select(F.lit("fetched").alias("stage"), "n").union(found)
