@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*)://"
@@ -50,3 +50,17 @@ def stable_id(prefix: str, key: Column) -> Column:
 def hash_key(*parts: Column) -> Column:
     """SHA-256 of the parts, one on a line; a null part is empty."""
     return F.sha2(F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+
+
+def with_source(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with source_id and source_type of the source (source_id, source_type, priority, host) whose host is the row's domain, above it or below it on a dot; of several the first by priority, then id.
+
+    Hosts meet by equality of their suffixes, once for each domain.
+    """
+    domains = rows.select("domain").distinct()
+    own = known.select("*", F.explode(suffixes(F.col("host"))).alias("suffix"))
+    above = domains.select("domain", F.explode(suffixes(F.col("domain"))).alias("suffix")).join(known.withColumn("suffix", F.col("host")), "suffix")
+    below = domains.join(own, domains["domain"] == own["suffix"])
+    met = above.select("domain", "priority", "source_id", "source_type").union(below.select("domain", "priority", "source_id", "source_type"))
+    best = met.groupBy("domain").agg(F.min(F.struct("priority", "source_id", "source_type")).alias("best"))
+    return rows.join(best, "domain", "left").select(*rows.columns, "best.source_id", "best.source_type")

@@ -91,6 +91,7 @@ def _re2(terms: tuple[str, ...], after: str) -> str:
 
 _TOPICAL = "regexp_replace(lower(concat(coalesce(title, ''), ' ', coalesce(summary, ''))), '\\s+', ' ', 'g')"
 _OTHERS = " + ".join(f"CASE WHEN regexp_matches(t, '{_re2(terms, '[^a-z]')}') THEN 1 ELSE 0 END" for _, terms in rules.FAMILIES[1:])
+_CANON = r"""regexp_replace(CASE WHEN doc_id % 5 = 1 THEN concat('https://', source_id, '.example.com/a/', doc_id % 700, '?b=2') ELSE concat('https://', source_id, '.example.com/a/', doc_id % 700) END, '/$', '')"""
 _IS_TOPICAL = f"""SELECT doc_id, source_id, regexp_matches(t, '{_re2(rules.STRONG, "[^a-z]")}') OR (o >= 1 AND regexp_matches(t, '{_re2(rules.FAMILIES[0][1], "[^a-z]")}')) OR o >= 2 AS topical
 FROM (SELECT doc_id, source_id, t, {_OTHERS} AS o FROM (SELECT doc_id, source_id, {_TOPICAL} AS t FROM raw_articles) AS x) AS y"""
 
@@ -100,6 +101,17 @@ def flt_topical(v: View) -> DataFrame:
     return v("raw_articles").select("doc_id", rules.topical(F.col("title"), F.col("summary")).alias("topical"))
 
 
+@query("src_entries_to_articles", ["raw_articles", "sources"], f"SELECT source_id, count(*) AS fetched, count(*) FILTER (WHERE gated AND k = 1) AS valid, count(*) FILTER (WHERE gated AND k > 1) AS repeated, count(*) FILTER (WHERE NOT gated) AS off_topic FROM (SELECT *, row_number() OVER (PARTITION BY source_id, gated, c ORDER BY doc_id) AS k FROM (SELECT r.doc_id, r.source_id, {_CANON} AS c, NOT s.gate OR z.topical AS gated FROM raw_articles AS r JOIN (SELECT source_id AS sid, requires_ai_filter AS gate FROM sources) AS s ON r.source_id = s.sid JOIN (SELECT doc_id AS doc, topical FROM ({_IS_TOPICAL}) AS z0) AS z ON r.doc_id = z.doc) AS x) AS y GROUP BY source_id")
+def src_entries_to_articles(v: View) -> DataFrame:
+    """Entries of listings as articles: of sources that tell of more than the topic only topical ones, a URL once; what is skipped is counted by reason."""
+    gates = v("sources").select("source_id", F.col("requires_ai_filter").alias("gate"))
+    rows = v("raw_articles").join(gates, "source_id").withColumn("gated", ~F.col("gate") | rules.topical(F.col("title"), F.col("summary")))
+    turn = F.row_number().over(Window.partitionBy("source_id", "gated", "canonical_url").orderBy("doc_id"))
+    rows = rows.withColumn("canonical_url", urls.canonical_url(F.col("url"))).withColumn("turn", turn)
+    first = F.col("turn") == 1
+    return rows.groupBy("source_id").agg(F.count("*").alias("fetched"), F.count_if(F.col("gated") & first).alias("valid"), F.count_if(F.col("gated") & ~first).alias("repeated"), F.count_if(~F.col("gated")).alias("off_topic"))
+
+
 @query("flt_topical_if_wide", ["raw_articles", "sources"], f"SELECT s.source_id, count(*) FILTER (WHERE NOT requires_ai_filter OR topical) AS kept, count(*) FILTER (WHERE requires_ai_filter AND NOT topical) AS skipped FROM ({_IS_TOPICAL}) AS z JOIN sources AS s ON z.source_id = s.source_id GROUP BY s.source_id")
 def flt_topical_if_wide(v: View) -> DataFrame:
     rows = v("raw_articles").join(v("sources").select("source_id", "requires_ai_filter"), "source_id")
@@ -165,17 +177,6 @@ def src_json_listing(v: View) -> DataFrame:
     return read.select("day", "query", "found", "list_key", "skipped_no_url", F.size("hits").alias("hits"), chars.alias("title_chars"))
 
 
-_CANON = r"""regexp_replace(CASE WHEN doc_id % 5 = 1 THEN concat('https://', source_id, '.example.com/a/', doc_id % 700, '?b=2') ELSE concat('https://', source_id, '.example.com/a/', doc_id % 700) END, '/$', '')"""
-
-
-@query("src_entries_to_articles", ["raw_articles"], f"SELECT source_id, count(*) AS fetched, count(DISTINCT {_CANON}) AS valid, count(*) - count(DISTINCT {_CANON}) AS skipped FROM raw_articles GROUP BY source_id")
-def src_entries_to_articles(v: View) -> DataFrame:
-    rows = v("raw_articles").withColumn("canonical_url", urls.canonical_url(F.col("url")))
-    turn = F.row_number().over(Window.partitionBy("source_id", "canonical_url").orderBy("doc_id"))
-    rows = rows.withColumn("turn", turn)
-    return rows.groupBy("source_id").agg(F.count("*").alias("fetched"), F.count_if(F.col("turn") == 1).alias("valid"), F.count_if(F.col("turn") > 1).alias("skipped"))
-
-
 # Expressions
 
 
@@ -299,9 +300,14 @@ def proj_body_flags(v: View) -> DataFrame:
     return v("articles").select("id", has.alias("has_content"), F.col("content_extraction_method").alias("method"))
 
 
-@query("proj_article", ["raw_articles"], "SELECT concat('rss-', substring(sha256(url), 1, 16)) AS id, title AS title_original, source, source_type, published_at FROM raw_articles")
+@query("proj_article", ["raw_articles"], "SELECT concat('rss-', substring(sha256(url), 1, 16)) AS id, coalesce(nullif(trim(CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE title END), ''), 'Untitled') AS title_original, coalesce(nullif(summary, ''), '') AS summary, source, coalesce(source_type, 'media') AS source_type, published_at, CASE source_type WHEN 'official' THEN 'official,rss' WHEN 'research' THEN 'research,rss' ELSE 'rss' END AS tags FROM raw_articles")
 def proj_article(v: View) -> DataFrame:
-    return v("raw_articles").select(urls.stable_id("rss-", F.col("url")).alias("id"), F.col("title").alias("title_original"), "source", "source_type", "published_at")
+    """Entries as articles, with defaults for what an entry lacks and the tags of its source's class."""
+    written = v("raw_articles").withColumn("title", F.when(F.col("doc_id") % 9 == 0, " ").otherwise(F.col("title")))
+    kind = F.coalesce("source_type", F.lit("media"))
+    tags = F.array_compact(F.array(F.when(kind.isin("official", "research"), kind), F.lit("rss")))
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled"))
+    return written.select(urls.stable_id("rss-", F.col("url")).alias("id"), title.alias("title_original"), F.coalesce("summary", F.lit("")).alias("summary"), "source", kind.alias("source_type"), "published_at", F.array_join(tags, ",").alias("tags"))
 
 
 @query("proj_repo", ["repos", "repo_metadata"], "SELECT r.rank, r.repo, coalesce(nullif(m.description, ''), r.description) AS description, coalesce(m.license, '') AS license, m.forks FROM repos AS r LEFT JOIN repo_metadata AS m ON r.rank = m.part")

@@ -86,10 +86,12 @@ def join_digest_projects(v: View) -> DataFrame:
     return rows.select("digest_date", "repo", "rank", F.coalesce("license", F.lit("")).alias("license"))
 
 
-@query("join_body_cache", ["articles"], "SELECT a.id, b.url IS NOT NULL AS cached FROM articles AS a LEFT JOIN (SELECT DISTINCT url FROM articles WHERE content_extraction_method = 'web' AND content_original <> '') AS b ON a.url = b.url")
+@query("join_body_cache", ["articles"], "SELECT a.id, b.body IS NOT NULL AS cached, CASE WHEN b.body IS NULL THEN a.content_original ELSE b.body END AS body, CASE WHEN b.body IS NULL THEN a.content_extraction_method ELSE 'web' END AS method FROM articles AS a LEFT JOIN (SELECT url, min(content_original) AS body FROM articles WHERE content_extraction_method = 'web' AND length(content_original) >= 200 GROUP BY url) AS b ON a.url = b.url")
 def join_body_cache(v: View) -> DataFrame:
-    known = v("articles").where("content_extraction_method = 'web' AND content_original <> ''").select("url").distinct().withColumn("has", F.lit(True))
-    return v("articles").join(known, "url", "left").select("id", F.col("has").isNotNull().alias("cached"))
+    """Bodies fetched before, by URL and one a URL, are used again where they are long enough; else the row's own stays."""
+    known = v("articles").where("content_extraction_method = 'web' AND length(content_original) >= 200").groupBy("url").agg(F.min("content_original").alias("cached_body"))
+    rows, has = v("articles").join(known, "url", "left"), F.col("cached_body").isNotNull()
+    return rows.select("id", has.alias("cached"), F.coalesce("cached_body", "content_original").alias("body"), F.when(has, "web").otherwise(F.col("content_extraction_method")).alias("method"))
 
 
 @query("join_favorites", ["articles", "repos"], "SELECT 'news' AS item_type, id AS item_id, title_original AS title FROM articles WHERE doc_id % 50 = 0 UNION ALL SELECT 'project', CAST(rank AS VARCHAR), repo FROM repos WHERE rank % 50 = 0")
@@ -340,11 +342,17 @@ def fn_parse_ts_multi(v: View) -> DataFrame:
     return read.select("id", F.col("t.at").alias("parsed"), F.coalesce("t.has_time", F.lit(False)).alias("has_time"))
 
 
-@query("proj_candidate", ["hits", "sources"], "SELECT h.event_id, coalesce(s.source_id, concat('web:', h.domain)) AS source_id, coalesce(s.source_type, 'media') AS source_type FROM hits AS h LEFT JOIN (SELECT source_id, source_type, concat('s', n, '.example.com') AS domain FROM sources) AS s ON h.domain = s.domain")
+#: Hosts of the sources; some are read from a host above their own, some from one below.
+_HOSTS = "SELECT source_id, source_type, priority, CASE n % 3 WHEN 0 THEN concat('s', n, '.example.com') WHEN 1 THEN concat('www.s', n, '.example.com') ELSE concat('blog.s', n, '.example.com') END AS host FROM sources"
+
+
+@query("proj_candidate", ["hits", "sources"], f"SELECT h.event_id, coalesce(s.source_id, concat('web:', h.domain)) AS source_id, coalesce(s.source_type, 'media') AS source_type FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN concat('news.', domain) ELSE domain END AS domain FROM hits) AS h LEFT JOIN (SELECT domain, arg_min(source_id, (priority, source_id)) AS source_id, arg_min(source_type, (priority, source_id)) AS source_type FROM (SELECT DISTINCT CASE WHEN event_id % 4 = 0 THEN concat('news.', domain) ELSE domain END AS domain FROM hits) AS d JOIN ({_HOSTS}) AS k ON domain = regexp_replace(host, '^www[.]', '') OR ends_with(domain, concat('.', regexp_replace(host, '^www[.]', ''))) OR ends_with(regexp_replace(host, '^www[.]', ''), concat('.', domain)) GROUP BY domain) AS s ON h.domain = s.domain")
 def proj_candidate(v: View) -> DataFrame:
-    known = v("sources").select("source_id", "source_type", F.concat(F.lit("s"), F.col("n"), F.lit(".example.com")).alias("domain"))
-    rows = v("hits").join(known, "domain", "left")
-    return rows.select("event_id", F.coalesce("source_id", F.concat(F.lit("web:"), "domain")).alias("source_id"), F.coalesce("source_type", F.lit("media")).alias("source_type"))
+    """Hits as candidates: of a known source where their host is that of a source, above or below it; of several by priority."""
+    n = F.col("n")
+    host = F.when(n % 3 == 0, F.concat(F.lit("s"), n, F.lit(".example.com"))).when(n % 3 == 1, F.concat(F.lit("www.s"), n, F.lit(".example.com"))).otherwise(F.concat(F.lit("blog.s"), n, F.lit(".example.com")))
+    rows = v("hits").select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("news."), "domain")).otherwise(F.col("domain")).alias("domain"))
+    return urls.with_source(rows, v("sources").select("source_id", "source_type", "priority", F.regexp_replace(host, r"^www\.", "").alias("host"))).select("event_id", F.coalesce("source_id", F.concat(F.lit("web:"), "domain")).alias("source_id"), F.coalesce("source_type", F.lit("media")).alias("source_type"))
 
 
 # Bodies and windows
