@@ -520,11 +520,26 @@ def agg_discovery_funnel(v: View) -> DataFrame:
     return gates.join(urls_found).join(ranking.selection_counts(merged))
 
 
-_SUMMARY = f"""WITH t AS ({_HIT_TOPICAL}), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY query, day, rank) AS k FROM t) AS x WHERE k = 1)
+#: Hosts of results: of sources and below them, of all kinds, in two lists at once, and look-alikes.
+RESULT_HOSTS = ("src1.example.com", "news.src2.example.com", "163.com", "m.toutiao.com", "mp.weixin.qq.com", "arxiv.org", "spectrum.ieee.org", "eu.techcrunch.com", "evil-arxiv.org", "example.org", "csdn.net")
+HOST_SQL = f"[{', '.join(repr(h) for h in RESULT_HOSTS)}][CAST(user_id % {len(RESULT_HOSTS)} + 1 AS INT)]"
+
+
+def result_host() -> Column:
+    return F.element_at(F.lit(list(RESULT_HOSTS)), (F.col("user_id") % len(RESULT_HOSTS) + 1).cast("int"))
+
+
+def kind_sql(host: str, ugc: str) -> str:
+    """The kind of a host that no known source has: the first whose list holds it or a host above it."""
+    lists = " ".join(f"WHEN len(list_filter([{', '.join(repr(h) for h in hosts)}], lambda h: {host} = h OR ends_with({host}, concat('.', h)))) > 0 THEN '{name}'" for name, hosts in rules.HOSTS)
+    return f"CASE {lists} WHEN {ugc} THEN 'ugc_blog' ELSE 'unknown' END"
+
+
+_SUMMARY = f"""WITH t AS ({_HIT_TOPICAL}), u AS (SELECT *, {kind_sql(HOST_SQL, 'user_id % 2 = 0')} AS kind FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY query, day, rank) AS k FROM t) AS x WHERE k = 1)
 SELECT (SELECT count(*) FROM t) AS raw, (SELECT count(*) FROM t) - count(*) AS duplicates, count(*) AS uniq, count(DISTINCT coalesce(nullif(domain, ''), '(no host)')) AS domains, count(*) FILTER (WHERE s.domain2 IS NOT NULL) AS known, count(*) FILTER (WHERE s.domain2 IS NULL) AS discovered,
   count(published_at) AS published, count(*) FILTER (WHERE published_at <= TIMESTAMP '{_FOUND_AT}' AND TIMESTAMP '{_FOUND_AT}' - published_at <= INTERVAL 24 HOUR) AS inside_24h,
   count(*) FILTER (WHERE published_at > TIMESTAMP '{_FOUND_AT}' OR TIMESTAMP '{_FOUND_AT}' - published_at > INTERVAL 24 HOUR) AS outside_24h, count(*) FILTER (WHERE published_at IS NULL) AS unknown_time, count(*) FILTER (WHERE NOT topical) AS irrelevant,
-  count(*) FILTER (WHERE user_id % 60 < 10) AS portal, count(*) FILTER (WHERE user_id % 60 BETWEEN 10 AND 24) AS research, count(*) FILTER (WHERE user_id % 60 BETWEEN 25 AND 39) AS media, count(*) FILTER (WHERE user_id % 60 >= 40) AS unknown_quality,
+  {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS {k if k != 'unknown' else 'unknown_quality'}" for k in ('portal', 'ugc_blog', 'research', 'professional_media', 'unknown'))},
   count(*) FILTER (WHERE domain IN ('s1.example.com', 's2.example.com')) AS second_hand, count(*) FILTER (WHERE user_id % 2 = 0) AS tagged, count(DISTINCT concat('v', user_id % 5)) AS genres
 FROM u LEFT JOIN (SELECT concat('s', n, '.example.com') AS domain2 FROM sources) AS s ON u.domain = s.domain2"""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import quality, rules, text, times, urls
 from gristmill.operators import bodies, dedup, ranking, search, tables
 from gristmill.plans.digest import digest_windows, merged, rebuild_changes, rebuilt, steps
-from gristmill.queries import _CANON, _CON, _FOUND_AT, _LABELS, _MEDIA, _NORMAL, _OUTCOMES, _REC, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, labelled, outcomes, query, ranged, source_of_domain
+from gristmill.queries import HOST_SQL, _CANON, _CON, _FOUND_AT, _LABELS, _MEDIA, _NORMAL, _OUTCOMES, _REC, _SCORE, _SUMMARY, FROM, TO, View, _diverse_sql, _tokens_sql, at, event_view, kind_sql, labelled, outcomes, query, ranged, result_host, source_of_domain
 from gristmill.queries_text import snippet_sql
 from gristmill.sources import listings, pages
 from gristmill.streaming import jobs
@@ -184,31 +184,25 @@ def agg_event_stats(v: View) -> DataFrame:
 # Statistics
 
 
-def _bucket(n: str) -> str:
-    return f"CASE WHEN {n} % 60 < 10 THEN 'portal' WHEN {n} % 60 < 25 THEN 'research' WHEN {n} % 60 < 40 THEN 'media' ELSE 'unknown' END"
+_RESULTS = f"SELECT event_id, {HOST_SQL} AS domain, user_id % 2 = 0 AS ugc FROM hits"
+_KIND_SQL = f"""SELECT r.*, CASE WHEN domain IN (SELECT DISTINCT r2.domain FROM ({_RESULTS}) AS r2 JOIN sources AS s ON r2.domain = s.domain OR ends_with(r2.domain, concat('.', s.domain)) OR ends_with(s.domain, concat('.', r2.domain))) THEN 'official' ELSE {kind_sql('domain', 'ugc')} END AS bucket FROM ({_RESULTS}) AS r"""
 
 
-#: Hosts of each bucket, in the order in which buckets are tried.
-BUCKETS = (("portal", range(10)), ("research", range(10, 25)), ("media", range(25, 40)))
+def _kinds(v: View) -> DataFrame:
+    """Results with the kind of their source; hosts of known sources are found by equality of suffixes."""
+    rows = v("hits").select("event_id", result_host().alias("domain"), (F.col("user_id") % 2 == 0).alias("ugc"))
+    known = urls.with_source(rows, v("sources").select("source_id", "source_type", "priority", F.col("domain").alias("host")))
+    return known.withColumn("bucket", rules.source_kind(F.col("domain"), F.col("source_id").isNotNull(), F.col("ugc")))
 
 
-def source_quality(domains: DataFrame) -> DataFrame:
-    """domain and the first bucket of which it, or a host above it, is a member."""
-    spark = domains.sparkSession
-    members = spark.createDataFrame([(f"s{n}.example.com", k, name) for k, (name, hosts) in enumerate(BUCKETS) for n in hosts], "suffix string, k int, bucket string")
-    met = domains.select("domain", F.explode(urls.suffixes(F.col("domain"))).alias("suffix")).join(members, "suffix", "left")
-    return met.groupBy("domain").agg(F.coalesce(F.min_by("bucket", "k"), F.lit("unknown")).alias("bucket"))
-
-
-@query("fn_source_quality", ["hits"], f"SELECT DISTINCT domain, {_bucket('user_id')} AS bucket FROM hits")
+@query("fn_source_quality", ["hits", "sources"], f"SELECT DISTINCT domain, ugc, bucket FROM ({_KIND_SQL}) AS k")
 def fn_source_quality(v: View) -> DataFrame:
-    return source_quality(v("hits").select("domain").distinct())
+    return _kinds(v).select("domain", "ugc", "bucket").distinct()
 
 
-@query("agg_quality_buckets", ["hits"], f"SELECT {_bucket('user_id')} AS bucket, count(*) AS n FROM hits GROUP BY 1")
+@query("agg_quality_buckets", ["hits", "sources"], f"SELECT bucket, count(*) AS n FROM ({_KIND_SQL}) AS k GROUP BY bucket")
 def agg_quality_buckets(v: View) -> DataFrame:
-    hits = v("hits")
-    return hits.join(source_quality(hits.select("domain").distinct()), "domain").groupBy("bucket").agg(F.count("*").alias("n"))
+    return _kinds(v).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query("fn_watched_domain", ["hits"], "SELECT DISTINCT domain, CASE WHEN domain IN ('s1.example.com', 's2.example.com') THEN domain END AS watched FROM hits")
@@ -489,7 +483,9 @@ def agg_search_summary(v: View) -> DataFrame:
     domains = first.select("domain").distinct()
     known = source_of_domain(domains, v("sources").withColumn("domain", F.concat(F.lit("s"), F.col("n"), F.lit(".example.com"))))
     watched = F.array(F.lit("s1.example.com"), F.lit("s2.example.com"))
-    rows = first.join(known, "domain", "left").join(source_quality(domains), "domain").withColumn("seen", F.col("source_id").isNotNull())
+    rows = first.join(known, "domain", "left").withColumn("seen", F.col("source_id").isNotNull())
+    # pages of the sources themselves are told by seen
+    rows = rows.withColumn("bucket", rules.source_kind(result_host(), F.lit(False), F.col("user_id") % 2 == 0))
     when, now, n = F.col("published_at"), at(_FOUND_AT), F.count("*")
     inside = times.within_hours(when, now, 24)
     one = rows.agg(
@@ -502,7 +498,7 @@ def agg_search_summary(v: View) -> DataFrame:
         F.count_if(when.isNotNull() & ~inside).alias("outside_24h"),
         F.count_if(when.isNull()).alias("unknown_time"),
         F.count_if(~rules.topical(F.col("title"), F.col("summary"))).alias("irrelevant"),
-        *[F.count_if(F.col("bucket") == b).alias(b if b != "unknown" else "unknown_quality") for b in ("portal", "research", "media", "unknown")],
+        *[F.count_if(F.col("bucket") == b).alias(b if b != "unknown" else "unknown_quality") for b in ("portal", "ugc_blog", "research", "professional_media", "unknown")],
         F.count_if(F.arrays_overlap(urls.suffixes(F.col("domain")), watched)).alias("second_hand"),
         F.count_if(F.col("user_id") % 2 == 0).alias("tagged"),
         F.count_distinct(F.col("user_id") % 5).alias("genres"),
