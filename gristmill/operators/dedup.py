@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,32 +43,32 @@ def by_url(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return first_by_key(rows, ["_key"], *winner_order()).drop("_key")
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one chain of equal titles, in scan order: a row joins the first cluster with a member within the horizon.
+def _clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and cluster of rows that come chain by chain, in scan order: a row joins the first cluster with a member within the horizon.
 
-    Times of members are kept in order, with their clusters' numbers, so a row looks at those around it only.
+    A member came within the horizon of another, so two times tell what a cluster covers; and founders lie further apart than the horizon. So what is carried from row to row, and from batch to batch, grows
+    with the time that a chain spans, not with its rows.
     """
-    times: list[int] = []
-    numbers: list[int] = []
-    firsts: list[str] = []
-    names = []
-    for row in rows.sort_values(["canonical_url", "url"]).itertuples():
-        around = slice(bisect_left(times, row.us - HORIZON), bisect_right(times, row.us + HORIZON))
-        number = min(numbers[around], default=len(firsts))
-        if number == len(firsts):
-            firsts.append(row.key)
-        at = bisect_right(times, row.us)
-        times.insert(at, row.us)
-        numbers.insert(at, number)
-        names.append((row.key, firsts[number]))
-    return pd.DataFrame(names, columns=["key", "cluster"])
+    chain, clusters = None, []
+    for batch in batches:
+        keys, names = batch.column("key").to_pylist(), []
+        for title, number, us, key in zip(*(batch.column(c).to_pylist() for c in ("title_key", "_chain", "us")), keys, strict=True):
+            if (title, number) != chain:
+                chain, clusters = (title, number), []
+            found = next((c for c in clusters if c[0] - HORIZON <= us <= c[1] + HORIZON), None)
+            if found:
+                found[0], found[1] = min(found[0], us), max(found[1], us)
+            else:
+                clusters.append(found := [us, us, key])
+            names.append(found[2])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(names, pa.string())], ["key", "cluster"])
 
 
 def by_title(articles: DataFrame) -> DataFrame:
     """articles (as by_url leaves them) with cluster: rows of one title, each within 48 hours of an earlier member.
 
     Rows of a title whose gaps are within the horizon are a chain; a chain that spans no more than the horizon is one cluster, whatever the
-    scan order, and only longer chains are read row by row. Rows without title or time stand alone.
+    scan order, and only longer chains are read row by row, as a stream of which no task holds more than the clusters. Rows without title or time stand alone.
     """
     rows = articles.withColumn("title_key", T.normal_title(F.col("title"))).withColumn("key", F.concat_ws("\n", "canonical_url", "url")).withColumn("us", F.unix_micros("published_at"))
     alone = (F.col("title_key") == "") | F.col("us").isNull()
@@ -79,7 +79,8 @@ def by_title(articles: DataFrame) -> DataFrame:
     chained = chained.withColumn("_long", F.max("us").over(chain) - F.min("us").over(chain) > HORIZON).withColumn("_first", F.min(F.struct("canonical_url", "url")).over(chain))
     short = chained.where("NOT _long").withColumn("cluster", F.concat_ws("\n", "_first.canonical_url", "_first.url"))
     long = chained.where("_long")
-    named = long.select("title_key", "_chain", "key", "us", "canonical_url", "url").groupBy("title_key", "_chain").applyInPandas(_greedy, "key string, cluster string")
+    scanned = long.select("title_key", "_chain", "key", "us", "canonical_url", "url").repartition("title_key", "_chain").sortWithinPartitions("title_key", "_chain", "canonical_url", "url")
+    named = scanned.mapInArrow(_clustered, "key string, cluster string")
     columns = [*rows.columns, "cluster"]
     return (
         short.select(columns)
