@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -542,11 +541,15 @@ def src_embedded_json(v: View) -> DataFrame:
 
 @query("maint_backfill_body", ["articles", "pages"])
 def maint_backfill_body(v: View) -> DataFrame:
-    """Bodies for articles that lack one, from the page of the same number: filled, skipped (body unusable) or failed (no page)."""
-    missing = v("articles").where("coalesce(content_original, '') = ''").select("id", F.col("doc_id").alias("page_id"))
-    rows = missing.join(pages.bodies(v("pages")), "page_id", "left")
+    """Bodies for articles that lack one, from the page of the same number, written into the stored table: filled, skipped (body unusable) or failed (no page); chars: what the table's next version holds of each."""
+    articles = v("articles").select("id", "doc_id", "content_original", "content_extraction_method")
+    table = ranged(articles, "id")
+    missing = table.rows().where("coalesce(content_original, '') = ''").select("id", F.col("doc_id").alias("page_id"))
     state = F.when(F.col("quality").isNull(), "failed").when(F.col("quality.verdict") == "good", "filled").otherwise("skipped")
-    return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    rows = tables.stored(missing.join(pages.bodies(v("pages")), "page_id", "left").select("id", "body", state.alias("state")), "backfill")
+    after = table.patched(rows.where("state = 'filled'").select("id", F.col("body").alias("content_original"), F.lit("web").alias("content_extraction_method")))
+    held = after.rows().select("id", F.length(F.coalesce("content_original", F.lit(""))).alias("chars"))
+    return rows.join(held, "id").groupBy("state").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
 _WON = """concat(canonical_url, chr(10), url) AS key, epoch_us(published_at) AS us, """ + _NORMAL.replace("trim(title)", "trim(title_original)")
