@@ -39,7 +39,7 @@ BREAK = b"\xff"
 #: Lower-cases A-Z, and puts the break for what ends a piece.
 TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Bytes of text whose windows a task counts together.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
 #: Bits of the map of frequent words and neighbours: 16 MB whatever the corpus.
 MAP_BITS = 27
 #: Bits of a hash beyond those that number the words of the corpus.
@@ -131,9 +131,9 @@ def _windows(sent: Broadcast, bits: int):
             for lang, text in block:
                 by_lang[lang].append(text)
             for lang, texts in by_lang.items():
-                yield counted(lang, [(found := tokens(text) + [BREAK], _hashed(found, lang, words)) for text in texts])
+                yield counted(lang, ((found := tokens(text) + [BREAK], _hashed(found, lang, words)) for text in texts))
 
-    def counted(lang: str, texts: list[tuple[list[bytes], np.ndarray]]) -> pa.RecordBatch:
+    def counted(lang: str, texts: Iterator[tuple[list[bytes], np.ndarray]]) -> pa.RecordBatch:
         """A row for each distinct window of some texts. Words have numbers of their own here, 0 is padding."""
         numbers: dict[bytes, int] = {}
         rows, n_words = [], 0
@@ -144,15 +144,15 @@ def _windows(sent: Broadcast, bits: int):
             stays = word & often(single)
             goes_on = stays & np.append(stays[1:], False) & often(pair)
             at = np.flatnonzero(stays).tolist()
-            row = np.zeros((LONGEST, len(hashes)), np.int64)
+            row = np.zeros((LONGEST, len(hashes)), np.int32)
             row[0, at] = [numbers.setdefault(found[i], len(numbers) + 1) for i in at]
             for k in range(1, LONGEST):
                 row[k, :-k] = np.where(goes_on[: len(hashes) - k], row[k - 1, 1 : len(hashes) - k + 1], 0)
             rows.append(row[:, at])
         row = np.concatenate(rows, axis=1)
+        del rows
         # two numbers to a key, then two keys to a number: exact
-        fronts, front = np.unique(row[0] << 32 | row[1], return_inverse=True)
-        backs, back = np.unique(row[2] << 32 | row[3], return_inverse=True)
+        (fronts, front), (backs, back) = (np.unique(row[k].astype(np.int64) << 32 | row[k + 1], return_inverse=True) for k in (0, 2))
         window, counts = np.unique(front << 32 | back, return_counts=True)
         front, back = fronts[window >> 32], backs[window & 0xFFFFFFFF]
         spelled = pa.array([b"", *numbers], pa.binary()).cast(pa.string())
