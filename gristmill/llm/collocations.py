@@ -5,9 +5,9 @@
    of all words of the lang. No shorter phrase is ever exploded.
 3. Phrases that occur often enough are cut in every place, scored by their rarest cut, dropped if a longer phrase nearly always holds them, and ranked.
 
-Windows are cut short where they cannot matter. A first pass counts hashes of words and of neighbours; the frequent ones set bits of a map of fixed size
-(MAP_BITS), which goes to all tasks. A window ends, padded, before two neighbours that are surely too rare, and a word that is surely too rare is a window
-of no words: any phrase over such a place is as rare. Hashes that share a bit only leave a window longer than it need be, so all counts are exact; a corpus with more frequent pairs than
+Windows are cut short where they cannot matter. Two passes before count hashes, of words and neighbours, and of three words whose neighbours are frequent; the frequent ones set bits
+of a map of fixed size (MAP_BITS), which goes to all tasks. A window ends, padded, where it would hold what is surely too rare, and a word that is surely too rare is a window
+of no words: any phrase that holds it is as rare. Hashes that share a bit only leave a window longer than it need be, so all counts are exact; a corpus with more frequent phrases than
 bits has longer windows, not other results.
 
 Ranks come from ranges: phrases are dealt out by range of (lang, score, a, phrase), ranked within, and moved up by the rows of the ranges before. No task holds a lang.
@@ -58,108 +58,109 @@ class Collocations:
 
 def tokens(text: bytes) -> list[bytes]:
     """The words of a text in order; a BREAK after each piece."""
-    return text.translate(TABLE).replace(BREAK, b" \xff ").split()
+    return (text.translate(TABLE).replace(BREAK, b" \xff ") + b" \xff").split()
 
 
-def keys(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words and of the neighbours that begin at each place of a row of word hashes, of which 0 is a break."""
-    single = mixed(hashes)
-    pair = mixed(single + np.append(hashes[1:], np.uint64(0)))
-    return single >> np.uint64(64 - bits), pair >> np.uint64(64 - bits)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes]]]:
-    """Texts with their lang, some at a time."""
-    block, size = [], 0
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """A lang, and the words of some of its texts."""
+    block, size = defaultdict(list), 0
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
-            block.append((lang, text.as_py() or b""))
-            size += len(block[-1][1])
+            block[lang].append(text.as_py() or b"")
+            size += len(block[lang][-1])
             if size >= BLOCK_BYTES:
-                yield block
-                block, size = [], 0
-    if block:
-        yield block
+                yield from ((k, tokens(b"\n".join(v))) for k, v in block.items())
+                block, size = defaultdict(list), 0
+    yield from ((k, tokens(b"\n".join(v))) for k, v in block.items())
+
+
+class Places:
+    """The words of a block by hash, and what is known of the phrases that begin at each place."""
 
+    def __init__(self, found: list[bytes], lang: str, words: Words, bits: int):
+        hashes = words.of(found)
+        self.word = hashes != words[BREAK]
+        self.keys = [mixed(hashes ^ np.uint64(words[BREAK + lang.encode()]))]
+        for k in range(1, LONGEST - 1):  # of the phrases of one to three words
+            self.keys.append(mixed(self.keys[-1] + np.append(hashes[k:], hashes[:k])))
+        self.keys = [x >> np.uint64(64 - bits) for x in self.keys]
 
-def _hashed(found: list[bytes], lang: str, words: Words) -> np.ndarray:
-    """Hashes of the words of a lang; 0 for a break."""
-    hashes = words.of(found)
-    hashes[hashes == words[BREAK]] = 0
-    return np.where(hashes > 0, hashes ^ np.uint64(words[b"\xff" + lang.encode()]), hashes)
+    def long(self, map: np.ndarray, bits: int, size: int) -> list[np.ndarray]:
+        """For one to `size` words: whether such a phrase begins at a place, and may occur often enough as far as the map tells of phrases of up to three words."""
+        out = [self.word & often(map, self.keys[0], bits)]
+        for k in range(1, size):
+            out.append(out[-1] & np.append(out[-1][1:], False))
+            if k < len(self.keys):
+                out[-1][out[-1]] &= often(map, self.keys[k][out[-1]], bits)
+        return out
 
 
-def _keyed(bits: int):
+def often(map: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    place = (keys >> np.uint64(bits - MAP_BITS)).astype(np.int64)
+    return (map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def _keyed(bits: int, sent: Broadcast | None = None):
+    """Counts of words and neighbours; or, where a map of these is known, of three words that may matter."""
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for block in _blocks(batches):
-            parts = [_hashed(tokens(text) + [BREAK], lang, words) for lang, text in block]
-            hashes = np.concatenate(parts)
-            del parts
-            single, pair = keys(hashes, bits)
-            word = hashes > 0
-            both = word & np.append(word[1:], False)
-            found, counts = np.unique(np.concatenate((single[word], pair[both])), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts)], ["key", "n"])
+        for lang, found in _blocks(batches):
+            at = Places(found, lang, words, bits)
+            del found
+            if sent:
+                pairs = at.long(sent.value, bits, 2)[1]
+                keys = at.keys[2][pairs & np.append(pairs[1:], False)]
+            else:
+                keys = np.concatenate((at.keys[0][at.word], at.keys[1][at.word & np.append(at.word[1:], False)]))
+            keys, counts = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["key", "n"])
 
     return keyed
 
 
-def frequent_map(docs: DataFrame, least: int) -> tuple[np.ndarray, int]:
-    """A bit for each hash of a word or of neighbours that occurs often enough; and the bits of a hash."""
+def frequent_map(docs: DataFrame, least: int) -> tuple[Broadcast, int]:
+    """A bit for each hash of one to three words that occur often enough, in all tasks; and the bits of a hash."""
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     bits = max(MAP_BITS, min(63, chars.bit_length() + SPARE_BITS))
-    often = docs.mapInArrow(_keyed(bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     place = F.shiftrightunsigned("key", bits - MAP_BITS)
-    slots = often.groupBy(F.shiftright(place, 6).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {bits - MAP_BITS}) & 63 as int))")).alias("set")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    out[slots.column("slot").to_numpy()] = slots.column("set").to_numpy()
-    return out.view(np.uint8), bits
+    map = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    sent = None
+    for _ in range(2):
+        often = docs.mapInArrow(_keyed(bits, sent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        slots = often.groupBy(F.shiftright(place, 6).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {bits - MAP_BITS}) & 63 as int))")).alias("set")).toArrow()
+        map[slots.column("slot").to_numpy()] |= slots.column("set").to_numpy()
+        if sent:
+            sent.destroy()
+        sent = docs.sparkSession.sparkContext.broadcast(map.view(np.uint8))
+    return sent, bits
 
 
 def _windows(sent: Broadcast, bits: int):
     names = ["lang", *[f"w{i}" for i in range(LONGEST)], "n"]
 
-    def often(keys: np.ndarray) -> np.ndarray:
-        place = (keys >> np.uint64(bits - MAP_BITS)).astype(np.int64)
-        return (sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
-
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each distinct window of some texts."""
         words = Words()
-        for block in _blocks(batches):
-            by_lang = defaultdict(list)
-            for lang, text in block:
-                by_lang[lang].append(text)
-            for lang, texts in by_lang.items():
-                yield counted(lang, ((found := tokens(text) + [BREAK], _hashed(found, lang, words)) for text in texts))
-
-    def counted(lang: str, texts: Iterator[tuple[list[bytes], np.ndarray]]) -> pa.RecordBatch:
-        """A row for each distinct window of some texts. Words have numbers of their own here, 0 is padding."""
-        numbers: dict[bytes, int] = {}
-        rows, n_words = [], 0
-        for found, hashes in texts:
-            single, pair = keys(hashes, bits)
-            word = hashes > 0
-            n_words += int(word.sum())
-            stays = word & often(single)
-            goes_on = stays & np.append(stays[1:], False) & often(pair)
-            at = np.flatnonzero(stays).tolist()
-            row = np.zeros((LONGEST, len(hashes)), np.int32)
-            row[0, at] = [numbers.setdefault(found[i], len(numbers) + 1) for i in at]
-            for k in range(1, LONGEST):
-                row[k, :-k] = np.where(goes_on[: len(hashes) - k], row[k - 1, 1 : len(hashes) - k + 1], 0)
-            rows.append(row[:, at])
-        row = np.concatenate(rows, axis=1)
-        del rows
-        # two numbers to a key, then two keys to a number: exact
-        (fronts, front), (backs, back) = (np.unique(row[k].astype(np.int64) << 32 | row[k + 1], return_inverse=True) for k in (0, 2))
-        window, counts = np.unique(front << 32 | back, return_counts=True)
-        front, back = fronts[window >> 32], backs[window & 0xFFFFFFFF]
-        spelled = pa.array([b"", *numbers], pa.binary()).cast(pa.string())
-        low = 0xFFFFFFFF
-        columns = [spelled.take(pa.array(np.append(x, 0))) for x in (front >> 32, front & low, back >> 32, back & low)]
-        # last, the words that are too rare: windows of no words
-        return pa.RecordBatch.from_arrays([pa.array([lang] * (len(counts) + 1)), *columns, pa.array(np.append(counts, n_words - row.shape[1]))], names)
+        for lang, found in _blocks(batches):
+            at = Places(found, lang, words, bits)
+            longs = at.long(sent.value, bits, LONGEST)
+            n_words, places = int(at.word.sum()), np.flatnonzero(longs[0])
+            del at
+            # words have numbers of their own here, 0 is padding
+            numbers: dict[bytes, int] = {}
+            number = np.zeros(len(longs[0]) + LONGEST, np.int32)
+            number[places] = [numbers.setdefault(found[i], len(numbers) + 1) for i in places.tolist()]
+            row = [np.where(long[places], number[places + k], 0) for k, long in enumerate(longs)]
+            # two numbers to a key, then two keys to a number: exact
+            (fronts, front), (backs, back) = (np.unique(row[k].astype(np.int64) << 32 | row[k + 1], return_inverse=True) for k in (0, 2))
+            window, counts = np.unique(front << 32 | back, return_counts=True)
+            low = 0xFFFFFFFF
+            front, back = fronts[window >> 32], backs[window & low]
+            spelled = pa.array([b"", *numbers], pa.binary()).cast(pa.string())
+            columns = [spelled.take(pa.array(np.append(x, 0))) for x in (front >> 32, front & low, back >> 32, back & low)]
+            # last, the words that are too rare: windows of no words
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(counts) + 1)), *columns, pa.array(np.append(counts, n_words - len(places)))], names)
 
     return windows
 
@@ -167,12 +168,11 @@ def _windows(sent: Broadcast, bits: int):
 def phrases(docs: DataFrame, least: int) -> DataFrame:
     """lang, phrase, size, f of every phrase of one to four words that occurs at least `least` times; and with size 0 all words of each lang."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    found, bits = frequent_map(docs, least)
-    sent = docs.sparkSession.sparkContext.broadcast(found)
+    sent, bits = frequent_map(docs, least)
     w = [f"w{i}" for i in range(LONGEST)]
     windows = docs.mapInArrow(_windows(sent, bits), f"lang string, {', '.join(f'{c} string' for c in w)}, n long")
-    # null is summed over, an empty word is padding
-    sums = windows.rollup("lang", *w).agg(F.sum("n").alias("f")).where("lang IS NOT NULL")
+    # equal windows first, so that fronts are summed of few rows; null is summed over, an empty word is padding
+    sums = windows.groupBy("lang", *w).agg(F.sum("n").alias("n")).rollup("lang", *w).agg(F.sum("n").alias("f")).where("lang IS NOT NULL")
     size = sum((F.col(c).isNotNull().cast("int") for c in w), F.lit(0))
     last = F.coalesce(*[F.col(c) for c in reversed(w)])
     return sums.where((size == 0) | (last != "") & (F.col("f") >= least)).select("lang", F.concat_ws(" ", *w).alias("phrase"), size.alias("size"), "f")
