@@ -6,8 +6,8 @@
 3. Phrases that occur often enough are cut in every place, scored by their rarest cut, dropped if a longer phrase nearly always holds them, and ranked.
 
 Windows are cut short where they cannot matter. Two passes before count hashes, of words and neighbours, and of three words whose neighbours are frequent; the frequent ones set bits
-of a map of fixed size (MAP_BITS), which goes to all tasks. A window ends, padded, where it would hold what is surely too rare, and a word that is surely too rare is a window
-of no words: any phrase that holds it is as rare. Hashes that share a bit only leave a window longer than it need be, so all counts are exact; a corpus with more frequent phrases than
+of a map of fixed size (MAP_BITS), which goes to all tasks. A window ends, padded, where it would hold what is surely too rare, and a word that is in no frequent pair is a window
+of no words: no phrase that is counted holds it. Hashes that share a bit only leave a window longer than it need be, so all counts are exact; a corpus with more frequent phrases than
 bits has longer windows, not other results.
 
 Ranks come from ranges: phrases are dealt out by range of (lang, score, a, phrase), ranked within, and moved up by the rows of the ranges before. No task holds a lang.
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,7 +84,8 @@ class Places:
         self.keys = [mixed(hashes ^ np.uint64(words[BREAK + lang.encode()]))]
         for k in range(1, LONGEST - 1):  # of the phrases of one to three words
             self.keys.append(mixed(self.keys[-1] + np.append(hashes[k:], hashes[:k])))
-        self.keys = [x >> np.uint64(64 - bits) for x in self.keys]
+        self.keys.append(mixed(~self.keys[0]))
+        *self.keys, self.paired = (x >> np.uint64(64 - bits) for x in self.keys)
 
     def long(self, map: np.ndarray, bits: int, size: int) -> list[np.ndarray]:
         """For one to `size` words: whether such a phrase begins at a place, and may occur often enough as far as the map tells of phrases of up to three words."""
@@ -100,8 +102,8 @@ def often(map: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     return (map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
-def _keyed(bits: int, sent: Broadcast | None = None):
-    """Counts of words and neighbours; or, where a map of these is known, of three words that may matter."""
+def _keyed(bits: int, least: int, sent: Broadcast | None = None):
+    """Counts of words and neighbours; or, where a map of these is known, of three words that may matter, and the words of frequent neighbours."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -114,6 +116,10 @@ def _keyed(bits: int, sent: Broadcast | None = None):
             else:
                 keys = np.concatenate((at.keys[0][at.word], at.keys[1][at.word & np.append(at.word[1:], False)]))
             keys, counts = np.unique(keys, return_counts=True)
+            if sent:
+                # the words of frequent neighbours, which are as frequent
+                words_of = np.unique(at.paired[pairs | np.append(False, pairs[:-1])], return_counts=True)[0]
+                keys, counts = np.concatenate((keys, words_of)), np.concatenate((counts, np.full(len(words_of), least)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["key", "n"])
 
     return keyed
@@ -127,7 +133,7 @@ def frequent_map(docs: DataFrame, least: int) -> tuple[Broadcast, int]:
     map = np.zeros(1 << (MAP_BITS - 6), np.int64)
     sent = None
     for _ in range(2):
-        often = docs.mapInArrow(_keyed(bits, sent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        often = docs.mapInArrow(_keyed(bits, least, sent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         slots = often.groupBy(F.shiftright(place, 6).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {bits - MAP_BITS}) & 63 as int))")).alias("set")).toArrow()
         map[slots.column("slot").to_numpy()] |= slots.column("set").to_numpy()
         if sent:
@@ -137,21 +143,22 @@ def frequent_map(docs: DataFrame, least: int) -> tuple[Broadcast, int]:
 
 
 def _windows(sent: Broadcast, bits: int):
-    names = ["lang", *[f"w{i}" for i in range(LONGEST)], "n"]
-
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each distinct window of some texts."""
         words = Words()
         for lang, found in _blocks(batches):
             at = Places(found, lang, words, bits)
             longs = at.long(sent.value, bits, LONGEST)
-            n_words, places = int(at.word.sum()), np.flatnonzero(longs[0])
+            # a word that is in no frequent phrase is counted in none
+            n_words, places = int(at.word.sum()), np.flatnonzero(longs[0] & often(sent.value, at.paired, bits))
             del at
             # words have numbers of their own here, 0 is padding
             numbers: dict[bytes, int] = {}
             number = np.zeros(len(longs[0]) + LONGEST, np.int32)
             number[places] = [numbers.setdefault(found[i], len(numbers) + 1) for i in places.tolist()]
-            row = [np.where(long[places], number[places + k], 0) for k, long in enumerate(longs)]
+            row = [number[places]]
+            for k in range(1, LONGEST):
+                row.append(np.where(longs[k][places] & (row[-1] > 0), number[places + k], 0))
             # two numbers to a key, then two keys to a number: exact
             (fronts, front), (backs, back) = (np.unique(row[k].astype(np.int64) << 32 | row[k + 1], return_inverse=True) for k in (0, 2))
             window, counts = np.unique(front << 32 | back, return_counts=True)
@@ -159,20 +166,23 @@ def _windows(sent: Broadcast, bits: int):
             front, back = fronts[window >> 32], backs[window & low]
             spelled = pa.array([b"", *numbers], pa.binary()).cast(pa.string())
             columns = [spelled.take(pa.array(np.append(x, 0))) for x in (front >> 32, front & low, back >> 32, back & low)]
-            # last, the words that are too rare: windows of no words
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(counts) + 1)), *columns, pa.array(np.append(counts, n_words - len(places)))], names)
+            # padding goes as it stands at the end; last, the words that matter to no phrase: windows of no words
+            window = pc.ascii_rtrim(pc.binary_join_element_wise(*columns, " "), " ")
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(counts) + 1)), window, pa.array(np.append(counts, n_words - len(places)))], ["lang", "window", "n"])
 
     return windows
 
 
 def phrases(docs: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, size, f of every phrase of one to four words that occurs at least `least` times; and with size 0 all words of each lang."""
+    """lang, phrase, size, f of every phrase of two to four words that occurs at least `least` times, and of the words in them; and with size 0 all words of each lang."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     sent, bits = frequent_map(docs, least)
     w = [f"w{i}" for i in range(LONGEST)]
-    windows = docs.mapInArrow(_windows(sent, bits), f"lang string, {', '.join(f'{c} string' for c in w)}, n long")
+    windows = docs.mapInArrow(_windows(sent, bits), "lang string, window string, n long")
     # equal windows first, so that fronts are summed of few rows; null is summed over, an empty word is padding
-    sums = windows.groupBy("lang", *w).agg(F.sum("n").alias("n")).rollup("lang", *w).agg(F.sum("n").alias("f")).where("lang IS NOT NULL")
+    windows = windows.groupBy("lang", "window").agg(F.sum("n").alias("n"))
+    lead = [F.coalesce(F.get(F.split("window", " "), F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(w)]
+    sums = windows.select("lang", *lead, "n").rollup("lang", *w).agg(F.sum("n").alias("f")).where("lang IS NOT NULL")
     size = sum((F.col(c).isNotNull().cast("int") for c in w), F.lit(0))
     last = F.coalesce(*[F.col(c) for c in reversed(w)])
     return sums.where((size == 0) | (last != "") & (F.col("f") >= least)).select("lang", F.concat_ws(" ", *w).alias("phrase"), size.alias("size"), "f")
