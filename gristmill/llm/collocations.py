@@ -25,22 +25,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import Scratch, stored, travels
-from gristmill.llm.kernels import Words, mixed
+from gristmill.llm.kernels import mixed
 
 travels(__name__)
 
 LONGEST = 4
-#: Never part of UTF-8: stands for the end of a piece.
-BREAK = b"\xff"
-#: Lower-cases A-Z, and puts the break for what ends a piece.
-TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-#: Bytes of text whose windows a task counts together.
-BLOCK_BYTES = 4_000_000
+#: Stands alone for the end of a piece, which no word holds.
+BREAK = b"\n"
+#: Lower-cases A-Z, puts the break for what ends a piece and a space for what stands between words.
+TABLE = bytes(0x0A if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 0x09 else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+#: Bytes of text that a task looks at together, and the windows that it holds before it sends them.
+BLOCK_BYTES, HELD_WINDOWS = 4_000_000, 2_000_000
 #: Bits of the map of frequent words and neighbours: 16 MB whatever the corpus.
 MAP_BITS = 27
 #: Bits of a hash beyond those that number the words of the corpus.
@@ -57,12 +58,27 @@ class Collocations:
     most: int = 2000
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """The words of a text in order; a BREAK after each piece."""
-    return (text.translate(TABLE).replace(BREAK, b" \xff ") + b" \xff").split()
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+@dataclass(frozen=True)
+class Tokens:
+    """The distinct words of some texts, and the number of the word at each place; -1 at the end of a piece."""
+
+    words: pa.Array
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Tokens:
+        spaced = BREAK.join([*texts, b""]).translate(TABLE).replace(BREAK, b" \n ")
+        coded = pc.split_pattern(pa.array([spaced], pa.large_binary()).cast(pa.large_string()), " ").flatten().dictionary_encode()
+        words, places = coded.dictionary, coded.indices.to_numpy()
+        number = np.full(len(words), -1, np.int32)
+        is_word = pc.invert(pc.is_in(words, pa.array(["", "\n"], words.type)))
+        some = is_word.to_numpy(zero_copy_only=False)
+        number[some] = np.arange(int(some.sum()))
+        places = places[places != pc.index(words, pa.scalar("", words.type)).as_py()]
+        return cls(words.filter(is_word), number[places])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Tokens]]:
     """A lang, and the words of some of its texts."""
     block, size = defaultdict(list), 0
     for batch in batches:
@@ -70,18 +86,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
             block[lang].append(text.as_py() or b"")
             size += len(block[lang][-1])
             if size >= BLOCK_BYTES:
-                yield from ((k, tokens(b"\n".join(v))) for k, v in block.items())
+                yield from ((k, Tokens.of(v)) for k, v in block.items())
                 block, size = defaultdict(list), 0
-    yield from ((k, tokens(b"\n".join(v))) for k, v in block.items())
+    yield from ((k, Tokens.of(v)) for k, v in block.items())
 
 
 class Places:
     """The words of a block by hash, and what is known of the phrases that begin at each place."""
 
-    def __init__(self, found: list[bytes], lang: str, words: Words, bits: int):
-        hashes = words.of(found)
-        self.word = hashes != words[BREAK]
-        self.keys = [mixed(hashes ^ np.uint64(words[BREAK + lang.encode()]))]
+    def __init__(self, found: Tokens, lang: str, bits: int):
+        distinct = np.array([xxhash.xxh3_64_intdigest(w) for w in found.words.cast(pa.large_binary()).to_pylist()] + [0], np.uint64)
+        hashes = distinct[found.places]
+        self.word = found.places >= 0
+        self.keys = [mixed(hashes ^ np.uint64(xxhash.xxh3_64_intdigest(lang)))]
         for k in range(1, LONGEST - 1):  # of the phrases of one to three words
             self.keys.append(mixed(self.keys[-1] + np.append(hashes[k:], hashes[:k])))
         self.keys.append(mixed(~self.keys[0]))
@@ -106,10 +123,8 @@ def _keyed(bits: int, least: int, sent: Broadcast | None = None):
     """Counts of words and neighbours; or, where a map of these is known, of three words that may matter, and the words of frequent neighbours."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for lang, found in _blocks(batches):
-            at = Places(found, lang, words, bits)
-            del found
+            at = Places(found, lang, bits)
             if sent:
                 pairs = at.long(sent.value, bits, 2)[1]
                 keys = at.keys[2][pairs & np.append(pairs[1:], False)]
@@ -144,31 +159,45 @@ def frequent_map(docs: DataFrame, least: int) -> tuple[Broadcast, int]:
 
 def _windows(sent: Broadcast, bits: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct window of some texts."""
-        words = Words()
+        """A row for each distinct window of a task's texts, or of as many as it holds."""
+        held: list[pa.Table] = []
+        size = 0
         for lang, found in _blocks(batches):
-            at = Places(found, lang, words, bits)
-            longs = at.long(sent.value, bits, LONGEST)
-            # a word that is in no frequent phrase is counted in none
-            n_words, places = int(at.word.sum()), np.flatnonzero(longs[0] & often(sent.value, at.paired, bits))
-            del at
-            # words have numbers of their own here, 0 is padding
-            numbers: dict[bytes, int] = {}
-            number = np.zeros(len(longs[0]) + LONGEST, np.int32)
-            number[places] = [numbers.setdefault(found[i], len(numbers) + 1) for i in places.tolist()]
-            row = [number[places]]
-            for k in range(1, LONGEST):
-                row.append(np.where(longs[k][places] & (row[-1] > 0), number[places + k], 0))
-            # two numbers to a key, then two keys to a number: exact
-            (fronts, front), (backs, back) = (np.unique(row[k].astype(np.int64) << 32 | row[k + 1], return_inverse=True) for k in (0, 2))
-            window, counts = np.unique(front << 32 | back, return_counts=True)
-            low = 0xFFFFFFFF
-            front, back = fronts[window >> 32], backs[window & low]
-            spelled = pa.array([b"", *numbers], pa.binary()).cast(pa.string())
-            columns = [spelled.take(pa.array(np.append(x, 0))) for x in (front >> 32, front & low, back >> 32, back & low)]
-            # padding goes as it stands at the end; last, the words that matter to no phrase: windows of no words
-            window = pc.ascii_rtrim(pc.binary_join_element_wise(*columns, " "), " ")
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(counts) + 1)), window, pa.array(np.append(counts, n_words - len(places)))], ["lang", "window", "n"])
+            held.append(block(lang, found))
+            size += held[-1].num_rows
+            if size > HELD_WINDOWS:
+                held = [summed(held)]
+                size = held[0].num_rows
+                if size > HELD_WINDOWS // 2:
+                    yield from held.pop().to_batches()
+                    size = 0
+        if held:
+            yield from summed(held).to_batches()
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(["lang", "window"]).aggregate([("n", "sum")]).rename_columns(["lang", "window", "n"])
+
+    def block(lang: str, found: Tokens) -> pa.Table:
+        at = Places(found, lang, bits)
+        longs = at.long(sent.value, bits, LONGEST)
+        # a word that is in no frequent phrase is counted in none
+        n_words, places = int(at.word.sum()), np.flatnonzero(longs[0] & often(sent.value, at.paired, bits))
+        del at
+        number = np.zeros(len(longs[0]) + LONGEST, np.int64)  # 0 is padding
+        number[places] = found.places[places] + 1
+        row = [number[places]]
+        for k in range(1, LONGEST):
+            row.append(np.where(longs[k][places] & (row[-1] > 0), number[places + k], 0))
+        # two numbers to a key, then two keys to a number: exact
+        (fronts, front), (backs, back) = (np.unique(row[k] << 32 | row[k + 1], return_inverse=True) for k in (0, 2))
+        window, counts = np.unique(front << 32 | back, return_counts=True)
+        low = 0xFFFFFFFF
+        front, back = fronts[window >> 32], backs[window & low]
+        spelled = pa.concat_arrays([pa.array([""], found.words.type), found.words])
+        columns = [spelled.take(pa.array(np.append(x, 0))) for x in (front >> 32, front & low, back >> 32, back & low)]
+        # padding goes as it stands at the end; last, the words that matter to no phrase: windows of no words
+        spelled = pc.ascii_rtrim(pc.binary_join_element_wise(*columns, pa.scalar(" ", found.words.type)), " ").cast(pa.string())
+        return pa.table({"lang": pa.array([lang] * (len(counts) + 1)), "window": spelled, "n": np.append(counts, n_words - len(places))})
 
     return windows
 
