@@ -40,8 +40,8 @@ LONGEST = 4
 BREAK = b"\n"
 #: Lower-cases A-Z, puts the break for what ends a piece and a space for what stands between words.
 TABLE = bytes(0x0A if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 0x09 else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-#: Bytes of text that a task looks at together, and the windows that it holds before it sends them.
-BLOCK_BYTES, HELD_WINDOWS = 4_000_000, 2_000_000
+#: Bytes of text that a task looks at together.
+BLOCK_BYTES = 1_500_000
 #: Bits of the map of frequent words and neighbours: 16 MB whatever the corpus.
 MAP_BITS = 27
 #: Bits of a hash beyond those that number the words of the corpus.
@@ -159,25 +159,11 @@ def frequent_map(docs: DataFrame, least: int) -> tuple[Broadcast, int]:
 
 def _windows(sent: Broadcast, bits: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct window of a task's texts, or of as many as it holds."""
-        held: list[pa.Table] = []
-        size = 0
+        """A row for each distinct window of some texts; Spark adds up a task's before it sends them."""
         for lang, found in _blocks(batches):
-            held.append(block(lang, found))
-            size += held[-1].num_rows
-            if size > HELD_WINDOWS:
-                held = [summed(held)]
-                size = held[0].num_rows
-                if size > HELD_WINDOWS // 2:
-                    yield from held.pop().to_batches()
-                    size = 0
-        if held:
-            yield from summed(held).to_batches()
-
-    def summed(parts: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(parts).group_by(["lang", "window"]).aggregate([("n", "sum")]).rename_columns(["lang", "window", "n"])
-
-    def block(lang: str, found: Tokens) -> pa.Table:
+            yield block(lang, found)
+
+    def block(lang: str, found: Tokens) -> pa.RecordBatch:
         at = Places(found, lang, bits)
         longs = at.long(sent.value, bits, LONGEST)
         # a word that is in no frequent phrase is counted in none
@@ -197,7 +183,7 @@ def _windows(sent: Broadcast, bits: int):
         columns = [spelled.take(pa.array(np.append(x, 0))) for x in (front >> 32, front & low, back >> 32, back & low)]
         # padding goes as it stands at the end; last, the words that matter to no phrase: windows of no words
         spelled = pc.ascii_rtrim(pc.binary_join_element_wise(*columns, pa.scalar(" ", found.words.type)), " ").cast(pa.string())
-        return pa.table({"lang": pa.array([lang] * (len(counts) + 1)), "window": spelled, "n": np.append(counts, n_words - len(places))})
+        return pa.RecordBatch.from_arrays([pa.array([lang] * (len(counts) + 1)), spelled, pa.array(np.append(counts, n_words - len(places)))], ["lang", "window", "n"])
 
     return windows
 
