@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from gristmill import queries_text
 from gristmill.operators import repos
 
 
@@ -25,3 +26,13 @@ def test_keywords_are_found_by_words(spark):
     # one look at a text for all words, not one a keyword
     columns = "rank int, repo string, name string, description string, more string, topics array<string>, strict boolean"
     assert "RLIKE(" not in _plan(repos.judged(spark.createDataFrame([], columns)))
+
+
+def test_repositories_of_one_small_file_are_dealt_out(spark):
+    parts = [(i, f"o/r{i}", "llm server", "An AI agent", 1) for i in range(40)]
+    views = {
+        "repos": spark.createDataFrame(parts, "rank long, repo string, name string, description string, stars int").coalesce(1),
+        "repo_metadata": spark.createDataFrame([(1, "More", 1)], "part long, description string, forks int"),
+    }
+    got = queries_text.flt_repo_relevance(views.__getitem__)
+    assert "REPARTITION_BY_COL" in _plan(got) and got.count() == 40
