@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
 from gristmill.operators.tables import deleted, numbers_in, patched, put_once, travels, unique, upserted
 
@@ -21,6 +22,8 @@ travels(__name__)
 
 #: Rows of a range, as a table is created or a range grows beyond twice as many.
 RANGE_ROWS = 1_000_000
+#: Bytes of their values, before compression, likewise: rows may be short or hold whole texts.
+RANGE_BYTES = 64_000_000
 
 
 def place(key: Column, bounds: list) -> Column:
@@ -51,6 +54,20 @@ def in_windows(rows: DataFrame, windows: DataFrame, name: str, at: str = "publis
     return numbered.join(known, "window_number", "left").withColumn(name, F.when(inside, F.col("window_name"))).drop("window_number", "window_name", "window_start")
 
 
+def width(schema: StructType) -> Column:
+    """About how many bytes the values of a row take, before compression."""
+
+    def of(field: StructField) -> Column:
+        kind, c = field.dataType, F.col(field.name)
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+        if isinstance(kind, (ArrayType, MapType, StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)).cast("long")
+        return F.lit(8).cast("long")
+
+    return sum((of(f) for f in schema.fields), F.lit(0).cast("long"))
+
+
 class Conflict(RuntimeError):
     """Another change was committed in between."""
 
@@ -67,25 +84,28 @@ class RangeTable:
     bounds: list
     files: list[str]
     range_rows: int = RANGE_ROWS
+    range_bytes: int = RANGE_BYTES
 
     @classmethod
-    def created(cls, rows: DataFrame, key: str, path: str, range_rows: int = RANGE_ROWS) -> RangeTable:
-        """A new table of rows at path. key: a text or an integer."""
-        n = max(1, -(-rows.count() // range_rows))
-        empty = cls(rows.sparkSession, path, key, 0, rows.schema.json(), [], [], range_rows)
-        return empty._committed(*empty._split(rows, n))
+    def created(cls, rows: DataFrame, key: str, path: str, range_rows: int = RANGE_ROWS, range_bytes: int = RANGE_BYTES) -> RangeTable:
+        """A new table of rows at path. key: a text or an integer. A range, which one task writes, has about range_rows rows or range_bytes bytes, whichever is reached first."""
+        empty = cls(rows.sparkSession, path, key, 0, rows.schema.json(), [], [], range_rows, range_bytes)
+        size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(width(rows.schema)), F.lit(0)).alias("bytes")).first()
+        return empty._committed(*empty._split(rows, empty._ranges(size.n, size.bytes)))
+
+    def _ranges(self, n: int, size: int) -> int:
+        """In how many ranges so many rows and bytes go."""
+        return max(1, -(-n // self.range_rows), -(-size // self.range_bytes))
 
     @classmethod
     def opened(cls, spark: SparkSession, path: str, version: int | None = None) -> RangeTable:
         """The latest version, or another that is still there."""
         last = numbers_in(spark, f"{path}/manifest")[-1] if version is None else version
         held = json.loads(spark.read.text(f"{path}/manifest/{last}", wholetext=True).first()[0])
-        return cls(spark, path, held["key"], last, held["schema"], held["bounds"], held["files"], held["range_rows"])
+        return cls(spark, path, held["key"], last, held["schema"], held["bounds"], held["files"], held["range_rows"], held.get("range_bytes", RANGE_BYTES))
 
     def rows(self, of: list[int] | None = None) -> DataFrame:
         """All rows, or those of some ranges."""
-        from pyspark.sql.types import StructType
-
         schema = StructType.fromJson(json.loads(self.schema))
         files = [f"{self.path}/{f}" for f in (self.files if of is None else [self.files[i] for i in of])]
         return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
@@ -114,15 +134,20 @@ class RangeTable:
         at = place(F.col(self.key), self.bounds)
         made = change(self.rows(touched), new).withColumn("range_number", at)
         folder = f"data/{unique()}"
-        made.repartition(len(touched) or 1, "range_number").sortWithinPartitions("range_number", self.key).write.partitionBy("range_number").option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        sizes = {r.range_number: r["count"] for r in self.spark.read.schema(made.schema).parquet(f"{self.path}/{folder}").groupBy("range_number").count().collect()} if touched else {}
+        # each range to a task of its own; by a hash of their numbers several would meet in one
+        turn = place(F.col("range_number"), touched) - 1 if touched else F.lit(0)
+        made.repartitionById(len(touched) or 1, turn).sortWithinPartitions("range_number", self.key).write.partitionBy("range_number").option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        sizes = {}
+        if touched:
+            written = self.spark.read.schema(made.schema).parquet(f"{self.path}/{folder}").groupBy("range_number")
+            sizes = {r.range_number: (r.n, r.bytes) for r in written.agg(F.count("*").alias("n"), F.sum(width(self.rows([]).schema)).alias("bytes")).collect()}
         for n, file in enumerate(self.files):
             low = [self.bounds[n - 1]] if n else []
             if n not in touched:
                 parts = [], [file]
-            elif sizes.get(n, 0) > 2 * self.range_rows:
+            elif n in sizes and (sizes[n][0] > 2 * self.range_rows or sizes[n][1] > 2 * self.range_bytes):
                 grown = self.spark.read.schema(self.rows().schema).parquet(f"{self.path}/{folder}/range_number={n}")
-                parts = self._split(grown, -(-sizes[n] // self.range_rows))
+                parts = self._split(grown, self._ranges(*sizes[n]))
             else:
                 parts = [], [f"{folder}/range_number={n}"] if n in sizes else [self._empty()]
             bounds, files = [*bounds, *low, *parts[0]], [*files, *parts[1]]
@@ -145,7 +170,7 @@ class RangeTable:
     def _committed(self, bounds: list, files: list[str]) -> RangeTable:
         """The next version, told by a manifest that appears whole or not at all."""
         version = self.version + 1
-        text = json.dumps({"key": self.key, "schema": self.schema, "range_rows": self.range_rows, "bounds": bounds, "files": files})
+        text = json.dumps({"key": self.key, "schema": self.schema, "range_rows": self.range_rows, "range_bytes": self.range_bytes, "bounds": bounds, "files": files})
         if not put_once(self.spark, f"{self.path}/manifest/{version}", text):
             raise Conflict(f"version {version} of {self.path} is another's")
-        return RangeTable(self.spark, self.path, self.key, version, self.schema, bounds, files, self.range_rows)
+        return RangeTable(self.spark, self.path, self.key, version, self.schema, bounds, files, self.range_rows, self.range_bytes)

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from gristmill import queries_text
-from gristmill.operators import repos
+from gristmill.operators import ranges, repos
 
 
 def _plan(df) -> str:
@@ -36,3 +36,18 @@ def test_repositories_of_one_small_file_are_dealt_out(spark):
     }
     got = queries_text.flt_repo_relevance(views.__getitem__)
     assert "REPARTITION_BY_COL" in _plan(got) and got.count() == 40
+
+
+def test_ranges_of_long_rows_are_small(spark, tmp_path):
+    rows = spark.range(64).selectExpr("lpad(string(id), 4, '0') AS k", "repeat('x', 1000) AS body")
+    table = ranges.RangeTable.created(rows, "k", f"file://{tmp_path}/t", range_bytes=4000)
+    assert len(table.files) >= 12
+    changed = table.patched(rows.select("k", F.lit("new").alias("body")))
+    assert changed.rows().where("body = 'new'").count() == 64 and ranges.RangeTable.opened(spark, table.path) == changed
+    # a range that grows by long rows is split, be they few
+    grown = changed.upserted(spark.range(20).selectExpr("concat('0007-', lpad(string(id), 3, '0')) AS k", "repeat('y', 1000) AS body"))
+    assert len(grown.files) > len(changed.files) and grown.rows().count() == 84
+    # ranges meet in no task: as many files as ranges, each written by its own
+    spread = ranges.RangeTable.created(rows, "k", f"file://{tmp_path}/u", range_rows=4)
+    tasks = spread.patched(rows.select("k", F.lit("new").alias("body"))).rows().select(F.regexp_extract(F.input_file_name(), "part-([0-9]+)-", 1).alias("task")).distinct().count()
+    assert tasks == len(spread.files)
