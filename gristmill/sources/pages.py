@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,29 +162,43 @@ class Blocks(HTMLParser):
             self.chars += len(data.strip()) + 1 if data.strip() else 0
 
 
-def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Characters of pages, or pages, that a task walks before it sends what it found; a batch of Arrow may hold thousands of long pages.
+SENT_CHARS, SENT_PAGES = 1_000_000, 500
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.string()]
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "title", "blocks", "error"])
+
     for batch in batches:
-        rows = []
-        for page, html, source in zip(batch.page_id, batch.html, batch.source_id, strict=True):
-            own = SOURCE_CONTENT.get(source, ())
+        rows, chars = [], 0
+        for page, html, source in zip(*(batch.column(c) for c in ("page_id", "html", "source_id")), strict=True):
+            html, own = html.as_py() or "", SOURCE_CONTENT.get(source.as_py(), ())
             walk, error = Blocks(own + CONTENT), ""
             try:
-                walk.feed(html or "")
+                walk.feed(html)
                 walk.close()
                 walk.flush()
                 walk.open.clear()
                 walk.ended()
             except (ValueError, AssertionError) as broken:
                 error = str(broken)
-            rows.append((page, walk.title, walk.article(len(own)), error))
-        yield pd.DataFrame(rows, columns=["page_id", "title", "blocks", "error"])
+            rows.append((page.as_py(), walk.title, walk.article(len(own)), error))
+            chars += len(html)
+            if chars >= SENT_CHARS or len(rows) >= SENT_PAGES:
+                yield sent(rows)
+                rows, chars = [], 0
+        if rows:
+            yield sent(rows)
 
 
 def bodies(pages: DataFrame) -> DataFrame:
     """page_id, title, body, raw, quality of every page (page_id, html, and source_id where it is known): the element that holds the article is chosen; of its text, raw, furniture, repeated blocks and the title's
     own heading are dropped. Both are cut at 40 000 characters. A page that cannot be read has an error."""
     pages = pages.select("page_id", "html", F.col("source_id") if "source_id" in pages.columns else F.lit("").alias("source_id"))
-    walked = pages.mapInPandas(_walked, "page_id long, title string, blocks array<string>, error string")
+    walked = pages.mapInArrow(_walked, "page_id long, title string, blocks array<string>, error string")
     keys = F.transform("blocks", lambda b: F.lower(F.regexp_replace(b, r"^[#>\- ]+", "")))
     kept = F.filter("blocks", lambda b, i: ~is_noise(b) & ((F.length(b) < 30) | (F.array_position(F.col("keys"), F.element_at("keys", i + 1)) == i + 1)))
     body = F.substring(F.array_join(without_title(kept, F.col("title")), "\n\n"), 1, MOST)

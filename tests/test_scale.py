@@ -2,10 +2,12 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gristmill import queries_text
 from gristmill.operators import ranges, repos
+from gristmill.sources import pages
 
 
 def _plan(df) -> str:
@@ -51,3 +53,12 @@ def test_ranges_of_long_rows_are_small(spark, tmp_path):
     spread = ranges.RangeTable.created(rows, "k", f"file://{tmp_path}/u", range_rows=4)
     tasks = spread.patched(rows.select("k", F.lit("new").alias("body"))).rows().select(F.regexp_extract(F.input_file_name(), "part-([0-9]+)-", 1).alias("task")).distinct().count()
     assert tasks == len(spread.files)
+
+
+def test_pages_are_sent_in_small_batches():
+    n, html = 3000, "<p>" + "some words " * 200 + "</p>"
+    batch = pa.RecordBatch.from_pydict({"page_id": [*range(n - 1), None], "html": [html] * (n - 1) + [None], "source_id": [""] * (n - 1) + [None]})
+    got = list(pages._walked(iter([batch])))
+    assert max(b.nbytes for b in got) < 2_500_000 and max(b.num_rows for b in got) <= 500
+    ids, blocks = ([x for b in got for x in b.column(c).to_pylist()] for c in ("page_id", "blocks"))
+    assert ids == [*range(n - 1), None] and blocks == [[" ".join(["some words"] * 200)]] * (n - 1) + [[]]
