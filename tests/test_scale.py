@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gristmill import queries_text
-from gristmill.operators import ranges, repos
+from gristmill.operators import ranges, repos, search
 from gristmill.sources import pages
 
 
@@ -62,3 +62,15 @@ def test_pages_are_sent_in_small_batches():
     assert max(b.nbytes for b in got) < 2_500_000 and max(b.num_rows for b in got) <= 500
     ids, blocks = ([x for b in got for x in b.column(c).to_pylist()] for c in ("page_id", "blocks"))
     assert ids == [*range(n - 1), None] and blocks == [[" ".join(["some words"] * 200)]] * (n - 1) + [[]]
+
+
+def test_a_batch_searched_once_writes_no_index(spark, monkeypatch):
+    rows = [(f"a{i}", f"GPT robot {i % 3}", "x aa aaa" if i % 2 else "robots AI") for i in range(30)]
+    frame = spark.createDataFrame(rows, "id string, title_original string, summary string").select("*", *[F.lit("").alias(c) for c in search.WEIGHTS if c not in ("title_original", "summary")])
+    queries = spark.createDataFrame([(1, "gpt Robot"), (2, "aaa gpt"), (3, "ai robots"), (4, "none")], "query_id long, query string")
+    found = [sorted(map(tuple, search.held_once(frame, queries, few).collect())) for few in (0, search.FEW_TERMS)]
+    assert found[0] == found[1] and len(found[0]) == 30 + 30 + 15 + 15 + 15
+    monkeypatch.setattr(search, "written", None)
+    docs = frame.select("*", F.lit(None).cast("timestamp").alias("published_at"))
+    got = {r["query"]: r.hits for r in queries_text.search_batch(lambda name: docs).collect()}
+    assert got == {"gpt robot": 30}
