@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gristmill import queries_text
-from gristmill.operators import ranges, repos, search
+from gristmill.operators import dedup, ranges, repos, search
 from gristmill.sources import pages
 
 
@@ -74,3 +74,10 @@ def test_a_batch_searched_once_writes_no_index(spark, monkeypatch):
     docs = frame.select("*", F.lit(None).cast("timestamp").alias("published_at"))
     got = {r["query"]: r.hits for r in queries_text.search_batch(lambda name: docs).collect()}
     assert got == {"gpt robot": 30}
+
+
+def test_classes_of_events_have_short_names(spark):
+    rows = [("a", "GPT-6 is out", "x"), ("b", "GPT-6 is out", "x"), ("c", "Other news", "x")]
+    items = spark.createDataFrame(rows, "id string, title_original string, summary string").selectExpr("*", "'' AS title_cn", "'' AS why_it_matters", "TIMESTAMP '2024-01-01 00:00:00' AS published_at")
+    got = {r.id: bytes(r["class"]) for r in dedup.event_features(items).collect()}
+    assert got["a"] == got["b"] != got["c"] and {len(c) for c in got.values()} == {16}
