@@ -196,7 +196,8 @@ def diverse(items: DataFrame) -> DataFrame:
     A digest is read in the order of its base scores; a task holds the rows that a penalty may still bring to the front, and compares one row for each company, topic and source that has any.
     """
     rows = items.select("digest_date", "id", F.col("base_score").cast("double").alias("base_score"), F.unix_micros("published_at").cast("double").alias("us"), "company", "topic", "source")
-    ordered = rows.repartition("digest_date").sortWithinPartitions("digest_date", F.desc("base_score"), F.desc_nulls_last("us"), "id")
+    # dealt by a hash: a deal by the day itself is left out where a join before it was by day, and that join's rows may then be read as its tasks wrote them, a day in several tasks
+    ordered = rows.repartition(F.xxhash64("digest_date")).sortWithinPartitions("digest_date", F.desc("base_score"), F.desc_nulls_last("us"), "id")
     return ordered.mapInArrow(_picked, "digest_date string, id string, penalty double, final_score double, rank int")
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gristmill import queries_text
-from gristmill.operators import dedup, ranges, repos, search
+from gristmill.operators import dedup, ranges, ranking, repos, search
 from gristmill.sources import pages
 
 
@@ -81,3 +81,15 @@ def test_classes_of_events_have_short_names(spark):
     items = spark.createDataFrame(rows, "id string, title_original string, summary string").selectExpr("*", "'' AS title_cn", "'' AS why_it_matters", "TIMESTAMP '2024-01-01 00:00:00' AS published_at")
     got = {r.id: bytes(r["class"]) for r in dedup.event_features(items).collect()}
     assert got["a"] == got["b"] != got["c"] and {len(c) for c in got.values()} == {16}
+
+
+def test_days_are_dealt_out_after_the_join_with_the_nth_scores(spark):
+    """A deal by day itself is left out where the join before it is planned by day; if that turns into a broadcast while it runs, a day is read in several tasks."""
+    items = spark.sql("SELECT string(id % 9) AS digest_date, string(id) AS id, double(id) AS base_score, timestamp'2026-01-01 00:00:00' AS published_at, 'c' AS company, 'other' AS topic, 's' AS source FROM range(90)")
+    bound = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(bound, "-1")
+    try:
+        plan = ranking.diverse_top(items, 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(bound)
+    assert "Exchange" in plan[plan.index("MapInArrow") : plan.index("SortMergeJoin")]
