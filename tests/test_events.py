@@ -71,3 +71,20 @@ def test_previous(spark):
     rows = [("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("a", 4, None), ("b", 1, None), ("b", 2, "y"), ("a", 5, "z"), ("a", 6, None)]
     got = dedup.previous(spark.createDataFrame(rows, "k string, at int, member string").repartition(3), ["k"], "at", "member")
     assert sorted((r.k, r.at, r.before) for r in got.collect()) == [("a", 1, None), ("a", 2, None), ("a", 3, "x"), ("a", 4, "x"), ("a", 5, "x"), ("a", 6, "z"), ("b", 1, None), ("b", 2, None)]
+
+
+@pytest.mark.parametrize("kind", ["dead ends", "random"])
+def test_least_below_takes_few_rounds(spark, kind):
+    """A way down of 150 steps, each with an end of its own that is smaller than the steps below it; and edges at random, over many small batches."""
+    r = random.Random(7)
+    edges = {
+        "dead ends": [(f"{1000 + i}", f"{1000 + i - 1}" if i else "0000") for i in range(150)] + [(f"{1000 + i}", f"{900 - i:04}") for i in range(150)],
+        "random": [(f"{max(a, b):04}", f"{min(a, b):04}") for a, b in ((r.randrange(300), r.randrange(300)) for _ in range(700)) if a != b],
+    }[kind]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "3")
+    try:
+        got = {x.node: x.least for x in graph.least_below(spark.createDataFrame(edges, "u string, v string"), most=14).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got == plain_below(edges)
