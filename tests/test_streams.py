@@ -1,9 +1,12 @@
 """Keyed state of titles against the batch form, with late rows and expiry."""
 
 import os
+import random
 import time
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+
 from gristmill.operators import dedup
 from gristmill.streaming import jobs
 
@@ -50,3 +53,31 @@ def test_late_rows_are_dropped_and_told_clusters_are_gone(spark, tmp_path):
     """A row behind the watermark joins nothing; a title told before has a cluster of its own later."""
     batches = [[row("t", 0, "a")], [row("u", 100, "b")], [row("t", 10, "c"), row("t", 101, "d")], END]
     assert streamed(spark, tmp_path, batches) == [("t", "a", "a", 1), ("t", "d", "d", 1), ("u", "b", "b", 1)]
+
+
+def _scan(times):
+    """Names of dedup._clustered for times (hours) of one chain in scan order."""
+    us = [int(t * 3_600_000_000) for t in times]
+    batch = pa.RecordBatch.from_pydict({"key": [str(i) for i in range(len(us))], "title_key": ["t"] * len(us), "_chain": [1] * len(us), "us": us})
+    return next(dedup._clustered([batch])).column("cluster").to_pylist()
+
+
+def test_scan_against_a_plain_version():
+    r = random.Random(3)
+    for _ in range(300):
+        times, clusters, names = [r.choice([r.randrange(900), r.randrange(900) / 7, 48 * r.randrange(-9, 12)]) for _ in range(r.randrange(120))], [], []
+        for i, t in enumerate(times):
+            found = next((c for c in clusters if any(abs(t - x) <= 48 for x in c[1])), None)
+            if found is None:
+                clusters.append(found := (str(i), []))
+            found[1].append(t)
+            names.append(found[0])
+        times = [round(t * 3_600_000_000) / 3_600_000_000 for t in times]
+        assert _scan(times) == names
+
+
+def test_a_scan_of_many_clusters_stays_linear():
+    times = [100 * i for i in range(20_000)]
+    random.Random(4).shuffle(times)
+    begun = time.process_time()
+    assert len(set(_scan(times))) == 20_000 and time.process_time() - begun < 5
